@@ -43,8 +43,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import residue
+
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import residue
+
+    return residue.without_residue(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_forms, p7_ids)}
+    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

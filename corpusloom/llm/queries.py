@@ -10,6 +10,39 @@ from pyspark.sql import functions as F
 from corpusloom.sources.tables import table
 
 
+def _language_texts(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Training text per language, from the labels of golden queries and segments."""
+    from corpusloom.llm import language
+
+    golden = table(spark, sf_dir, "golden_items").select(F.col("query").alias("text"), language.label_column(F.col("language")).alias("code"))
+    segments = table(spark, sf_dir, "segments").select("text", language.label_column(F.col("language_code")).alias("code"))
+    sample = language.labelled_sample(golden)
+    for code, texts in language.labelled_sample(segments).items():
+        sample.setdefault(code, []).extend(texts)
+    return language.training_texts(sample)
+
+
+def _queries_with_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden = table(spark, sf_dir, "golden_items").select(F.lit("golden_items").alias("src"), F.col("id").alias("rec_key"), F.col("language").alias("label"), F.col("query").alias("text"))
+    feedback = table(spark, sf_dir, "feedback").select(F.lit("feedback").alias("src"), F.col("trace_id").alias("rec_key"), F.lit(None).cast("string").alias("label"), F.col("query_text").alias("text"))
+    return golden.unionByName(feedback)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import language
+
+    rows = _queries_with_label(spark, sf_dir).withColumn("label", language.label_column(F.col("label")))
+    got = language.identify(rows, _language_texts(spark, sf_dir), ["src", "rec_key", "label"], "text")
+    return got.where(~F.col("language").eqNullSafe(F.col("label"))).select("src", "rec_key", "language").distinct()
+
+
+def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import language
+
+    rows = _queries_with_label(spark, sf_dir)
+    return language.identify(rows, _language_texts(spark, sf_dir), ["src", "rec_key"], "text").distinct()
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import splitting
 
@@ -56,7 +89,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,6 +43,14 @@ def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, _language_texts(spark, sf_dir), ["src", "rec_key"], "text").distinct()
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import pairs
+
+    answers = table(spark, sf_dir, "answers").select(F.lit("answers").alias("src"), "trace_id", F.col("query").alias("question"), "answer")
+    feedback = table(spark, sf_dir, "feedback").select(F.lit("feedback").alias("src"), "trace_id", F.col("query_text").alias("question"), F.col("answer_text").alias("answer"))
+    return pairs.defects(answers.unionByName(feedback), _language_texts(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import splitting
 
@@ -89,7 +97,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -43,6 +43,20 @@ def p3_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(rows, _language_texts(spark, sf_dir), ["src", "rec_key"], "text").distinct()
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import spans
+
+    chunks = table(spark, sf_dir, "chunks").select("id", F.col("is_parent").alias("level"), "text")
+    return spans.shared_spans(chunks).withColumnRenamed("id", "chunk_id")
+
+
+def p1_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import spans
+
+    chunks = table(spark, sf_dir, "chunks").select("id", F.col("is_parent").alias("level"), "text")
+    return spans.coverage(chunks, spans.shared_spans(chunks)).withColumnRenamed("id", "chunk_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import pairs
 
@@ -97,7 +111,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -92,6 +92,34 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(table(spark, sf_dir, "segments"), "row_id", "text")
 
 
+def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, n) for n in names]
+
+
+def p6_chunk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import budget
+
+    return budget.chunk_tokens(spark, *_tables(spark, sf_dir, "chunks", "works", "expressions", "instances"))
+
+
+def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import budget
+
+    return budget.budget(p6_chunk_tokens(spark, sf_dir))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import mixing
+
+    return mixing.mix_of(*_tables(spark, sf_dir, "documents", "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpusloom.llm import mixing
+
+    return mixing.mix_of(*_tables(spark, sf_dir, "documents", "mix_targets"))[1]
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import tokenizing
 
@@ -111,7 +139,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p7_ids, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,11 +1,640 @@
-"""The queries of the core, by name."""
+"""The queries of the core by name, each over its whole tables, with equivalent SQL where SQL can express them.
+
+Search queries take as queries the golden items whose number is divisible by 20
+(vectors: whose id is), against all chunks or vectors. Scores are rounded before
+they are ranked, and ties go by id, so both engines rank alike.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as X
+from corpusloom.operators import answers as A
+from corpusloom.operators import chunking, evaluate, expand, fusion, lexical, library, pipeline, sinks, vector
+from corpusloom.sources.tables import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+FOLD = f"translate(%s, '{X.FOLD_FROM}', '{X.FOLD_TO}')"
+BLANK = r"[\s\x0B\x1C-\x1F\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+COLLAPSE = f"trim(regexp_replace(%s, '{BLANK}', ' ', 'g'))"
+STRIP = f"regexp_replace(%s, '^{BLANK}|{BLANK}$', '', 'g')"
+TERMS = "regexp_extract_all(lower(" + FOLD + r"), '[\p{L}\p{N}]+')"
+#: Chunks and catalogue without redelivered rows.
+BASE = f"""
+chunk AS (SELECT DISTINCT id, instance_id, parent_chunk_id, sequence, text, is_parent, token_count, segment_id FROM chunks),
+work AS (SELECT DISTINCT id, canonical_id, source_type, tradition_code, title, metadata_json FROM works),
+expr AS (SELECT DISTINCT id, work_id, author_id, language_code, publication_year FROM expressions),
+inst AS (SELECT DISTINCT id, expression_id, retrieved_at FROM instances),
+golden AS (SELECT DISTINCT id, query, expected_works, difficulty, language FROM golden_items),
+"""
+POSTINGS = f"""
+term_of AS (SELECT id AS chunk_id, generate_subscripts(t, 1) AS pos, unnest(t) AS term FROM (SELECT id, {TERMS % "text"} AS t FROM chunk WHERE NOT is_parent)),
+posting AS (SELECT term, chunk_id, count(*) AS tf FROM term_of GROUP BY ALL),
+asked AS (SELECT id AS query_id, {TERMS % "query"} AS t FROM golden WHERE CAST(substr(id, 4) AS BIGINT) % 20 = 0),
+asked_term AS (SELECT DISTINCT query_id, unnest(t) AS term FROM asked),
+"""
+ANY = "any_hit AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL),"
+RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
+BM25 = f"""
+len AS (SELECT chunk_id, count(*) AS n FROM term_of GROUP BY ALL),
+stat AS (SELECT (SELECT count(*) FROM len) AS docs, (SELECT avg(n) FROM len) AS mean),
+df AS (SELECT term, count(*) AS df FROM posting WHERE term IN (SELECT term FROM asked_term) GROUP BY ALL),
+bm_hit AS (SELECT query_id, chunk_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+    FROM posting JOIN asked_term USING (term) JOIN df USING (term) JOIN len USING (chunk_id), stat GROUP BY ALL),
+"""
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- shared inputs
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return library.once(table(s, d, "chunks"), "id")
+
+
+def _children(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).where(~F.col("is_parent")).select(F.col("id").alias("chunk_id"), "text")
+
+
+def _golden(s: SparkSession, d: str) -> DataFrame:
+    return library.once(table(s, d, "golden_items"), "id")
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """query_id and query of the golden items whose number is divisible by 20."""
+    return _golden(s, d).where(F.substring("id", 4, 20).cast("long") % 20 == 0).select(F.col("id").alias("query_id"), "query")
+
+
+def _terms(s: SparkSession, d: str) -> DataFrame:
+    return _asked(s, d).select("query_id", F.explode(F.array_distinct(X.simple_terms(F.col("query")))).alias("term"))
+
+
+def _last_pair(s: SparkSession, d: str) -> DataFrame:
+    t = _asked(s, d).select("query_id", X.simple_terms(F.col("query")).alias("t")).where(F.size("t") >= 2)
+    return t.select("query_id", F.element_at("t", -2).alias("first"), F.element_at("t", -1).alias("second"))
+
+
+def _postings(s: SparkSession, d: str) -> DataFrame:
+    return lexical.postings(_children(s, d))
+
+
+def _frequencies(s: SparkSession, d: str) -> DataFrame:
+    """Postings without positions, for what needs none."""
+    return _children(s, d).select("chunk_id", F.explode(X.simple_terms(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+
+
+def _bm25_hits(s: SparkSession, d: str) -> DataFrame:
+    index = _frequencies(s, d)
+    lengths = _children(s, d).select("chunk_id", F.size(X.simple_terms(F.col("text"))).alias("n")).where("n > 0")
+    return lexical.bm25(_terms(s, d), index, lengths)
+
+
+def _catalogued(s: SparkSession, d: str) -> DataFrame:
+    return library.with_work(_chunks(s, d), *(table(s, d, n) for n in ("instances", "expressions", "works")))
+
+
+def _work_of_chunk(s: SparkSession, d: str) -> DataFrame:
+    return _catalogued(s, d).select(F.col("id").alias("chunk_id"), F.col("work_canonical_id").alias("work"))
+
+
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """The glossary as a curated list: terms, their English meanings as aliases."""
+    g = table(s, d, "glossary_entries")
+    return g.select(F.col("entry_id").cast("int").alias("entry"), F.col("pali").alias("term"), F.coalesce("meanings_en", F.array().cast("array<string>")).alias("aliases"), F.array("pali").alias("works"), F.lit(1.5).alias("boost"))
+
+
+# ---- lexical search
+
+
+@query("r04_lexical_topk", f"WITH {BASE}{POSTINGS}{ANY} ranked AS (SELECT *, {RANK} AS rank FROM any_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
+def r04(s, d):
+    return lexical.top_k(lexical.match_any(_terms(s, d), _frequencies(s, d)), 10)
+
+
+_PAIR = "pair AS (SELECT query_id, t[-2] AS first, t[-1] AS second FROM asked WHERE len(t) >= 2),"
+
+
+@query("r02_and_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair), n AS (SELECT query_id, count(*) AS needed FROM need GROUP BY ALL), hit AS (SELECT query_id, chunk_id, count(*) AS n, sum(tf) AS tf FROM posting JOIN need USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM hit JOIN n USING (query_id) WHERE n = needed")
+def r02_and(s, d):
+    need = _last_pair(s, d).select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term"))
+    return lexical.match_all(need, _frequencies(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query("r02_or_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair) SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posting JOIN need USING (term) GROUP BY ALL")
+def r02_or(s, d):
+    need = _last_pair(s, d).select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term"))
+    return lexical.match_any(need, _frequencies(s, d)).withColumn("score", F.round("score", 6))
+
+
+@query("r02_phrase", f"WITH {BASE}{POSTINGS}{_PAIR} a AS (SELECT query_id, chunk_id, pos FROM term_of JOIN pair ON term = first), b AS (SELECT query_id, chunk_id, pos - 1 AS pos FROM term_of JOIN pair ON term = second) SELECT query_id, chunk_id, count(*) AS n FROM a JOIN b USING (query_id, chunk_id, pos) GROUP BY ALL")
+def r02_phrase(s, d):
+    return lexical.match_phrase(_last_pair(s, d), _postings(s, d))
+
+
+@query("r02_not", f"WITH {BASE}{POSTINGS}{_PAIR} bad AS (SELECT DISTINCT query_id, chunk_id FROM posting JOIN pair ON term = first) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM posting JOIN pair ON term = second ANTI JOIN bad USING (query_id, chunk_id)")
+def r02_not(s, d):
+    pair = _last_pair(s, d)
+    hits = lexical.match_without(pair.select("query_id", F.col("second").alias("term")), pair.select("query_id", F.col("first").alias("term")), _frequencies(s, d))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query("r02_websearch")
+def r02_websearch(s, d):
+    """Phrases, alternatives and exclusions in one query, scored by cover density."""
+    p = _last_pair(s, d)
+    asked = p.select("query_id", F.concat(F.lit('"'), "first", F.lit(" "), "second", F.lit('" or '), "second", F.lit(" -the")).alias("query"))
+    return lexical.top_k(lexical.match(asked, _postings(s, d)), 10)
+
+
+@query("r03_bm25", f"WITH {BASE}{POSTINGS}{BM25} ranked AS (SELECT *, {RANK} AS rank FROM bm_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
+def r03(s, d):
+    return lexical.top_k(_bm25_hits(s, d), 10)
+
+
+# ---- vectors
+
+
+@query("r05_dense_topk", "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def r05(s, d):
+    e = table(s, d, "embeddings")
+    return vector.dense_top_k(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), 10)
+
+
+@query("r06_sparse_dot", f"WITH {BASE}{POSTINGS} s AS (SELECT query_id, chunk_id AS doc_id, round(sum(1 + ln(tf)), 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def r06(s, d):
+    corpus = _frequencies(s, d).select(F.col("chunk_id").alias("doc_id"), F.col("term").alias("token"), (1 + F.log("tf")).alias("weight"))
+    return vector.sparse_top_k(_terms(s, d).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("q_weight")), corpus, 10)
+
+
+@query("r27_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def r27(s, d):
+    e = table(s, d, "embeddings")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(vector.cosine(F.col("embedding"), F.col("other")), 6).alias("score"))
+
+
+# ---- fusion and boost
+
+FUSED = f"""
+one AS (SELECT * FROM (SELECT *, {RANK} AS rank FROM any_hit) WHERE rank <= 30), two AS (SELECT * FROM (SELECT *, {RANK} AS rank FROM bm_hit) WHERE rank <= 30),
+both_ch AS (SELECT query_id, chunk_id AS doc_id, rank, 0 AS ch FROM one UNION ALL SELECT query_id, chunk_id, rank, 1 FROM two),
+fused AS (SELECT query_id, doc_id, min(CASE WHEN ch = 0 THEN rank END) AS rank_tf, min(CASE WHEN ch = 1 THEN rank END) AS rank_bm25, min(ch * 1000 + rank) AS first FROM both_ch GROUP BY ALL),
+scored AS (SELECT *, round(coalesce(1.0 / (60 + rank_tf), 0.0) + coalesce(1.0 / (60 + rank_bm25), 0.0), 9) AS score FROM fused),
+rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, doc_id) AS rank FROM scored),
+"""
+
+
+def _fused(s: SparkSession, d: str, limit: int | None) -> DataFrame:
+    named = lambda h: lexical.top_k(h, 30).withColumnRenamed("chunk_id", "doc_id")
+    return fusion.rrf({"tf": named(lexical.match_any(_terms(s, d), _frequencies(s, d))), "bm25": named(_bm25_hits(s, d))}, limit=limit)
+
+
+@query("r08_rrf", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{FUSED} x AS (SELECT 1) SELECT query_id, doc_id, score, rank, rank_tf, rank_bm25 FROM rrf WHERE rank <= 20")
+def r08(s, d):
+    return _fused(s, d, 20)
+
+
+_BOOST = """
+hit AS (SELECT r.query_id, r.doc_id, w.canonical_id AS work, r.score, r.rank FROM rrf r JOIN chunk c ON c.id = r.doc_id JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id WHERE r.rank <= 20),
+factor AS (SELECT DISTINCT id AS query_id, unnest(expected_works) AS work FROM golden),
+boosted AS (SELECT h.*, f.work IS NOT NULL AS hit, max(score) OVER (PARTITION BY h.query_id) AS best FROM hit h LEFT JOIN factor f ON f.query_id = h.query_id AND f.work = h.work),
+again AS (SELECT query_id, doc_id, work, CASE WHEN hit THEN best * 1.5 ELSE score END AS raw, rank AS old FROM boosted)
+"""
+
+
+@query("r14_boost", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{FUSED}{_BOOST} SELECT query_id, doc_id, work, round(raw, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, old) AS rank FROM again")
+def r14(s, d):
+    hits = _fused(s, d, 20).join(_work_of_chunk(s, d).withColumnRenamed("chunk_id", "doc_id"), "doc_id").select("query_id", "doc_id", "work", "score", "rank")
+    factors = _golden(s, d).select(F.col("id").alias("query_id"), F.explode("expected_works").alias("work"), F.lit(1.5).alias("factor"))
+    return fusion.boost(hits, factors).select("query_id", "doc_id", "work", F.round("score", 9).alias("score"), "rank")
+
+
+@query("r20_score_norm", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{FUSED} x AS (SELECT 1) SELECT query_id, doc_id, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM rrf WHERE rank <= 8")
+def r20(s, d):
+    hits = _fused(s, d, 8).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    return hits.select("query_id", "doc_id", F.round(fusion.normalised(F.lit(None).cast("double"), F.col("score"), F.col("best")), 6).alias("score"))
+
+
+def _loose(s: SparkSession, d: str) -> DataFrame:
+    """The same queries with their last three words as alternatives."""
+    t = X.simple_terms(F.col("query"))
+    return _asked(s, d).select("query_id", F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - 2), 3), " or ").alias("query"))
+
+
+def _corpus(s: SparkSession, d: str) -> pipeline.Corpus:
+    c = _catalogued(s, d).select(F.col("id").alias("chunk_id"), "parent_chunk_id", "text", "is_parent", "work_canonical_id", "source_type", "segment_id")
+    return pipeline.Corpus(c)
+
+
+@query("r09_hybrid")
+def r09(s, d):
+    """The lexical channel with aliases, boosts and parents, end to end."""
+    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(), entries=_entries(s, d))
+    return hits.select("query_id", "chunk_id", "work_canonical_id", "expanded", F.round("score", 9).alias("score"), "rank")
+
+
+@query("r22_response")
+def r22(s, d):
+    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(rerank=True, boosts=False))
+    restricted = table(s, d, "works").where("is_restricted").select(F.col("canonical_id").alias("work_canonical_id"))
+    return pipeline.respond(hits, restricted).select("query_id", "work_canonical_id", "segment_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("r23_thread_next")
+def r23(s, d):
+    corpus = _corpus(s, d)
+    first = pipeline.hybrid(_loose(s, d), corpus, pipeline.Options(top_k=3, boosts=False, parents=False)).select("query_id", "chunk_id")
+    return pipeline.thread_next(_loose(s, d), corpus, first).select("query_id", "chunk_id", "card", "exhausted")
+
+
+@query("r11_enrich_parent", f"WITH {BASE} x AS (SELECT 1) SELECT c.id AS chunk_id, p.id IS NOT NULL AS expanded, length(coalesce(p.text, c.text)) AS n_chars, length(CASE WHEN p.id IS NOT NULL THEN c.text END) AS child_chars FROM chunk c LEFT JOIN chunk p ON p.id = c.parent_chunk_id WHERE NOT c.is_parent")
+def r11(s, d):
+    c = _chunks(s, d).select("id", "parent_chunk_id", "is_parent", "text")
+    out = library.expanded(library.with_parent(c.where(~F.col("is_parent")), c))
+    return out.select(F.col("id").alias("chunk_id"), "expanded", F.length("text").alias("n_chars"), F.length("child_text").alias("child_chars"))
+
+
+# ---- rewriting
+
+_NAMES = "name AS (SELECT CAST(entry_id AS INTEGER) AS entry, pali AS term, lower(trim(unnest(list_concat([pali], coalesce(meanings_en, []))))) AS name FROM glossary_entries)"
+_FIRST = r"regexp_extract(%s, '[\p{L}\p{M}\p{N}_]+')"
+MATCHES = rf"""
+{_NAMES}, named AS (SELECT DISTINCT entry, term, name, {_FIRST % "name"} AS w FROM name WHERE name <> ''),
+asked_q AS (SELECT id AS query_id, lower({COLLAPSE % "query"}) AS q FROM golden),
+word AS (SELECT DISTINCT query_id, q, unnest(regexp_extract_all(q, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS w FROM asked_q),
+matched AS (SELECT DISTINCT query_id, entry, term FROM word JOIN named USING (w) WHERE regexp_matches(' ' || q || ' ', '[^\p{{L}}\p{{M}}\p{{N}}_]' || regexp_escape(name) || '[^\p{{L}}\p{{M}}\p{{N}}_]'))
+"""
+
+
+@query("r13_alias_match", f"WITH {BASE}{MATCHES} SELECT query_id, entry, term FROM matched")
+def r13(s, d):
+    return expand.match_terms(_golden(s, d).select(F.col("id").alias("query_id"), "query"), _entries(s, d))
+
+
+@query("r15_alias_bridge", f"""WITH {BASE}{MATCHES},
+alias AS (SELECT entry, unnest(meanings_en) AS alias, generate_subscripts(meanings_en, 1) AS pos FROM (SELECT CAST(entry_id AS INTEGER) AS entry, meanings_en FROM glossary_entries)),
+got AS (SELECT query_id, trim(alias) AS alias, min(entry * 1000 + pos) AS spot FROM matched JOIN alias USING (entry) JOIN (SELECT CAST(entry_id AS INTEGER) AS entry, pali FROM glossary_entries) g USING (entry)
+    WHERE trim(alias) <> '' AND NOT (NOT contains(trim(alias), ' ') AND {FOLD % "lower(trim(alias))"} = {FOLD % "lower(pali)"}) AND NOT regexp_matches(alias, '[\\x{{0400}}-\\x{{04FF}}]') GROUP BY ALL),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS n FROM got)
+SELECT query_id, string_agg(alias, '|' ORDER BY n) AS aliases FROM top WHERE n <= 3 GROUP BY ALL""")
+def r15(s, d):
+    e = _entries(s, d)
+    got = expand.lexical_aliases(expand.match_terms(_golden(s, d).select(F.col("id").alias("query_id"), "query"), e), e)
+    return got.select("query_id", F.array_join("aliases", "|").alias("aliases"))
+
+
+_DEF = ", ".join(f"CASE WHEN length(trim(regexp_extract(query, '(?i){p}', 1))) > 0 AND len(regexp_split_to_array(trim(regexp_extract(query, '(?i){p}', 1)), '\\s+')) <= 6 THEN trim(regexp_extract(query, '(?i){p}', 1)) END" for p in expand.DEFINITIONAL)
+
+
+@query("r16_definitional", f"""WITH q AS (SELECT query FROM golden_items UNION SELECT query_text FROM feedback UNION SELECT 'What is ' || pali || '?' FROM glossary_entries UNION SELECT 'что значит ' || meanings_ru[1] FROM glossary_entries UNION SELECT 'Definition of the ' || meanings_en[1] FROM glossary_entries), t AS (SELECT query, coalesce({_DEF}) AS term, CASE WHEN regexp_matches(query, '[\\x{{0400}}-\\x{{04FF}}]') THEN 'ru' ELSE 'en' END AS lang FROM q)
+SELECT query, term, lang, CASE WHEN lang = 'ru' THEN format('Что такое {{}}? Учение о {{}}. Основы {{}}. Сутта о {{}}.', term, term, term, term) ELSE format('What is {{}}? Discourse on {{}}. Foundations of {{}}. Sutta on {{}}.', term, term, term, term) END AS expanded FROM t WHERE term IS NOT NULL""")
+def r16(s, d):
+    g = table(s, d, "glossary_entries")
+    first = lambda c: F.try_element_at(c, F.lit(1))
+    made = [F.concat(F.lit("What is "), "pali", F.lit("?")), F.concat(F.lit("что значит "), first("meanings_ru")), F.concat(F.lit("Definition of the "), first("meanings_en"))]
+    q = table(s, d, "golden_items").select("query").union(table(s, d, "feedback").select("query_text"))
+    for m in made:
+        q = q.union(g.select(m))
+    q = q.distinct()
+    return q.select("query", expand.definitional_term(F.col("query")).alias("term"), expand.definitional_language(F.col("query")).alias("lang"), expand.expand_definitional(F.col("query")).alias("expanded")).where("term IS NOT NULL")
+
+
+@query("r18_glossary_expand")
+def r18(s, d):
+    """Glossary entries are a small table that does not grow (checked)."""
+    rows = expand.checked(table(s, d, "glossary_entries")).orderBy("entry_id").collect()
+    lemmas: dict = {}
+    for r in rows:
+        lemmas.setdefault(r["pali"].lower(), (r["meanings_en"] or [], r["meanings_ru"] or []))
+    g = expand.Glossary(lemmas, {})
+    return expand.expand_glossary(_golden(s, d).select("id", "query"), g)
+
+
+# ---- text
+
+
+@query("x03_strip_tags", "SELECT doc_id, md5(regexp_replace(text, '<[^>]+>', ' ', 'g')) AS h FROM documents")
+def x03(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(X.strip_tags(F.col("text"))).alias("h"))
+
+
+@query("x05_normalise_iast", "SELECT row_id, md5(translate(text, 'ṁṀ', 'ṃṂ')) AS h FROM segments")
+def x05(s, d):
+    return table(s, d, "segments").select("row_id", F.md5(X.normalise_iast(F.col("text"))).alias("h"))
+
+
+@query("x06_ascii_fold", f"SELECT row_id, md5({FOLD % 'text'}) AS h FROM segments")
+def x06(s, d):
+    return table(s, d, "segments").select("row_id", F.md5(X.ascii_fold(F.col("text"))).alias("h"))
+
+
+@query("x04_nfc", "SELECT row_id, md5(nfc_normalize(text)) AS h, nfc_normalize(text) = text AS is_nfc FROM segments")
+def x04(s, d):
+    return table(s, d, "segments").select("row_id", X.nfc("text").alias("n"), "text").select("row_id", F.md5("n").alias("h"), (F.col("n") == F.col("text")).alias("is_nfc"))
+
+
+@query("x07_whitespace", f"SELECT row_id, md5({COLLAPSE % 'text'}) AS h FROM segments")
+def x07(s, d):
+    return table(s, d, "segments").select("row_id", F.md5(X.collapse_whitespace(F.col("text"))).alias("h"))
+
+
+@query("x08_tokenize", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*')) AS n, md5(array_to_string(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*'), ' ')) AS h FROM documents WHERE text IS NOT NULL")
+def x08(s, d):
+    t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.tokenize(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
+
+
+@query("x11_cyrillic", r"SELECT row_id, regexp_matches(text, '[\x{0400}-\x{04FF}]') AS cyrillic FROM segments")
+def x11(s, d):
+    return table(s, d, "segments").select("row_id", X.looks_cyrillic(F.col("text")).alias("cyrillic"))
+
+
+@query("x13_paragraphs", rf"WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array({STRIP % 'text'}, '\n{{2,}}'), lambda x: {STRIP % 'x'}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS h FROM p")
+def x13(s, d):
+    t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.paragraphs(F.col("text")).alias("p"))
+    return t.select("doc_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("h"))
+
+
+@query("x14_sentences", rf"WITH p AS (SELECT row_id, list_filter(string_split(regexp_replace({STRIP % 'text'}, '([.!?…]){BLANK}', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM segments WHERE text IS NOT NULL) SELECT row_id, len(p) AS n, md5(array_to_string(p, '|')) AS h FROM p")
+def x14(s, d):
+    t = table(s, d, "segments").where("text IS NOT NULL").select("row_id", X.sentences(F.col("text")).alias("p"))
+    return t.select("row_id", F.size("p").alias("n"), F.md5(F.array_join("p", "|")).alias("h"))
+
+
+@query("x15_paragraph_of", r"SELECT row_id, nullif(regexp_extract(segment_id, '^[^:]+:(\d+)\.', 1), '') AS paragraph FROM segments")
+def x15(s, d):
+    return table(s, d, "segments").select("row_id", X.paragraph_of(F.col("segment_id")).alias("paragraph"))
+
+
+_CITED = r"""ans AS (SELECT DISTINCT trace_id, answer, list_transform(sources, lambda s: lower(s)) AS known FROM answers),
+part AS (SELECT trace_id, known, unnest(regexp_extract_all(answer, '\[([^\[\]]+)\]', 1)) AS b, generate_subscripts(regexp_extract_all(answer, '\[([^\[\]]+)\]', 1), 1) AS i FROM ans),
+id_of AS (SELECT trace_id, known, i, generate_subscripts(string_split(b, ','), 1) AS j, trim(unnest(string_split(b, ','))) AS c FROM part),
+ok AS (SELECT trace_id, lower(c) AS c, min(i * 1000 + j) AS spot FROM id_of WHERE regexp_matches(c, '^[a-zA-Z0-9._-]+$') AND list_contains(known, lower(c)) GROUP BY ALL),
+cited AS (SELECT trace_id, string_agg(c, ',' ORDER BY spot) AS cited, count(*) AS n_unique FROM ok GROUP BY ALL)"""
+
+
+def _answers(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "answers").select("trace_id", "answer", "sources", "citations").dropDuplicates(["trace_id"])
+
+
+@query("x19_citations", f"WITH {_CITED} SELECT trace_id, coalesce(cited, '') AS cited FROM ans LEFT JOIN cited USING (trace_id) WHERE answer IS NOT NULL")
+def x19(s, d):
+    a = _answers(s, d).where("answer IS NOT NULL")
+    return a.select("trace_id", F.array_join(X.citations(F.col("answer"), F.transform("sources", lambda x: F.lower(x))), ",").alias("cited"))
+
+
+@query("x25_confidence", rf"""WITH {_CITED}, br AS (SELECT trace_id, known, unnest(regexp_extract_all(answer, '\[[^\[\]]+\]')) AS b, generate_subscripts(regexp_extract_all(answer, '\[[^\[\]]+\]'), 1) AS i FROM ans),
+last AS (SELECT trace_id, max_by(b, i) AS b FROM br WHERE len(list_filter(string_split(trim(b, '[]'), ','), lambda x: regexp_matches(trim(x), '^[a-zA-Z0-9._-]+$') AND list_contains(known, lower(trim(x))))) > 0 GROUP BY ALL),
+m AS (SELECT trace_id, answer, len(known) AS ns, coalesce(n_unique, 0) AS n, CASE WHEN b IS NULL THEN 0 ELSE length(answer) - instr(reverse(answer), reverse(b)) + 1 END AS e FROM ans LEFT JOIN cited USING (trace_id) LEFT JOIN last USING (trace_id))
+SELECT trace_id, CAST(n AS INTEGER) AS n_unique, CASE WHEN coalesce(ns, 0) = 0 OR coalesce(length(trim(answer)), 0) = 0 THEN 'no-sources' WHEN n >= 3 AND e / length(trim(answer)) >= 0.6 THEN 'well-grounded' WHEN n >= 2 THEN 'synthesized' WHEN n = 1 THEN 'limited' ELSE 'interpretive' END AS tier FROM m""")
+def x25(s, d):
+    return A.graded(_answers(s, d)).select("trace_id", "n_unique", "tier")
+
+
+@query("x26_cited_in_order", """WITH a AS (SELECT DISTINCT trace_id, answer, citations, sources FROM answers WHERE answer IS NOT NULL), src AS (SELECT trace_id, unnest(sources) AS work, 1.0 / generate_subscripts(sources, 1) AS score FROM a), best AS (SELECT trace_id, work, max(score) AS score FROM src GROUP BY ALL),
+c AS (SELECT trace_id, answer, unnest(citations) AS work, generate_subscripts(citations, 1) AS ord FROM a), p AS (SELECT trace_id, work, ord, CASE WHEN instr(answer, '[' || work) > 0 THEN instr(answer, '[' || work) ELSE 2147483647 END AS spot FROM c)
+SELECT trace_id, work, round(score, 6) AS score, row_number() OVER (PARTITION BY trace_id ORDER BY spot, ord) AS position FROM p JOIN best USING (trace_id, work)""")
+def x26(s, d):
+    a = _answers(s, d).where("answer IS NOT NULL")
+    src = a.select("trace_id", F.posexplode("sources").alias("i", "work")).select("trace_id", "work", F.lit(None).cast("string").alias("segment_id"), (1 / (F.col("i") + 1)).alias("score"))
+    return A.cited_in_order(a, src).select("trace_id", "work", F.round("score", 6).alias("score"), "position")
+
+
+@query("x20_corpus_type", r"SELECT DISTINCT trace_id, CASE WHEN len(list_filter(sources, lambda x: contains(x, '_'))) > 0 AND len(list_filter(sources, lambda x: NOT contains(x, '_'))) > 0 THEN 'mixed' WHEN len(list_filter(sources, lambda x: contains(x, '_'))) > 0 THEN 'talk' ELSE 'canonical' END AS corpus FROM answers")
+def x20(s, d):
+    return _answers(s, d).select("trace_id", A.corpus_type(F.col("sources")).alias("corpus"))
+
+
+# ---- numbers, hashes, JSON
+
+
+@query("m01_token_count", f"WITH {BASE} w AS (SELECT id, token_count, CASE WHEN {COLLAPSE % 'text'} = '' THEN 0 ELSE len(string_split({COLLAPSE % 'text'}, ' ')) END AS n FROM chunk) SELECT id, CAST(greatest(1, round_even(n * 1.3::DOUBLE, 0)) AS INTEGER) AS tokens, token_count FROM w")
+def m01(s, d):
+    return _chunks(s, d).select("id", X.token_estimate(F.col("text")).alias("tokens"), "token_count")
+
+
+@query("m03_quarter_tokens", "SELECT doc_id, CAST(greatest(1, length(text) // 4) AS INTEGER) AS tokens FROM documents WHERE text IS NOT NULL")
+def m03(s, d):
+    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.quarter_tokens(F.col("text")).alias("tokens"))
+
+
+@query("m04_cost", "WITH a AS (SELECT DISTINCT trace_id, llm_model, llm_tokens_in, llm_tokens_out FROM answers) SELECT llm_model, count(*) AS calls, sum(llm_tokens_in) AS tokens_in, sum(llm_tokens_out) AS tokens_out, round(sum(llm_tokens_in) * 0.8 / 1000000 + sum(llm_tokens_out) * 4.0 / 1000000, 6) AS usd FROM a GROUP BY ALL")
+def m04(s, d):
+    a = table(s, d, "answers").dropDuplicates(["trace_id"]).groupBy("llm_model").agg(F.count("*").alias("calls"), F.sum("llm_tokens_in").alias("tokens_in"), F.sum("llm_tokens_out").alias("tokens_out"))
+    return a.withColumn("usd", F.round(X.cost_usd(F.col("tokens_in"), F.col("tokens_out"), F.lit(0), F.lit(0)), 6))
+
+
+@query("m06_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")
+def m06(s, d):
+    return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query("m09_json_path", "SELECT event_type, try_cast(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
+def m09(s, d):
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return table(s, d, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+# ---- catalogue
+
+
+@query("j01_chain", f"WITH {BASE} x AS (SELECT 1) SELECT source_type, tradition_code, is_parent, count(*) AS n, count(DISTINCT canonical_id) AS n_works FROM chunk c JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id GROUP BY ALL")
+def j01(s, d):
+    return _catalogued(s, d).groupBy("source_type", "tradition_code", "is_parent").agg(F.count("*").alias("n"), F.countDistinct("work_canonical_id").alias("n_works"))
+
+
+@query("j03_orphans", f"WITH {BASE} x AS (SELECT 1) SELECT c.id, p.id AS parent, p.sequence AS parent_sequence FROM chunk c JOIN chunk p ON p.id = c.parent_chunk_id")
+def j03(s, d):
+    c = _chunks(s, d).select("id", "parent_chunk_id", "sequence")
+    p = c.select(F.col("id").alias("parent"), F.col("sequence").alias("parent_sequence"))
+    return c.join(p, F.col("parent_chunk_id") == F.col("parent")).select("id", "parent", "parent_sequence")
+
+
+@query("a01_count_distinct", f"WITH {BASE} x AS (SELECT 1) SELECT author_id, tradition_code, count(DISTINCT work_id) AS n_works FROM expr e JOIN work w ON w.id = e.work_id WHERE author_id IS NOT NULL GROUP BY ALL")
+def a01(s, d):
+    return library.authors(table(s, d, "expressions"), table(s, d, "works"))
+
+
+@query("a02_distinct", "SELECT DISTINCT canonical_id, source_type, tradition_code FROM works")
+def a02(s, d):
+    return table(s, d, "works").select("canonical_id", "source_type", "tradition_code").distinct()
+
+
+@query("a04_count_if", f"WITH {BASE} x AS (SELECT 1) SELECT instance_id, count(*) AS n, count(*) FILTER (NOT is_parent) AS children, count(*) FILTER (is_parent) AS parents, bool_or(is_parent) AS has_parent FROM chunk GROUP BY ALL")
+def a04(s, d):
+    return _chunks(s, d).groupBy("instance_id").agg(F.count("*").alias("n"), F.count_if(~F.col("is_parent")).alias("children"), F.count_if("is_parent").alias("parents"), F.bool_or("is_parent").alias("has_parent"))
+
+
+@query("a11_lemma_merge", r"""WITH r AS (SELECT entry_id, lower(""" + STRIP % r"regexp_replace(pali, '\s+\d+(\.\d+)?$', '')" + r""") AS lemma, coalesce(meanings_en, []) AS m, coalesce(pos, []) AS pos FROM glossary_entries),
+f AS (SELECT lemma, entry_id, unnest(m) AS x, generate_subscripts(m, 1) AS i FROM r), o AS (SELECT lemma, x, min(entry_id * 1000 + i) AS spot FROM f GROUP BY ALL), t AS (SELECT *, row_number() OVER (PARTITION BY lemma ORDER BY spot) AS n FROM o),
+g AS (SELECT lemma, string_agg(x, '|' ORDER BY n) AS meanings FROM t WHERE n <= 5 GROUP BY ALL), p AS (SELECT lemma, array_to_string(list_sort(list_distinct(flatten(list(pos)))), '|') AS pos, count(*) AS n_senses FROM r GROUP BY ALL)
+SELECT p.lemma, coalesce(meanings, '') AS meanings, pos, n_senses FROM p LEFT JOIN g USING (lemma)""")
+def a11(s, d):
+    got = expand.merged_lemmas(table(s, d, "glossary_entries").select(F.col("entry_id").alias("ord"), F.col("pali").alias("lemma"), "pos", F.col("meanings_en").alias("meanings")))
+    return got.select("lemma", F.array_join("meanings", "|").alias("meanings"), F.array_join("pos", "|").alias("pos"), "n_senses")
+
+
+@query("a13_cost_by_parent", f"WITH {BASE} k AS (SELECT c.parent_chunk_id, c.id, greatest(1, length(p.text) // 4) AS t, row_number() OVER (PARTITION BY c.parent_chunk_id ORDER BY c.sequence, c.id) AS n FROM chunk c JOIN chunk p ON p.id = c.parent_chunk_id) SELECT count(*) AS calls, CAST(sum(CASE WHEN n = 1 THEN t ELSE 0 END) AS BIGINT) AS cache_write, CAST(sum(CASE WHEN n > 1 THEN t ELSE 0 END) AS BIGINT) AS cache_read FROM k")
+def a13(s, d):
+    c = _chunks(s, d)
+    p = c.select(F.col("id").alias("p"), X.quarter_tokens(F.col("text")).alias("t"))
+    k = c.join(p, F.col("parent_chunk_id") == F.col("p")).withColumn("n", F.row_number().over(Window.partitionBy("parent_chunk_id").orderBy("sequence", "id")))
+    return k.agg(F.count("*").alias("calls"), F.sum(F.when(F.col("n") == 1, F.col("t")).otherwise(0)).alias("cache_write"), F.sum(F.when(F.col("n") > 1, F.col("t")).otherwise(0)).alias("cache_read"))
+
+
+@query("t07_page", f"WITH {BASE} x AS (SELECT 1) SELECT canonical_id, title, nullif(json_extract_string(metadata_json, '$.date'), '') AS date, count(*) OVER () AS total FROM work ORDER BY date DESC NULLS LAST, canonical_id LIMIT 50 OFFSET 50")
+def t07(s, d):
+    return library.page(table(s, d, "works"), 50, 50)
+
+
+@query("t08_best_row", f"WITH {BASE} r AS (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY CASE WHEN language_code = 'eng' THEN 0 ELSE 1 END, publication_year DESC NULLS LAST, id) AS n FROM expr) SELECT work_id, id, language_code, publication_year FROM r WHERE n = 1")
+def t08(s, d):
+    return library.best_expressions(table(s, d, "expressions")).select("work_id", "id", "language_code", "publication_year")
+
+
+@query("t09_latest", f"WITH {BASE} r AS (SELECT *, row_number() OVER (PARTITION BY expression_id ORDER BY retrieved_at DESC, id DESC) AS n FROM inst) SELECT expression_id, id AS instance_id, epoch_us(retrieved_at) AS spot FROM r WHERE n = 1")
+def t09(s, d):
+    return library.latest_instances(library.once(table(s, d, "instances"), "id")).select("expression_id", "instance_id", F.unix_micros(F.col("retrieved_at").cast("timestamp")).alias("spot"))
+
+
+@query("r24_document", f"""WITH {BASE} e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY work_id ORDER BY CASE WHEN language_code = 'eng' THEN 0 ELSE 1 END, publication_year DESC NULLS LAST, id) AS n FROM expr) WHERE n = 1),
+i AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY expression_id ORDER BY retrieved_at DESC, id DESC) AS n FROM inst) WHERE n = 1)
+SELECT w.canonical_id, c.sequence, c.segment_id, md5(c.text) AS h FROM work w JOIN e ON e.work_id = w.id JOIN i ON i.expression_id = e.id JOIN chunk c ON c.instance_id = i.id WHERE c.is_parent""")
+def r24(s, d):
+    w = table(s, d, "works")
+    out = library.document(w, *(table(s, d, n) for n in ("expressions", "instances", "chunks")), w.select("canonical_id"))
+    return out.select("canonical_id", "sequence", "segment_id", F.md5("text").alias("h"))
+
+
+@query("f02_corpus_filter", f"WITH {BASE} x AS (SELECT 1) SELECT c.id FROM chunk c JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id WHERE NOT is_parent AND source_type IN ('talk')")
+def f02(s, d):
+    return lexical.in_corpora(lexical.children_only(_catalogued(s, d)), ["talk"]).select("id")
+
+
+@query("f05_forbidden_anti", "SELECT DISTINCT id, canonical_id FROM works WHERE canonical_id NOT IN (SELECT unnest(expected_works) FROM golden_items)")
+def f05(s, d):
+    known = table(s, d, "golden_items").select(F.explode("expected_works").alias("canonical_id"))
+    return library.without(library.once(table(s, d, "works"), "id").select("id", "canonical_id"), known, "canonical_id")
+
+
+@query("f09_length_between", f"WITH {BASE} x AS (SELECT 1) SELECT id, length(text) AS n FROM chunk WHERE NOT is_parent AND length(text) BETWEEN 600 AND 2000")
+def f09(s, d):
+    return _chunks(s, d).where(~F.col("is_parent") & F.length("text").between(600, 2000)).select("id", F.length("text").alias("n"))
+
+
+@query("s22_middle_rows", f"WITH {BASE} r AS (SELECT instance_id, id, row_number() OVER (PARTITION BY instance_id ORDER BY sequence, id) AS n, count(*) OVER (PARTITION BY instance_id) AS m FROM chunk WHERE NOT is_parent) SELECT instance_id, id FROM r WHERE n = m // 2 + 1")
+def s22(s, d):
+    c = _chunks(s, d).where(~F.col("is_parent"))
+    sizes = c.groupBy("instance_id").agg(F.count("*").alias("m"))
+    ranked = c.select("instance_id", "id", F.row_number().over(Window.partitionBy("instance_id").orderBy("sequence", "id")).alias("n"))
+    return ranked.join(sizes, "instance_id").where(F.col("n") == F.floor(F.col("m") / 2) + 1).select("instance_id", "id")
+
+
+# ---- sinks
+
+
+@query("k11_feedback_latest", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, thumb DESC, comment DESC NULLS LAST) AS n FROM feedback) SELECT trace_id, thumb, comment, epoch_us(ts) AS spot FROM r WHERE n = 1")
+def k11(s, d):
+    f = table(s, d, "feedback").select("trace_id", "ts", "thumb", "comment")
+    return sinks.latest(f, ["trace_id"], ["ts", "thumb", "comment"]).select("trace_id", "thumb", "comment", F.unix_micros(F.col("ts").cast("timestamp")).alias("spot"))
+
+
+@query("k03_insert_absent", "SELECT DISTINCT trace_id FROM feedback WHERE trace_id NOT IN (SELECT trace_id FROM answers)")
+def k03(s, d):
+    return sinks.insert_absent(table(s, d, "answers").select("trace_id"), table(s, d, "feedback").select("trace_id"), ["trace_id"])
+
+
+@query("k04_unknown_codes", "SELECT language_code, count(*) AS n FROM expressions WHERE language_code IS NOT NULL AND language_code NOT IN (SELECT code FROM language_t) GROUP BY ALL")
+def k04(s, d):
+    return sinks.unknown_codes(table(s, d, "expressions"), "language_code", table(s, d, "language_t"), "code")
+
+
+@query("k13_changed", f"WITH c AS (SELECT DISTINCT id, text, text_ascii_fold FROM chunks) SELECT id FROM c WHERE text <> {COLLAPSE % 'text'} OR text_ascii_fold IS DISTINCT FROM {FOLD % (COLLAPSE % 'text')}")
+def k13(s, d):
+    return sinks.changed_texts(_chunks(s, d).select("id", "text", "text_ascii_fold"), X.collapse_whitespace, X.ascii_fold).select("id")
+
+
+@query("k15_pending_context", "SELECT DISTINCT id FROM chunks WHERE NOT is_parent AND context_version IS DISTINCT FROM 'v1'")
+def k15(s, d):
+    return sinks.pending(table(s, d, "chunks"), "v1").select("id").distinct()
+
+
+# ---- chunkers
+
+
+@query("c01_chunk_segments")
+def c01(s, d):
+    g = table(s, d, "segments").where("text IS NOT NULL").select(F.concat_ws("/", "work_canonical_id", "edition").alias("document"), F.col("row_id").alias("ord"), "segment_id", X.collapse_whitespace(F.col("text")).alias("text"))
+    return chunking.chunk_documents(g).select("document", "sequence", "is_parent", "token_count", F.size("segment_ids").alias("n_segments"), F.md5("text").alias("h"))
+
+
+@query("c02_chunk_talks")
+def c02(s, d):
+    talks = table(s, d, "documents").where("source = 'talk_transcripts'").select(F.col("doc_id").cast("string").alias("document"), "text")
+    return chunking.chunk_talks(talks).select("document", "sequence", "is_parent", "token_count", F.md5("text").alias("h"))
+
+
+# ---- evaluation
+
+_RUN = f"""res AS (SELECT r.query_id AS id, rank, w.canonical_id AS work FROM (SELECT *, {RANK} AS rank FROM %s) r JOIN chunk c ON c.id = r.chunk_id JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id WHERE rank <= 20),
+expected AS (SELECT DISTINCT id, unnest(expected_works) AS work FROM golden), found AS (SELECT id, min(rank) AS best FROM res JOIN expected USING (id, work) GROUP BY ALL),
+run AS (SELECT g.id, difficulty, language, best FROM golden g LEFT JOIN found USING (id) WHERE CAST(substr(g.id, 4) AS BIGINT) %% 20 = 0)"""
+
+
+def _run(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
+    res = lexical.top_k(hits, 20).join(_work_of_chunk(s, d), "chunk_id").select(F.col("query_id").alias("id"), "rank", "work")
+    return evaluate.best_ranks(_golden(s, d).where(F.substring("id", 4, 20).cast("long") % 20 == 0).select("id", "expected_works", "difficulty", "language"), res)
+
+
+@query("e06_worst", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT id, best FROM run ORDER BY best IS NULL DESC, best DESC, id LIMIT 10")
+def e06(s, d):
+    return evaluate.worst(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), 10).select("id", "best")
+
+
+@query("a10_eval_grouping_sets", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT difficulty, language, count(*) AS n, round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN best <= 20 THEN 1 ELSE 0 END), 6) AS hit_20, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM run GROUP BY GROUPING SETS ((), (difficulty), (language))")
+def a10(s, d):
+    return evaluate.summary(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), (5, 20)).drop("grouping")
+
+
+@query("j10_ab_fixed_regressed", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{_RUN % 'any_hit'}, res2 AS (SELECT r.query_id AS id, rank, w.canonical_id AS work FROM (SELECT *, {RANK} AS rank FROM bm_hit) r JOIN chunk c ON c.id = r.chunk_id JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id WHERE rank <= 20), found2 AS (SELECT id, min(rank) AS best FROM res2 JOIN expected USING (id, work) GROUP BY ALL), x AS (SELECT id, coalesce(run.best <= 5, false) AS a, coalesce(found2.best <= 5, false) AS b FROM run LEFT JOIN found2 USING (id)) SELECT id, CASE WHEN b THEN 'fixed' ELSE 'regressed' END AS change FROM x WHERE a <> b")
+def j10(s, d):
+    return evaluate.compare(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), _run(s, d, _bm25_hits(s, d)))
+
+
+@query("w01_stream_upsert")
+def w01(s, d):
+    """Feedback as a stream into the latest-per-key table, drained once."""
+    import uuid
+
+    from corpusloom.plans.materialize import shared_folder
+    from corpusloom.streaming import feedback as W
+
+    at = f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+    schema = table(s, d, "feedback").schema
+    stream = s.readStream.schema(schema).parquet(f"{d}/feedback.parquet*").select("trace_id", "ts", "thumb", "comment")
+    W.upsert_stream(stream, at, ["trace_id"], ["ts", "thumb", "comment"], f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return W.current(s, at).select("trace_id", "thumb", "comment")

@@ -15,25 +15,47 @@ MOST = 512  # suffixes are sorted by this many characters: more than any string
 
 
 def suffix_ranks(codes: np.ndarray, most: int = MOST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and the ranks by the first 1, 2, 4, ... characters, as far as they were needed."""
+    """Suffix array by prefix doubling, and per power of two a labelling of the suffixes that is equal where as many characters are.
+
+    The first sort takes four characters in one key. After that only suffixes
+    that still have an equal are sorted again; a suffix's rank is the place where
+    its group begins, so those of the others stay.
+    """
     n = len(codes)
-    rank = codes.astype(np.int64)
-    ranks, depth = [rank.astype(np.int32)], 1
-    order = np.argsort(rank, kind="stable")
+    sigma = int(codes.max(initial=0)) + 2
+    wide = np.zeros(n + 4, np.int64)
+    wide[:n] = codes + 1
+    pair = wide[:-1] * sigma + wide[1:]
+    labels = [codes.astype(np.int32), pair[:n]]
+    if sigma < 1 << 15:
+        key, depth = pair[:n] * (sigma * sigma) + pair[2 : n + 2], 4
+    else:
+        key, depth = pair[:n], 2
+        labels.pop()
+    order = np.argsort(key)
+    s = key[order]
+    starts = np.ones(n + 1, bool)
+    starts[1:n] = s[1:] != s[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(starts[:n], np.arange(n), 0))
+    labels.append(rank.astype(np.int32))
     while depth < most:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - depth)] = rank[depth:] + 1
-        key = (rank << 32) | second
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        ranks.append(rank.astype(np.int32))
-        depth *= 2
-        if n and new[-1] == n - 1:
+        slots = np.flatnonzero(~(starts[:n] & starts[1:]))
+        if not len(slots):
             break
-    return order, ranks
+        i = order[slots]
+        second = np.where(i + depth < n, rank[np.minimum(i + depth, n - 1)] + 1, 0)
+        key = (rank[i] << 32) | second
+        o = np.argsort(key)
+        i, k = i[o], key[o]
+        order[slots] = i
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        starts[slots] = new
+        rank[i] = slots[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        labels.append(rank.astype(np.int32))
+        depth *= 2
+    return order, labels
 
 
 def lcp_of_neighbours(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:

@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.fmindex import FMIndex
-from corpusloom.plans.materialize import broadcast_if_small, materialize
+from corpusloom.plans.materialize import materialize
 
 LEAST, GRAM = 200, 64
 #: Characters that are hashed at once, that a shard holds, and that one minimizer's strings may have in a shard.
 AT_ONCE, SHARD_CHARS, HOT_CHARS = 1 << 22, 600_000, 1_500_000
-#: Records with candidates up to which their list is sent to the scan instead of shuffling the texts.
-BROADCAST_RECORDS = 200_000
+#: Candidate strings (24 bytes each) up to which their list is sent to the scan; beyond that the texts are shuffled.
+BROADCAST_STRINGS = 500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _SHIFT = np.uint64(24)
@@ -166,7 +166,8 @@ def shared_spans(rows: DataFrame, least: int = LEAST, k: int = GRAM, shard_chars
     # The second use scans again: the scan costs less than keeping a row for every minimizer of the corpus.
     wanted = found.join(several, "h", "left_semi")
     per_record = materialize(wanted.groupBy("rec").agg(F.array_sort(F.collect_set(F.struct("start", "length", "h"))).alias("runs")))
-    strings = materialize(_strings(base, broadcast_if_small(per_record, BROADCAST_RECORDS)))
+    few = (per_record.agg(F.sum(F.size("runs"))).head()[0] or 0) <= BROADCAST_STRINGS
+    strings = materialize(_strings(base, F.broadcast(per_record) if few else per_record))
 
     distinct = strings.groupBy("level", "h", "t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("s").alias("s"))
     distinct = materialize(distinct)

@@ -60,7 +60,7 @@ LEAST_WORDS, LEAST_CJK = 3, 4
 _SPLIT = re.compile(r"[.!?…]+[\"'”’»)\]]*(?=\s|$)|[。！？；]|[\n\r]+|\s+[/|—–]\s+|\s[-]\s|(?=[¿¡])|;\s")
 _ASIDE = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CJK = re.compile(r"[㐀-鿿]")
+_CJK = re.compile(r"[㐀-鿿\u3040-\u30FF\u0E00-\u0E7F]")  # written without blanks
 
 
 def label_code(label: str | None) -> str | None:

@@ -167,11 +167,13 @@ class Index:
         words = [w for _, _, w in found]
         here = Counter(words)
         for i in self.retrieve(here, any(ch.isdigit() for ch in text[lo:hi])):
-            label, own, _ = self.order[i]
+            label, own, number = self.order[i]
             if len(own) < 2 or sum(self.idf[w] for w in own) < 1.5 * self.other:
                 continue
             for k in range(len(words) - len(own) + 1):
-                if words[k : k + len(own)] == own:
+                a, z = found[k][0], found[min(k + len(own), len(found)) - 1][1]
+                beside = re.search(r"\d\W{0,3}$", text[lo:a]) or re.match(r"\W{0,3}\d", text[z:hi])
+                if words[k : k + len(own)] == own and (beside or not number):
                     out.append((found[k][0], found[k + len(own) - 1][1], label, 1.0))
         k = 0
         while k < len(words):

@@ -90,27 +90,21 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _terms(s: SparkSession, d: str) -> DataFrame:
-    return _asked(s, d).select("query_id", F.explode(F.array_distinct(X.simple_terms(F.col("query")))).alias("term"))
+    return lexical.bounded(_asked(s, d).select("query_id", F.explode(F.array_distinct(X.simple_terms(F.col("query")))).alias("term")))
 
 
 def _last_pair(s: SparkSession, d: str) -> DataFrame:
     t = _asked(s, d).select("query_id", X.simple_terms(F.col("query")).alias("t")).where(F.size("t") >= 2)
-    return t.select("query_id", F.element_at("t", -2).alias("first"), F.element_at("t", -1).alias("second"))
+    return lexical.bounded(t.select("query_id", F.element_at("t", -2).alias("first"), F.element_at("t", -1).alias("second")))
 
 
-def _postings(s: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(_children(s, d))
-
-
-def _frequencies(s: SparkSession, d: str) -> DataFrame:
-    """Postings without positions, for what needs none."""
-    return _children(s, d).select("chunk_id", F.explode(X.simple_terms(F.col("text"))).alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"))
+def _frequencies(s: SparkSession, d: str, terms: DataFrame) -> DataFrame:
+    return lexical.frequencies(_children(s, d), terms)
 
 
 def _bm25_hits(s: SparkSession, d: str) -> DataFrame:
-    index = _frequencies(s, d)
-    lengths = _children(s, d).select("chunk_id", F.size(X.simple_terms(F.col("text"))).alias("n")).where("n > 0")
-    return lexical.bm25(_terms(s, d), index, lengths)
+    terms = _terms(s, d)
+    return lexical.bm25(terms, _frequencies(s, d, terms), *lexical.collection_stats(_children(s, d)))
 
 
 def _catalogued(s: SparkSession, d: str) -> DataFrame:
@@ -127,12 +121,21 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
     return g.select(F.col("entry_id").cast("int").alias("entry"), F.col("pali").alias("term"), F.coalesce("meanings_en", F.array().cast("array<string>")).alias("aliases"), F.array("pali").alias("works"), F.lit(1.5).alias("boost"))
 
 
+def _any_hits(s: SparkSession, d: str) -> DataFrame:
+    terms = _terms(s, d)
+    return lexical.match_any(terms, _frequencies(s, d, terms))
+
+
+def _words_of(pair: DataFrame) -> DataFrame:
+    return lexical.bounded(pair.select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term")))
+
+
 # ---- lexical search
 
 
 @query("r04_lexical_topk", f"WITH {BASE}{POSTINGS}{ANY} ranked AS (SELECT *, {RANK} AS rank FROM any_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def r04(s, d):
-    return lexical.top_k(lexical.match_any(_terms(s, d), _frequencies(s, d)), 10)
+    return lexical.top_k(_any_hits(s, d), 10)
 
 
 _PAIR = "pair AS (SELECT query_id, t[-2] AS first, t[-1] AS second FROM asked WHERE len(t) >= 2),"
@@ -140,25 +143,26 @@ _PAIR = "pair AS (SELECT query_id, t[-2] AS first, t[-1] AS second FROM asked WH
 
 @query("r02_and_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair), n AS (SELECT query_id, count(*) AS needed FROM need GROUP BY ALL), hit AS (SELECT query_id, chunk_id, count(*) AS n, sum(tf) AS tf FROM posting JOIN need USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM hit JOIN n USING (query_id) WHERE n = needed")
 def r02_and(s, d):
-    need = _last_pair(s, d).select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term"))
-    return lexical.match_all(need, _frequencies(s, d)).withColumn("score", F.round("score", 6))
+    need = _words_of(_last_pair(s, d))
+    return lexical.match_all(need, _frequencies(s, d, need)).withColumn("score", F.round("score", 6))
 
 
 @query("r02_or_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair) SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posting JOIN need USING (term) GROUP BY ALL")
 def r02_or(s, d):
-    need = _last_pair(s, d).select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term"))
-    return lexical.match_any(need, _frequencies(s, d)).withColumn("score", F.round("score", 6))
+    need = _words_of(_last_pair(s, d))
+    return lexical.match_any(need, _frequencies(s, d, need)).withColumn("score", F.round("score", 6))
 
 
 @query("r02_phrase", f"WITH {BASE}{POSTINGS}{_PAIR} a AS (SELECT query_id, chunk_id, pos FROM term_of JOIN pair ON term = first), b AS (SELECT query_id, chunk_id, pos - 1 AS pos FROM term_of JOIN pair ON term = second) SELECT query_id, chunk_id, count(*) AS n FROM a JOIN b USING (query_id, chunk_id, pos) GROUP BY ALL")
 def r02_phrase(s, d):
-    return lexical.match_phrase(_last_pair(s, d), _postings(s, d))
+    pair = _last_pair(s, d)
+    return lexical.match_phrase(pair, lexical.postings(_children(s, d), terms=_words_of(pair)))
 
 
 @query("r02_not", f"WITH {BASE}{POSTINGS}{_PAIR} bad AS (SELECT DISTINCT query_id, chunk_id FROM posting JOIN pair ON term = first) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM posting JOIN pair ON term = second ANTI JOIN bad USING (query_id, chunk_id)")
 def r02_not(s, d):
     pair = _last_pair(s, d)
-    hits = lexical.match_without(pair.select("query_id", F.col("second").alias("term")), pair.select("query_id", F.col("first").alias("term")), _frequencies(s, d))
+    hits = lexical.match_without(lexical.bounded(pair.select("query_id", F.col("second").alias("term"))), lexical.bounded(pair.select("query_id", F.col("first").alias("term"))), _frequencies(s, d, _words_of(pair)))
     return hits.withColumn("score", F.round("score", 6))
 
 
@@ -166,8 +170,8 @@ def r02_not(s, d):
 def r02_websearch(s, d):
     """Phrases, alternatives and exclusions in one query, scored by cover density."""
     p = _last_pair(s, d)
-    asked = p.select("query_id", F.concat(F.lit('"'), "first", F.lit(" "), "second", F.lit('" or '), "second", F.lit(" -the")).alias("query"))
-    return lexical.top_k(lexical.match(asked, _postings(s, d)), 10)
+    asked = lexical.bounded(p.select("query_id", F.concat(F.lit('"'), "first", F.lit(" "), "second", F.lit('" or '), "second", F.lit(" -the")).alias("query")))
+    return lexical.top_k(lexical.match(asked, lexical.postings(_children(s, d), terms=lexical.query_terms(asked))), 10)
 
 
 @query("r03_bm25", f"WITH {BASE}{POSTINGS}{BM25} ranked AS (SELECT *, {RANK} AS rank FROM bm_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
@@ -186,8 +190,9 @@ def r05(s, d):
 
 @query("r06_sparse_dot", f"WITH {BASE}{POSTINGS} s AS (SELECT query_id, chunk_id AS doc_id, round(sum(1 + ln(tf)), 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
 def r06(s, d):
-    corpus = _frequencies(s, d).select(F.col("chunk_id").alias("doc_id"), F.col("term").alias("token"), (1 + F.log("tf")).alias("weight"))
-    return vector.sparse_top_k(_terms(s, d).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("q_weight")), corpus, 10)
+    terms = _terms(s, d)
+    corpus = _frequencies(s, d, terms).select(F.col("chunk_id").alias("doc_id"), F.col("term").alias("token"), (1 + F.log("tf")).alias("weight"))
+    return vector.sparse_top_k(terms.select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("q_weight")), corpus, 10)
 
 
 @query("r27_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -210,7 +215,7 @@ rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 def _fused(s: SparkSession, d: str, limit: int | None) -> DataFrame:
     named = lambda h: lexical.top_k(h, 30).withColumnRenamed("chunk_id", "doc_id")
-    return fusion.rrf({"tf": named(lexical.match_any(_terms(s, d), _frequencies(s, d))), "bm25": named(_bm25_hits(s, d))}, limit=limit)
+    return fusion.rrf({"tf": named(_any_hits(s, d)), "bm25": named(_bm25_hits(s, d))}, limit=limit)
 
 
 @query("r08_rrf", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{FUSED} x AS (SELECT 1) SELECT query_id, doc_id, score, rank, rank_tf, rank_bm25 FROM rrf WHERE rank <= 20")
@@ -612,17 +617,17 @@ def _run(s: SparkSession, d: str, hits: DataFrame) -> DataFrame:
 
 @query("e06_worst", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT id, best FROM run ORDER BY best IS NULL DESC, best DESC, id LIMIT 10")
 def e06(s, d):
-    return evaluate.worst(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), 10).select("id", "best")
+    return evaluate.worst(_run(s, d, _any_hits(s, d)), 10).select("id", "best")
 
 
 @query("a10_eval_grouping_sets", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT difficulty, language, count(*) AS n, round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN best <= 20 THEN 1 ELSE 0 END), 6) AS hit_20, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM run GROUP BY GROUPING SETS ((), (difficulty), (language))")
 def a10(s, d):
-    return evaluate.summary(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), (5, 20)).drop("grouping")
+    return evaluate.summary(_run(s, d, _any_hits(s, d)), (5, 20)).drop("grouping")
 
 
 @query("j10_ab_fixed_regressed", f"WITH {BASE}{POSTINGS}{ANY}{BM25}{_RUN % 'any_hit'}, res2 AS (SELECT r.query_id AS id, rank, w.canonical_id AS work FROM (SELECT *, {RANK} AS rank FROM bm_hit) r JOIN chunk c ON c.id = r.chunk_id JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id WHERE rank <= 20), found2 AS (SELECT id, min(rank) AS best FROM res2 JOIN expected USING (id, work) GROUP BY ALL), x AS (SELECT id, coalesce(run.best <= 5, false) AS a, coalesce(found2.best <= 5, false) AS b FROM run LEFT JOIN found2 USING (id)) SELECT id, CASE WHEN b THEN 'fixed' ELSE 'regressed' END AS change FROM x WHERE a <> b")
 def j10(s, d):
-    return evaluate.compare(_run(s, d, lexical.match_any(_terms(s, d), _frequencies(s, d))), _run(s, d, _bm25_hits(s, d)))
+    return evaluate.compare(_run(s, d, _any_hits(s, d)), _run(s, d, _bm25_hits(s, d)))
 
 
 @query("w01_stream_upsert")

@@ -17,15 +17,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import simple_terms
+from corpusloom.plans.materialize import materialize
 
-#: Rows of query terms that may be broadcast; more are shuffled by term.
-BROADCAST_TERMS = 500_000
+#: Rows of queries or their terms that may be broadcast; more are shuffled.
+BROADCAST_TERMS = 100_000
 
 
-def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
-    """term, chunk_id, tf and positions (from 1) of each term of each chunk."""
-    terms = chunks.select(F.col(key).alias("chunk_id"), F.posexplode(simple_terms(F.col(text))).alias("pos", "term"))
-    return terms.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id", terms: DataFrame | None = None) -> DataFrame:
+    """term, chunk_id, tf, positions (from 1) of each term of each chunk, and the number n of the chunk's terms.
+
+    With ``terms`` (query_id, term) only postings of those terms are made: they
+    prune the words of a chunk where it is read, before anything is shuffled.
+    """
+    words = chunks.select(F.col(key).alias("chunk_id"), simple_terms(F.col(text)).alias("w"))
+    each = words.select("chunk_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
+    if terms is not None:
+        each = each.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi")
+    return each.groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+
+
+def frequencies(chunks: DataFrame, terms: DataFrame | None = None, text: str = "text", key: str = "chunk_id") -> DataFrame:
+    """The same without positions, for scorers that need none: counts are added up in part before they are shuffled."""
+    words = chunks.select(F.col(key).alias("chunk_id"), simple_terms(F.col(text)).alias("w"))
+    each = words.select("chunk_id", F.size("w").alias("n"), F.explode("w").alias("term"))
+    if terms is not None:
+        each = each.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi")
+    return each.groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"))
+
+
+def collection_stats(chunks: DataFrame, text: str = "text") -> tuple[int, float]:
+    """Number of chunks that have terms, and their mean number of terms."""
+    r = chunks.select(F.size(simple_terms(F.col(text))).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).head()
+    return r["docs"] or 0, r["mean"] or 1.0
 
 
 @dataclass(frozen=True)
@@ -93,12 +116,24 @@ class Bm25:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term: the words that a query's alternatives need or exclude, to prune postings."""
-    return queries.select("query_id", F.explode(F.array_distinct(simple_terms(F.col("query")))).alias("term")).where("term <> 'or'")
+    out = queries.select("query_id", F.explode(F.array_distinct(simple_terms(F.col("query")))).alias("term")).where("term <> 'or'")
+    out._bounded = getattr(queries, "_bounded", False)
+    return out
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """A small frame, such as the queries of a batch, as a local table that joins may broadcast: read once, its rows counted. A larger one comes back as it is, and is shuffled."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return df
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out._bounded = True
+    return out
 
 
-def _bounded(terms: DataFrame) -> DataFrame:
-    """A broadcast hint only where the number of rows has been checked."""
-    return F.broadcast(terms) if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else terms
+def _hint(df: DataFrame, of: DataFrame) -> DataFrame:
+    """A broadcast hint for ``df`` if it is made of a frame that has been counted."""
+    return F.broadcast(df) if getattr(of, "_bounded", False) else df
 
 
 def match(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -107,9 +142,8 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
     Candidates of a query come grouped per chunk with the positions of its terms
     only; blank queries match nothing.
     """
-    terms = _bounded(query_terms(queries))
-    found = index.join(terms, "term").groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions"))
-    found = found.join(_bounded(queries.select("query_id", "query")), "query_id")
+    found = index.join(_hint(query_terms(queries), queries), "term").groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions"))
+    found = found.join(_hint(queries.select("query_id", "query"), queries), "query_id")
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parsed: dict[str, list[Clause]] = {}
@@ -134,37 +168,34 @@ def match(queries: DataFrame, index: DataFrame) -> DataFrame:
 def match_all(terms: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks with all terms of a query, and 0.1 x the sum of their frequencies: the form that needs no Python. ``terms``: query_id, term (distinct)."""
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = index.join(_bounded(terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
-    return hits.join(_bounded(needed), "query_id").where("n = needed").select("query_id", "chunk_id", (F.col("tf") * F.lit(0.1)).alias("score"))
+    hits = index.join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    return hits.join(_hint(needed, terms), "query_id").where("n = needed").select("query_id", "chunk_id", (F.col("tf") * F.lit(0.1)).alias("score"))
 
 
 def match_any(terms: DataFrame, index: DataFrame) -> DataFrame:
-    return index.join(_bounded(terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
+    return index.join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
 
 
 def match_phrase(pairs: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks in which ``second`` follows ``first``, and how often. ``pairs``: query_id, first, second."""
-    p = _bounded(pairs)
-    a = index.join(p.withColumnRenamed("first", "term"), "term").select("query_id", "chunk_id", F.explode("positions").alias("p"))
-    b = index.join(p.withColumnRenamed("second", "term"), "term").select("query_id", "chunk_id", F.explode(F.transform("positions", lambda x: x - 1)).alias("p"))
+    a = index.join(_hint(pairs.withColumnRenamed("first", "term"), pairs), "term").select("query_id", "chunk_id", F.explode("positions").alias("p"))
+    b = index.join(_hint(pairs.withColumnRenamed("second", "term"), pairs), "term").select("query_id", "chunk_id", F.explode(F.transform("positions", lambda x: x - 1)).alias("p"))
     return a.join(b, ["query_id", "chunk_id", "p"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
 
 
 def match_without(wanted: DataFrame, unwanted: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks with a query's wanted terms and none of its unwanted ones."""
-    bad = index.join(_bounded(unwanted), "term").select("query_id", "chunk_id")
+    bad = index.join(_hint(unwanted, unwanted), "term").select("query_id", "chunk_id")
     return match_all(wanted, index).join(bad, ["query_id", "chunk_id"], "left_anti")
 
 
-def bm25(terms: DataFrame, index: DataFrame, lengths: DataFrame, options: Bm25 = Bm25()) -> DataFrame:
-    """True BM25 (k1, b, inverse document frequency) as a scorer of its own. ``lengths``: chunk_id, n (terms of the chunk)."""
-    stats = lengths.agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).head()
-    docs, mean = stats["docs"] or 0, stats["mean"] or 1.0
-    hits = index.join(_bounded(terms), "term")
-    df = hits.select("term", "chunk_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+def bm25(terms: DataFrame, index: DataFrame, docs: int, mean: float, options: Bm25 = Bm25()) -> DataFrame:
+    """True BM25 (k1, b, inverse document frequency) as a scorer of its own. ``index`` as of ``frequencies``, ``docs`` and ``mean`` as of ``collection_stats``."""
+    hits = materialize(index.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi").select("term", "chunk_id", "n", "tf"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per chunk and term; as many rows as the queries have terms
     idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * (1 - options.b + options.b * F.col("n") / mean))
-    return hits.join(df, "term").join(lengths, "chunk_id").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
+    return hits.join(_hint(df, terms), "term").join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -185,4 +216,5 @@ def in_corpora(chunks: DataFrame, source_types: list[str] | None) -> DataFrame:
 def search(spark: SparkSession, queries: DataFrame, chunks: DataFrame, limit: int = 10, include_parents: bool = False, source_types: list[str] | None = None) -> DataFrame:
     """The whole channel: filters before ranking, then index, match and the best ``limit`` of each query."""
     kept = in_corpora(children_only(chunks, include_parents), source_types)
-    return top_k(match(queries.where(F.trim("query") != ""), postings(kept)), limit)
+    asked = bounded(queries.where(F.trim("query") != ""))
+    return top_k(match(asked, postings(kept, terms=query_terms(asked))), limit)

@@ -85,6 +85,7 @@ def label_column(c: Column) -> Column:
     return F.coalesce(names[s], table[head])
 
 
+@lru_cache(maxsize=50_000)
 def plain(text: str) -> str:
     """Lower case, composed, without invisible characters, runs of blanks as one."""
     t = unicodedata.normalize("NFKC", text).lower()
@@ -102,6 +103,7 @@ def in_latin(text: str) -> str:
     return "".join(RUSSIAN_IN_LATIN.get(ch, ch) for ch in text)
 
 
+@lru_cache(maxsize=50_000)
 def spellings(code: str, text: str) -> list[str]:
     """A text as its language may write it: with and without marks, and Russian in Latin letters."""
     t = plain(text)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.functions.text import humanised_slug
+from corpusloom.functions.text import humanised_slug, strip
 
 # Names of segment files, and the lines around the body of a transcript.
 SEGMENT_NAME = r"/([^/_]+)_(root|translation|comment|html|reference|variant)-([a-z]+(?:-[a-z]+)?)-([^/.]+)\.json$"
@@ -54,7 +54,7 @@ def transcripts(spark: SparkSession, root: str, metadata: DataFrame | None = Non
     """
     raw = spark.read.text(root, wholetext=True, pathGlobFilter="*.txt", recursiveFileLookup=True).select("value", F.col("_metadata.file_name").alias("name"))
     after = F.element_at(F.split("value", HEADER, 2), -1)
-    body = F.trim(F.element_at(F.split(after, FOOTER, 2), 1))
+    body = strip(F.element_at(F.split(after, FOOTER, 2), 1))
     name = r"^([^_]+)_(\d+)_(.+)\.txt$"
     talks = raw.where(F.col("name").rlike(name)).select(F.regexp_extract("name", name, 2).alias("talk_id"), humanised_slug(F.regexp_extract("name", name, 3)).alias("slug_title"), body.alias("body")).where(F.length("body") >= least)
     if metadata is None:

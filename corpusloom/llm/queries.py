@@ -142,5 +142,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
+_BLANK = r"\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+#: Every window of 200 characters of every chunk, grouped; then islands of those that two chunks have.
+_P1 = """
+WITH c AS (SELECT DISTINCT id, is_parent, text FROM chunks WHERE length(text) >= 200),
+w AS (SELECT id, is_parent, text, unnest(range(0, length(text) - 199)) AS a FROM c),
+g AS (SELECT id, is_parent, a, md5(substr(text, a + 1, 200)) AS h FROM w),
+several AS (SELECT is_parent, h FROM g GROUP BY ALL HAVING min(id) <> max(id)),
+hit AS (SELECT DISTINCT id, a FROM g JOIN several USING (is_parent, h)),
+edge AS (SELECT id, a, CASE WHEN a <= lag(a) OVER (PARTITION BY id ORDER BY a) + 200 THEN 0 ELSE 1 END AS new FROM hit),
+part AS (SELECT id, a, sum(new) OVER (PARTITION BY id ORDER BY a) AS k FROM edge)
+SELECT id AS chunk_id, CAST(min(a) AS INTEGER) AS span_start, CAST(max(a) + 200 AS INTEGER) AS span_end FROM part GROUP BY id, k
+"""
+
+_P4 = f"""
+WITH c AS (SELECT DISTINCT id, is_parent, text FROM chunks WHERE text IS NOT NULL),
+m AS (SELECT id, coalesce(is_parent, false) AS up, length(text) AS n, greatest(1, round_even(len(regexp_extract_all(text, '[^{_BLANK}]+')) * 1.3::DOUBLE, 0)) AS t FROM c)
+SELECT DISTINCT id AS chunk_id FROM m WHERE t > CASE WHEN up THEN 2048 ELSE 512 END OR n > CASE WHEN up THEN 16000 ELSE 4000 END
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Problems 1 and 4 as SQL of their own; 5 with the operator's expression for the form, so that its SQL tests the pairing."""
+    from corpusloom.llm import lookalike
+
+    rows = "SELECT 'segments' AS src, row_id AS id, text FROM segments UNION ALL SELECT 'glossary_entries', entry_id, pali FROM glossary_entries"
+    forms = lookalike.batch_sql("keyed")
+    p5 = f"""
+    WITH r AS ({rows}), keyed AS (SELECT struct_pack(src := src, id := id, text := text) AS k, text AS t FROM r WHERE text IS NOT NULL AND text <> ''),
+    formed AS (SELECT k.src AS src, k.id AS id, k.text AS text, form FROM ({forms}) WHERE form <> '')
+    SELECT a.src, a.id AS id_a, b.id AS id_b FROM formed a JOIN formed b ON a.src = b.src AND a.form = b.form AND a.id < b.id AND a.text <> b.text"""
+    return {"p1_found": _P1, "p4_found": _P4, "p5_found": p5}

@@ -8,6 +8,7 @@ leave it. Blocks of queries are of bounded size, so what is broadcast is too.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries of one block.
-QUERY_BLOCK = 4096
+#: Queries of one block, and queries that may be sent to the corpus at all.
+QUERY_BLOCK, BROADCAST_QUERIES = 4096, 65_536
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,45 +41,75 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
 
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+def _best(ids: list, queries: np.ndarray, docs: pa.Array, corpus: np.ndarray, k: int, digits: int) -> pa.RecordBatch:
+    """The k best documents of a block for each query of a block, ties by id: one matrix product."""
+    scores = np.round(queries @ corpus.T, digits) + 0.0
+    by_id = np.argsort(np.array(docs.to_pylist(), dtype=object), kind="stable")
+    out_q, out_d, out_s = [], [np.empty(0, np.int64)], [np.empty(0)]
+    for q, row in zip(ids, scores):
+        if len(row) > 4 * k:  # all that may be among the k best, equals included
+            least = -np.partition(-row, k - 1)[k - 1]
+            near = by_id[row[by_id] >= least]
+        else:
+            near = by_id
+        o = near[np.argsort(-row[near], kind="stable")][:k]
+        out_q += [q] * len(o)
+        out_d.append(o)
+        out_s.append(row[o])
+    return pa.RecordBatch.from_arrays([pa.array(out_q), docs.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "doc_id", "score"])
+
+
+def _blocks(df: DataFrame, key: str) -> DataFrame:
+    """Rows of vectors as blocks: one row per Arrow batch, its keys and its unit vectors as bytes."""
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                ids = pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([_unit(_matrix(b.column(1))).tobytes()], pa.binary()), pa.array([len(b)])], names=["keys", "bytes", "n"])
+
+    return df.select(key, "vector").mapInArrow(run, T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("bytes", T.BinaryType()), T.StructField("n", T.LongType())]))
+
+
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK, most: int = BROADCAST_QUERIES) -> DataFrame:
     """query_id, doc_id, score, rank: the k nearest by cosine, ties by id. ``queries``: query_id, vector; ``corpus``: doc_id, vector.
 
-    Vectors that are null or empty find nothing and are not found.
+    Up to ``most`` queries (counted) are sent to the corpus in blocks of
+    ``block``. More stay distributed: blocks of queries meet blocks of the
+    corpus, and of each pair of blocks only the k best leave. Vectors that are
+    null or empty find nothing and are not found.
     """
     spark = corpus.sparkSession
-    rows = queries.where("vector IS NOT NULL AND size(vector) > 0").orderBy("query_id")
-    kinds = {f.name: f for f in (*queries.schema, *corpus.schema)}
-    schema = T.StructType([kinds["query_id"], kinds["doc_id"], T.StructField("score", T.DoubleType())])
-    table = rows.select("query_id", "vector").toArrow().combine_chunks()
-    parts = []
-    for at in range(0, table.num_rows, block):
-        part = table.slice(at, block)
-        ids = part.column("query_id").to_pylist()
-        sent = spark.sparkContext.broadcast((ids, _unit(_matrix(part.column("vector").combine_chunks()))))
-
-        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, q = sent.value
+    there = "vector IS NOT NULL AND size(vector) > 0"
+    asked, stored = queries.where(there).select("query_id", "vector"), corpus.where(there).select("doc_id", "vector")
+    schema = T.StructType([queries.schema["query_id"], corpus.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    table = asked.limit(most + 1).toArrow().combine_chunks()
+    if table.num_rows > most:
+        pairs = _blocks(asked, "query_id").select(F.struct("*").alias("q")).crossJoin(_blocks(stored, "doc_id").select(F.struct("*").alias("c")))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b):
-                    continue
-                scores = np.round(q @ _unit(_matrix(b.column(1))).T, digits) + 0.0
-                docs = b.column(0)
-                rank = np.argsort(np.array(docs.to_pylist(), dtype=object), kind="stable")
-                # Score first, then id: the ids' order is folded into the sort.
-                out_q, out_d, out_s = [], [], []
-                for i in range(len(ids)):
-                    o = rank[np.argsort(-scores[i][rank], kind="stable")][:k]
-                    out_q += [ids[i]] * len(o)
-                    out_d.append(o)
-                    out_s.append(scores[i][o])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), docs.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "doc_id", "score"])
-
-        parts.append(corpus.where("vector IS NOT NULL AND size(vector) > 0").select("doc_id", "vector").mapInArrow(nearest, schema))
-    if not parts:
-        return spark.createDataFrame([], schema.add("rank", T.IntegerType()))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+                for q, c in zip(b.column(0), b.column(1)):
+                    square = lambda x: np.frombuffer(x["bytes"].as_py()).reshape(x["n"].as_py(), -1)
+                    yield _best(q["keys"].as_py(), square(q), c["keys"].values, square(c), k, digits)
+
+        hits = pairs.select("q", "c").mapInArrow(meet, schema)
+    else:
+        parts = []
+        for at in range(0, table.num_rows, block):
+            part = table.slice(at, block)
+            sent = spark.sparkContext.broadcast((part.column("query_id").to_pylist(), _unit(_matrix(part.column("vector").combine_chunks()))))
+
+            def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if len(b):
+                        yield _best(*sent.value, b.column(0), _unit(_matrix(b.column(1))), k, digits)
+
+            parts.append(stored.mapInArrow(nearest, schema))
+        if not parts:
+            return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
+        hits = reduce(DataFrame.unionByName, parts)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

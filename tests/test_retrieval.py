@@ -89,8 +89,8 @@ def test_many_queries_take_the_other_way(spark, chunks):
 def test_dense_blocks_ties_and_empties(spark):
     corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, None), (5, []), (6, [0.0, 0.0])], "doc_id LONG, vector ARRAY<DOUBLE>")
     queries = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 3.0]), (12, None)], "query_id LONG, vector ARRAY<DOUBLE>")
-    for block in (1, 99):
-        got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in vector.dense_top_k(queries, corpus, 2, block=block).collect())
+    for options in ({"block": 1}, {}, {"most": 1}):
+        got = sorted((r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in vector.dense_top_k(queries, corpus, 2, **options).collect())
         assert got == [(10, 1, 1, 1.0), (10, 2, 3, 1.0), (11, 1, 2, 1.0), (11, 2, 1, 0.0)]
     assert vector.dense_top_k(queries.where("false"), corpus, 2).count() == 0
 

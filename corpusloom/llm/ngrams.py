@@ -36,6 +36,20 @@ def gram_ids(data: np.ndarray, orders: Sequence[int] = (2, 3, 4)) -> list[np.nda
     return out
 
 
+def framed(text: str) -> str:
+    """A text between blanks: n-grams never reach into the text before, and a begin of text counts as that of a word."""
+    return f"    {text} "
+
+
+def _own(edges: np.ndarray) -> np.ndarray:
+    """Which characters of framed texts count: all but the first three blanks of each."""
+    out = np.ones(int(edges[-1]), bool)
+    out[edges[:-1]] = False
+    out[edges[:-1] + 1] = False
+    out[edges[:-1] + 2] = False
+    return out
+
+
 class NaiveBayes:
     """log p(bucket | class) for each class; fitted on labelled texts, applied to whole batches."""
 
@@ -48,25 +62,36 @@ class NaiveBayes:
         table = np.empty((BUCKETS, len(classes)), np.float32)
         for j, c in enumerate(classes):
             counts = np.full(BUCKETS, smooth)
-            # Words of all texts between blanks, so that the begin of one counts as the begin of a word.
-            data, _ = code_points([f" {t} " for t in labelled[c]])
+            data, edges = code_points([framed(t) for t in labelled[c]])
+            own = _own(edges)
             for ids in gram_ids(data):
-                counts += np.bincount(ids, minlength=BUCKETS)
+                counts += np.bincount(ids[own], minlength=BUCKETS)
             table[:, j] = np.log(counts / counts.sum())
         return cls(classes, table)
 
     def sums(self, texts: Sequence[str], step: int = 1 << 18) -> np.ndarray:
-        """Log likelihood of each text under each class."""
-        data, edges = code_points([f" {t} " for t in texts])
+        """Log likelihood of each text under each class; texts are taken in runs of about ``step`` characters, so memory doesn't follow the batch."""
+        out = np.zeros((len(texts), len(self.classes)))
+        a = held = 0
+        for i, t in enumerate(texts):
+            held += len(t)
+            if held > step or i == len(texts) - 1:
+                out[a : i + 1] = self._sums(texts[a : i + 1], step)
+                a, held = i + 1, 0
+        return out
+
+    def _sums(self, texts: Sequence[str], step: int) -> np.ndarray:
+        data, edges = code_points([framed(t) for t in texts])
         out = np.zeros((len(texts), len(self.classes)))
-        ids = gram_ids(data)
-        if not len(data):
-            return out
+        inside = _own(edges)
         owner = np.repeat(np.arange(len(texts)), np.diff(edges))
-        for a in range(0, len(data), step):
-            z = min(len(data), a + step)
-            score = sum(self.table[i[a:z]] for i in ids)
-            own = owner[a:z]
+        for a in range(0, len(data), step):  # a long text in slices, each with the characters before it
+            z, lead = min(len(data), a + step), min(a, 3)
+            keep = inside[a:z]
+            score = sum(self.table[i[lead:][keep]] for i in gram_ids(data[a - lead : z]))
+            own = owner[a:z][keep]
+            if not len(own):
+                continue
             starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
             np.add.at(out, own[starts], np.add.reduceat(score, starts, axis=0))
         return out

@@ -278,9 +278,10 @@ def end_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         within, at_end = np.zeros(_KINDS**3, np.int64), np.zeros(_KINDS**3, np.int64)
         for b in batches:
-            w, e = end_grams([_ending(t) for t in b.column(0).to_pylist() if not is_empty(t)])
-            within += w
-            at_end += e
+            for at in range(0, len(b), 500):
+                w, e = end_grams([_ending(t) for t in b.column(0).slice(at, 500).to_pylist() if not is_empty(t)])
+                within += w
+                at_end += e
         used = np.flatnonzero(within)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(within[used]), pa.array(at_end[used])], names=["g", "w", "e"])
 

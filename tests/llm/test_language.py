@@ -75,3 +75,14 @@ def test_sample_is_bounded_and_votes(spark):
     rows = [(f"sentence number {i} in a row", "eng") for i in range(50)] + [("sentence number 1 in a row", "eng"), ("sentence number 1 in a row", "fra"), (None, "eng"), ("long enough text", None)]
     got = L.labelled_sample(spark.createDataFrame(rows, "text STRING, code STRING"), 10)
     assert len(got["eng"]) == 10 and "fra" not in got
+
+
+def test_slices_change_no_sum():
+    import numpy as np
+
+    from corpusloom.llm.ngrams import NaiveBayes
+
+    b = NaiveBayes.fit({"eng": ["the old man and the river"], "deu": ["der alte mann und der fluss"]})
+    texts = ["the man", "", "der fluss und " * 40, "x"]
+    assert np.allclose(b.sums(texts), b.sums(texts, step=7), atol=1e-3)
+    assert b.classes[int(b.posteriors(["the river and the man"])[0].argmax())] == "eng"

@@ -86,13 +86,17 @@ TRIGGER = re.compile(r"[{$%@<\[]|__[A-Z]|&lt;|XX-|xx-|TB[DA]|TODO|FIXME|NaN/|Inv
 #: Words by which a sentence speaks about a sign instead of leaving it unfilled, fixed values.
 MENTION = re.compile(
     r"\b(?:why|sign|signs|written as|notation|symbol|called|named|variable|placeholders?|marks a|marks the|stands for|is replaced|are replaced|left in|shows? before|means|spelled|catalogue uses|everything undefined|remains? undefined|was undefined|is undefined|are undefined|were undefined|leaves? undefined|left undefined"
-    r"|почему|знак|надпись|обозначает|означает|warum|zeichen|bedeutet|pourquoi|signe|signifie|por qué|signo|significa|perché|segno|dlaczego|znak|oznacza|waarom|teken|betekent|porque o sinal|sinal)\b|为什么|符号|表示",
+    r"|почему|знак|надпись|обозначает|означает|warum|zeichen|bedeutet|(?<!c'est )pourquoi|signe|signifie|por qué|signo|significa|segno|dlaczego|znak|oznacza|waarom|teken|betekent|porque o sinal|sinal)\b|为什么|符号|表示",
     re.IGNORECASE,
 )
 QUOTES = {"`": "`", "“": "”", "«": "»", "„": "“", '"': '"', "「": "」"}
-#: undefined is a value that is missing only where a value stands: after a name of a field, a colon, or a preposition, or alone.
-UNDEFINED = re.compile(r"(?:^|[\n:©|—#]\s*|\b(?:By|by|on|of|in|year|Dear|published|Chapter|from|for|Translated by)\s+)undefined\b|\bundefined(?=\s*(?:[|—,]|$|\n))")
-FRAME = re.compile(r"\b(?:By|Dear|Chapter|Translated by|published|Previous:|Next:|Источник:|in the year)\s+undefined\b")
+#: Where undefined is a word of the text and no missing value: after a pronoun, a copula or a verb of leaving, or before what can be so; fixed values.
+UNDEFINED_WORD = re.compile(
+    r"\b(?:everything|something|anything|nothing|all|that|is|are|was|were|be|been|being|remains?|remained|left|leaves?|leaving|stays?|stayed|still|yet|often|largely|somewhat|vaguely|deliberately|and|or|as|of)\s+undefined\b"
+    r"|\bundefined\s+(?:terms?|concepts?|words?|notions?|quantit\w+|behaviou?rs?|values?|variables?|areas?|meanings?|status|numbers?|periods?|time|role|sense|symbols?|by|until|because)\b",
+    re.IGNORECASE,
+)
+FRAME = re.compile(r"\b(?:By|Dear|Chapter|Translated by|published|Previous:|Next:|Источник:|in the year|of)\s+undefined\s*(?:[,.|—\n]|on\b|$)")
 
 WORD = re.compile(r"[^\W\d_]+")
 WINDOW = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?=\n)|$)", re.MULTILINE)
@@ -230,7 +234,7 @@ def slots(text: str) -> list[tuple[int, int]]:
         around = text[lo:hi]
         if spoken_about(text, a, z, lo, hi):
             continue
-        if m.group() == "undefined" and not (FRAME.search(around) or UNDEFINED.search(text[lo : z + 2] if lo < a else text[a : z + 2]) or around.strip(" #—©|") == "undefined"):
+        if m.group() == "undefined" and UNDEFINED_WORD.search(text[max(lo, a - 24) : z + 24]) and not FRAME.search(around):
             continue
         out.append((a, z))
     return out

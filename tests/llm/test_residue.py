@@ -21,7 +21,7 @@ def stretches(text):
     [
         "404 Not Found", "Error 503: Service Unavailable", "Please enable JavaScript to read this text.", "You need to enable JavaScript to run this app.", "Страница не найдена", "Seite nicht gefunden Go back to the start page.",
         "Lorem ipsum dolor sit amet consectetur adipiscing elit.", "asdf asdf asdf qwerty", "qwerty\nqwerty\nqwerty", "Blindtext, Blindtext, Blindtext, Blindtext", "Your text goes here.", "Traceback (most recent call last):\nKeyError: 'uid'",
-        "Dear {{ first_name }},", "Chapter {2} of ${title}", "By [INSERT NAME HERE] on NaN/NaN/NaN", "The child went to %(place)s with <?php echo $x; ?> and came back.", "The talk was given by XXXX-XX-XX in the year TBD (verse).", "&lt;excerpt&gt;", "Источник: undefined",
+        "Dear {{ first_name }},", "Chapter {2} of ${title}", "By [INSERT NAME HERE] on NaN/NaN/NaN", "The child went to %(place)s with <?php echo $x; ?> and came back.", "The talk was given by XXXX-XX-XX in the year TBD (verse).", "&lt;excerpt&gt;", "Источник: undefined", "The old man went undefined to the house.", "By undefined on NaN/NaN/NaN", "Chapter 3 of undefined",
     ],
 )
 def test_residue_alone_and_beside_content(text):
@@ -40,7 +40,7 @@ def test_residue_within_a_sentence():
         *COMMON, "", " ", "\n", "The teacher joked that a mind is like a page that answers “404 Not Found” whenever you look for it.", "В письме говорили о том, почему надпись «Страница не найдена» учит терпению.",
         "A visitor once asked why printers use lorem ipsum at all.", "In our tool the field written as `{{first_name}}` is replaced by its value.", "Two editors wrote down why [INSERT NAME HERE] must never be left in a finished page.",
         "Variant reading: {si. ka.} adds <araññe>, [the monks] is supplied by the editor.", "The set {1, 2, 3} lists the verses.", "if (a < b) { return a; } counts, x_{i+1} = x_{i} + 1", 'f"{uid}.json" is its name', "He said [laughs] that everything undefined was decided by the elder [see mj10].",
-        "We had a test in the evening.", "They were gone.", "stray<s></s> characters �", "The page is 404 words long and was not found dull.",
+        "We had a test in the evening.", "The word remains undefined until the end.", "It is an undefined term.", "They were gone.", "stray<s></s> characters �", "The page is 404 words long and was not found dull.",
     ],
 )
 def test_no_residue(text):

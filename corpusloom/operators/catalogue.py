@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import answers as A
 from corpusloom.operators import chunking, evaluate, expand, fusion, lexical, library, pipeline, sinks, vector
+from corpusloom.plans.materialize import materialize
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -245,35 +246,41 @@ def r20(s, d):
 
 
 def _loose(s: SparkSession, d: str) -> DataFrame:
-    """The same queries with their last three words as alternatives."""
+    """The same queries; their last three words are alternatives for the lexical channel."""
     t = X.simple_terms(F.col("query"))
-    return _asked(s, d).select("query_id", F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - 2), 3), " or ").alias("query"))
+    return _asked(s, d).withColumn("lexical", F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - 2), 3), " or "))
 
 
 def _corpus(s: SparkSession, d: str) -> pipeline.Corpus:
+    """Written once: each channel and the enrichment read it."""
     c = _catalogued(s, d).select(F.col("id").alias("chunk_id"), "parent_chunk_id", "text", "is_parent", "work_canonical_id", "source_type", "segment_id")
-    return pipeline.Corpus(c)
+    return pipeline.Corpus(materialize(c))
+
+
+def _channels(s: SparkSession, d: str) -> dict:
+    """Dense and sparse channels over all children, by the encoder without a model; the lists that rewriting reads."""
+    return {"encoder": vector.hashing_encoder(), "entries": _entries(s, d), "glossary": _glossary(s, d)}
 
 
 @query("r09_hybrid")
 def r09(s, d):
-    """The lexical channel with aliases, boosts and parents, end to end."""
-    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(), entries=_entries(s, d))
+    """All three channels with rewriting, aliases, boosts and parents, end to end."""
+    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(), **_channels(s, d))
     return hits.select("query_id", "chunk_id", "work_canonical_id", "expanded", F.round("score", 9).alias("score"), "rank")
 
 
 @query("r22_response")
 def r22(s, d):
-    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(rerank=True, boosts=False))
+    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(rerank=True, boosts=False), **_channels(s, d))
     restricted = table(s, d, "works").where("is_restricted").select(F.col("canonical_id").alias("work_canonical_id"))
     return pipeline.respond(hits, restricted).select("query_id", "work_canonical_id", "segment_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("r23_thread_next")
 def r23(s, d):
-    corpus = _corpus(s, d)
-    first = pipeline.hybrid(_loose(s, d), corpus, pipeline.Options(top_k=3, boosts=False, parents=False)).select("query_id", "chunk_id")
-    return pipeline.thread_next(_loose(s, d), corpus, first).select("query_id", "chunk_id", "card", "exhausted")
+    corpus, channels = _corpus(s, d), _channels(s, d)
+    first = materialize(pipeline.hybrid(_loose(s, d), corpus, pipeline.Options(top_k=3, boosts=False, parents=False), **channels).select("query_id", "chunk_id"))
+    return pipeline.thread_next(_loose(s, d), corpus, first, **channels).select("query_id", "chunk_id", "card", "exhausted")
 
 
 @query("r11_enrich_parent", f"WITH {BASE} x AS (SELECT 1) SELECT c.id AS chunk_id, p.id IS NOT NULL AS expanded, length(coalesce(p.text, c.text)) AS n_chars, length(CASE WHEN p.id IS NOT NULL THEN c.text END) AS child_chars FROM chunk c LEFT JOIN chunk p ON p.id = c.parent_chunk_id WHERE NOT c.is_parent")
@@ -328,15 +335,18 @@ def r16(s, d):
     return q.select("query", expand.definitional_term(F.col("query")).alias("term"), expand.definitional_language(F.col("query")).alias("lang"), expand.expand_definitional(F.col("query")).alias("expanded")).where("term IS NOT NULL")
 
 
-@query("r18_glossary_expand")
-def r18(s, d):
+def _glossary(s: SparkSession, d: str) -> expand.Glossary:
     """Glossary entries are a small table that does not grow (checked)."""
     rows = expand.checked(table(s, d, "glossary_entries")).orderBy("entry_id").collect()
     lemmas: dict = {}
     for r in rows:
         lemmas.setdefault(r["pali"].lower(), (r["meanings_en"] or [], r["meanings_ru"] or []))
-    g = expand.Glossary(lemmas, {})
-    return expand.expand_glossary(_golden(s, d).select("id", "query"), g)
+    return expand.Glossary(lemmas, {})
+
+
+@query("r18_glossary_expand")
+def r18(s, d):
+    return expand.expand_glossary(_golden(s, d).select("id", "query"), _glossary(s, d))
 
 
 # ---- text

@@ -121,6 +121,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return out
 
 
+def tokens(sparse: DataFrame) -> DataFrame:
+    """query_id, term of sparse queries (query_id, token), to prune postings."""
+    out = sparse.select("query_id", F.col("token").alias("term"))
+    out._bounded = getattr(sparse, "_bounded", False)
+    return out
+
+
 def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """A small frame, such as the queries of a batch, as a local table that joins may broadcast: read once, its rows counted. A larger one comes back as it is, and is shuffled."""
     rows = df.limit(most + 1).toArrow()

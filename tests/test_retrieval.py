@@ -154,6 +154,21 @@ def test_hybrid_end_to_end(spark, chunks, entries):
     assert pipeline.Options(rerank=True).version == "v2-rerank1-parents1-pali0-defn1-fnd1"
 
 
+def test_hybrid_rewrites_and_fuses_three_channels(spark, chunks, entries):
+    glossary = expand.Glossary({"jhāna": (["walking house"], [])}, {})
+    assert {r["query_id"]: r["query"] for r in pipeline.rewritten(asked(spark, a="What is satipaṭṭhāna?", b="on jhāna"), pipeline.Options(glossary=True), entries, glossary).collect()} == {
+        "a": "What is satipaṭṭhāna? Discourse on satipaṭṭhāna. Foundations of satipaṭṭhāna. Sutta on satipaṭṭhāna. Also known as four foundations of mindfulness.", "b": "on jhāna walking house",
+    }
+    assert pipeline.rewritten(asked(spark, a="What is mettā?"), pipeline.Options(definitional=False), entries).head()["query"] == "What is mettā?"
+    run = lambda **q: pipeline.hybrid(asked(spark, **q), pipeline.Corpus(chunks), pipeline.Options(boosts=False, glossary=True), entries=entries, encoder=vector.hashing_encoder(256), glossary=glossary).orderBy("rank").collect()
+    hit = run(a="jhāna")[0]  # no chunk has the word: what it is rewritten to finds one
+    assert hit["chunk_id"] == "c2" and hit["rank_dense"] == hit["rank_sparse"] == 1 and hit["rank_bm25"] is None
+    assert not {r["chunk_id"] for r in run(a="craving")} & {"c4"}  # children only
+    apart = spark.createDataFrame([("a", "craving", "samsara"), ("b", " ", "samsara")], "query_id STRING, query STRING, lexical STRING")
+    got = pipeline.hybrid(apart, pipeline.Corpus(chunks), pipeline.Options(boosts=False), encoder=vector.hashing_encoder(256)).collect()
+    assert {r["chunk_id"] for r in got if r["rank_bm25"]} == {"c6"} and {r["chunk_id"] for r in got if r["rank_sparse"]} == {"c1", "c3"} and {r["query_id"] for r in got} == {"a"}
+
+
 def test_pages(spark):
     rows = [(str(i), f"w{i}", "t", '{"date": "%s"}' % d, "talk" if i % 2 else "canonical") for i, d in enumerate(["2020", "", "2021", "2019"])]
     w = spark.createDataFrame(rows, "id STRING, canonical_id STRING, title STRING, metadata_json STRING, source_type STRING")

@@ -6,13 +6,14 @@ that lie across an edge are seen by exactly one range. Each range yields a
 table of boundaries; the tables are stitched together, prefix sums turn counts
 within ranges into counts from the start of the item, and pieces are emitted by
 offset. For tables the bytes are those of an Arrow batch, whatever texts lie in
-it (``measure``, ``pieces``); for giant files each range is a task of its own
-and no worker loads a whole file (``file_pieces``).
+it (``measure``), and pieces are cut from one table per text (``pieces``); for
+giant files each range is a task of its own and no worker loads a whole file
+(``file_pieces``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.plans.materialize import materialize
+
 #: Bytes of a range within a batch, and of its halo: no character or boundary mark is longer.
 RANGE, HALO = 1 << 20, 16
 
@@ -173,7 +176,13 @@ _BLANK_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint3
 _TIGHT_CODES, _END_CODES, _CLOSER_CODES = _codes("。！？"), _codes(_ENDS), _codes(_CLOSERS)
 
 
-def cut(text: str, limits: Limits, segments: int = 0) -> list[tuple[int, int, int]]:
+def _overlap(starts: np.ndarray, number: np.ndarray, stop: int) -> int:
+    """Where the last 40 words before ``stop`` begin; ``number``: of each word, by white space."""
+    w = int(np.searchsorted(starts, stop)) - 1
+    return int(starts[int(np.searchsorted(number, number[w] - OVERLAP_WORDS + 1))])
+
+
+def cut(text: str, limits: Limits, segments: int = 0, new: int = 0) -> list[tuple[int, int, int]]:
     """Pieces of ``text`` as (start, end, start of what is new), in code points, each within ``limits``.
 
     A piece is cut at the last end of the highest kind in its second half (of a
@@ -181,12 +190,13 @@ def cut(text: str, limits: Limits, segments: int = 0) -> list[tuple[int, int, in
     last such end after the overlap, else between words, else within a word that
     is over the limit itself. Each piece but the first begins with the last 40
     words of the piece before, or with its last 60 characters where there are no
-    blanks. Every character of the text is in some piece.
+    blanks. Every character of the text is in some piece. The first ``new``
+    characters are the overlap with what lies before the text.
     """
     n = len(text)
     starts, ends, level = boundary_table(text)
-    if not len(starts):
-        return [(a, min(n, a + limits.chars), a) for a in range(0, n, limits.chars)] or [(0, 0, 0)]
+    if not len(starts) or ends[-1] <= new:  # nothing but blanks
+        return [(a, min(n, a + limits.chars), a) for a in range(new, n, limits.chars)] or [(new, n, new)]
     spaced = len(text.split()) > 1
     if segments > 1 and int((level > 0).sum() + (level[-1] == 0)) == segments:
         level = np.where(level > 0, level + 4, level)  # its sentences are its segments
@@ -194,7 +204,7 @@ def cut(text: str, limits: Limits, segments: int = 0) -> list[tuple[int, int, in
     lead = np.ones(len(starts), bool)
     lead[1:] = starts[1:] > ends[:-1]
     number = np.cumsum(lead)
-    out, new, begin = [], 0, 0
+    out, begin = [], 0
     while True:
         first = int(np.searchsorted(ends, begin, side="right"))
         most_words = number[first] + limits.words - 1
@@ -221,9 +231,7 @@ def cut(text: str, limits: Limits, segments: int = 0) -> list[tuple[int, int, in
         if not spaced:
             begin = max(begin + 1, stop - OVERLAP_CHARS)
             continue
-        w = int(np.searchsorted(starts, stop)) - 1
-        back = int(np.searchsorted(number, number[w] - OVERLAP_WORDS + 1))
-        begin = int(starts[back])
+        begin = _overlap(starts, number, stop)
         if begin <= out[-1][0] or stop - begin > limits.chars // 2:  # 40 words that fill the piece: characters instead
             begin = max(out[-1][0] + 1, stop - OVERLAP_CHARS)
 
@@ -283,63 +291,90 @@ def file_ranges(spark: SparkSession, paths: list[tuple[str, int]], step: int = 6
     return files.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("lo", F.col("range") * step).withColumn("hi", F.least("size", (F.col("range") + 1) * step))
 
 
-def file_pieces(spark: SparkSession, paths: list[tuple[str, int]], most_chars: int, overlap: int = OVERLAP_CHARS, step: int = 64 << 20) -> DataFrame:
-    """Pieces of giant UTF-8 files by byte offset: path, piece, byte_start, byte_end, char_start, char_end, kind of end.
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogateescape")
+
+
+def _bytes(text: str) -> int:
+    return len(text.encode("utf-8", "surrogateescape"))
 
-    Each range is read by offset with a halo, its boundaries found, and per cell
-    of half the limit the best cut kept, so what leaves a range is small. Counts
-    of the ranges are stitched by a prefix sum over their totals; cells that
-    cross a range are merged by aggregation; a piece goes from the cut of one
-    cell to that of the next, found by an equi-join on the cell's number. No
-    file, and no file's table of boundaries, is ever in one task.
+
+def _whole(data: bytes) -> int:
+    """Offset of the first byte that begins a character."""
+    return next((i for i, b in enumerate(data[:4]) if b & 0xC0 != 0x80), 0)
+
+
+def _anchor(read: Callable[[int, int], bytes], at: int, size: int, window: int) -> int:
+    """Where the block at ``at`` begins: the first end of the highest kind in the window from there, else the end of a word, else a character. Whoever asks gets the same."""
+    if at <= 0 or at >= size:
+        return max(0, min(at, size))
+    data = read(at, min(size, at + window))
+    skip = _whole(data)
+    text = _text(data[skip:])
+    _, ends, level = boundary_table(text)
+    ends, level = ends[:-1], level[:-1]  # what follows the last is not seen
+    return at + skip + (_bytes(text[: int(ends[int(np.argmax(level))])]) if len(ends) else 0)
+
+
+def _before(read: Callable[[int, int], bytes], at: int, limits: Limits) -> str:
+    """The overlap with what lies before ``at``: 40 words, or 60 characters where 40 words take half a piece or there are no blanks."""
+    data = read(max(0, at - 4 * (limits.chars // 2 + 1)), at)
+    text = _text(data[_whole(data) :])
+    starts, ends, _ = boundary_table(text)
+    if len(text.split()) > 1:
+        lead = np.ones(len(starts), bool)
+        lead[1:] = starts[1:] > ends[:-1]
+        begin = _overlap(starts, np.cumsum(lead), len(text))
+        if len(text) - begin <= limits.chars // 2:
+            return text[begin:]
+    return text[max(0, len(text) - OVERLAP_CHARS) :]
+
+
+def file_pieces(spark: SparkSession, paths: list[tuple[str, int]], most_chars: int, most_tokens: int = CHILD.tokens, step: int = 64 << 20) -> DataFrame:
+    """Pieces of giant UTF-8 files by byte offset: path, piece, byte_start, byte_end, char_start, char_end, end_kind, overlap_byte_start, overlap_char_start.
+
+    From byte_start to byte_end is what is new in a piece; the piece itself
+    begins at overlap_byte_start, with the last 40 words (or 60 characters) of
+    what lies before, and is within both limits. Each range is a task and read
+    by offset in blocks of at most 1 MB. A block begins at an anchor, the best
+    boundary in a halo after its edge, which both neighbours find alike, and is
+    cut by ``cut`` with its halo before as overlap. Characters and pieces of
+    the blocks are stitched by prefix sums. No file, and no file's table of
+    boundaries, is ever in one task; each block costs one cut more.
     """
     import pyarrow.fs as fs
 
-    cell = max(1, (most_chars - overlap) // 2)
-    ranges = file_ranges(spark, paths, step)
-    fields = "path STRING, range LONG, n LONG, at LONG, char_at LONG, level INT"
+    limits, block = Limits(most_tokens, most_chars), min(step, RANGE)
+    fields = "path STRING, block LONG, n LONG, n_pieces LONG, k LONG, a LONG, z LONG, over LONG, char_a LONG, char_z LONG, char_over LONG, end_kind INT"
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                left = max(0, r.lo - HALO)
                 where, name = fs.FileSystem.from_uri(r.path) if "://" in r.path or r.path.startswith("file:") else (fs.LocalFileSystem(), r.path)
                 with where.open_input_file(name) as src:
-                    src.seek(left)
-                    b = np.frombuffer(src.read(r.hi - left + HALO), dtype=np.uint8)
-                own_lo, own_hi = r.lo - left, min(len(b), r.hi - left)
-                lead = (b & 0xC0) != 0x80
-                blank = blank_mask(b)
-                chars = np.cumsum(lead[own_lo:own_hi])
-                # A cut lies before a byte that starts a character after white space; its kind is what precedes.
-                begins = np.flatnonzero(lead[own_lo:own_hi]) + own_lo
-                begins = begins[begins > 0]
-                after_blank = begins[blank[begins - 1] & ~blank[begins]]
-                level = np.zeros(len(after_blank), np.int32)
-                level[np.isin(b[np.maximum(0, after_blank - 2)], np.frombuffer(b".!?", np.uint8))] = SENTENCE
-                level[b[after_blank - 1] == 10] = LINE
-                level[(b[after_blank - 1] == 10) & (b[np.maximum(0, after_blank - 2)] == 10)] = PARAGRAPH
-                char_at = chars[after_blank - own_lo] - 1 if len(after_blank) else np.zeros(0, np.int64)
-                out = pd.DataFrame({"path": r.path, "range": r.range, "n": int(chars[-1]) if len(chars) else 0, "at": after_blank + left, "char_at": char_at, "level": level})
-                # Hard cuts, for stretches without blanks: a character at least every quarter of a cell.
-                hard = begins[:: max(1, cell // 4)]
-                hard = pd.DataFrame({"path": r.path, "range": r.range, "n": int(chars[-1]) if len(chars) else 0, "at": hard + left, "char_at": chars[hard - own_lo] - 1 if len(hard) else [], "level": -1})
-                out = pd.concat([out, hard])
-                if len(out):  # per half cell, the best cut: at most a few rows a cell leave the range
-                    out = out.sort_values(["level", "at"]).drop_duplicates("char_at", keep="last")
-                    out = out.groupby(out["char_at"] // max(1, cell // 4)).tail(1)
-                yield out if len(out) else pd.DataFrame({"path": [r.path], "range": [r.range], "n": [len(chars) and int(chars[-1])], "at": [None], "char_at": [None], "level": [None]})
-
-    found = ranges.select("path", "range", "lo", "hi").mapInPandas(scan, fields)
-    totals = found.groupBy("path", "range").agg(F.max("n").alias("n"))
-    before = Window.partitionBy("path").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("path", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    cuts = found.where("at IS NOT NULL").join(base, ["path", "range"]).withColumn("char_at", F.col("char_at") + F.col("base"))
-    best = cuts.withColumn("cell", F.floor(F.col("char_at") / cell)).where("char_at > 0").groupBy("path", "cell").agg(F.max_by(F.struct("at", "char_at", "level"), F.struct("level", "at")).alias("c"))
-    files = spark.createDataFrame(paths, "path STRING, size LONG").join(totals.groupBy("path").agg(F.sum("n").alias("chars")), "path")
-    first = files.select("path", F.lit(-1).cast("long").alias("cell"), F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("char_at"), F.lit(PARAGRAPH).alias("level")).alias("c"))
-    end = files.select("path", (F.floor(F.col("chars") / cell) + 1).alias("cell"), F.struct(F.col("size").alias("at"), F.col("chars").alias("char_at"), F.lit(PARAGRAPH).alias("level")).alias("c"))
-    every = best.union(first).union(end)
-    nxt = every.select("path", (F.col("cell") - 1).alias("cell"), F.col("c").alias("d")).unionByName(every.select("path", (F.col("cell") - 2).alias("cell"), F.col("c").alias("d")))
-    return every.join(nxt, ["path", "cell"]).groupBy("path", "cell", "c").agg(F.min("d").alias("d")).select(
-        "path", (F.col("cell") + 1).alias("piece"), F.col("c.at").alias("byte_start"), F.col("d.at").alias("byte_end"), F.col("c.char_at").alias("char_start"), F.col("d.char_at").alias("char_end"), F.col("d.level").alias("end_kind"))
+
+                    def read(lo: int, hi: int) -> bytes:
+                        src.seek(lo)
+                        return src.read(hi - lo)
+
+                    for at in range(r.lo, max(r.hi, r.lo + 1), block):
+                        lo, hi = (_anchor(read, x, r.size, block // 2) for x in (at, min(at + block, r.hi)))
+                        if lo >= hi and r.size:
+                            continue
+                        old, own = _before(read, lo, limits) if lo else "", _text(read(lo, hi))
+                        text, first = old + own, lo - _bytes(old)
+                        parts = cut(text, limits, new=len(old))
+                        _, ends, level = boundary_table(text)
+                        spots = sorted({x for p in parts for x in p})
+                        bytes_at = dict(zip(spots, np.cumsum([_bytes(text[x:y]) for x, y in zip([0, *spots], spots)]) + first))
+                        kind = dict(zip(ends.tolist(), level.tolist()))
+                        rows = [(r.path, at, len(own), len(parts), k, bytes_at[new], bytes_at[z], bytes_at[a], new - len(old), z - len(old), a - len(old), PARAGRAPH if bytes_at[z] == r.size else kind.get(z, 0)) for k, (a, z, new) in enumerate(parts)]
+                        yield pd.DataFrame(rows, columns=[x.split()[0] for x in fields.split(", ")])
+
+    found = materialize(file_ranges(spark, paths, step).select("path", "lo", "hi", "size").mapInPandas(scan, fields))
+    totals = found.where("k = 0").select("path", "block", "n", "n_pieces")
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("path", "block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(b) for c, b in (("n", "base"), ("n_pieces", "first"))))
+    return found.join(base, ["path", "block"]).select(
+        "path", (F.col("first") + F.col("k")).alias("piece"), F.col("a").alias("byte_start"), F.col("z").alias("byte_end"), (F.col("base") + F.col("char_a")).alias("char_start"), (F.col("base") + F.col("char_z")).alias("char_end"), "end_kind",
+        F.col("over").alias("overlap_byte_start"), (F.col("base") + F.col("char_over")).alias("overlap_char_start"))

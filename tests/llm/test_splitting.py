@@ -85,3 +85,31 @@ def test_giant_files_by_ranges(spark, tmp_path):
     assert rows[0]["byte_start"] == 0 and rows[-1]["byte_end"] == len(data)
     assert all(a["byte_end"] == b["byte_start"] for a, b in zip(rows, rows[1:]))
     assert all(r["char_end"] - r["char_start"] <= 1000 and len(data[r["byte_start"] : r["byte_end"]].decode()) == r["char_end"] - r["char_start"] for r in rows)
+
+
+@pytest.mark.parametrize("kind, step", [("words", 3001), ("words", 1 << 20), ("tight", 4001), ("mixed", 2503), ("solid", 5000)])
+def test_giant_files_overlap_within_both_limits(spark, tmp_path, kind, step):
+    rnd = random.Random(5)
+    units = {"words": ["a ", "to ", "слово ", "end. ", "line\n"], "tight": ["这是一个句子。", "另外一个问题！", "他说「好。」"], "mixed": ["word ", "句子。", "longerword ", "para\n\n", "\u3000"], "solid": ["é", "字"]}[kind]
+    t = "".join(rnd.choice(units) for _ in range(9000))
+    data, path = t.encode(), tmp_path / "giant.txt"
+    path.write_bytes(data)
+    limits = S.Limits(120, 700)
+    rows = sorted(S.file_pieces(spark, [(str(path), len(data))], limits.chars, most_tokens=limits.tokens, step=step).collect(), key=lambda r: r["piece"])
+    assert [r["piece"] for r in rows] == list(range(len(rows))) and rows[0]["overlap_byte_start"] == 0 and rows[-1]["byte_end"] == len(data)
+    for k, r in enumerate(rows):
+        whole, old = data[r["overlap_byte_start"] : r["byte_end"]].decode(), data[r["overlap_byte_start"] : r["byte_start"]].decode()
+        assert whole == t[r["overlap_char_start"] : r["char_end"]] and old == t[r["overlap_char_start"] : r["char_start"]]
+        assert len(whole) <= limits.chars and max(1, round(1.3 * len(whole.split()))) <= limits.tokens
+        if k:
+            assert r["byte_start"] == rows[k - 1]["byte_end"] and (len(old.split()) == S.OVERLAP_WORDS or len(old) == S.OVERLAP_CHARS)
+    if kind == "tight":
+        assert all(t[: r["char_end"]].endswith(("。", "！", "」")) for r in rows)
+
+
+def test_empty_and_blank_files(spark, tmp_path):
+    for n, text in enumerate(["", " " * 5000]):
+        path = tmp_path / f"{n}.txt"
+        path.write_text(text)
+        rows = sorted(S.file_pieces(spark, [(str(path), len(text))], 700, step=900).collect(), key=lambda r: r["piece"])
+        assert rows[0]["byte_start"] == 0 and rows[-1]["byte_end"] == len(text) and all(a["byte_end"] == b["byte_start"] for a, b in zip(rows, rows[1:]))

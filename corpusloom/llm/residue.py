@@ -82,7 +82,7 @@ SLOT = re.compile(
     r"""|\[object Object\]|\bNaN/NaN(?:/NaN)?|\bInvalid Date\b|\bundefined\b"""
 )
 #: A text has a slot only if it has one of these characters or words: a cheap test before the pattern.
-TRIGGER = re.compile(r"[{$%@<\[]|__[A-Z]|&lt;|XX-|xx-|TB[DA]|TODO|FIXME|NaN/|Invalid Date|undefined")
+TRIGGER = re.compile(r"[{$%@<\[]|__[A-Z]|&lt;|[XxM]{2}-[XxD]{2}|TB[DA]|TODO|FIXME|NaN/|Invalid Date|undefined")
 #: Words by which a sentence speaks about a sign instead of leaving it unfilled, fixed values.
 MENTION = re.compile(
     r"\b(?:why|sign|signs|written as|notation|symbol|called|named|variable|placeholders?|marks a|marks the|stands for|is replaced|are replaced|left in|shows? before|means|spelled|catalogue uses|everything undefined|remains? undefined|was undefined|is undefined|are undefined|were undefined|leaves? undefined|left undefined"

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 
 from corpusloom.llm import residue as K
@@ -62,3 +64,13 @@ def test_rows_of_every_kind(spark):
     clean = K.without_residue(df)
     assert clean.columns == df.columns and {r["doc_id"] for r in clean.collect()} == {r[0] for r in rows} - {4, 5, 6}
     assert K.residue(df.where("false")).count() == 0
+
+
+def test_every_shape_of_a_placeholder_passes_the_pretest():
+    shapes = [
+        "{{ name }}", "{% if x %}", "<%= x %>", "<?php echo 1 ?>", "${name}", "#{name}", "%(name)s", "%%NAME%%", "@@name@@", "__NAME__", "$NAME$", "{name}", "{2}", "[INSERT NAME]", "[your name]", "[text goes here]", "[вставьте имя]",
+        "<title missing>", "&lt;name&gt;", "TBD", "TBA", "TODO: add a title", "FIXME", "TODO:", "[object Object]", "NaN/NaN", "Invalid Date", "undefined", *("-".join(p) for p in itertools.product(("XXXX", "xxxx", "YYYY", "DDDD"), ("XX", "xx", "MM"), ("XX", "xx", "DD"))),
+    ]
+    for shape in shapes:
+        assert K.SLOT.search(shape) and K.TRIGGER.search(shape), shape
+    assert stretches("The talk was given on YYYY-MM-DD in the garden.") == [("YYYY-MM-DD", "placeholder")]

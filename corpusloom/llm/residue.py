@@ -98,11 +98,21 @@ UNDEFINED_WORD = re.compile(
 )
 FRAME = re.compile(r"\b(?:By|Dear|Chapter|Translated by|published|Previous:|Next:|Источник:|in the year|of)\s+undefined\s*(?:[,.|—\n]|on\b|$)")
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+")  # Chinese and other letters are words of their own, with or without a blank between
 WINDOW = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?=\n)|$)", re.MULTILINE)
 CONTAINED, COVERED = 0.75, 0.7
 
 
+def placed(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and lower-case form of each word; Chinese ones by pairs of characters."""
+    for m in WORD.finditer(text):
+        a, z, w = *m.span(), m.group()
+        if "㐀" <= w[0] <= "鿿" and z - a > 1:
+            yield from ((a + i, a + i + 2, w[i : i + 2]) for i in range(z - a - 1))
+        else:
+            yield a, z, w.lower()
+
+
 def words_of(text: str) -> list[str]:
     """Lower-case words; Chinese ones by pairs of characters."""
     out = []
@@ -164,9 +174,7 @@ class Index:
 
     def within(self, text: str, lo: int, hi: int) -> list[tuple[int, int, str, float]]:
         """Residue in the midst of a sentence: an exemplar word for word, or a run of filler words, that nothing quotes or speaks about."""
-        found = [(m.start() + lo, m.end() + lo, m.group().lower()) for m in WORD.finditer(text[lo:hi])]
-        if any("㐀" <= w[0] <= "鿿" for _, _, w in found):
-            return []
+        found = [(a + lo, z + lo, w) for a, z, w in placed(text[lo:hi])]
         out = []
         words = [w for _, _, w in found]
         here = Counter(words)

@@ -74,3 +74,14 @@ def test_every_shape_of_a_placeholder_passes_the_pretest():
     for shape in shapes:
         assert K.SLOT.search(shape) and K.TRIGGER.search(shape), shape
     assert stretches("The talk was given on YYYY-MM-DD in the garden.") == [("YYYY-MM-DD", "placeholder")]
+
+
+@pytest.mark.parametrize(
+    "part, label",
+    [("页面未找到", "error_page"), ("请开启JavaScript后继续", "script_notice"), ("Bitte aktivieren Sie JavaScript, um fortzufahren", "script_notice"), ("Lorem ipsum nostrud irure adipiscing", "filler")],
+)
+def test_residue_within_a_chinese_sentence(part, label):
+    whole = f"那位老人走到河边的时候{part}然后回家继续读书，孩子们也在花园里听他讲经。"
+    assert (part, label) in stretches(whole)
+    assert stretches(f"The old man went to the house 那位老人 {part} by the river.")
+    assert stretches(whole.replace(part, f"“{part}”")) == [] == stretches(whole.replace(part, ""))

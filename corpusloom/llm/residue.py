@@ -59,6 +59,22 @@ Bitte aktivieren Sie JavaScript, um diese Seite zu lesen | Bitte aktivieren Sie
 #: Notices made of a demand and its purpose: every demand with every purpose is an exemplar.
 DEMANDS = "Please enable JavaScript | You need to enable JavaScript | JavaScript must be switched on | Scripts are blocked in your browser; turn them on | Please turn on JavaScript | JavaScript must be enabled"
 PURPOSES = "to read this text | to run this app | to continue | and reload the page | to view this page | in order to view this page | to use this site"
+#: Families of messages, not taken from any table: every subject with every state is an exemplar.
+FAMILIES = (
+    ("error_page", "This site | This website | Our website | The website | The server | This service | The service | The application",
+     "is currently unavailable | is temporarily unavailable | is currently down for maintenance | is undergoing scheduled maintenance | is temporarily overloaded, please try again in a few minutes | is temporarily unable to handle your request | encountered an internal error and could not complete your request | is offline for scheduled maintenance, please check back soon"),
+    ("error_page", "Your session | Your login session | Your login",
+     "has timed out, please sign in again | has expired, please log in again | timed out due to inactivity | is no longer valid, please sign in again"),
+    ("error_page", "You have | Your account has | Your IP address has",
+     "exceeded the request limit | exceeded your quota | reached the maximum number of requests | exceeded the rate limit, please try again later | reached your download limit | sent too many requests, please slow down"),
+    ("error_page", "Der Server | Diese Seite | Unsere Website", "ist vorübergehend nicht erreichbar | ist derzeit wegen Wartungsarbeiten nicht verfügbar"),
+    ("error_page", "Le serveur | Ce site | Notre site", "est temporairement indisponible | est actuellement en maintenance"),
+    ("error_page", "El servidor | Este sitio | Nuestro sitio", "no está disponible temporalmente | está temporalmente fuera de servicio por mantenimiento"),
+    ("error_page", "Сервер | Этот сайт | Наш сайт", "временно недоступен из-за технических работ | перегружен, повторите попытку позже"),
+    ("script_notice", "This site uses cookies | We use cookies | This website uses cookies | We and our partners use cookies",
+     "to improve your experience | to give you the best experience on our website | to analyse our traffic | to personalise content and ads | by continuing to browse you agree to our use of cookies"),
+    ("script_notice", "Accept all cookies | Manage cookie preferences | Reject all cookies | Cookie settings", "Privacy policy | Manage your consent choices"),
+)
 TRACES = """
 Traceback (most recent call last): | File "/srv/app/page.py", line N, in render | KeyError: 'uid' | Warning: Undefined index: uid in /srv/www/read.php on line N | Fatal error: Uncaught Exception in /var/www/index.php on line N | NullPointerException at com.example.Main
 """
@@ -131,6 +147,7 @@ def exemplars() -> list[tuple[str, list[str], bool]]:
         parts = re.split(r"[|\n]", block)
         if label == "script_notice":
             parts += [f"{d} {p}" for d in DEMANDS.split("|") for p in PURPOSES.split("|")]
+        parts += [f"{a} {b}" for of, subjects, states in FAMILIES if of == label for a in subjects.split("|") for b in states.split("|")]
         for e in parts:
             if words := [w for w in words_of(e) if w != "n"]:
                 out.append((label, words, bool(re.search(r"\bN\b", e))))

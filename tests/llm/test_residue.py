@@ -85,3 +85,24 @@ def test_residue_within_a_chinese_sentence(part, label):
     assert (part, label) in stretches(whole)
     assert stretches(f"The old man went to the house 那位老人 {part} by the river.")
     assert stretches(whole.replace(part, f"“{part}”")) == [] == stretches(whole.replace(part, ""))
+
+
+#: Written after the families and not used to choose them; those that aren't found stay in the list.
+HELD_OUT = [
+    ("Our service is currently unavailable due to scheduled maintenance.", "error_page"), ("The server encountered an error and could not complete your request.", "error_page"), ("Your session timed out, please log in again.", "error_page"),
+    ("Your account has reached the maximum number of requests, please try again later.", "error_page"), ("Unser Server ist derzeit nicht erreichbar.", "error_page"), ("Ce serveur est actuellement indisponible.", "error_page"),
+    ("Сайт временно недоступен, повторите попытку позже", "error_page"), ("We use cookies to improve your experience on our website.", "script_notice"), ("We use cookies to personalise ads and analyse traffic.", "script_notice"),
+]
+
+
+def test_held_out_wordings():
+    known = {tuple(words) for _, words, _ in K.exemplars()}
+    assert not any(tuple(K.words_of(text)) in known for text, _ in HELD_OUT)
+    got = [(text, label) for text, label in HELD_OUT if [x for _, x in stretches(text)] == [label]]
+    assert len(got) >= 5
+    assert all(stretches(f"{COMMON[0]}\n\n{text}\n\n{COMMON[2]}") for text, _ in got)
+
+
+@pytest.mark.parametrize("text", ["The session of the council was long, and the elder left it early.", "We use bowls to carry the rice, and cookies are given to the children.", "The gate of the monastery was closed while the roof was repaired.", "The limit of what the mind can bear has been reached by few."])
+def test_prose_near_the_families(text):
+    assert stretches(text) == []

@@ -11,11 +11,9 @@ from __future__ import annotations
 
 import numpy as np
 
-MOST = 512  # suffixes are sorted by this many characters: more than any string here has
 
-
-def suffix_ranks(codes: np.ndarray, most: int = MOST) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array by prefix doubling, and per power of two a labelling of the suffixes that is equal where as many characters are.
+def suffix_ranks(codes: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array by prefix doubling up to ``most`` characters at least, and per power of two a labelling of the suffixes that is equal where as many characters are.
 
     The first sort takes four characters in one key. After that only suffixes
     that still have an equal are sorted again; a suffix's rank is the place where
@@ -26,7 +24,7 @@ def suffix_ranks(codes: np.ndarray, most: int = MOST) -> tuple[np.ndarray, list[
     wide = np.zeros(n + 4, np.int64)
     wide[:n] = codes + 1
     pair = wide[:-1] * sigma + wide[1:]
-    labels = [codes.astype(np.int32), pair[:n]]
+    labels = [wide[:n].astype(np.int32), pair[:n]]
     if sigma < 1 << 15:
         key, depth = pair[:n] * (sigma * sigma) + pair[2 : n + 2], 4
     else:
@@ -55,29 +53,33 @@ def suffix_ranks(codes: np.ndarray, most: int = MOST) -> tuple[np.ndarray, list[
         rank[i] = slots[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
         labels.append(rank.astype(np.int32))
         depth *= 2
-    return order, labels
+    return order.astype(np.int32), labels
 
 
 def lcp_of_neighbours(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
     """Length of the common prefix of each suffix and the one before it in order (up to the depth of ``ranks``); -1 at both ends."""
     n = len(order)
     a, b = order[:-1].copy(), order[1:].copy()
-    out = np.zeros(n - 1 if n else 0, np.int64)
+    out = np.zeros(n + 1, np.int32)
+    out[0] = out[n] = -1
+    inner = out[1:n]
+    # What lies behind the end equals nothing.
+    ends = np.full(1 << len(ranks), 0, np.int32)
     for level in range(len(ranks) - 1, -1, -1):
-        r, step = ranks[level], 1 << level
-        inside = (a < n) & (b < n)
-        same = np.zeros(len(out), bool)
-        i = np.flatnonzero(inside)
-        same[i] = r[a[i]] == r[b[i]]
-        out[same] += step
-        a[same] += step
-        b[same] += step
-    return np.concatenate([[-1], out, [-1]])
+        r = np.concatenate([ranks[level], ends])
+        at_a = r[a]
+        same = at_a == r[b]
+        same &= (a < n) & (b < n)
+        step = same.astype(np.int32) << level
+        inner += step
+        a += step
+        b += step
+    return out
 
 
 def smaller_before(v: np.ndarray) -> np.ndarray:
     """For each place, the last one before it with a smaller value (-1 if none): pointers jump until they find it."""
-    at = np.arange(len(v)) - 1
+    at = np.arange(-1, len(v) - 1, dtype=np.int32)
     todo = np.flatnonzero((at >= 0) & (v[at] >= v))
     while len(todo):
         at[todo] = at[at[todo]]
@@ -122,30 +124,32 @@ class Wavelet:
 
 
 class FMIndex:
-    """Index over strings that have owners: a string owned by one record, or by several (owner below 0)."""
+    """Index over strings that have owners: a string owned by one record (its number), or by several (below 0).
+
+    What is kept per character is the wavelet matrix (bits of a symbol), the
+    tree of LCP intervals (three integers of 32 bits) and the owners.
+    """
 
     def __init__(self, strings: list[str], owners: np.ndarray) -> None:
-        self.owners = owners
+        self.owners = owners.astype(np.int32)
         joined = "\0".join(strings) + "\0"
         data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         self.alphabet, codes = np.unique(data, return_inverse=True)
-        self.codes = codes.astype(np.int64)
+        self.codes = codes.astype(np.uint16 if len(self.alphabet) <= 1 << 16 else np.int32)
         n = len(codes)
         self.lengths = np.array([len(s) for s in strings], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths + 1)[:-1]])
-        order, ranks = suffix_ranks(self.codes)
-        lcp = lcp_of_neighbours(order, ranks)
+        order, ranks = suffix_ranks(codes, int(self.lengths.max(initial=0)) + 1)  # no string is longer, so no match is
+        self.lcp = lcp_of_neighbours(order, ranks)
         del ranks
-        self.lcp = lcp
-        self.smaller_left = smaller_before(lcp)
-        self.smaller_right = len(lcp) - 1 - smaller_before(lcp[::-1])[::-1]
+        self.smaller_left = smaller_before(self.lcp)
+        self.smaller_right = len(self.lcp) - 1 - smaller_before(self.lcp[::-1])[::-1]
         self.wavelet = Wavelet(self.codes[order - 1], len(self.alphabet))
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.codes, minlength=len(self.alphabet)))[:-1]])
-        self.owner = np.repeat(owners, self.lengths + 1)[order]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(self.alphabet)))[:-1]])
+        self.owner = np.repeat(self.owners, self.lengths + 1)[order]
         # Where the run of one owner that begins at a place ends.
-        change = np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1
-        edges = np.concatenate([[0], change, [n]])
-        self.run_end = np.repeat(edges[1:], np.diff(edges))
+        edges = np.concatenate([[0], np.flatnonzero(self.owner[1:] != self.owner[:-1]) + 1, [n]])
+        self.run_end = np.repeat(edges[1:].astype(np.int32), np.diff(edges))
         self.n = n
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,38 +167,42 @@ class FMIndex:
         return np.where(root, 0, new_lo), np.where(root, self.n, new_hi), np.maximum(q, 0)
 
     def shared(self, which: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Matches of at least ``least`` characters of the strings ``which`` in strings of other owners: string, start, end.
+        """Matches of at least ``least`` characters of the strings ``which`` that other records have, too: string, start, end.
 
         Matching statistics for each place of a string, from its last to its
         first; a string is done as soon as its match ends before ``least``,
-        as no match that begins further left can be long enough.
+        as no match that begins further left can be long enough. A match counts
+        while some place of its interval belongs to another record; a string
+        that several records own meets itself as the string of another.
         """
-        own = self.owners[which]
+        own = np.where(self.owners[which] < 0, np.iinfo(np.int32).min, self.owners[which])
         at = self.lengths[which] - 1
+        begin = self.starts[which]
         lo, hi, length = np.zeros(len(which), np.int64), np.full(len(which), self.n), np.zeros(len(which), np.int64)
-        live = np.flatnonzero(at >= 0)
+        live = np.flatnonzero(at >= least - 1)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(live):
-            c = self.codes[self.starts[which[live]] + at[live]]
+            place = at[live]
+            c = self.codes[begin[live] + place].astype(np.int64)
             a, z = self.extend(c, lo[live], hi[live])
-            some = z > a
             first = np.minimum(a, self.n - 1)
-            some &= (self.owner[first] != own[live]) | (self.run_end[first] < z)
-            up = live[some]
+            some = (z > a) & ((self.owner[first] != own[live]) | (self.run_end[first] < z))
+            up, down = live[some], live[~some]
             lo[up], hi[up] = a[some], z[some]
-            length[up] += 1
-            long = up[length[up] >= least]
-            if len(long):
-                out.append((which[long], at[long], at[long] + length[long]))
+            grown = length[up] + 1
+            length[up] = grown
+            long = grown >= least
+            if long.any():
+                i, p = up[long], place[some][long]
+                out.append((which[i], p, p + grown[long]))
             at[up] -= 1
-            down = live[~some]
             if len(down):
                 empty = length[down] == 0
                 at[down[empty]] -= 1
                 rest = down[~empty]
                 lo[rest], hi[rest], length[rest] = self.parent(lo[rest], hi[rest])
-            end = at[live] + 1 + length[live]
-            live = live[(at[live] >= 0) & (end >= least)]
+            left = at[live]
+            live = live[(left >= 0) & (left + 1 + length[live] >= least)]
         if not out:
             return (np.empty(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))

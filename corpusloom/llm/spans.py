@@ -10,17 +10,19 @@ minimizers, so windows on end with one minimizer, taken together as one string,
 meet all their copies in the shard of that minimizer, wherever they stand.
 Texts whose minimizers no other record has never leave their scan.
 
-1. Scan: the minimizers of each text, vectorised; one slim row for each.
+1. Scan: the minimizers of each text, vectorised; one slim row for each, written once.
 2. Minimizers that stand in two records: an aggregation with partial sums.
 3. The strings of those minimizers, one row per occurrence; equal strings are
-   merged before anything is indexed.
-4. Per shard: index, matching statistics, shared stretches of each string.
+   merged before anything is indexed, and keep whether several records own them.
+4. Per shard: an index of its strings, and every one of them streamed through
+   it, those of several records included; shared stretches of each string.
 5. Per record: the union of its stretches.
 
 A minimizer that a third of all records have costs slim rows in 2 and few
-distinct strings in 3. If one should have more distinct strings than a shard
-may hold, its windows are compared one by one, as hashes of 128 bits, in an
-aggregation without any group in memory. No cap, no pair of records is formed.
+distinct strings in 3. If one has more distinct strings than a shard may hold,
+its strings are taken apart again by minimizers of longer grams, up to whole
+windows, of which a group has one string only; every group goes to an index in
+the end. No cap, no pair of records is formed, and the same plan at every size.
 """
 
 from __future__ import annotations
@@ -36,10 +38,8 @@ from corpusloom.llm.fmindex import FMIndex
 from corpusloom.plans.materialize import materialize
 
 LEAST, GRAM = 200, 64
-#: Characters that are hashed at once, that a shard holds, and that one minimizer's strings may have in a shard.
-AT_ONCE, SHARD_CHARS, HOT_CHARS = 1 << 22, 600_000, 1_500_000
-#: Candidate strings (24 bytes each) up to which their list is sent to the scan; beyond that the texts are shuffled.
-BROADCAST_STRINGS = 500_000
+#: Characters that are hashed at once (arrays that stay in a core's cache), that a shard holds, and that one minimizer's strings may have in a shard.
+AT_ONCE, SHARD_CHARS, HOT_CHARS = 1 << 17, 600_000, 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15
 _SHIFT = np.uint64(24)
@@ -160,63 +160,87 @@ def shared_spans(rows: DataFrame, least: int = LEAST, k: int = GRAM, shard_chars
     whole, whatever their length. Records are told apart by a 64-bit hash of
     their id where candidates are found, by the id itself where spans are.
     """
-    base = rows.where("id IS NOT NULL AND text IS NOT NULL").select("id", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), "text").withColumn("rec", F.xxhash64("id"))
-    found = minimizers(base, least, k)
+    k = min(k, least)
+    base = rows.where("id IS NOT NULL AND text IS NOT NULL").where(F.length("text") >= least).select("id", F.coalesce(F.col("level").cast("int"), F.lit(0)).alias("level"), "text").withColumn("rec", F.xxhash64("id"))
+    found = materialize(minimizers(base, least, k))
     several = found.groupBy("h").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi")).where("lo <> hi").select("h")
-    # The second use scans again: the scan costs less than keeping a row for every minimizer of the corpus.
     wanted = found.join(several, "h", "left_semi")
     per_record = materialize(wanted.groupBy("rec").agg(F.array_sort(F.collect_set(F.struct("start", "length", "h"))).alias("runs")))
-    few = (per_record.agg(F.sum(F.size("runs"))).head()[0] or 0) <= BROADCAST_STRINGS
-    strings = materialize(_strings(base, F.broadcast(per_record) if few else per_record))
-
-    distinct = strings.groupBy("level", "h", "t").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("s").alias("s"))
-    distinct = materialize(distinct)
-    sizes = distinct.groupBy("h").agg(F.sum(F.length("s")).alias("n"), F.count_if(F.col("lo") != F.col("hi")).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    sizes = materialize(sizes.select("h", "n"))
-    total = sizes.agg(F.sum("n")).head()[0] or 0
-    shards = max(1, -(-int(total) // shard_chars))
-    cool = distinct.join(sizes.where(F.col("n") <= hot_chars).select("h"), "h", "left_semi")
-    by_index = _indexed(cool.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")), shards, least)
-    hot = distinct.join(sizes.where(F.col("n") > hot_chars).select("h"), "h", "left_semi")
-    by_window = _windowed(hot, least)
-    pieces = by_index.unionByName(by_window)
-    occurrences = strings.select("h", "t", "id", "start")
-    spans = occurrences.join(pieces, ["h", "t"]).select("id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
+    strings = materialize(_strings(base, per_record))
+    pieces = _pieces(strings.select("level", "h", "t", F.col("id").alias("lo"), F.col("id").alias("hi"), "s"), least, k, shard_chars, hot_chars)
+    spans = strings.select("h", "t", "id", "start").join(pieces, ["h", "t"]).select("id", (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z"))
     return united(spans)
 
 
+_STRING = "level INT, h LONG, t BINARY, s STRING"
+
+
+def _digest(s: str) -> bytes:
+    import hashlib
+
+    return hashlib.md5(s.encode("utf-8", "surrogatepass")).digest()
+
+
 def _strings(base: DataFrame, per_record: DataFrame) -> DataFrame:
     """One row per occurrence of a candidate string: h, id, start, t (128 bits that identify the string), s."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
             out: dict[str, list] = {"level": [], "h": [], "id": [], "start": [], "t": [], "s": []}
             for level, i, text, runs in zip(*(b.column(c).to_pylist() for c in range(4))):
                 for r in runs:
                     s = text[r["start"] : r["start"] + r["length"]]
-                    for c, v in zip(out, (level, r["h"], i, r["start"], hashlib.md5(s.encode("utf-8", "surrogatepass")).digest(), s)):
+                    for c, v in zip(out, (level, r["h"], i, r["start"], _digest(s), s)):
                         out[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["level"], pa.int32()), pa.array(out["h"], pa.int64()), pa.array(out["id"], pa.string()), pa.array(out["start"], pa.int32()), pa.array(out["t"], pa.binary()), pa.array(out["s"], pa.string())], names=list(out))
 
     return base.join(per_record, "rec").select("level", "id", "text", "runs").mapInArrow(run, "level INT, h LONG, id STRING, start INT, t BINARY, s STRING")
 
 
-def _indexed(strings: DataFrame, shards: int, least: int) -> DataFrame:
-    """Shared stretches of each distinct string, by an FM-index per level and shard: h, t, a, z."""
+def _pieces(strings: DataFrame, least: int, k: int, shard_chars: int, hot_chars: int) -> DataFrame:
+    """Shared stretches of each distinct string (level, h, t, lo, hi, s): h, t, a, z. Strings are compared with those of their minimizer h, whose grams have ``k`` characters."""
+    distinct = materialize(strings.groupBy("level", "h", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.first("s").alias("s")))
+    sizes = materialize(distinct.groupBy("h").agg(F.sum(F.length("s")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("h", "n"))
+    cool, hot = sizes.where(F.col("n") <= hot_chars).select("h"), sizes.where(F.col("n") > hot_chars).select("h")
+    total, hottest = sizes.agg(F.sum(F.when(F.col("n") <= hot_chars, F.col("n"))), F.max("n")).head()
+    shards = max(1, -(-int(total or 0) // shard_chars))
+    out = _indexed(distinct.join(cool, "h", "left_semi").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")), least)
+    if (hottest or 0) <= hot_chars or k >= least:  # a group of whole windows has one string
+        return out
+    longer = min(least, k + max(1, (least - k) // 2)) if least - k > 8 else least
+    parts = materialize(_taken_apart(distinct.join(hot, "h", "left_semi"), least, longer))
+    inner = _pieces(parts.select("level", "h", "t", "lo", "hi", "s"), least, longer, shard_chars, hot_chars)
+    again = parts.select("h", "t", "of_h", "of_t", "start").join(inner, ["h", "t"])
+    return out.unionByName(again.select(F.col("of_h").alias("h"), F.col("of_t").alias("t"), (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("z")).alias("z")))
+
+
+def _taken_apart(strings: DataFrame, least: int, k: int) -> DataFrame:
+    """The strings of each run of windows with one minimizer of ``k`` characters, within strings: their own h, t and s, those they are part of (of_h, of_t), and where they begin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(5).to_pylist()
+            own, start, length, h = runs_of_texts(texts, least, k)
+            at = pa.array(own)
+            parts = [texts[i][a : a + n] for i, a, n in zip(own.tolist(), start.tolist(), length.tolist())]
+            level = b.column(0).to_numpy(zero_copy_only=False)
+            first = [b.column(0).take(at), pa.array(_mixed(h, level[own])), pa.array([_digest(p) for p in parts], pa.binary()), pa.array(parts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*first, *(b.column(c).take(at) for c in (1, 2, 3, 4)), pa.array(start.astype(np.int32))], names=["level", "h", "t", "s", "of_h", "of_t", "lo", "hi", "start"])
+
+    return strings.select("level", "h", "t", "lo", "hi", "s").mapInArrow(run, f"{_STRING}, of_h LONG, of_t BINARY, lo STRING, hi STRING, start INT")
+
+
+def _indexed(strings: DataFrame, least: int) -> DataFrame:
+    """Shared stretches of each distinct string, by an FM-index per level and shard: h, t, a, z. Every string of the shard is streamed through its index."""
 
     def run(table: pa.Table) -> pa.Table:
         s = table.column("s").to_pylist()
         lo, hi = table.column("lo").to_pylist(), table.column("hi").to_pylist()
         names: dict[str, int] = {}
-        owner = np.array([-1 - i if a != z else names.setdefault(a, len(names)) for i, (a, z) in enumerate(zip(lo, hi))], np.int64)
-        length = np.array([len(x) for x in s], np.int64)
-        ours = np.flatnonzero(owner < 0)  # in several records: shared from end to end
-        which, a, z = FMIndex(s, owner).shared(np.flatnonzero(owner >= 0), least)
+        owner = np.array([-1 if a != z else names.setdefault(a, len(names)) for a, z in zip(lo, hi)], np.int64)
+        which, a, z = FMIndex(s, owner).shared(np.arange(len(s)), least)
         if len(which):
             which, a, z = _union(which, a, z)
-        which, a, z = np.concatenate([ours, which]), np.concatenate([np.zeros(len(ours), np.int64), a]), np.concatenate([length[ours], z])
         at = pa.array(which)
         return pa.Table.from_arrays([table.column("h").take(at), table.column("t").take(at), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["h", "t", "a", "z"])
 
@@ -234,14 +258,6 @@ def _union(which: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray,
     return which[i], a[i], reach[np.append(i[1:], len(a)) - 1]
 
 
-def _windowed(strings: DataFrame, least: int) -> DataFrame:
-    """The same for minimizers with too many strings for a shard: window by window, by 128-bit hashes and partial aggregation."""
-    place = F.explode(F.sequence(F.lit(0), F.length("s") - least)).alias("a")
-    windows = strings.select("h", "t", "lo", "hi", "s", place).select("h", "t", "lo", "hi", "a", F.unhex(F.md5(F.substring("s", F.col("a") + 1, F.lit(least)))).alias("g"))
-    common = windows.groupBy("h", "g").agg(F.min("lo").alias("x"), F.max("hi").alias("y")).where("x <> y").select("h", "g")
-    return windows.join(common, ["h", "g"], "left_semi").select("h", "t", F.col("a").cast("int"), (F.col("a") + least).cast("int").alias("z"))
-
-
 def united(spans: DataFrame) -> DataFrame:
     """Maximal unbroken stretches of each id from stretches (id, a, z) that may overlap or touch."""
     w = Window.partitionBy("id").orderBy("a", "z")

@@ -83,7 +83,7 @@ def normalise_query(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    """Lower-case words of letters, with hyphens inside."""
+    """Lower-case words of letters, with hyphens inside; marks are letters where the text is composed (``nfc``)."""
     return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)([\p{L}]+(?:-[\p{L}]+)*)"), F.lit(1))
 
 

@@ -41,7 +41,7 @@ posting AS (SELECT term, chunk_id, count(*) AS tf FROM term_of GROUP BY ALL),
 asked AS (SELECT id AS query_id, {TERMS % "query"} AS t FROM golden WHERE CAST(substr(id, 4) AS BIGINT) % 20 = 0),
 asked_term AS (SELECT DISTINCT query_id, unnest(t) AS term FROM asked),
 """
-ANY = "any_hit AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL),"
+ANY = "any_hit AS (SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL),"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
 BM25 = f"""
 len AS (SELECT chunk_id, count(*) AS n FROM term_of GROUP BY ALL),
@@ -77,8 +77,28 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
     return library.once(table(s, d, "chunks"), "id")
 
 
-def _children(s: SparkSession, d: str) -> DataFrame:
-    return _chunks(s, d).where(~F.col("is_parent")).select(F.col("id").alias("chunk_id"), "text")
+_STORED: dict[tuple, object] = {}
+
+
+def _stored(s: SparkSession, d: str, what: str, build: Callable[[], object]):
+    """An index table of a folder: built when it is first asked for, kept for the session."""
+    key = (s.sparkContext.applicationId, d, what)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
+def _raw_children(s: SparkSession, d: str) -> DataFrame:
+    """Children as they were delivered, filtered at the scan; the index drops copies."""
+    return table(s, d, "chunks").where(~F.col("is_parent")).select(F.col("id").alias("chunk_id"), "text")
+
+
+def _index(s: SparkSession, d: str) -> lexical.Index:
+    return _stored(s, d, "index", lambda: lexical.build_index(_raw_children(s, d)))
+
+
+def _dense(s: SparkSession, d: str) -> DataFrame:
+    return _stored(s, d, "dense", lambda: materialize(vector.hashed(_index(s, d).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf"), "doc_id")))
 
 
 def _golden(s: SparkSession, d: str) -> DataFrame:
@@ -94,18 +114,8 @@ def _terms(s: SparkSession, d: str) -> DataFrame:
     return lexical.bounded(_asked(s, d).select("query_id", F.explode(F.array_distinct(X.simple_terms(F.col("query")))).alias("term")))
 
 
-def _last_pair(s: SparkSession, d: str) -> DataFrame:
-    t = _asked(s, d).select("query_id", X.simple_terms(F.col("query")).alias("t")).where(F.size("t") >= 2)
-    return lexical.bounded(t.select("query_id", F.element_at("t", -2).alias("first"), F.element_at("t", -1).alias("second")))
-
-
-def _frequencies(s: SparkSession, d: str, terms: DataFrame) -> DataFrame:
-    return lexical.frequencies(_children(s, d), terms)
-
-
 def _bm25_hits(s: SparkSession, d: str) -> DataFrame:
-    terms = _terms(s, d)
-    return lexical.bm25(terms, _frequencies(s, d, terms), *lexical.collection_stats(_children(s, d)))
+    return lexical.bm25(_terms(s, d), _index(s, d))
 
 
 def _catalogued(s: SparkSession, d: str) -> DataFrame:
@@ -113,7 +123,8 @@ def _catalogued(s: SparkSession, d: str) -> DataFrame:
 
 
 def _work_of_chunk(s: SparkSession, d: str) -> DataFrame:
-    return _catalogued(s, d).select(F.col("id").alias("chunk_id"), F.col("work_canonical_id").alias("work"))
+    ids = table(s, d, "chunks").select("id", "instance_id").distinct()
+    return library.with_work(ids, *(table(s, d, n) for n in ("instances", "expressions", "works"))).select(F.col("id").alias("chunk_id"), F.col("work_canonical_id").alias("work"))
 
 
 def _entries(s: SparkSession, d: str) -> DataFrame:
@@ -123,56 +134,108 @@ def _entries(s: SparkSession, d: str) -> DataFrame:
 
 
 def _any_hits(s: SparkSession, d: str) -> DataFrame:
-    terms = _terms(s, d)
-    return lexical.match_any(terms, _frequencies(s, d, terms))
+    return lexical.match_any(_terms(s, d), _index(s, d))
 
 
-def _words_of(pair: DataFrame) -> DataFrame:
-    return lexical.bounded(pair.select("query_id", F.explode(F.array_distinct(F.array("first", "second"))).alias("term")))
+def _phrases(s: SparkSession, d: str) -> DataFrame:
+    """A query of each glossary entry: its meanings as phrases, in alternatives, none beside a novice."""
+    g = table(s, d, "glossary_entries").where("size(meanings_en) > 0")
+    quoted = F.transform("meanings_en", lambda m: F.concat(F.lit('"'), m, F.lit('" -novice')))
+    return lexical.bounded(g.select(F.col("entry_id").cast("string").alias("query_id"), F.array_join(quoted, " or ").alias("query")))
 
 
 # ---- lexical search
 
+#: The grammar of queries and cover density over ``q`` (query_id, query): ts_hit.
+_WORD = r"[\p{L}\p{N}]+"
+_ITEM = r'-?"[^"]*"?|\S+'
+
+
+def _match_sql(source: str, n: str = "") -> str:
+    return f"""
+nq{n} AS (SELECT query_id, {COLLAPSE % ("lower(" + FOLD % "query" + ")")} AS q FROM {source}),
+tok{n} AS MATERIALIZED (SELECT query_id, i, tok, count(*) FILTER (tok = 'or') OVER (PARTITION BY query_id ORDER BY i) AS clause FROM (SELECT query_id, unnest(regexp_extract_all(q, '{_ITEM}')) AS tok, generate_subscripts(regexp_extract_all(q, '{_ITEM}'), 1) AS i FROM nq{n})),
+phrase{n} AS MATERIALIZED (SELECT * FROM (SELECT query_id, clause, i, tok[1] = '-' AND length(tok) > 1 AS never, regexp_extract_all(tok, '{_WORD}') AS words FROM tok{n} WHERE tok <> 'or') WHERE len(words) > 0),
+word{n} AS MATERIALIZED (SELECT query_id, clause, i, never, len(words) AS m, unnest(words) AS term, generate_subscripts(words, 1) AS k FROM phrase{n}),
+ph{n} AS MATERIALIZED (SELECT DISTINCT query_id, clause, i, never, chunk_id FROM (SELECT w.query_id, w.clause, w.i, w.never, w.m, t.chunk_id, t.pos - w.k AS s FROM word{n} w JOIN term_of t USING (term) GROUP BY ALL HAVING count(*) = w.m)),
+need{n} AS (SELECT query_id, clause, count(*) AS need FROM phrase{n} WHERE NOT never GROUP BY ALL),
+good{n} AS MATERIALIZED (SELECT * FROM (SELECT p.query_id, p.clause, p.chunk_id FROM ph{n} p JOIN need{n} USING (query_id, clause) WHERE NOT p.never GROUP BY p.query_id, p.clause, p.chunk_id, need HAVING count(*) = need) g WHERE NOT EXISTS (SELECT 1 FROM ph{n} b WHERE b.never AND b.query_id = g.query_id AND b.clause = g.clause AND b.chunk_id = g.chunk_id)),
+wanted{n} AS (SELECT DISTINCT query_id, clause, term, count(DISTINCT term) OVER (PARTITION BY query_id, clause) AS m FROM word{n} WHERE NOT never),
+ev{n} AS MATERIALIZED (SELECT query_id, clause, chunk_id, m, term, pos FROM good{n} JOIN wanted{n} USING (query_id, clause) JOIN term_of USING (chunk_id, term)),
+before{n} AS (SELECT e.query_id, e.clause, e.chunk_id, e.m, e.pos AS z, t.term, max(t.pos) AS a FROM ev{n} e JOIN ev{n} t ON t.query_id = e.query_id AND t.clause = e.clause AND t.chunk_id = e.chunk_id AND t.pos <= e.pos GROUP BY ALL),
+cover{n} AS (SELECT query_id, clause, chunk_id, m, z, min(a) AS a FROM before{n} GROUP BY ALL HAVING count(*) = m),
+shortest{n} AS (SELECT query_id, clause, chunk_id, m, a, min(z) AS z FROM cover{n} GROUP BY ALL),
+ts_hit{n} AS (SELECT query_id, chunk_id, round(sum(0.1 / (1 + z - a + 1 - m)), 6) AS score FROM shortest{n} GROUP BY ALL),
+"""
+
+
+_ASKED = "asked_query AS (SELECT id AS query_id, query FROM golden WHERE CAST(substr(id, 4) AS BIGINT) % 20 = 0),"
+
+
+@query("r00_index_terms", f"WITH {BASE}{POSTINGS} x AS (SELECT 1) SELECT term, count(*) AS df, sum(tf) AS occurrences FROM posting GROUP BY ALL")
+def r00(s, d):
+    """The stored index, built anew each time this is asked."""
+    p = lexical.build_index(_raw_children(s, d)).postings
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+
+
+@query("r01_normalise_query", f"SELECT DISTINCT id, {COLLAPSE % ('lower(' + FOLD % 'coalesce(query, chr(32))' + ')')} AS q FROM golden_items")
+def r01(s, d):
+    return _golden(s, d).select("id", X.normalise_query(F.col("query")).alias("q"))
+
+
+_PAIRS = f"paired AS (SELECT query_id, CASE WHEN len(t) < 2 THEN array_to_string(t, ' ') ELSE array_to_string(list_transform(range(1, len(t)), lambda i: '\"' || t[i] || ' ' || t[i + 1] || '\"'), ' or ') END AS query FROM asked WHERE len(t) > 0),"
+
 
-@query("r04_lexical_topk", f"WITH {BASE}{POSTINGS}{ANY} ranked AS (SELECT *, {RANK} AS rank FROM any_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
+@query("r04_lexical_topk", f"WITH {BASE}{POSTINGS}{_PAIRS}{_match_sql('paired')} ranked AS (SELECT *, {RANK} AS rank FROM ts_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def r04(s, d):
-    return lexical.top_k(_any_hits(s, d), 10)
+    """The whole channel; words of a query that stand side by side are phrases, its phrases alternatives."""
+    t = _asked(s, d).select("query_id", X.simple_terms(F.col("query")).alias("t")).where("size(t) > 0")
+    pairs = F.transform(F.slice("t", 1, F.size("t") - 1), lambda w, i: F.concat(F.lit('"'), w, F.lit(" "), F.get("t", i + 1), F.lit('"')))
+    asked = t.select("query_id", F.when(F.size("t") < 2, F.array_join("t", " ")).otherwise(F.array_join(pairs, " or ")).alias("query"))
+    return lexical.search(asked, _index(s, d), 10)
 
 
-_PAIR = "pair AS (SELECT query_id, t[-2] AS first, t[-1] AS second FROM asked WHERE len(t) >= 2),"
+@query("r04_any_topk", f"WITH {BASE}{POSTINGS}{ANY} ranked AS (SELECT *, {RANK} AS rank FROM any_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
+def r04_any(s, d):
+    return lexical.top_k(_any_hits(s, d), 10)
 
 
-@query("r02_and_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair), n AS (SELECT query_id, count(*) AS needed FROM need GROUP BY ALL), hit AS (SELECT query_id, chunk_id, count(*) AS n, sum(tf) AS tf FROM posting JOIN need USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM hit JOIN n USING (query_id) WHERE n = needed")
+@query("r02_and_match", f"WITH {BASE}{POSTINGS} n AS (SELECT query_id, count(*) AS needed FROM asked_term GROUP BY ALL), hit AS (SELECT query_id, chunk_id, count(*) AS n, sum(tf) AS tf FROM posting JOIN asked_term USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(tf * 0.1::DOUBLE, 6) AS score FROM hit JOIN n USING (query_id) WHERE n = needed")
 def r02_and(s, d):
-    need = _words_of(_last_pair(s, d))
-    return lexical.match_all(need, _frequencies(s, d, need)).withColumn("score", F.round("score", 6))
+    return lexical.match_all(_terms(s, d), _index(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query("r02_or_match", f"WITH {BASE}{POSTINGS}{_PAIR} need AS (SELECT DISTINCT query_id, unnest([first, second]) AS term FROM pair) SELECT query_id, chunk_id, round(sum(tf) * 0.1, 6) AS score FROM posting JOIN need USING (term) GROUP BY ALL")
+@query("r02_or_match", f"WITH {BASE}{POSTINGS} x AS (SELECT 1) SELECT query_id, chunk_id, round(sum(tf) * 0.1::DOUBLE, 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL")
 def r02_or(s, d):
-    need = _words_of(_last_pair(s, d))
-    return lexical.match_any(need, _frequencies(s, d, need)).withColumn("score", F.round("score", 6))
+    return _any_hits(s, d).withColumn("score", F.round("score", 6))
+
 
+_GLOSS_NOT = "gloss AS (SELECT CAST(entry_id AS VARCHAR) AS query_id, array_to_string(list_transform(meanings_en, lambda m: '\"' || m || '\" -novice'), ' or ') AS query FROM glossary_entries WHERE len(meanings_en) > 0),"
+_GLOSS = "gloss AS (SELECT CAST(entry_id AS VARCHAR) AS query_id, '\"' || meanings_en[1] || '\"' AS query FROM glossary_entries WHERE len(meanings_en) > 0),"
 
-@query("r02_phrase", f"WITH {BASE}{POSTINGS}{_PAIR} a AS (SELECT query_id, chunk_id, pos FROM term_of JOIN pair ON term = first), b AS (SELECT query_id, chunk_id, pos - 1 AS pos FROM term_of JOIN pair ON term = second) SELECT query_id, chunk_id, count(*) AS n FROM a JOIN b USING (query_id, chunk_id, pos) GROUP BY ALL")
+
+@query("r02_phrase", f"WITH {BASE}{POSTINGS}{_GLOSS}{_match_sql('gloss')} x AS (SELECT 1) SELECT query_id, chunk_id, score FROM ts_hit")
 def r02_phrase(s, d):
-    pair = _last_pair(s, d)
-    return lexical.match_phrase(pair, lexical.postings(_children(s, d), terms=_words_of(pair)))
+    """The first meaning of each glossary entry as a phrase, all its hits."""
+    g = table(s, d, "glossary_entries").where("size(meanings_en) > 0")
+    asked = g.select(F.col("entry_id").cast("string").alias("query_id"), F.concat(F.lit('"'), F.element_at("meanings_en", 1), F.lit('"')).alias("query"))
+    return lexical.match(lexical.bounded(asked), _index(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query("r02_not", f"WITH {BASE}{POSTINGS}{_PAIR} bad AS (SELECT DISTINCT query_id, chunk_id FROM posting JOIN pair ON term = first) SELECT query_id, chunk_id, round(tf * 0.1, 6) AS score FROM posting JOIN pair ON term = second ANTI JOIN bad USING (query_id, chunk_id)")
+@query("r02_not", f"WITH {BASE}{POSTINGS} first_of AS MATERIALIZED (SELECT DISTINCT query_id, t[1] AS term FROM asked WHERE len(t) >= 2), rest AS MATERIALIZED (SELECT DISTINCT query_id, term FROM asked_term a WHERE NOT EXISTS (SELECT 1 FROM first_of f WHERE f.query_id = a.query_id AND f.term = a.term)), bad AS MATERIALIZED (SELECT DISTINCT query_id, chunk_id FROM posting JOIN first_of USING (term)), hit AS MATERIALIZED (SELECT query_id, chunk_id, sum(tf) AS tf FROM posting JOIN rest USING (term) GROUP BY ALL) SELECT query_id, chunk_id, round(tf * 0.1::DOUBLE, 6) AS score FROM hit h WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.query_id = h.query_id AND b.chunk_id = h.chunk_id) AND h.query_id IN (SELECT query_id FROM first_of)")
 def r02_not(s, d):
-    pair = _last_pair(s, d)
-    hits = lexical.match_without(lexical.bounded(pair.select("query_id", F.col("second").alias("term"))), lexical.bounded(pair.select("query_id", F.col("first").alias("term"))), _frequencies(s, d, _words_of(pair)))
-    return hits.withColumn("score", F.round("score", 6))
+    """Chunks with words of a query, but without its first one."""
+    t = _asked(s, d).select("query_id", X.simple_terms(F.col("query")).alias("t")).where(F.size("t") >= 2)
+    first = lexical.bounded(t.select("query_id", F.element_at("t", 1).alias("term")))
+    rest = lexical.bounded(t.select("query_id", F.explode(F.array_remove(F.array_distinct("t"), F.element_at("t", 1))).alias("term")))
+    return lexical.match_without(lexical.match_any(rest, _index(s, d)), first, _index(s, d)).withColumn("score", F.round("score", 6))
 
 
-@query("r02_websearch")
+@query("r02_websearch", f"WITH {BASE}{POSTINGS}{_GLOSS_NOT}{_match_sql('gloss')} ranked AS (SELECT *, {RANK} AS rank FROM ts_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
 def r02_websearch(s, d):
     """Phrases, alternatives and exclusions in one query, scored by cover density."""
-    p = _last_pair(s, d)
-    asked = lexical.bounded(p.select("query_id", F.concat(F.lit('"'), "first", F.lit(" "), "second", F.lit('" or '), "second", F.lit(" -the")).alias("query")))
-    return lexical.top_k(lexical.match(asked, lexical.postings(_children(s, d), terms=lexical.query_terms(asked))), 10)
+    return lexical.search(_phrases(s, d), _index(s, d), 10)
 
 
 @query("r03_bm25", f"WITH {BASE}{POSTINGS}{BM25} ranked AS (SELECT *, {RANK} AS rank FROM bm_hit) SELECT query_id, chunk_id, score, rank FROM ranked WHERE rank <= 10")
@@ -192,7 +255,7 @@ def r05(s, d):
 @query("r06_sparse_dot", f"WITH {BASE}{POSTINGS} s AS (SELECT query_id, chunk_id AS doc_id, round(sum(1 + ln(tf)), 6) AS score FROM posting JOIN asked_term USING (term) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
 def r06(s, d):
     terms = _terms(s, d)
-    corpus = _frequencies(s, d, terms).select(F.col("chunk_id").alias("doc_id"), F.col("term").alias("token"), (1 + F.log("tf")).alias("weight"))
+    corpus = _index(s, d).of(terms).select(F.col("chunk_id").alias("doc_id"), F.col("term").alias("token"), (1 + F.log("tf")).alias("weight"))
     return vector.sparse_top_k(terms.select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("q_weight")), corpus, 10)
 
 
@@ -245,42 +308,129 @@ def r20(s, d):
     return hits.select("query_id", "doc_id", F.round(fusion.normalised(F.lit(None).cast("double"), F.col("score"), F.col("best")), 6).alias("score"))
 
 
-def _loose(s: SparkSession, d: str) -> DataFrame:
-    """The same queries; their last three words are alternatives for the lexical channel."""
-    t = X.simple_terms(F.col("query"))
-    return _asked(s, d).withColumn("lexical", F.array_join(F.slice(t, F.greatest(F.lit(1), F.size(t) - 2), 3), " or "))
+_SEARCHED = f"""
+searched AS MATERIALIZED (SELECT DISTINCT c.id AS chunk_id, c.parent_chunk_id, c.text, c.segment_id, w.canonical_id AS work FROM chunk c JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id),
+place AS MATERIALIZED (SELECT id, CAST('0x' || substr(h, 1, 4) AS INTEGER) % 64 AS dim, sum(CASE WHEN substr(h, 5, 1) < '8' THEN tf ELSE -tf END)::DOUBLE AS w FROM (SELECT chunk_id AS id, md5(term) AS h, tf FROM posting) GROUP BY ALL),
+chunk_vec AS MATERIALIZED (SELECT id, list_transform(range(64), lambda i: coalesce(m[i], 0.0)) AS v FROM (SELECT id, map(list(dim), list(w)) AS m FROM place GROUP BY id)),
+"""
+
+
+def _opened_sql(query_: str) -> str:
+    """The term a query asks to define, in SQL."""
+    bare = f"trim(regexp_replace({STRIP % query_}, '({BLANK})?[?.]$', ''))"
+    words, low = f"string_split_regex({bare}, '{BLANK}')", f"string_split_regex(lower({bare}), '{BLANK}')"
+    cases = []
+    for opener, articles in expand.OPENERS:
+        n = opener.count(" ") + 1
+        many = ", ".join(f"'{a}'" for a in articles) or "NULL"
+        cases.append(f"WHEN len({words}) > {n} AND array_to_string({low}[1:{n}], ' ') = '{opener}' THEN {words}[(CASE WHEN len({words}) > {n + 1} AND {low}[{n + 1}] IN ({many}) THEN {n + 2} ELSE {n + 1} END):]")
+    return f"CASE {' '.join(cases)} END"
+
+
+_TERM_OK = "CASE WHEN len(ws) BETWEEN 1 AND 6 AND array_to_string(ws, ' ') <> '' AND NOT regexp_matches(array_to_string(ws, ' '), '[?.,;]') THEN array_to_string(ws, ' ') END"
+_FILLED = "CASE WHEN term IS NULL THEN query WHEN lang = 'ru' THEN format('Что такое {{}}? Учение о {{}}. Основы {{}}. Сутта о {{}}.', term, term, term, term) ELSE format('What is {{}}? Discourse on {{}}. Foundations of {{}}. Sutta on {{}}.', term, term, term, term) END"
+_LANG = r"CASE WHEN regexp_matches(query, '[\x{0400}-\x{04FF}]') THEN 'ru' ELSE 'en' END"
+#: Entries of the term map of the hybrid queries: glossary and titles of works.
+_MAP_SQL = """
+title_of AS (SELECT lower(regexp_replace(title_pali, 'sutta$', '')) AS term, canonical_id FROM works WHERE title_pali IS NOT NULL),
+entry AS MATERIALIZED (SELECT lpad(CAST(entry_id AS VARCHAR), 9, '0') AS entry, pali AS term, coalesce(meanings_en, []) AS aliases, []::VARCHAR[] AS works FROM glossary_entries UNION ALL SELECT 'w:' || term, term, []::VARCHAR[], list(DISTINCT canonical_id) FROM title_of WHERE term <> '' GROUP BY term),
+"""
+_REWRITTEN = f"""
+opened AS (SELECT query_id, query, {_LANG} AS lang, {_opened_sql("query")} AS ws FROM asked_query),
+asked_term_of AS (SELECT query_id, query, lang, {_TERM_OK} AS term FROM opened),
+near AS (SELECT t.term, min_by(e.aliases, e.entry) AS al FROM asked_term_of t JOIN entry e ON contains(lower(t.term), lower(e.term)) OR contains(lower(e.term), lower(t.term)) WHERE t.term IS NOT NULL AND e.term <> '' GROUP BY t.term),
+said AS (SELECT term, list_filter(al, lambda a: contains(trim(a), ' ') AND NOT regexp_matches(a, '[\\x{{0400}}-\\x{{04FF}}]') AND lower(a) <> lower(term))[1:3] AS al FROM near),
+meant AS MATERIALIZED (SELECT query_id, concat_ws(' ', {_FILLED.replace("{{}}", "{}")}, CASE WHEN len(al) > 0 THEN array_to_string(list_transform(al, lambda a: CASE WHEN lang = 'ru' THEN 'То же что ' ELSE 'Also known as ' END || a), '. ') || '.' END) AS query FROM asked_term_of LEFT JOIN said USING (term)),
+"""
+_NAMED = rf"""
+name AS (SELECT entry, lower(trim(nfc_normalize(unnest(list_concat([term], aliases))))) AS name FROM entry),
+named AS (SELECT DISTINCT entry, name, regexp_extract(name, '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM name WHERE name <> ''),
+said_q AS (SELECT query_id, lower({COLLAPSE % "nfc_normalize(query)"}) AS q FROM asked_query),
+said_w AS (SELECT DISTINCT query_id, q, unnest(regexp_extract_all(q, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS w FROM said_q),
+matched AS MATERIALIZED (SELECT DISTINCT query_id, entry FROM said_w JOIN named USING (w) WHERE regexp_matches(' ' || q || ' ', '[^\p{{L}}\p{{M}}\p{{N}}_]' || regexp_escape(name) || '[^\p{{L}}\p{{M}}\p{{N}}_]')),
+alias AS (SELECT entry, term, trim(unnest(aliases)) AS alias, generate_subscripts(aliases, 1) AS pos FROM entry),
+got AS (SELECT query_id, alias, min(struct_pack(e := entry, p := pos)) AS spot FROM matched JOIN alias USING (entry) WHERE alias <> '' AND NOT (NOT contains(alias, ' ') AND {FOLD % "lower(alias)"} = {FOLD % "lower(term)"}) AND NOT regexp_matches(alias, '[\x{{0400}}-\x{{04FF}}]') GROUP BY ALL),
+top_alias AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS n FROM got),
+also AS (SELECT query_id, string_agg(CASE WHEN contains(alias, ' ') THEN '"' || alias || '"' ELSE alias END, ' or ' ORDER BY n) AS al FROM top_alias WHERE n <= 3 GROUP BY ALL),
+looked AS MATERIALIZED (SELECT query_id, concat_ws(' or ', query, al) AS query FROM asked_query LEFT JOIN also USING (query_id)),
+factor AS (SELECT DISTINCT query_id, unnest(works) AS work FROM matched JOIN entry USING (entry)),
+"""
+
+
+def _channels_sql(meant: str, looked: str, per_channel: int, kept: int, n: str = "") -> str:
+    """Three channels over the queries ``meant`` (encoded) and ``looked`` (lexical), fused and joined to their rows: hit."""
+    rank = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)"
+    return _match_sql(looked, n) + f"""
+q_term{n} AS MATERIALIZED (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({TERMS % "query"}) AS term FROM {meant}) GROUP BY ALL),
+q_vec{n} AS (SELECT query_id, list_transform(range(64), lambda i: coalesce(m[i], 0.0)) AS v FROM (SELECT query_id, map(list(dim), list(w)) AS m FROM (SELECT query_id, CAST('0x' || substr(md5(term), 1, 4) AS INTEGER) % 64 AS dim, sum(CASE WHEN substr(md5(term), 5, 1) < '8' THEN tf ELSE -tf END)::DOUBLE AS w FROM q_term{n} GROUP BY ALL) GROUP BY query_id)),
+dense_hit{n} AS (SELECT query_id, id AS chunk_id, round(list_cosine_similarity(q.v, c.v), 6) AS score FROM q_vec{n} q, chunk_vec c),
+sparse_hit{n} AS (SELECT query_id, chunk_id, round(sum((1 + ln(q.tf)) * (1 + ln(p.tf))), 6) AS score FROM q_term{n} q JOIN posting p USING (term) GROUP BY ALL),
+ranked{n} AS (SELECT query_id, chunk_id, {rank} AS r, 0 AS ch FROM dense_hit{n} UNION ALL SELECT query_id, chunk_id, {rank}, 1 FROM sparse_hit{n} UNION ALL SELECT query_id, chunk_id, {rank}, 2 FROM ts_hit{n}),
+pooled{n} AS (SELECT query_id, chunk_id, min(CASE WHEN ch = 0 THEN r END) AS r0, min(CASE WHEN ch = 1 THEN r END) AS r1, min(CASE WHEN ch = 2 THEN r END) AS r2, min(ch * 1000 + r) AS spot FROM ranked{n} WHERE r <= {per_channel} GROUP BY ALL),
+fused{n} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, spot, chunk_id) AS rank FROM (SELECT *, round(coalesce(1.0 / (60 + r0), 0.0) + coalesce(1.0 / (60 + r1), 0.0) + coalesce(1.0 / (60 + r2), 0.0), 9) AS score FROM pooled{n})),
+hit{n} AS MATERIALIZED (SELECT f.query_id, f.chunk_id, s.work, s.segment_id, s.text AS child, p.chunk_id IS NOT NULL AS expanded, f.score, f.rank FROM fused{n} f JOIN searched s USING (chunk_id) LEFT JOIN searched p ON p.chunk_id = s.parent_chunk_id WHERE f.rank <= {kept}),
+"""
 
 
 def _corpus(s: SparkSession, d: str) -> pipeline.Corpus:
-    """Written once: each channel and the enrichment read it."""
     c = _catalogued(s, d).select(F.col("id").alias("chunk_id"), "parent_chunk_id", "text", "is_parent", "work_canonical_id", "source_type", "segment_id")
-    return pipeline.Corpus(materialize(c))
+    return pipeline.Corpus(_stored(s, d, "rows", lambda: materialize(c)), _index(s, d), _dense(s, d), pipeline.hashed_queries)
+
 
+def _term_map(s: SparkSession, d: str) -> DataFrame:
+    """Terms with aliases and works: the glossary, and the Pali titles of works without their last part."""
+    none = F.array().cast("array<string>")
+    g = table(s, d, "glossary_entries").select(F.lpad(F.col("entry_id").cast("string"), 9, "0").alias("entry"), F.col("pali").alias("term"), F.coalesce("meanings_en", none).alias("aliases"), none.alias("works"))
+    t = table(s, d, "works").where("title_pali IS NOT NULL").select(F.lower(F.regexp_replace("title_pali", "sutta$", "")).alias("term"), "canonical_id").where("term <> ''")
+    t = t.groupBy("term").agg(F.collect_set("canonical_id").alias("works")).select(F.concat(F.lit("w:"), "term").alias("entry"), "term", none.alias("aliases"), "works")
+    return _stored(s, d, "entries", lambda: materialize(g.unionByName(t).withColumn("boost", F.lit(1.5))))
 
-def _channels(s: SparkSession, d: str) -> dict:
-    """Dense and sparse channels over all children, by the encoder without a model; the lists that rewriting reads."""
-    return {"encoder": vector.hashing_encoder(), "entries": _entries(s, d), "glossary": _glossary(s, d)}
 
+_HYBRID = f"WITH {BASE}{POSTINGS}{_ASKED}{_SEARCHED}{_MAP_SQL}{_REWRITTEN}"
 
-@query("r09_hybrid")
+
+@query("r09_hybrid", f"""{_HYBRID}{_NAMED}{_channels_sql("meant", "looked", 100, 100)}
+raised AS (SELECT h.*, CASE WHEN f.work IS NULL THEN score ELSE greatest(score * 1.5, max(score) OVER (PARTITION BY h.query_id) * 1.5) END AS lifted FROM hit h LEFT JOIN factor f ON f.query_id = h.query_id AND f.work = h.work),
+again AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lifted DESC, rank) AS n FROM raised)
+SELECT query_id, chunk_id, work AS work_canonical_id, expanded, round(lifted, 9) AS score, n AS rank FROM again WHERE n <= 8""")
 def r09(s, d):
     """All three channels with rewriting, aliases, boosts and parents, end to end."""
-    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(), **_channels(s, d))
+    hits = pipeline.hybrid(_asked(s, d), _corpus(s, d), pipeline.Options(), entries=_term_map(s, d))
     return hits.select("query_id", "chunk_id", "work_canonical_id", "expanded", F.round("score", 9).alias("score"), "rank")
 
 
-@query("r22_response")
+_JACCARD = "len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b})))".format(a="list_distinct(regexp_split_to_array(lower(m.query), '\\W+'))", b="list_distinct(regexp_split_to_array(lower(h.child), '\\W+'))")
+
+
+@query("r22_response", f"""{_HYBRID}{_channels_sql("meant", "asked_query", 30, 30)}
+judged AS (SELECT h.*, {_JACCARD} AS again FROM hit h JOIN meant m USING (query_id)),
+cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY again DESC, rank) AS n FROM judged)
+SELECT query_id, work AS work_canonical_id, segment_id, round(1 / (1 + exp(-again)), 6) AS score, n AS rank FROM cut WHERE n <= 8 AND work NOT IN (SELECT canonical_id FROM works WHERE is_restricted)""")
 def r22(s, d):
-    hits = pipeline.hybrid(_loose(s, d), _corpus(s, d), pipeline.Options(rerank=True, boosts=False), **_channels(s, d))
+    hits = pipeline.hybrid(_asked(s, d), _corpus(s, d), pipeline.Options(rerank=True, boosts=False), entries=_term_map(s, d), pair_score=fusion.overlap_score)
     restricted = table(s, d, "works").where("is_restricted").select(F.col("canonical_id").alias("work_canonical_id"))
     return pipeline.respond(hits, restricted).select("query_id", "work_canonical_id", "segment_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("r23_thread_next")
+@query("r23_thread_next", f"""{_HYBRID}{_channels_sql("meant", "asked_query", 30, 3)}{_channels_sql("asked_query", "asked_query", 30, 100, "_raw")}
+past AS (SELECT query_id, count(*) AS n FROM hit GROUP BY ALL),
+fresh AS (SELECT r.query_id, r.chunk_id, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS card FROM hit_raw r LEFT JOIN past p USING (query_id) WHERE r.rank <= least(100, 8 + coalesce(p.n, 0)) AND NOT EXISTS (SELECT 1 FROM hit h WHERE h.query_id = r.query_id AND h.chunk_id = r.chunk_id)),
+shown AS (SELECT * FROM fresh WHERE card <= 3)
+SELECT a.query_id, chunk_id, card, count(card) OVER (PARTITION BY a.query_id) < 3 AS exhausted FROM asked_query a LEFT JOIN shown s ON s.query_id = a.query_id""")
 def r23(s, d):
-    corpus, channels = _corpus(s, d), _channels(s, d)
-    first = materialize(pipeline.hybrid(_loose(s, d), corpus, pipeline.Options(top_k=3, boosts=False, parents=False), **channels).select("query_id", "chunk_id"))
-    return pipeline.thread_next(_loose(s, d), corpus, first, **channels).select("query_id", "chunk_id", "card", "exhausted")
+    """The next cards of threads that have seen their first three."""
+    corpus = _corpus(s, d)
+    first = materialize(pipeline.hybrid(_asked(s, d), corpus, pipeline.Options(top_k=3, boosts=False, parents=False), entries=_term_map(s, d)).select("query_id", "chunk_id"))
+    return pipeline.thread_next(_asked(s, d), corpus, first, entries=_term_map(s, d)).select("query_id", "chunk_id", "card", "exhausted")
+
+
+@query("r28_probe", f"""{_HYBRID}{_channels_sql("meant", "asked_query", 200, 200)}
+target AS (SELECT DISTINCT id AS query_id, unnest(expected_works) AS work FROM golden)
+SELECT h.query_id, h.work, arg_min(h.chunk_id, h.rank) AS chunk_id, min(h.rank) AS rank, count(*) AS n_chunks FROM hit h JOIN target USING (query_id, work) GROUP BY ALL""")
+def r28(s, d):
+    """Where the expected works of golden items stand in a wide pool: the best chunk of each, and how many it has."""
+    targets = _golden(s, d).select(F.col("id").alias("query_id"), F.explode("expected_works").alias("work"))
+    return evaluate.best_chunks(pipeline.probe(_asked(s, d), _corpus(s, d), targets, entries=_term_map(s, d)))
 
 
 @query("r11_enrich_parent", f"WITH {BASE} x AS (SELECT 1) SELECT c.id AS chunk_id, p.id IS NOT NULL AS expanded, length(coalesce(p.text, c.text)) AS n_chars, length(CASE WHEN p.id IS NOT NULL THEN c.text END) AS child_chars FROM chunk c LEFT JOIN chunk p ON p.id = c.parent_chunk_id WHERE NOT c.is_parent")
@@ -292,11 +442,11 @@ def r11(s, d):
 
 # ---- rewriting
 
-_NAMES = "name AS (SELECT CAST(entry_id AS INTEGER) AS entry, pali AS term, lower(trim(unnest(list_concat([pali], coalesce(meanings_en, []))))) AS name FROM glossary_entries)"
+_NAMES = "name AS (SELECT CAST(entry_id AS INTEGER) AS entry, pali AS term, lower(trim(nfc_normalize(unnest(list_concat([pali], coalesce(meanings_en, [])))))) AS name FROM glossary_entries)"
 _FIRST = r"regexp_extract(%s, '[\p{L}\p{M}\p{N}_]+')"
 MATCHES = rf"""
 {_NAMES}, named AS (SELECT DISTINCT entry, term, name, {_FIRST % "name"} AS w FROM name WHERE name <> ''),
-asked_q AS (SELECT id AS query_id, lower({COLLAPSE % "query"}) AS q FROM golden),
+asked_q AS (SELECT id AS query_id, lower({COLLAPSE % "nfc_normalize(query)"}) AS q FROM golden),
 word AS (SELECT DISTINCT query_id, q, unnest(regexp_extract_all(q, '[\p{{L}}\p{{M}}\p{{N}}_]+')) AS w FROM asked_q),
 matched AS (SELECT DISTINCT query_id, entry, term FROM word JOIN named USING (w) WHERE regexp_matches(' ' || q || ' ', '[^\p{{L}}\p{{M}}\p{{N}}_]' || regexp_escape(name) || '[^\p{{L}}\p{{M}}\p{{N}}_]'))
 """
@@ -319,11 +469,8 @@ def r15(s, d):
     return got.select("query_id", F.array_join("aliases", "|").alias("aliases"))
 
 
-_DEF = ", ".join(f"CASE WHEN length(trim(regexp_extract(query, '(?i){p}', 1))) > 0 AND len(regexp_split_to_array(trim(regexp_extract(query, '(?i){p}', 1)), '\\s+')) <= 6 THEN trim(regexp_extract(query, '(?i){p}', 1)) END" for p in expand.DEFINITIONAL)
-
-
-@query("r16_definitional", f"""WITH q AS (SELECT query FROM golden_items UNION SELECT query_text FROM feedback UNION SELECT 'What is ' || pali || '?' FROM glossary_entries UNION SELECT 'что значит ' || meanings_ru[1] FROM glossary_entries UNION SELECT 'Definition of the ' || meanings_en[1] FROM glossary_entries), t AS (SELECT query, coalesce({_DEF}) AS term, CASE WHEN regexp_matches(query, '[\\x{{0400}}-\\x{{04FF}}]') THEN 'ru' ELSE 'en' END AS lang FROM q)
-SELECT query, term, lang, CASE WHEN lang = 'ru' THEN format('Что такое {{}}? Учение о {{}}. Основы {{}}. Сутта о {{}}.', term, term, term, term) ELSE format('What is {{}}? Discourse on {{}}. Foundations of {{}}. Sutta on {{}}.', term, term, term, term) END AS expanded FROM t WHERE term IS NOT NULL""")
+@query("r16_definitional", f"""WITH q AS (SELECT query FROM golden_items UNION SELECT query_text FROM feedback UNION SELECT 'What is ' || pali || '?' FROM glossary_entries UNION SELECT 'что значит ' || meanings_ru[1] FROM glossary_entries UNION SELECT 'Definition of the ' || meanings_en[1] FROM glossary_entries), o AS (SELECT query, {_LANG} AS lang, {_opened_sql("query")} AS ws FROM q), t AS (SELECT query, lang, {_TERM_OK} AS term FROM o)
+SELECT query, term, lang, {_FILLED.replace("{{}}", "{}")} AS expanded FROM t WHERE term IS NOT NULL""")
 def r16(s, d):
     g = table(s, d, "glossary_entries")
     first = lambda c: F.try_element_at(c, F.lit(1))
@@ -336,17 +483,31 @@ def r16(s, d):
 
 
 def _glossary(s: SparkSession, d: str) -> expand.Glossary:
-    """Glossary entries are a small table that does not grow (checked)."""
-    rows = expand.checked(table(s, d, "glossary_entries")).orderBy("entry_id").collect()
-    lemmas: dict = {}
-    for r in rows:
-        lemmas.setdefault(r["pali"].lower(), (r["meanings_en"] or [], r["meanings_ru"] or []))
-    return expand.Glossary(lemmas, {})
-
-
-@query("r18_glossary_expand")
+    """Entries of a lemma: the first counts."""
+    none = F.array().cast("array<string>")
+    g = table(s, d, "glossary_entries").groupBy(F.lower("pali").alias("lemma")).agg(F.min_by(F.struct(F.coalesce("meanings_en", none).alias("en"), F.coalesce("meanings_ru", none).alias("ru")), "entry_id").alias("m"))
+    return expand.Glossary(g.select("lemma", F.col("m.en").alias("meanings_en"), F.col("m.ru").alias("meanings_ru")))
+
+
+_MARKLESS = "strip_accents(%s)"
+
+
+@query("r18_glossary_expand", rf"""WITH {BASE} asked_q AS (SELECT id, query FROM golden UNION SELECT 'e' || entry_id, 'on ' || pali || ' and ' || coalesce(meanings_en[1], '') FROM glossary_entries),
+lemma_of AS (SELECT lower(pali) AS lemma, arg_min(struct_pack(en := coalesce(meanings_en, []), ru := coalesce(meanings_ru, [])), entry_id) AS m FROM glossary_entries GROUP BY ALL),
+bare_of AS (SELECT {_MARKLESS % "lemma"} AS bare, min(lemma) AS lemma FROM lemma_of GROUP BY ALL),
+ws AS (SELECT id, query, regexp_extract_all(lower(nfc_normalize(query)), '\p{{L}}+(?:-\p{{L}}+)*') AS words FROM asked_q),
+w AS (SELECT id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM ws),
+known AS (SELECT id, pos, coalesce(l.lemma, b.lemma) AS lemma FROM w LEFT JOIN lemma_of l ON l.lemma = w.w LEFT JOIN bare_of b ON b.bare = {_MARKLESS % "w.w"} WHERE w.w <> {_MARKLESS % "w.w"} AND coalesce(l.lemma, b.lemma) IS NOT NULL),
+first_five AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM known) WHERE n <= 5),
+extra AS (SELECT id, n, generate_subscripts(x, 1) AS j, unnest(x) AS x FROM (SELECT id, n, list_concat([lemma], m.en[1:1], m.ru[1:1]) AS x FROM first_five JOIN lemma_of USING (lemma))),
+new AS (SELECT id, arg_min(x, n * 10 + j) AS x, min(n * 10 + j) AS spot FROM extra GROUP BY id, lower(x)),
+added AS (SELECT n.id, string_agg(x, ' ' ORDER BY spot) AS a FROM new n JOIN ws USING (id) WHERE NOT list_contains(words, lower(x)) GROUP BY ALL)
+SELECT id, concat_ws(' ', query, a) AS query FROM ws LEFT JOIN added USING (id)""")
 def r18(s, d):
-    return expand.expand_glossary(_golden(s, d).select("id", "query"), _glossary(s, d))
+    """Golden queries, and one made of each glossary entry, with lemmas and meanings put to them."""
+    g = table(s, d, "glossary_entries").select(F.concat(F.lit("e"), "entry_id").alias("query_id"), F.concat(F.lit("on "), "pali", F.lit(" and "), F.coalesce(F.try_element_at("meanings_en", F.lit(1)), F.lit(""))).alias("query"))
+    asked = _golden(s, d).select(F.col("id").alias("query_id"), "query").union(g)
+    return expand.expand_glossary(asked, _glossary(s, d)).withColumnRenamed("query_id", "id")
 
 
 # ---- text

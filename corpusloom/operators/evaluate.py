@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,31 @@ def decision(metric, good: float = 0.50, fair: float = 0.45):
     return F.when(metric >= good, "release").when(metric >= fair, "review").otherwise("hold")
 
 
-def grid(golden: DataFrame, configurations: DataFrame, run) -> DataFrame:
-    """Results of ``run(configuration row, golden)`` for each row of a small configuration table, united with its name."""
-    parts = [run(c, golden).withColumn("config", F.lit(c["config"])) for c in configurations.collect()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def outcome(ranked: DataFrame) -> DataFrame:
+    """n, missed, top_5, top_20: how many items were never found, and how many among the first."""
+    return ranked.agg(F.count("*").alias("n"), F.count_if(F.col("best").isNull()).alias("missed"), F.count_if(F.col("best") <= 5).alias("top_5"), F.count_if(F.col("best") <= 20).alias("top_20"))
+
+
+def smoke(ranked: DataFrame, k: int = 5) -> DataFrame:
+    """id, passed: whether an expected work is among the first k."""
+    return ranked.select("id", (hit(k) == 1).alias("passed"))
+
+
+def best_chunks(hits: DataFrame) -> DataFrame:
+    """query_id, work, chunk_id, rank, n_chunks: the best chunk of each work among the hits (query_id, work, chunk_id, rank), and how many it has there."""
+    return hits.groupBy("query_id", "work").agg(F.min_by("chunk_id", F.struct("rank", "chunk_id")).alias("chunk_id"), F.min("rank").alias("rank"), F.count("*").alias("n_chunks"))
+
+
+def grid(golden: DataFrame, configurations: list, run) -> DataFrame:
+    """Results of ``run(configuration, golden)`` for each of a short list of (name, configuration), united, with the name as ``config``."""
+    if not configurations:
+        raise ValueError("no configuration")
+    return reduce(DataFrame.unionByName, (run(c, golden).withColumn("config", F.lit(name)) for name, c in configurations))
+
+
+def best_configuration(cells: DataFrame, metric: str, *by: str) -> DataFrame:
+    """config and metric of the best cell (of each group); of equals the first by name."""
+    return cells.groupBy(*by).agg(F.min_by("config", F.struct(-F.col(metric), "config")).alias("config"), F.max(metric).alias(metric))
 
 
 def marginal_effects(cells: DataFrame, factor: str, held: list[str], metric: str) -> DataFrame:

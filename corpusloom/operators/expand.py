@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ascii_fold, looks_cyrillic, normalise_lemma, strip
-
-# Openings of a question for a definition; the term is what follows up to the end.
-DEFINITIONAL = (
-    r"^\s*what\s+(?:is|are)\s+(?:the\s+|a\s+)?([^?.,;]+?)\s*[?.]?\s*$",
-    r"^\s*define\s+(?:the\s+)?([^?.,;]+?)\s*[?.]?\s*$",
-    r"^\s*(?:meaning|definition)\s+of\s+([^?.,;]+?)\s*[?.]?\s*$",
-    r"^\s*что\s+такое\s+([^?.,;]+?)\s*[?.]?\s*$",
-    r"^\s*(?:определение|значение)\s+([^?.,;]+?)\s*[?.]?\s*$",
-    r"^\s*что\s+(?:значит|означает)\s+([^?.,;]+?)\s*[?.]?\s*$",
+from corpusloom.functions.text import ascii_fold, casefold, looks_cyrillic, nfc, normalise_lemma, strip, strip_diacritics, tokenize
+
+# How a question for a definition begins, and the articles that may follow. What comes then, up to the end, is the term.
+OPENERS = (
+    ("what is", ("the", "a")),
+    ("what are", ("the", "a")),
+    ("define", ("the",)),
+    ("meaning of", ()),
+    ("definition of", ()),
+    ("что такое", ()),
+    ("определение", ()),
+    ("значение", ()),
+    ("что значит", ()),
+    ("что означает", ()),
 )
 # What such a question is rewritten to.
 TEMPLATE_EN = "What is %s? Discourse on %s. Foundations of %s. Sutta on %s."
@@ -28,12 +29,24 @@ MOST_TERM_WORDS = 6
 
 
 def definitional_term(query: Column) -> Column:
-    """The term a query asks to define, null if it asks for none. A match whose term is too long passes on to the next pattern."""
-    tries = []
-    for p in DEFINITIONAL:
-        term = F.trim(F.regexp_extract(query, "(?iU)" + p, 1))
-        tries.append(F.when((term != "") & (F.size(F.split(term, r"(?U)\s+")) <= MOST_TERM_WORDS), term))
-    return F.coalesce(*tries)
+    """The term a query asks to define, null if it asks for none, or for one with marks within or of too many words.
+
+    A query is compared word by word: its first words are an opener, an article
+    may come next, and the rest is the term, without one mark at its end. Runs
+    of blanks in the term become one.
+    """
+    bare = F.trim(F.regexp_replace(strip(query), r"(?U)\s*[?.]$", ""))
+    words = F.split(bare, r"(?U)\s+")
+    low = F.transform(words, lambda w: F.lower(w))
+    found = None
+    for opener, articles in OPENERS:
+        n = opener.count(" ") + 1
+        asks = (F.size(words) > n) & (F.array_join(F.slice(low, 1, n), " ") == opener)
+        skip = F.when((F.size(words) > n + 1) & F.get(low, F.lit(n)).isin(*articles), n + 1).otherwise(n) if articles else F.lit(n)
+        rest = F.slice(words, skip + 1, F.greatest(F.lit(1), F.size(words)))
+        found = F.when(asks, rest) if found is None else found.when(asks, rest)
+    term = F.array_join(found, " ")
+    return F.when((term != "") & ~term.rlike("[?.,;]") & (F.size(found) <= MOST_TERM_WORDS), term)
 
 
 def definitional_language(query: Column) -> Column:
@@ -47,17 +60,29 @@ def expand_definitional(query: Column) -> Column:
     return F.when(t.isNull(), query).when(ru, F.format_string(TEMPLATE_RU, t, t, t, t)).otherwise(F.format_string(TEMPLATE_EN, t, t, t, t))
 
 
+def _grams(c: Column) -> Column:
+    """All strings of one to three characters in a text."""
+    n = F.length(c)
+    each = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))), lambda i: F.substring(c, i, k))
+    return F.array_distinct(F.concat(each(1), each(2), each(3)))
+
+
+def _holding(whole: DataFrame, w: str, part: DataFrame, p: str) -> DataFrame:
+    """Pairs of rows in which the text ``w`` of one holds the text ``p`` of the other: an equi-join on the first three characters of what is held, then a look at the whole."""
+    return whole.withColumn("gram", F.explode(_grams(F.col(w)))).join(part.withColumn("gram", F.substring(p, 1, 3)), "gram").where(F.col(w).contains(F.col(p))).drop("gram")
+
+
 def alias_sentences(queries: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
     """``queries`` (query_id, query) with query extended by up to three phrases of the first entry whose term is the asked one, or holds it, or is held by it.
 
     ``entries``: entry (order), term, aliases. Only phrases of several words that
-    aren't Cyrillic and aren't the term count. The entries are few (a curated
-    list) and are set against the distinct terms asked for, not against rows.
+    aren't Cyrillic and aren't the term count. Distinct terms are compared.
     """
     asked = queries.select("query_id", "query", definitional_term(F.col("query")).alias("t"), definitional_language(F.col("query")).alias("lang"))
     terms = asked.where("t IS NOT NULL").select(F.lower("t").alias("k")).distinct()
-    near = (F.col("k") == F.lower("term")) | F.col("k").contains(F.lower(F.col("term"))) | F.lower(F.col("term")).contains(F.col("k"))
-    first = terms.join(F.broadcast(checked(entries)), near).groupBy("k").agg(F.min_by("aliases", "entry").alias("aliases"))
+    known = entries.select("entry", F.lower("term").alias("low"), "aliases").where("low <> ''")
+    near = _holding(terms, "k", known, "low").select("k", "entry", "aliases").union(_holding(known, "low", terms, "k").select("k", "entry", "aliases"))
+    first = near.groupBy("k").agg(F.min_by("aliases", "entry").alias("aliases"))
     good = F.filter("aliases", lambda a: F.trim(a).contains(" ") & ~looks_cyrillic(a) & (F.lower(a) != F.col("k")))
     first = first.select("k", F.slice(good, 1, most).alias("aliases")).where(F.size("aliases") > 0)
     said = F.concat(F.array_join(F.transform("aliases", lambda a: F.concat(F.when(F.col("lang") == "ru", "То же что ").otherwise("Also known as "), a)), ". "), F.lit("."))
@@ -73,7 +98,8 @@ def checked(entries: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def normalised(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(c), r"(?U)\s+", " "))
+    """Composed, case folded, single blanks."""
+    return F.trim(F.regexp_replace(casefold(c), r"(?U)\s+", " "))
 
 
 def match_terms(queries: DataFrame, entries: DataFrame) -> DataFrame:
@@ -94,8 +120,8 @@ def match_terms(queries: DataFrame, entries: DataFrame) -> DataFrame:
 
 def work_boosts(matches: DataFrame, entries: DataFrame, default: float = 1.5) -> DataFrame:
     """query_id, work, factor: the largest factor of a work over the matched entries."""
-    works = checked(entries).select("entry", F.explode("works").alias("work"), F.coalesce("boost", F.lit(default)).alias("factor"))
-    return matches.join(F.broadcast(works), "entry").groupBy("query_id", "work").agg(F.max("factor").alias("factor"))
+    works = entries.select("entry", F.explode("works").alias("work"), F.coalesce("boost", F.lit(default)).alias("factor"))
+    return matches.join(works, "entry").groupBy("query_id", "work").agg(F.max("factor").alias("factor"))
 
 
 def lexical_aliases(matches: DataFrame, entries: DataFrame, most: int = 3) -> DataFrame:
@@ -115,57 +141,44 @@ def lexical_query(query: Column, aliases: Column) -> Column:
     return F.when(F.size(F.coalesce(aliases, F.array())) > 0, F.concat_ws(" or ", query, F.array_join(quoted, " or "))).otherwise(query)
 
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
-
-
-def _bare(word: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFD", word) if unicodedata.category(ch) != "Mn")
-
-
+@dataclass
 class Glossary:
-    """Lemmas with meanings, and spellings of them in Cyrillic. A word is looked up as Cyrillic, then as it is if it has marks, then without marks."""
-
-    def __init__(self, lemmas: dict[str, tuple[list[str], list[str]]], cyrillic: dict[str, str]) -> None:
-        self.lemmas, self.cyrillic = lemmas, cyrillic
-        self.bare: dict[str, str] = {}
-        for lemma in lemmas:
-            self.bare.setdefault(_bare(lemma), lemma)
-
-    def find(self, word: str) -> str | None:
-        if word in self.cyrillic:
-            return self.cyrillic[word]
-        bare = _bare(word)
-        if bare == word:
-            return None
-        return word if word in self.lemmas else self.bare.get(bare)
-
-    def expand(self, query: str, meanings: int = 1, terms: int = 5) -> str:
-        """The query with, for each of its first known words, the lemma and its first meanings in two languages, as far as they aren't there."""
-        words = [w.lower() for w in _TOKEN.findall(unicodedata.normalize("NFC", query))]
-        seen, added, known = set(words), [], 0
-        for w in words:
-            lemma = self.find(w) if known < terms else None
-            if lemma is None:
-                continue
-            known += 1
-            en, ru = self.lemmas.get(lemma, ((), ()))
-            for extra in [lemma, *list(en)[:meanings], *list(ru)[:meanings]]:
-                if extra.lower() not in seen:
-                    seen.add(extra.lower())
-                    added.append(extra)
-        return " ".join([query, *added])
+    """Lemmas (lemma, meanings_en, meanings_ru; lower case, each once) and spellings of them in Cyrillic (word, lemma)."""
 
+    lemmas: DataFrame
+    cyrillic: DataFrame | None = None
 
-def expand_glossary(queries: DataFrame, glossary: Glossary, meanings: int = 1, terms: int = 5) -> DataFrame:
-    """``queries`` with query expanded. The order in which words add to what is already there is a fold; it runs over Arrow batches."""
-    sent = queries.sparkSession.sparkContext.broadcast(glossary)
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda q: sent.value.expand(q, meanings, terms), na_action="ignore")
+def expand_glossary(queries: DataFrame, glossary: Glossary, meanings: int = 1, terms: int = 5) -> DataFrame:
+    """``queries`` (query_id, query, …) with query followed by the lemmas of its first known words and their first meanings in both languages, as far as they aren't there.
 
-    return queries.withColumn("query", run("query"))
+    A word is looked up as a Cyrillic spelling; else, if it has marks, as a
+    lemma with them, then without them. The lookups are joins of the words with
+    the glossary, a checked list. Words that come twice count twice among the
+    first; what is appended comes once, whatever its case.
+    """
+    words = tokenize(nfc(F.coalesce("query", F.lit(""))))
+    asked = queries.select("query_id", words.alias("words"))
+    each = asked.select("query_id", F.posexplode("words").alias("pos", "w")).withColumn("bare", strip_diacritics("w"))
+    lemmas = checked(glossary.lemmas).select(F.col("lemma").alias("exact"))
+    bare = lemmas.groupBy(strip_diacritics("exact").alias("bare")).agg(F.min("exact").alias("by_bare"))
+    looked = each.join(F.broadcast(lemmas), each["w"] == lemmas["exact"], "left").join(F.broadcast(bare), "bare", "left")
+    lemma = F.when(F.col("w") != F.col("bare"), F.coalesce("exact", "by_bare"))
+    if glossary.cyrillic is not None:
+        spelled = checked(glossary.cyrillic).groupBy(F.col("word").alias("w")).agg(F.first("lemma").alias("cyrillic"))
+        looked = looked.join(F.broadcast(spelled), "w", "left")
+        lemma = F.coalesce("cyrillic", lemma)
+    known = looked.select("query_id", "pos", lemma.alias("lemma")).where("lemma IS NOT NULL")
+    known = known.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))).where(F.col("n") <= terms)
+    none = F.array().cast("array<string>")
+    says = checked(glossary.lemmas).select("lemma", F.concat(*(F.slice(F.coalesce(c, none), 1, meanings) for c in ("meanings_en", "meanings_ru"))).alias("said"))
+    added = known.join(F.broadcast(says), "lemma", "left").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("n", F.concat(F.array("lemma"), F.coalesce("said", none)).alias("x")))).alias("found"))
+    added = added.join(asked, "query_id").withColumn("all", F.flatten(F.transform("found", lambda f: f["x"])))
+    low = F.transform("all", lambda x: F.lower(x))
+    new = F.filter("all", lambda x, i: (F.array_position(low, F.lower(x)) == i + 1) & ~F.array_contains("words", F.lower(x)))
+    extra = added.select("query_id", F.array_join(new, " ").alias("extra"))
+    out = queries.join(extra, "query_id", "left")
+    return out.withColumn("query", F.concat_ws(" ", "query", F.nullif(F.col("extra"), F.lit("")))).select(*queries.columns)
 
 
 def merged_lemmas(raw: DataFrame, most: int = 5) -> DataFrame:

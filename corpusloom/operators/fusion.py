@@ -60,6 +60,6 @@ def rerank(hits: DataFrame, score: Column, top_k: int) -> DataFrame:
 
 
 def overlap_score(query: Column, text: Column) -> Column:
-    """Default pair scorer without a model: Jaccard overlap of the words of both."""
+    """A pair scorer without a model: Jaccard overlap of the words of both."""
     a, b = F.array_distinct(F.split(F.lower(query), r"\W+")), F.array_distinct(F.split(F.lower(text), r"\W+"))
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))

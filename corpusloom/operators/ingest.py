@@ -28,11 +28,13 @@ def stable_id(*parts: F.Column | str) -> F.Column:
     return F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 32)
 
 
-def load_segments(spark: SparkSession, root: str, instances: DataFrame, languages: DataFrame, works: DataFrame | None = None, tradition: str = "early", license: str = "unknown", collection: str | None = None) -> Loaded:
+def load_segments(spark: SparkSession, root: str, instances: DataFrame, languages: DataFrame, works: DataFrame | None = None, tradition: str = "early", license: str = "unknown", collection: str | None = None, authors: DataFrame | None = None) -> Loaded:
     """Translations of a tree of segment files.
 
     A file whose bytes an instance has already is skipped. A language the table
-    ``languages`` (code) doesn't know raises before anything is made. Works that
+    ``languages`` (code) doesn't know, or an author that ``authors`` (slug)
+    doesn't, raises before anything is made. Works get the title of the root
+    text as their Pali title where the tree has one. Works that
     are there stay as they are. Texts are brought to one form and empty segments
     left out before they are chunked; the sequence of an instance runs through
     parents and their children.
@@ -41,10 +43,15 @@ def load_segments(spark: SparkSession, root: str, instances: DataFrame, language
     unknown = found.where(F.col("language_code").isNull()).select(F.col("language").alias("code")).unionByName(sinks.unknown_codes(found, "language_code", languages, "code").select(F.col("language_code").alias("code"))).distinct().limit(20).collect()
     if unknown:
         raise ValueError(f"unknown languages: {sorted(r['code'] for r in unknown)}")
+    if authors is not None:
+        strangers = sinks.unknown_codes(found, "author", authors, "slug").limit(20).collect()
+        if strangers:
+            raise LookupError(f"unknown authors: {sorted(r['author'] for r in strangers)}")
     fresh = sinks.new_files(found, instances.select("content_hash"))
+    roots = files.root_titles(fresh, files.segment_files(spark, root, kind="root", language="pli", author="ms"))
     titled = files.titles(files.segments(fresh))
-    rows = fresh.join(titled, "uid").withColumn("work_id", stable_id(F.col("uid"))).withColumn("expression_id", stable_id(F.col("uid"), F.col("author"), F.col("language_code"))).withColumn("instance_id", stable_id(F.col("content_hash")))
-    new_works = rows.select(F.col("work_id").alias("id"), F.col("uid").alias("canonical_id"), "title", F.lit(tradition).alias("tradition_code"), F.lit("canonical").alias("source_type"), F.to_json(F.struct("collection")).alias("metadata_json"))
+    rows = fresh.join(titled.drop("uid"), "path").join(roots.drop("uid"), "path").withColumn("work_id", stable_id(F.col("uid"))).withColumn("expression_id", stable_id(F.col("uid"), F.col("author"), F.col("language_code"))).withColumn("instance_id", stable_id(F.col("content_hash")))
+    new_works = rows.select(F.col("work_id").alias("id"), F.col("uid").alias("canonical_id"), "title", F.col("root_title").alias("title_pali"), F.lit(tradition).alias("tradition_code"), F.lit("canonical").alias("source_type"), F.to_json(F.struct("collection")).alias("metadata_json"))
     if works is not None:
         new_works = sinks.insert_absent(works.select("canonical_id"), new_works, ["canonical_id"])
     expressions = rows.select(F.col("expression_id").alias("id"), "work_id", F.col("author").alias("author_id"), "language_code", "title", F.lit(license).alias("license")).dropDuplicates(["id"])

@@ -1,79 +1,135 @@
 """Lexical search over a batch of queries: index, query grammar, matching, scores.
 
-The index is a table of postings (term, chunk_id, positions), built once and
-partitioned by term. Queries are small and bounded by their number, so their
-terms prune the postings before anything is shuffled; from then on the work is
-proportional to the postings of the queries' terms.
+The index is written once and read by every batch: postings (term, chunk_id, n,
+tf, positions) in folders by a hash of the term, sorted by term, and the
+frequencies of the terms. Queries are small and bounded by their number, so
+their terms prune the postings before anything is shuffled; from then on the
+work is proportional to the postings of the queries' terms, and texts are never
+read again.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import simple_terms
-from corpusloom.plans.materialize import materialize
+from corpusloom.functions.text import normalise_query, simple_terms
+from corpusloom.plans.materialize import keep, shared_folder
 
 #: Rows of queries or their terms that may be broadcast; more are shuffled.
 BROADCAST_TERMS = 100_000
+#: Folders of postings.
+BUCKETS = 32
 
 
 def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id", terms: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, tf, positions (from 1) of each term of each chunk, and the number n of the chunk's terms.
+    """term, chunk_id, n, tf, positions (from 1) of each term of each chunk; n is the number of the chunk's terms.
 
-    With ``terms`` (query_id, term) only postings of those terms are made: they
-    prune the words of a chunk where it is read, before anything is shuffled.
+    Chunks that come twice are one: positions are sets, so it needs no pass over
+    texts to drop the copies. With ``terms`` (query_id, term) only postings of
+    those terms are made, pruned where a chunk is read.
     """
     words = chunks.select(F.col(key).alias("chunk_id"), simple_terms(F.col(text)).alias("w"))
     each = words.select("chunk_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
     if terms is not None:
         each = each.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi")
-    return each.groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list(F.col("pos") + 1)).alias("positions"))
+    found = each.groupBy("term", "chunk_id", "n").agg(F.sort_array(F.collect_set(F.col("pos") + 1)).alias("positions"))
+    return found.select("term", "chunk_id", "n", F.size("positions").alias("tf"), "positions")
 
 
-def frequencies(chunks: DataFrame, terms: DataFrame | None = None, text: str = "text", key: str = "chunk_id") -> DataFrame:
-    """The same without positions, for scorers that need none: counts are added up in part before they are shuffled."""
-    words = chunks.select(F.col(key).alias("chunk_id"), simple_terms(F.col(text)).alias("w"))
-    each = words.select("chunk_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    if terms is not None:
-        each = each.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi")
-    return each.groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"))
+def frequencies(rows: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
+    """``key``, term, tf of each term of each row, without an index; counts are added up in part before they are shuffled."""
+    return rows.select(key, F.explode(simple_terms(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def collection_stats(chunks: DataFrame, text: str = "text") -> tuple[int, float]:
-    """Number of chunks that have terms, and their mean number of terms."""
-    r = chunks.select(F.size(simple_terms(F.col(text))).alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).head()
-    return r["docs"] or 0, r["mean"] or 1.0
+@dataclass
+class Index:
+    """A stored index: postings, term frequencies (term, df), number of chunks that have terms, and their mean number of terms."""
 
+    postings: DataFrame
+    terms: DataFrame
+    docs: int
+    mean: float
+    buckets: int = BUCKETS
 
-@dataclass(frozen=True)
-class Clause:
-    """One alternative of a query: phrases that must all be there (a single word is a phrase of one), phrases that must not."""
-
-    must: tuple[tuple[str, ...], ...] = ()
-    never: tuple[tuple[str, ...], ...] = ()
-
-
-def parse_query(query: str, words=re.compile(r"[^\W_]+")) -> list[Clause]:
-    """Words are joined by AND, "…" is a phrase, ``or`` separates alternatives and binds loosest, ``-`` excludes. Anything can be parsed."""
-    clauses, must, never = [], [], []
-    for quoted, plain in re.findall(r'(-?"[^"]*"?)|(\S+)', query):
-        item = quoted or plain
-        if plain and plain.lower() == "or":
-            clauses.append(Clause(tuple(must), tuple(never)))
-            must, never = [], []
-            continue
-        out = item.startswith("-") and len(item) > 1
-        phrase = tuple(w.lower() for w in words.findall(item))
-        if phrase:
-            (never if out else must).append(phrase)
-    clauses.append(Clause(tuple(must), tuple(never)))
-    return [c for c in clauses if c.must]
+    def of(self, terms: DataFrame) -> DataFrame:
+        """Postings of the given terms (a bounded frame with term): only the folders that may have them are listed, and only their rows leave the scan."""
+        rows = self.postings
+        wanted = terms.select("term").distinct()
+        if getattr(terms, "_bounded", False):
+            folders = [r[0] for r in wanted.select(_bucket(self.buckets)).distinct().collect()]  # at most as many as there are folders
+            if len(folders) < self.buckets:
+                rows = rows.where(F.col("bucket").isin(folders))
+        return rows.drop("bucket").join(_hint(wanted, terms), "term", "left_semi")
+
+
+_STORED = "term STRING, chunk_id STRING, n INT, tf INT, positions ARRAY<INT>, bucket INT"
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def build_index(chunks: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> Index:
+    """The index of chunks (chunk_id, text), written to ``path`` (by default a folder of the session's own in the shared one).
+
+    One shuffle of term occurrences with sets built up in part before it; a
+    folder that frequent terms make large is split over tasks by the planner.
+    """
+    spark = chunks.sparkSession
+    at = path or f"{shared_folder(spark)}/corpusloom-index-{uuid.uuid4().hex}"
+    made = postings(chunks).withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    made.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
+    if path is None:
+        keep(spark, at)
+    stored = spark.read.schema(_STORED).parquet(f"{at}/postings")
+    stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{at}/terms")
+    stored.groupBy("chunk_id").agg(F.first("n").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{at}/stats")
+    return open_index(spark, at, buckets)
+
+
+def open_index(spark: SparkSession, path: str, buckets: int = BUCKETS) -> Index:
+    r = spark.read.parquet(f"{path}/stats").head()
+    return Index(spark.read.schema(_STORED).parquet(f"{path}/postings"), spark.read.schema("term STRING, df LONG").parquet(f"{path}/terms"), r["docs"] or 0, r["mean"] or 1.0, buckets)
+
+
+# ---- grammar
+
+
+def parsed(queries: DataFrame) -> DataFrame:
+    """query_id, clause, i, never, words: the phrases of each query (query_id, query).
+
+    A query is folded like the index first. Words are joined by AND, "…" is a
+    phrase, ``or`` separates alternatives (clauses) and binds loosest, ``-``
+    excludes. Anything can be parsed; a clause without a wanted phrase matches
+    nothing.
+    """
+    items = F.regexp_extract_all(normalise_query(F.col("query")), F.lit(r'(-?"[^"]*"?|\S+)'), F.lit(1))
+    each = queries.select("query_id", items.alias("items")).select("query_id", "items", F.posexplode("items").alias("i", "item"))
+    clause = F.size(F.filter(F.slice("items", 1, F.col("i") + 1), lambda x: x == "or"))
+    rows = each.where("item <> 'or'").select("query_id", clause.alias("clause"), "i", (F.col("item").startswith("-") & (F.length("item") > 1)).alias("never"), simple_terms(F.col("item")).alias("words"))
+    return _bounded_like(rows.where(F.size("words") > 0), queries)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, term: the words that a query's phrases need or exclude, to prune postings."""
+    return _bounded_like(parsed(queries).select("query_id", F.explode("words").alias("term")).distinct(), queries)
+
+
+def tokens(sparse: DataFrame) -> DataFrame:
+    """query_id, term of sparse queries (query_id, token), to prune postings."""
+    return _bounded_like(sparse.select("query_id", F.col("token").alias("term")), sparse)
+
+
+def _bounded_like(df: DataFrame, of: DataFrame) -> DataFrame:
+    df._bounded = getattr(of, "_bounded", False)
+    return df
 
 
 def _contains(positions: dict[str, list[int]], phrase: tuple[str, ...]) -> bool:
@@ -114,20 +170,6 @@ class Bm25:
     stop: frozenset = field(default_factory=frozenset)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, term: the words that a query's alternatives need or exclude, to prune postings."""
-    out = queries.select("query_id", F.explode(F.array_distinct(simple_terms(F.col("query")))).alias("term")).where("term <> 'or'")
-    out._bounded = getattr(queries, "_bounded", False)
-    return out
-
-
-def tokens(sparse: DataFrame) -> DataFrame:
-    """query_id, term of sparse queries (query_id, token), to prune postings."""
-    out = sparse.select("query_id", F.col("token").alias("term"))
-    out._bounded = getattr(sparse, "_bounded", False)
-    return out
-
-
 def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     """A small frame, such as the queries of a batch, as a local table that joins may broadcast: read once, its rows counted. A larger one comes back as it is, and is shuffled."""
     rows = df.limit(most + 1).toArrow()
@@ -143,66 +185,65 @@ def _hint(df: DataFrame, of: DataFrame) -> DataFrame:
     return F.broadcast(df) if getattr(of, "_bounded", False) else df
 
 
-def match(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score of the chunks that each query matches, by the grammar of ``parse_query`` and cover density.
+def match(queries: DataFrame, index: Index) -> DataFrame:
+    """query_id, chunk_id, score of the chunks that each query matches, by the grammar of ``parsed`` and cover density.
 
-    Candidates of a query come grouped per chunk with the positions of its terms
-    only; blank queries match nothing.
+    Candidates of a clause are the postings of its rarest wanted word; only of
+    those the other words are looked up. Positions are compared for candidates
+    that have all wanted words, the score of a chunk is the sum over the clauses
+    it matches. Blank queries match nothing.
     """
-    found = index.join(_hint(query_terms(queries), queries), "term").groupBy("query_id", "chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions"))
-    found = found.join(_hint(queries.select("query_id", "query"), queries), "query_id")
+    phrases = bounded(parsed(queries))
+    words = phrases.select("query_id", "clause", "never", F.explode("words").alias("term"))
+    need = words.groupBy("query_id", "clause", "term").agg(F.bool_and("never").alias("never"))
+    sized = need.join(_hint(index.terms.join(_hint(need.select("term").distinct(), phrases), "term", "left_semi"), phrases), "term", "left")
+    wanted = sized.where(~F.col("never")).groupBy("query_id", "clause").agg(F.count("*").alias("needed"), F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known").drop("known")
+    need, wanted = bounded(need.join(wanted.select("query_id", "clause", "needed"), ["query_id", "clause"])), bounded(wanted)
+    rows = index.of(_bounded_like(need.select("term"), need))
+    candidates = rows.select("term", "chunk_id").join(_hint(wanted, wanted), "term").select("query_id", "clause", "chunk_id")
+    looked_up = candidates.join(_hint(need, need), ["query_id", "clause"]).join(rows.select("term", "chunk_id", "positions"), ["chunk_id", "term"])
+    grouped = looked_up.groupBy("query_id", "clause", "chunk_id", "needed").agg(F.count_if(~F.col("never")).alias("has"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions")).where("has = needed")
+    specs = phrases.groupBy("query_id", "clause").agg(F.collect_list(F.when(~F.col("never"), F.col("words"))).alias("must"), F.collect_list(F.when(F.col("never"), F.col("words"))).alias("bad"))
 
     def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parsed: dict[str, list[Clause]] = {}
         for f in frames:
-            keep, scores = [], []
-            for i, (q, positions) in enumerate(zip(f["query"], f["positions"])):
+            keep_, scores = [], []
+            for i, (must, bad, positions) in enumerate(zip(f["must"], f["bad"], f["positions"])):
                 positions = {k: list(v) for k, v in dict(positions).items()}
-                clauses = parsed.get(q)
-                if clauses is None:
-                    clauses = parsed[q] = parse_query(q)
-                hit = [c for c in clauses if all(_contains(positions, p) for p in c.must) and not any(_contains(positions, p) for p in c.never)]
-                if hit:
-                    keep.append(i)
-                    scores.append(sum(cover_density(positions, {w for p in c.must for w in p}) for c in hit))
-            out = f.iloc[keep][["query_id", "chunk_id"]].copy()
+                if all(_contains(positions, tuple(p)) for p in must) and not any(_contains(positions, tuple(p)) for p in bad):
+                    keep_.append(i)
+                    scores.append(cover_density(positions, {w for p in must for w in p}))
+            out = f.iloc[keep_][["query_id", "chunk_id"]].copy()
             out["score"] = scores
             yield out
 
-    return found.select("query_id", "chunk_id", "query", "positions").mapInPandas(judge, "query_id STRING, chunk_id STRING, score DOUBLE")
+    hits = grouped.join(_hint(specs, phrases), ["query_id", "clause"]).select("query_id", "chunk_id", "must", "bad", "positions").mapInPandas(judge, "query_id STRING, chunk_id STRING, score DOUBLE")
+    return hits.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
-def match_all(terms: DataFrame, index: DataFrame) -> DataFrame:
+def match_all(terms: DataFrame, index: Index) -> DataFrame:
     """Chunks with all terms of a query, and 0.1 x the sum of their frequencies: the form that needs no Python. ``terms``: query_id, term (distinct)."""
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = index.join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    hits = index.of(terms).join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
     return hits.join(_hint(needed, terms), "query_id").where("n = needed").select("query_id", "chunk_id", (F.col("tf") * F.lit(0.1)).alias("score"))
 
 
-def match_any(terms: DataFrame, index: DataFrame) -> DataFrame:
-    return index.join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
-
-
-def match_phrase(pairs: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks in which ``second`` follows ``first``, and how often. ``pairs``: query_id, first, second."""
-    a = index.join(_hint(pairs.withColumnRenamed("first", "term"), pairs), "term").select("query_id", "chunk_id", F.explode("positions").alias("p"))
-    b = index.join(_hint(pairs.withColumnRenamed("second", "term"), pairs), "term").select("query_id", "chunk_id", F.explode(F.transform("positions", lambda x: x - 1)).alias("p"))
-    return a.join(b, ["query_id", "chunk_id", "p"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"))
+def match_any(terms: DataFrame, index: Index) -> DataFrame:
+    return index.of(terms).join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
 
 
-def match_without(wanted: DataFrame, unwanted: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks with a query's wanted terms and none of its unwanted ones."""
-    bad = index.join(_hint(unwanted, unwanted), "term").select("query_id", "chunk_id")
-    return match_all(wanted, index).join(bad, ["query_id", "chunk_id"], "left_anti")
+def match_without(hits: DataFrame, unwanted: DataFrame, index: Index) -> DataFrame:
+    """Hits (query_id, chunk_id, …) without chunks that have one of the query's unwanted terms (query_id, term)."""
+    bad = index.of(unwanted).join(_hint(unwanted, unwanted), "term").select("query_id", "chunk_id")
+    return hits.join(bad, ["query_id", "chunk_id"], "left_anti")
 
 
-def bm25(terms: DataFrame, index: DataFrame, docs: int, mean: float, options: Bm25 = Bm25()) -> DataFrame:
-    """True BM25 (k1, b, inverse document frequency) as a scorer of its own. ``index`` as of ``frequencies``, ``docs`` and ``mean`` as of ``collection_stats``."""
-    hits = materialize(index.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi").select("term", "chunk_id", "n", "tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per chunk and term; as many rows as the queries have terms
-    idf = F.log(1 + (F.lit(docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * (1 - options.b + options.b * F.col("n") / mean))
-    return hits.join(_hint(df, terms), "term").join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
+def bm25(terms: DataFrame, index: Index, options: Bm25 = Bm25()) -> DataFrame:
+    """True BM25 (k1, b, inverse document frequency) as a scorer of its own, in one pass over the postings of the terms (query_id, term)."""
+    asked = _bounded_like(terms.join(_hint(index.terms.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi"), terms), "term"), terms)
+    idf = F.log(1 + (F.lit(index.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * (1 - options.b + options.b * F.col("n") / index.mean))
+    return index.of(terms).join(_hint(asked, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -220,8 +261,7 @@ def in_corpora(chunks: DataFrame, source_types: list[str] | None) -> DataFrame:
     return chunks.where(F.col("source_type").isin(source_types)) if source_types else chunks
 
 
-def search(spark: SparkSession, queries: DataFrame, chunks: DataFrame, limit: int = 10, include_parents: bool = False, source_types: list[str] | None = None) -> DataFrame:
-    """The whole channel: filters before ranking, then index, match and the best ``limit`` of each query."""
-    kept = in_corpora(children_only(chunks, include_parents), source_types)
-    asked = bounded(queries.where(F.trim("query") != ""))
-    return top_k(match(asked, postings(kept, terms=query_terms(asked))), limit)
+def search(queries: DataFrame, index: Index, limit: int = 10, kept: DataFrame | None = None) -> DataFrame:
+    """The whole channel: match and the best ``limit`` of each query; with ``kept`` (chunk_id) only chunks among those, filtered before they are ranked."""
+    hits = match(bounded(queries.where(F.trim("query") != "")), index)
+    return top_k(hits.join(kept.select("chunk_id"), "chunk_id", "left_semi") if kept is not None else hits, limit)

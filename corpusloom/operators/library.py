@@ -44,22 +44,46 @@ def best_expressions(expressions: DataFrame) -> DataFrame:
 
 def document(works: DataFrame, expressions: DataFrame, instances: DataFrame, chunks: DataFrame, canonical_ids: DataFrame) -> DataFrame:
     """Paragraphs in order of the works asked for (canonical_id): parents of the latest instance of the best expression."""
-    w = once(works, "id").join(F.broadcast(canonical_ids.distinct()), "canonical_id", "left_semi").select(F.col("id").alias("work_id"), "canonical_id", "title")
+    w = once(works, "id").join(canonical_ids.distinct(), "canonical_id", "left_semi").select(F.col("id").alias("work_id"), "canonical_id", "title")
     e = best_expressions(expressions).select(F.col("id").alias("expression_id"), "work_id", "language_code", "license")
     i = latest_instances(once(instances, "id"))
     c = once(chunks.where("is_parent"), "id").select("instance_id", "sequence", "segment_id", "text")
     return c.join(w.join(e, "work_id").join(i, "expression_id"), "instance_id").select("canonical_id", "title", "language_code", "license", "sequence", "segment_id", "text")
 
 
+def by_author(works: DataFrame, expressions: DataFrame, author: str) -> DataFrame:
+    """Works that have an expression of the author (a teacher)."""
+    return works.join(expressions.where(F.col("author_id") == author).select(F.col("work_id").alias("id")), "id", "left_semi")
+
+
+def with_author(expressions: DataFrame, authors_: DataFrame) -> DataFrame:
+    """Expressions with the slug and name of their author (authors: id, slug, name), null where there is none or it isn't known."""
+    a = once(authors_, "id").select(F.col("id").alias("author_id"), F.col("slug").alias("author_slug"), F.col("name").alias("author_name"))
+    return expressions.join(a, "author_id", "left")
+
+
+def cards(hits: DataFrame, chunks: DataFrame, instances: DataFrame, expressions: DataFrame, works: DataFrame, authors_: DataFrame | None = None) -> DataFrame:
+    """Hits (query_id, chunk_id, rank) with what a card shows: title, context sentence, language, translator; hits whose chunk isn't in the catalogue are dropped."""
+    e = once(expressions, "id")
+    e = with_author(e, authors_) if authors_ is not None else e.withColumn("author_name", F.col("author_id"))
+    w = once(works, "id").select(F.col("id").alias("work_id"), F.col("canonical_id").alias("work"), F.col("title").alias("work_title"))
+    e = e.select(F.col("id").alias("expression_id"), "work_id", "language_code", F.col("author_name").alias("translator"))
+    i = once(instances, "id").select(F.col("id").alias("instance_id"), "expression_id")
+    c = hits.join(chunks.select(F.col("id").alias("chunk_id"), "instance_id", "context_text"), "chunk_id").dropDuplicates(["query_id", "chunk_id"])
+    return c.join(i, "instance_id").join(e, "expression_id").join(w, "work_id").select("query_id", "chunk_id", "rank", "work", "work_title", "context_text", "language_code", "translator")
+
+
 def page(works: DataFrame, limit: int = 50, offset: int = 0, source_type: str | None = None) -> DataFrame:
     """A page of works: latest date first, unknown dates last, then by canonical id; with the total beside each row."""
     if not (1 <= limit <= 200 and offset >= 0):
         raise ValueError("limit must be within 1 and 200, offset not negative")
     rows = once(works, "id")
     rows = rows.where(F.col("source_type") == source_type) if source_type else rows
-    total = rows.count()
+    # The page is cut by a distributed top-k; only then the total is put beside its rows.
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))
     date = F.nullif(F.get_json_object("metadata_json", "$.date"), F.lit(""))
-    return rows.select("canonical_id", "title", date.alias("date"), F.lit(total).cast("long").alias("total")).orderBy(F.col("date").desc_nulls_last(), "canonical_id").offset(offset).limit(limit)
+    shown = rows.select("canonical_id", "title", date.alias("date")).orderBy(F.col("date").desc_nulls_last(), "canonical_id").offset(offset).limit(limit)
+    return shown.join(total, F.lit(True)).orderBy(F.col("date").desc_nulls_last(), "canonical_id")
 
 
 def authors(expressions: DataFrame, works: DataFrame) -> DataFrame:

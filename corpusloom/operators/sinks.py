@@ -35,7 +35,7 @@ def new_files(files: DataFrame, loaded: DataFrame) -> DataFrame:
 
 def unknown_codes(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
     """Values of a column that a small table doesn't know, with their number: a load stops if there are any."""
-    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).join(F.broadcast(known.select(F.col(key).alias(column))), column, "left_anti")
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).join(known.select(F.col(key).alias(column)), column, "left_anti")
 
 
 def changed_texts(chunks: DataFrame, canonical: Callable, fold: Callable) -> DataFrame:

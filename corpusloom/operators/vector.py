@@ -1,8 +1,9 @@
 """Dense and sparse search over a batch of queries, and encoders.
 
 Dense search is exact and runs in blocks: each Arrow batch of the corpus meets
-each block of queries in one matrix product, and only the best k of a batch
-leave it. Blocks of queries are of bounded size, so what is broadcast is too.
+a block of queries in one matrix product, and only the best k of a batch leave
+it. Blocks of queries are of bounded size, so what is sent to the tasks is too,
+however many queries there are.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Queries of one block, and queries that may be sent to the corpus at all.
-QUERY_BLOCK, BROADCAST_QUERIES = 4096, 65_536
+#: Queries that are sent to the corpus at once; more take another pass over the corpus, and so on.
+QUERY_BLOCK = 8192
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,59 +60,35 @@ def _best(ids: list, queries: np.ndarray, docs: pa.Array, corpus: np.ndarray, k:
     return pa.RecordBatch.from_arrays([pa.array(out_q), docs.take(pa.array(np.concatenate(out_d))), pa.array(np.concatenate(out_s))], names=["query_id", "doc_id", "score"])
 
 
-def _blocks(df: DataFrame, key: str) -> DataFrame:
-    """Rows of vectors as blocks: one row per Arrow batch, its keys and its unit vectors as bytes."""
-    kind = df.schema[key].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                ids = pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([_unit(_matrix(b.column(1))).tobytes()], pa.binary()), pa.array([len(b)])], names=["keys", "bytes", "n"])
-
-    return df.select(key, "vector").mapInArrow(run, T.StructType([T.StructField("keys", T.ArrayType(kind)), T.StructField("bytes", T.BinaryType()), T.StructField("n", T.LongType())]))
-
-
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK, most: int = BROADCAST_QUERIES) -> DataFrame:
+def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, doc_id, score, rank: the k nearest by cosine, ties by id. ``queries``: query_id, vector; ``corpus``: doc_id, vector.
 
-    Up to ``most`` queries (counted) are sent to the corpus in blocks of
-    ``block``. More stay distributed: blocks of queries meet blocks of the
-    corpus, and of each pair of blocks only the k best leave. Vectors that are
-    null or empty find nothing and are not found.
+    Queries are divided by a hash of their id into blocks of about ``block``;
+    each block is sent to the corpus, and the driver holds one of them at a
+    time. Vectors that are null or empty find nothing and are not found.
     """
     spark = corpus.sparkSession
     there = "vector IS NOT NULL AND size(vector) > 0"
     asked, stored = queries.where(there).select("query_id", "vector"), corpus.where(there).select("doc_id", "vector")
     schema = T.StructType([queries.schema["query_id"], corpus.schema["doc_id"], T.StructField("score", T.DoubleType())])
-    table = asked.limit(most + 1).toArrow().combine_chunks()
-    if table.num_rows > most:
-        pairs = _blocks(asked, "query_id").select(F.struct("*").alias("q")).crossJoin(_blocks(stored, "doc_id").select(F.struct("*").alias("c")))
-
-        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = max(1, -(-asked.count() // block))
+    parts = []
+    for i in range(n):
+        table = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow().combine_chunks()
+        if not table.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((table.column("query_id").to_pylist(), _unit(_matrix(table.column("vector").combine_chunks()))))
+
+        def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for q, c in zip(b.column(0), b.column(1)):
-                    square = lambda x: np.frombuffer(x["bytes"].as_py()).reshape(x["n"].as_py(), -1)
-                    yield _best(q["keys"].as_py(), square(q), c["keys"].values, square(c), k, digits)
-
-        hits = pairs.select("q", "c").mapInArrow(meet, schema)
-    else:
-        parts = []
-        for at in range(0, table.num_rows, block):
-            part = table.slice(at, block)
-            sent = spark.sparkContext.broadcast((part.column("query_id").to_pylist(), _unit(_matrix(part.column("vector").combine_chunks()))))
-
-            def nearest(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    if len(b):
-                        yield _best(*sent.value, b.column(0), _unit(_matrix(b.column(1))), k, digits)
-
-            parts.append(stored.mapInArrow(nearest, schema))
-        if not parts:
-            return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
-        hits = reduce(DataFrame.unionByName, parts)
+                if len(b):
+                    yield _best(*sent.value, b.column(0), _unit(_matrix(b.column(1))), k, digits)
+
+        parts.append(stored.mapInArrow(nearest, schema))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("rank", T.IntegerType())]))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def sparse_top_k(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -136,19 +113,40 @@ def hashing_encoder(dim: int = 64) -> Callable[[str], list[float]]:
     return encode
 
 
-def encode(df: DataFrame, text: str, into: str, encoder: Callable[[str], list[float]]) -> DataFrame:
-    """``df`` with a vector of ``text``; null texts have none. An encoder that gives vectors of another number raises."""
+def encode(df: DataFrame, text: str, into: str, encoder: Callable, batched: bool = False) -> DataFrame:
+    """``df`` with a vector of ``text``; null texts have none. A ``batched`` encoder takes a list of texts; one that gives another number of vectors raises."""
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(encoder, na_action="ignore")
+            if not batched:
+                yield s.map(encoder, na_action="ignore")
+                continue
+            there = s.dropna()
+            got = list(encoder(there.tolist())) if len(there) else []
+            if len(got) != len(there):
+                raise RuntimeError(f"{len(there)} texts, {len(got)} vectors")
+            found = dict(zip(there.index, got))
+            yield pd.Series([found.get(i) for i in s.index], index=s.index, dtype=object)
 
     return df.withColumn(into, run(F.col(text)))
 
 
-def points(chunks: DataFrame, dense: str, sparse: str | None = None) -> DataFrame:
-    """Index rows of chunks: vectors and payload in one table, keyed by chunk."""
-    cols = ["chunk_id", F.col(dense).alias("dense"), *([F.transform_keys(F.col(sparse), lambda k, v: k.cast("int")).alias("sparse")] if sparse else [])]
+def hashed(frequencies: DataFrame, key: str, into: str = "vector", dim: int = 64) -> DataFrame:
+    """``key`` and a vector of each text from its terms (key, term, tf): every term adds its frequency, with a sign, at a place; both come from its MD5. No model, and nothing leaves the JVM."""
+    h = F.md5(F.col("term"))
+    place = F.pmod(F.conv(F.substring(h, 1, 4), 16, 10).cast("int"), F.lit(dim))
+    sign = F.when(F.substring(h, 5, 1) < "8", 1).otherwise(-1)
+    sums = frequencies.groupBy(key, place.alias("at")).agg(F.sum(sign * F.col("tf")).cast("double").alias("w"))
+    made = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "w"))).alias("m"))
+    return made.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias(into))
+
+
+def points(chunks: DataFrame, dense: str, sparse: str | None = None, dim: int | None = None) -> DataFrame:
+    """Index rows of chunks: vectors and payload in one table, keyed by chunk. A dense vector of another length than ``dim`` raises."""
+    vector_ = F.col(dense)
+    if dim is not None:
+        vector_ = F.when(vector_.isNull() | (F.size(vector_) == dim), vector_).otherwise(F.raise_error(F.concat(F.lit(f"not {dim} numbers in the vector of "), "chunk_id")))
+    cols = ["chunk_id", vector_.alias("dense"), *([F.transform_keys(F.col(sparse), lambda k, v: k.cast("int")).alias("sparse")] if sparse else [])]
     payload = [c for c in ("parent_chunk_id", "instance_id", "work_canonical_id", "segment_id", "sequence", "is_parent", "token_count", "source_type", "pericope_id") if c in chunks.columns]
     return chunks.select(*cols, *payload)

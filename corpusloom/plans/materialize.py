@@ -15,13 +15,16 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) is a temporary
-    folder taken and recorded in the session.
+    Only where the setting is absent and all executors are threads of this
+    machine is a temporary folder taken and recorded in the session; on a
+    cluster a missing setting raises, as each machine would write to itself.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -36,10 +39,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
+    keep(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """Remember a folder that is needed until the application ends (``release`` removes it earlier)."""
+    _written.append((spark, path))
+
+
+def release() -> None:
+    """Remove what was written so far, for sessions that live long; frames made of it can't be read any more."""
+    _remove()
+    _written.clear()
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:

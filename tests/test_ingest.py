@@ -5,6 +5,7 @@ import pytest
 from corpusloom.functions.register import register
 from corpusloom.operators import ingest
 from corpusloom.plans import requests
+from corpusloom.sources import files
 
 
 def tree(tmp_path, **texts):
@@ -41,6 +42,39 @@ def test_unknown_language_stops_the_load(spark, tmp_path):
         ingest.load_segments(spark, root, spark.createDataFrame([], "content_hash STRING"), spark.createDataFrame([("rus",)], "code STRING"))
 
 
+def test_two_translations_keep_their_titles(spark, tmp_path):
+    for lang, author, title in (("en", "one", "The Root"), ("de", "two", "Wurzel aller Dinge")):
+        at = tmp_path / f"translation/{lang}/{author}/sutta/mn"
+        at.mkdir(parents=True)
+        (at / f"mn1_translation-{lang}-{author}.json").write_text(json.dumps({"mn1:0.2": title, "mn1:1.1": "text"}))
+    at = tmp_path / "root/pli/ms/sutta/mn"
+    at.mkdir(parents=True)
+    (at / "mn1_root-pli-ms.json").write_text(json.dumps({"mn1:0.1": "Majjhima", "mn1:0.2": " Mūlapariyāya "}))
+    (tmp_path / "mn1_comment-en-one.json").write_text("{}")
+    got = ingest.load_segments(spark, str(tmp_path), spark.createDataFrame([], "content_hash STRING"), spark.createDataFrame([("eng",), ("deu",)], "code STRING"))
+    assert {r["title"] for r in got.expressions.collect()} == {"The Root", "Wurzel aller Dinge"}
+    assert [r["title_pali"] for r in got.works.collect()] == ["Mūlapariyāya"]
+    with pytest.raises(LookupError):
+        ingest.load_segments(spark, str(tmp_path), spark.createDataFrame([], "content_hash STRING"), spark.createDataFrame([("eng",), ("deu",)], "code STRING"), authors=spark.createDataFrame([("one",)], "slug STRING"))
+    with pytest.raises(Exception, match="not the name"):
+        files.segment_files(spark, str(tmp_path), strict=True).count()
+
+
+def test_glossary_is_built_and_read(spark, tmp_path):
+    for name, d in (("pali", {"1": "a|nt|x|y|dhamma 1", "2": "a|masc|x|y|dhamma 2.1", "3": "short|x", "4": "a||x|y|jhāna"}), ("en", {"1": "teaching; law", "2": "law|thing"}), ("ru", {"1": "учение"})):
+        (tmp_path / f"{name}.mjs").write_text(f"export const D = {json.dumps(d)};")
+    part = lambda n: files.script_module(spark, str(tmp_path / f"{n}.mjs"))
+    built = files.build_glossary(files.defined(files.parsed_entries(part("pali")), part("en"), part("ru")))
+    got = {r["lemma"]: (r["pos"], r["meanings_en"], r["meanings_ru"]) for r in built.collect()}
+    assert got == {"dhamma": (["masc", "nt"], ["teaching", "law", "thing"], ["учение"]), "jhāna": ([], [], [])}
+    (tmp_path / "cyrillic.yaml").write_text("- pali: dhamma\n  cyrillic: [Дхамма, дхарма]\n- pali: other\n  cyrillic: [дхамма]\n")
+    files.write_glossary(built, str(tmp_path / "lines"))
+    (tmp_path / "whole.json").write_text(json.dumps({"dhamma": {"lemma": "dhamma", "pos": ["nt"], "meanings_en": ["law"]}}))
+    for at in ("lines", "whole.json"):
+        lemmas, words = files.read_glossary(spark, str(tmp_path / at), str(tmp_path / "cyrillic.yaml"))
+        assert "dhamma" in {r["lemma"] for r in lemmas.collect()} and {tuple(r) for r in words.collect()} == {("дхамма", "dhamma"), ("дхарма", "dhamma")}
+
+
 def test_talks(spark, tmp_path):
     (tmp_path / "rb_12_on_love.txt").write_text("TRANSCRIPTION:\n" + "One sentence here. " * 30 + "\n\nGenerated by WhisperAI")
     none = spark.createDataFrame([], "content_hash STRING")

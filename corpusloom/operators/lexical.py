@@ -10,12 +10,9 @@ read again.
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +25,9 @@ BROADCAST_TERMS = 100_000
 BUCKETS = 32
 
 
-def postings(chunks: DataFrame, text: str = "text", key: str = "chunk_id", terms: DataFrame | None = None) -> DataFrame:
-    """term, chunk_id, n, tf, positions (from 1) of each term of each chunk; n is the number of the chunk's terms.
-
-    Chunks that come twice are one: positions are sets, so it needs no pass over
-    texts to drop the copies. With ``terms`` (query_id, term) only postings of
-    those terms are made, pruned where a chunk is read.
-    """
-    words = chunks.select(F.col(key).alias("chunk_id"), simple_terms(F.col(text)).alias("w"))
-    each = words.select("chunk_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
-    if terms is not None:
-        each = each.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi")
-    found = each.groupBy("term", "chunk_id", "n").agg(F.sort_array(F.collect_set(F.col("pos") + 1)).alias("positions"))
-    return found.select("term", "chunk_id", "n", F.size("positions").alias("tf"), "positions")
+def _occurrences(chunks: DataFrame) -> DataFrame:
+    words = chunks.select("chunk_id", simple_terms(F.col("text")).alias("w"))
+    return words.select("chunk_id", F.size("w").alias("n"), F.posexplode("w").alias("pos", "term"))
 
 
 def frequencies(rows: DataFrame, text: str = "text", key: str = "chunk_id") -> DataFrame:
@@ -79,18 +66,24 @@ def _bucket(buckets: int) -> Column:
 def build_index(chunks: DataFrame, path: str | None = None, buckets: int = BUCKETS) -> Index:
     """The index of chunks (chunk_id, text), written to ``path`` (by default a folder of the session's own in the shared one).
 
-    One shuffle of term occurrences with sets built up in part before it; a
-    folder that frequent terms make large is split over tasks by the planner.
+    One shuffle of term occurrences, by folder and a hash of the chunk, so that
+    a frequent term is spread over tasks; what it groups is what it writes.
+    Chunks that come twice are one: positions are sets, so no pass over texts is
+    needed to drop the copies.
     """
     spark = chunks.sparkSession
     at = path or f"{shared_folder(spark)}/corpusloom-index-{uuid.uuid4().hex}"
-    made = postings(chunks).withColumn("bucket", _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(-(-parts // buckets))).cast("int").alias("salt")
+    spread = _occurrences(chunks).select("term", "chunk_id", "n", "pos", _bucket(buckets), salt).repartition("bucket", "salt")
+    made = spread.groupBy("bucket", "salt", "term", "chunk_id", "n").agg(F.sort_array(F.collect_set(F.col("pos") + 1)).alias("positions"))
+    made = made.select("term", "chunk_id", "n", F.size("positions").alias("tf"), "positions", "bucket").sortWithinPartitions("bucket", "term")
     made.write.mode("overwrite").partitionBy("bucket").parquet(f"{at}/postings")
     if path is None:
         keep(spark, at)
     stored = spark.read.schema(_STORED).parquet(f"{at}/postings")
     stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{at}/terms")
-    stored.groupBy("chunk_id").agg(F.first("n").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{at}/stats")
+    stored.groupBy("chunk_id").agg(F.max("n").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean")).write.mode("overwrite").parquet(f"{at}/stats")
     return open_index(spark, at, buckets)
 
 
@@ -132,35 +125,31 @@ def _bounded_like(df: DataFrame, of: DataFrame) -> DataFrame:
     return df
 
 
-def _contains(positions: dict[str, list[int]], phrase: tuple[str, ...]) -> bool:
-    if len(phrase) == 1:
-        return phrase[0] in positions
-    first = set(positions.get(phrase[0], ()))
-    for i, w in enumerate(phrase[1:], 1):
-        first &= {p - i for p in positions.get(w, ())}
-    return bool(first)
+def _holds(positions: Column, phrase: Column) -> Column:
+    """Whether words stand on end somewhere; ``positions`` of all of them by word. A word that isn't there has none."""
+    none = F.array().cast("array<int>")
+    of = lambda w: F.coalesce(F.try_element_at(positions, w), none)
+    there = lambda at: F.forall(F.transform(phrase, lambda w, i: F.array_contains(of(w), at + i)), lambda x: x)
+    return F.exists(of(F.get(phrase, F.lit(0))), there)
 
 
-def cover_density(positions: dict[str, list[int]], terms: set[str], weight: float = 0.1) -> float:
+def cover_density(positions: Column, terms: Column, weight: float = 0.1) -> Column:
     """Sum over the minimal covers of the terms of weight x terms' share of the cover, after Clarke, Cormack and Tudhope (2000).
 
     A cover is a shortest stretch that holds all terms; one with n - m extra
     words between its m terms counts weight / (1 + extra). A single term so has
-    weight x its frequency.
+    weight x its frequency. Positions are taken in order; the last place of each
+    term is kept, and the first of these is where a cover begins.
     """
-    if not terms or any(t not in positions for t in terms):
-        return 0.0
-    events = sorted((p, t) for t in terms for p in positions[t])
-    last: dict[str, int] = {}
-    score, before = 0.0, -1
-    for p, t in events:
-        last[t] = p
-        if len(last) == len(terms):
-            start = min(last.values())
-            if start > before:
-                score += weight / (1 + (p - start + 1 - len(terms)))
-                before = start
-    return score
+    m = F.size(terms)
+    events = F.array_sort(F.flatten(F.transform(terms, lambda t, i: F.transform(F.try_element_at(positions, t), lambda p: F.struct(p.alias("p"), i.alias("i"))))))
+    state = F.struct(F.array_repeat(F.lit(0), m).alias("last"), F.lit(0).alias("p"), F.lit(0).alias("start"), F.lit(0.0).alias("score"))
+    gain = lambda s: F.when(F.array_min(s["last"]) > s["start"], weight / (1 + (s["p"] - F.array_min(s["last"]) + 1 - m))).otherwise(0.0)
+
+    def step(s: Column, e: Column) -> Column:  # what the step before completed is counted here
+        return F.struct(F.transform(s["last"], lambda x, i: F.when(i == e["i"], e["p"]).otherwise(x)).alias("last"), e["p"].alias("p"), F.greatest(s["start"], F.array_min(s["last"])).alias("start"), (s["score"] + gain(s)).alias("score"))
+
+    return F.when(m > 0, F.aggregate(events, state, step, lambda s: s["score"] + gain(s))).otherwise(0.0)
 
 
 @dataclass(frozen=True)
@@ -188,37 +177,39 @@ def _hint(df: DataFrame, of: DataFrame) -> DataFrame:
 def match(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, chunk_id, score of the chunks that each query matches, by the grammar of ``parsed`` and cover density.
 
-    Candidates of a clause are the postings of its rarest wanted word; only of
-    those the other words are looked up. Positions are compared for candidates
-    that have all wanted words, the score of a chunk is the sum over the clauses
-    it matches. Blank queries match nothing.
+    Alternatives that several queries have are looked up once. Candidates of one
+    are the postings of its rarest wanted word; only of those the other words
+    are looked up, and a word of the same phrase only where it stands at its
+    distance. Phrases are compared for candidates that have all wanted words;
+    the score of a chunk is the sum over the alternatives it matches. Blank
+    queries match nothing.
     """
-    phrases = bounded(parsed(queries))
-    words = phrases.select("query_id", "clause", "never", F.explode("words").alias("term"))
-    need = words.groupBy("query_id", "clause", "term").agg(F.bool_and("never").alias("never"))
-    sized = need.join(_hint(index.terms.join(_hint(need.select("term").distinct(), phrases), "term", "left_semi"), phrases), "term", "left")
-    wanted = sized.where(~F.col("never")).groupBy("query_id", "clause").agg(F.count("*").alias("needed"), F.min_by("term", F.struct("df", "term")).alias("term"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known").drop("known")
-    need, wanted = bounded(need.join(wanted.select("query_id", "clause", "needed"), ["query_id", "clause"])), bounded(wanted)
-    rows = index.of(_bounded_like(need.select("term"), need))
-    candidates = rows.select("term", "chunk_id").join(_hint(wanted, wanted), "term").select("query_id", "clause", "chunk_id")
-    looked_up = candidates.join(_hint(need, need), ["query_id", "clause"]).join(rows.select("term", "chunk_id", "positions"), ["chunk_id", "term"])
-    grouped = looked_up.groupBy("query_id", "clause", "chunk_id", "needed").agg(F.count_if(~F.col("never")).alias("has"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("positions")).where("has = needed")
-    specs = phrases.groupBy("query_id", "clause").agg(F.collect_list(F.when(~F.col("never"), F.col("words"))).alias("must"), F.collect_list(F.when(F.col("never"), F.col("words"))).alias("bad"))
-
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep_, scores = [], []
-            for i, (must, bad, positions) in enumerate(zip(f["must"], f["bad"], f["positions"])):
-                positions = {k: list(v) for k, v in dict(positions).items()}
-                if all(_contains(positions, tuple(p)) for p in must) and not any(_contains(positions, tuple(p)) for p in bad):
-                    keep_.append(i)
-                    scores.append(cover_density(positions, {w for p in must for w in p}))
-            out = f.iloc[keep_][["query_id", "chunk_id"]].copy()
-            out["score"] = scores
-            yield out
-
-    hits = grouped.join(_hint(specs, phrases), ["query_id", "clause"]).select("query_id", "chunk_id", "must", "bad", "positions").mapInPandas(judge, "query_id STRING, chunk_id STRING, score DOUBLE")
-    return hits.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    by_kind = lambda never: F.transform(F.array_sort(F.collect_list(F.when(F.col("never") == never, F.struct("i", "words")))), lambda x: x["words"])
+    asked = parsed(queries).groupBy("query_id", "clause").agg(by_kind(False).alias("must"), by_kind(True).alias("bad")).where(F.size("must") > 0)
+    asked = bounded(asked.withColumn("c", F.md5(F.to_json(F.struct("must", "bad")))))
+    specs = bounded(asked.select("c", "must", "bad").dropDuplicates(["c"]))
+    words = lambda of: F.explode(F.array_distinct(F.flatten(of)))
+    need = specs.select("c", words("must").alias("term"), F.lit(False).alias("never"))
+    need = need.union(specs.select("c", words("bad").alias("term"), F.lit(True))).groupBy("c", "term").agg(F.bool_and("never").alias("never"))
+    sized = need.join(_hint(index.terms.join(_hint(need.select("term").distinct(), specs), "term", "left_semi"), specs), "term", "left")
+    wanted = sized.where(~F.col("never")).groupBy("c").agg(F.count("*").alias("needed"), F.min_by("term", F.struct("df", "term")).alias("rare"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known")
+    wanted = bounded(wanted.join(specs, "c").select("c", "needed", "rare", F.filter("must", lambda p: F.array_contains(p, F.col("rare")))[0].alias("beside"), (F.size("bad") > 0).alias("picky")))
+    distance = F.when(F.array_contains("beside", F.col("term")), F.array_position("beside", F.col("term")) - F.array_position("beside", F.col("rare"))).cast("int")
+    other = bounded(need.join(wanted, "c").where("term <> rare").select("c", "term", "never", F.when(~F.col("never"), distance).alias("distance")))
+    rows = index.of(_bounded_like(wanted.select(F.col("rare").alias("term")).union(other.select("term")), wanted))
+    candidates = rows.select(F.col("term").alias("rare"), "chunk_id", F.col("positions").alias("at")).join(_hint(wanted, wanted), "rare")
+    looked_up = candidates.join(_hint(other, other), "c").join(rows.select("term", "chunk_id", "positions"), ["chunk_id", "term"])
+    looked_up = looked_up.where(F.col("distance").isNull() | F.exists("positions", lambda x: F.array_contains("at", x - F.col("distance"))))
+    found = looked_up.groupBy("c", "chunk_id").agg(F.first("needed").alias("needed"), F.first("rare").alias("rare"), F.first("at").alias("at"), F.count_if(~F.col("never")).alias("has"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("others"))
+    several = found.where((F.col("needed") > 1) & (F.col("has") == F.col("needed") - 1)).select("c", "chunk_id", "rare", "at", "others")
+    none = F.create_map().cast("map<string,array<int>>")
+    alone = candidates.where("needed = 1 AND NOT picky").select("c", "chunk_id", "rare", "at", none.alias("others"))
+    beside = candidates.where("needed = 1 AND picky").join(found.select("c", "chunk_id", "others"), ["c", "chunk_id"], "left").select("c", "chunk_id", "rare", "at", F.coalesce("others", none).alias("others"))
+    hits = several.unionByName(alone).unionByName(beside).join(_hint(specs, specs), "c")
+    hits = hits.withColumn("positions", F.map_concat(F.create_map("rare", "at"), "others"))
+    hits = hits.where(F.forall("must", lambda p: (F.size(p) == 1) | _holds(F.col("positions"), p)) & ~F.exists("bad", lambda p: _holds(F.col("positions"), p)))
+    scored = hits.select("c", "chunk_id", cover_density(F.col("positions"), F.array_distinct(F.flatten("must"))).alias("score"))
+    return scored.join(_hint(asked.select("c", "query_id"), asked), "c").groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
 def match_all(terms: DataFrame, index: Index) -> DataFrame:

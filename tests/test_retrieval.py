@@ -57,11 +57,11 @@ def test_query_grammar(spark):
     assert got == {"a": [(0, False, ["walking"]), (0, True, ["patience"]), (0, False, ["loving", "kindness"]), (1, False, ["joy"])], "c": [(0, True, ["x"])], "f": [(0, False, ["open", "phrase"])], "g": [(0, False, ["samsara"]), (0, False, ["life", "or", "death"])]}
 
 
-def test_cover_density():
-    c = lexical.cover_density
-    assert abs(c({"a": [1, 5, 9]}, {"a"}) - 0.3) < 1e-12
-    assert abs(c({"a": [1], "b": [2]}, {"a", "b"}) - 0.1) < 1e-12 and abs(c({"a": [1], "b": [4]}, {"a", "b"}) - 0.1 / 3) < 1e-12
-    assert c({"a": [1]}, {"a", "b"}) == 0.0 and c({}, set()) == 0.0
+def test_cover_density(spark):
+    rows = [("one", {"a": [1, 5, 9]}, ["a"], 0.3), ("beside", {"a": [1], "b": [2]}, ["a", "b"], 0.1), ("apart", {"a": [1], "b": [4]}, ["a", "b"], 0.1 / 3), ("missing", {"a": [1]}, ["a", "b"], 0.0), ("none", {"a": [1]}, [], 0.0), ("several", {"a": [1, 6], "b": [2, 9]}, ["a", "b"], 0.1 + 0.1 / 4 + 0.1 / 3)]
+    df = spark.createDataFrame(rows, "k STRING, p MAP<STRING, ARRAY<INT>>, t ARRAY<STRING>, want DOUBLE")
+    for r in df.select("k", "want", lexical.cover_density(F.col("p"), F.col("t")).alias("got")).collect():
+        assert abs((r["got"] or 0.0) - r["want"]) < 1e-12, r["k"]
 
 
 @pytest.fixture()

@@ -78,6 +78,22 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.pieces(rows).dropDuplicates(["id", "piece"]).withColumnRenamed("id", "chunk_id")
 
 
+def p4_file_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of giant files: the texts of all documents, written as text files, by byte offset and within the limits of a child."""
+    import uuid
+
+    from corpusloom.llm import splitting
+    from corpusloom.plans.materialize import keep, shared_folder
+
+    at = f"{shared_folder(spark)}/corpusloom-files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text").write.text(at)
+    keep(spark, at)
+    files = spark.read.format("binaryFile").load(at).select("path", "length").where("length > 0").orderBy("path").collect()  # as many as tasks wrote
+    got = splitting.file_pieces(spark, [(r["path"], r["length"]) for r in files], splitting.CHILD.chars)
+    names = spark.createDataFrame([(r["path"], i) for i, r in enumerate(files)], "path STRING, file INT")
+    return got.join(names, "path").drop("path")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpusloom.llm import lookalike
 
@@ -139,7 +155,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p5_found, p5_forms, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p4_file_pieces, p5_found, p5_forms, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

@@ -6,8 +6,8 @@ that lie across an edge are seen by exactly one range. Each range yields a
 table of boundaries; the tables are stitched together, prefix sums turn counts
 within ranges into counts from the start of the item, and pieces are emitted by
 offset. For tables the bytes are those of an Arrow batch, whatever texts lie in
-it (``measure``), and pieces are cut from one table per text (``pieces``); for
-giant files each range is a task of its own and no worker loads a whole file
+it (``measure``), and pieces are cut from the stitched table of a text's own
+bytes (``pieces``); for giant files each range is a task of its own and no worker loads a whole file
 (``file_pieces``).
 """
 
@@ -138,42 +138,101 @@ def measure(df: DataFrame, key: str, text: str, is_parent: str, child: Limits =
     return df.select(key, is_parent, text).mapInArrow(run, schema)
 
 
-def boundary_table(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words of ``text`` in code points, and what ends after each word: 0 nothing, else SENTENCE, LINE or PARAGRAPH.
+@dataclass(frozen=True)
+class Table:
+    """Boundaries of a text: its code points ``n``, starts and ends of its words, what ends after each word (0 nothing, else SENTENCE, LINE or PARAGRAPH), and the number of each word by white space."""
 
-    A text in whose run of characters there are sentence ends without blanks
-    after them (as in Chinese) is cut into words there.
+    n: int
+    starts: np.ndarray
+    ends: np.ndarray
+    level: np.ndarray
+    number: np.ndarray
+
+
+_codes = lambda s: np.array([ord(c) for c in s], np.uint32)
+_BLANK_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+_TIGHT_CODES, _END_CODES, _CLOSER_CODES = _codes("。！？"), _codes(_ENDS), _codes(_CLOSERS)
+#: Code points of a halo: an end may have three signs after it, and an edge is told from its neighbours.
+_AROUND = 5
+
+
+def _decoded(b: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b.tobytes().decode("utf-8", "surrogateescape").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _range_edges(b: np.ndarray, lo: int, hi: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Boundary table of the bytes from ``lo`` to ``hi`` (starts of characters), read with a halo on both sides.
+
+    Code points and line ends of the range; and for each edge between a blank
+    and a word, or two words, the code point it lies before, whether blanks
+    follow, whether a sentence ends there, and the line ends before it.
     """
-    data = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    n = len(data)
+    left, right = b[max(0, lo - 4 * _AROUND) : lo], b[hi : hi + 4 * _AROUND]
+    left = left[next((i for i in range(min(4, len(left))) if left[i] & 0xC0 != 0x80), 0) :]
+    whole = np.flatnonzero((right & 0xC0) != 0x80)
+    right = right[: whole[-1]] if len(whole) and hi + 4 * _AROUND < len(b) else right
+    before, own, after = _decoded(left), _decoded(b[lo:hi]), _decoded(right)
+    data, lead = np.concatenate([before, own, after]), len(before)
     blank = np.isin(data, _BLANK_CODES)
     tight = np.isin(data, _TIGHT_CODES)
     tight[1:] |= np.isin(data[1:], _CLOSER_CODES) & tight[:-1]
-    edge = np.ones(n + 1, bool)
-    edge[1:n] = blank[1:] != blank[:-1]
-    edge[1:n] |= tight[:-1] & ~tight[1:]
-    cuts = np.flatnonzero(edge) if n else np.zeros(1, np.int64)
-    a, z = cuts[:-1], cuts[1:]
-    word = ~blank[a] if n else np.zeros(0, bool)
-    starts, ends = a[word], z[word]
-    level = np.zeros(len(starts), np.int8)
-    if len(starts):
-        last = ends - 1
-        for _ in range(3):
-            closing = np.isin(data[last], _CLOSER_CODES) & (last > starts)
-            last = np.where(closing, last - 1, last)
-        level[np.isin(data[last], _END_CODES)] = SENTENCE
-        newlines = np.concatenate([[0], np.cumsum(data == 10)])
-        after = np.append(starts[1:], n)
-        n_lines = newlines[after] - newlines[ends]
-        level[n_lines == 1] = LINE
-        level[n_lines > 1] = PARAGRAPH
-    return starts, ends, level
+    edge = np.ones(len(data), bool)
+    edge[1:] = (blank[1:] != blank[:-1]) | (tight[:-1] & ~tight[1:])
+    edge[0] = lo == 0 or edge[0] and not lead
+    at = np.flatnonzero(edge[lead : lead + len(own)]) + lead
+    # The sign that ends what lies before an edge, behind at most three closing ones of the same word.
+    last = at - 1
+    since = np.maximum.accumulate(np.where(edge, np.arange(len(data)), -_AROUND))
+    for _ in range(3):
+        here = np.maximum(last, 0)
+        last = np.where((last > 0) & np.isin(data[here], _CLOSER_CODES) & (last > since[np.maximum(at - 1, 0)]), last - 1, last)
+    ends = (at > 0) & np.isin(data[np.maximum(last, 0)], _END_CODES)
+    lines = np.concatenate([[0], np.cumsum(own == 10)])
+    return len(own), int(lines[-1]), at - lead, blank[at], ends, lines[at - lead]
+
+
+def boundary_table(data: np.ndarray, step: int = RANGE) -> Table:
+    """The table of a text, of its bytes in UTF-8: ranges of ``step`` bytes are scanned on their own with halos, and their tables stitched by prefix sums.
 
+    A text in whose run of characters there are sentence ends without blanks
+    after them (as in Chinese) is cut into words there.
+    """
+    parts, chars, lines, lo = [], 0, 0, 0
+    while lo < len(data):
+        hi = min(len(data), lo + step)
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:
+            hi += 1
+        n, n_lines, at, blank, end, before = _range_edges(data, lo, hi)
+        parts.append((at + chars, blank, end, before + lines))
+        chars, lines, lo = chars + n, lines + n_lines, hi
+    at, blank, end, before = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), *(np.empty(0, bool),) * 2, np.empty(0, np.int64))
+    word = np.flatnonzero(~blank)
+    starts = at[word]
+    stop = np.append(at, chars)
+    ends = stop[word + 1]
+    level = np.where(np.append(end, False)[word + 1], SENTENCE, 0).astype(np.int8)
+    lines_at = np.append(before, lines)
+    after = np.append(lines_at[word[1:]], lines) if len(word) else np.empty(0, np.int64)
+    between = after - lines_at[word + 1]
+    level[between == 1] = LINE
+    level[between > 1] = PARAGRAPH
+    if len(word) and stop[word[-1] + 1] == chars and not blank[-1]:
+        level[-1] = max(level[-1], SENTENCE if _ends_sentence(data, int(ends[-1] - starts[-1])) else 0)
+    lead = np.ones(len(starts), bool)
+    lead[1:] = starts[1:] > ends[:-1]
+    return Table(chars, starts, ends, level, np.cumsum(lead))
+
+
+def _ends_sentence(data: np.ndarray, length: int) -> bool:
+    """Whether the last word, of so many code points, ends a sentence."""
+    word = data[-4 * _AROUND :].tobytes().decode("utf-8", "ignore")[-min(length, _AROUND) :]
+    for _ in range(3):
+        word = word[:-1] if len(word) > 1 and word[-1] in _CLOSERS else word
+    return word[-1:] != "" and word[-1] in _ENDS
 
-_codes = lambda s: np.array([ord(c) for c in s], np.uint32)
-_BLANK_CODES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
-_TIGHT_CODES, _END_CODES, _CLOSER_CODES = _codes("。！？"), _codes(_ENDS), _codes(_CLOSERS)
+
+def table_of(text: str, step: int = RANGE) -> Table:
+    return boundary_table(np.frombuffer(text.encode("utf-8", "surrogateescape"), np.uint8), step)
 
 
 def _overlap(starts: np.ndarray, number: np.ndarray, stop: int) -> int:
@@ -182,8 +241,8 @@ def _overlap(starts: np.ndarray, number: np.ndarray, stop: int) -> int:
     return int(starts[int(np.searchsorted(number, number[w] - OVERLAP_WORDS + 1))])
 
 
-def cut(text: str, limits: Limits, segments: int = 0, new: int = 0) -> list[tuple[int, int, int]]:
-    """Pieces of ``text`` as (start, end, start of what is new), in code points, each within ``limits``.
+def cut(t: Table, limits: Limits, segments: int = 0, new: int = 0) -> list[tuple[int, int, int]]:
+    """Pieces of a text, of its table, as (start, end, start of what is new), in code points, each within ``limits``.
 
     A piece is cut at the last end of the highest kind in its second half (of a
     segment where those are known, a paragraph, a line, a sentence), else at the
@@ -193,17 +252,12 @@ def cut(text: str, limits: Limits, segments: int = 0, new: int = 0) -> list[tupl
     blanks. Every character of the text is in some piece. The first ``new``
     characters are the overlap with what lies before the text.
     """
-    n = len(text)
-    starts, ends, level = boundary_table(text)
+    n, starts, ends, level, number = t.n, t.starts, t.ends, t.level, t.number
     if not len(starts) or ends[-1] <= new:  # nothing but blanks
         return [(a, min(n, a + limits.chars), a) for a in range(new, n, limits.chars)] or [(new, n, new)]
-    spaced = len(text.split()) > 1
+    spaced = number[-1] > 1
     if segments > 1 and int((level > 0).sum() + (level[-1] == 0)) == segments:
         level = np.where(level > 0, level + 4, level)  # its sentences are its segments
-    # Words by white space, of which the tokens are estimated: pieces of one tight run count as one word.
-    lead = np.ones(len(starts), bool)
-    lead[1:] = starts[1:] > ends[:-1]
-    number = np.cumsum(lead)
     out, begin = [], 0
     while True:
         first = int(np.searchsorted(ends, begin, side="right"))
@@ -236,20 +290,20 @@ def cut(text: str, limits: Limits, segments: int = 0, new: int = 0) -> list[tupl
             begin = max(out[-1][0] + 1, stop - OVERLAP_CHARS)
 
 
-def _covered(text: str, ids: list[str] | None, a: int, z: int) -> list[str] | None:
-    """The segments between two offsets: exact where sentences or lines are as many as segments, else in proportion to length."""
+def covered(t: Table, ids: list[str] | None, spans: list[tuple[int, int]]) -> list[list[str] | None]:
+    """The segments between each pair of offsets: exact where sentences or lines are as many as segments, else in proportion to length. The ends are looked for once per text."""
     if ids is None or len(ids) < 2:
-        return ids
-    _, ends, level = boundary_table(text)
+        return [ids] * len(spans)
     for least in (SENTENCE, LINE):
-        stops = ends[level >= least]
-        if len(stops) and (not len(ends) or stops[-1] != ends[-1]):
-            stops = np.append(stops, len(text))
+        stops = t.ends[t.level >= least]
+        if len(stops) and (not len(t.ends) or stops[-1] != t.ends[-1]):
+            stops = np.append(stops, t.n)
         if len(stops) == len(ids):
+            a, z = np.array(spans, np.int64).reshape(-1, 2).T
             lo, hi = np.searchsorted(stops, a, side="right"), np.searchsorted(stops, z, side="left")
-            return ids[int(lo) : int(hi) + 1]
-    n = max(1, len(text))
-    return ids[a * len(ids) // n : max(a * len(ids) // n + 1, -(-z * len(ids) // n))]
+            return [ids[x : y + 1] for x, y in zip(lo.tolist(), hi.tolist())]
+    n, m = max(1, t.n), len(ids)
+    return [ids[a * m // n : max(a * m // n + 1, -(-z * m // n))] for a, z in spans]
 
 
 PIECE = "piece INT, piece_start INT, piece_end INT, new_start INT, est_tokens INT, piece_segment_ids ARRAY<STRING>, piece_text STRING"
@@ -269,10 +323,14 @@ def pieces(df: DataFrame, key: str = "id", text: str = "text", is_parent: str =
             up = np.array(b.column(2).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
             over = np.flatnonzero((tokens > np.where(up, parent.tokens, child.tokens)) | (chars > np.where(up, parent.chars, child.chars)))
             rows = []
+            data, edges = _buffers(b.column(1))
             for i in over.tolist():
                 t, ids = b.column(1)[i].as_py(), b.column(3)[i].as_py()
-                for k, (a, z, new) in enumerate(cut(t, parent if up[i] else child, len(ids or ()))):
-                    rows.append((b.column(0)[i].as_py(), k, a, z, new, max(1, round(1.3 * len(t[a:z].split()))), _covered(t, ids, a, z), t[a:z]))
+                table = boundary_table(data[edges[i] : edges[i + 1]])
+                parts = cut(table, parent if up[i] else child, len(ids or ()))
+                held = covered(table, ids, [(a, z) for a, z, _ in parts])
+                for k, ((a, z, new), own) in enumerate(zip(parts, held)):
+                    rows.append((b.column(0)[i].as_py(), k, a, z, new, max(1, round(1.3 * len(t[a:z].split()))), own, t[a:z]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), out_arrow)], schema=out_arrow)
 
@@ -311,8 +369,8 @@ def _anchor(read: Callable[[int, int], bytes], at: int, size: int, window: int)
     data = read(at, min(size, at + window))
     skip = _whole(data)
     text = _text(data[skip:])
-    _, ends, level = boundary_table(text)
-    ends, level = ends[:-1], level[:-1]  # what follows the last is not seen
+    table = table_of(text)
+    ends, level = table.ends[:-1], table.level[:-1]  # what follows the last is not seen
     return at + skip + (_bytes(text[: int(ends[int(np.argmax(level))])]) if len(ends) else 0)
 
 
@@ -320,11 +378,9 @@ def _before(read: Callable[[int, int], bytes], at: int, limits: Limits) -> str:
     """The overlap with what lies before ``at``: 40 words, or 60 characters where 40 words take half a piece or there are no blanks."""
     data = read(max(0, at - 4 * (limits.chars // 2 + 1)), at)
     text = _text(data[_whole(data) :])
-    starts, ends, _ = boundary_table(text)
-    if len(text.split()) > 1:
-        lead = np.ones(len(starts), bool)
-        lead[1:] = starts[1:] > ends[:-1]
-        begin = _overlap(starts, np.cumsum(lead), len(text))
+    table = table_of(text)
+    if len(table.number) and table.number[-1] > 1:
+        begin = _overlap(table.starts, table.number, len(text))
         if len(text) - begin <= limits.chars // 2:
             return text[begin:]
     return text[max(0, len(text) - OVERLAP_CHARS) :]
@@ -363,8 +419,9 @@ def file_pieces(spark: SparkSession, paths: list[tuple[str, int]], most_chars: i
                             continue
                         old, own = _before(read, lo, limits) if lo else "", _text(read(lo, hi))
                         text, first = old + own, lo - _bytes(old)
-                        parts = cut(text, limits, new=len(old))
-                        _, ends, level = boundary_table(text)
+                        table = table_of(text)
+                        parts = cut(table, limits, new=len(old))
+                        ends, level = table.ends, table.level
                         spots = sorted({x for p in parts for x in p})
                         bytes_at = dict(zip(spots, np.cumsum([_bytes(text[x:y]) for x, y in zip([0, *spots], spots)]) + first))
                         kind = dict(zip(ends.tolist(), level.tolist()))

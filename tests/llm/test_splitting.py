@@ -28,7 +28,7 @@ def test_pieces_are_within_limits_and_whole(limits):
     for t in texts():
         if not t or not t.strip():
             continue
-        parts = S.cut(t, limits)
+        parts = S.cut(S.table_of(t), limits)
         assert parts[0][0] == 0 and parts[-1][1] == len(t)
         for k, (a, z, new) in enumerate(parts):
             assert z - a <= limits.chars and max(1, round(1.3 * len(t[a:z].split()))) <= limits.tokens
@@ -38,17 +38,17 @@ def test_pieces_are_within_limits_and_whole(limits):
 
 def test_overlap_is_forty_words_or_sixty_characters():
     t = " ".join(f"word{i}" for i in range(1500))
-    parts = S.cut(t, S.CHILD)
+    parts = S.cut(S.table_of(t), S.CHILD)
     assert all(len(t[a:new].split()) == 40 for a, z, new in parts[1:]) and len(parts) > 3
     t = "字" * 9000
-    assert all(new - a == 60 for a, z, new in S.cut(t, S.CHILD)[1:])
+    assert all(new - a == 60 for a, z, new in S.cut(S.table_of(t), S.CHILD)[1:])
 
 
 def test_cuts_come_at_the_highest_ends():
     part = "one two three four five six seven eight nine ten. "
     t = (part * 30 + "\n\n") * 3
-    assert all(t[:z].rstrip(" ").endswith(("\n", ".")) for _, z, _ in S.cut(t, S.CHILD))
-    assert t[S.cut(t, S.CHILD)[0][1] :].startswith((" \n\n", "\n\n"))
+    assert all(t[:z].rstrip(" ").endswith(("\n", ".")) for _, z, _ in S.cut(S.table_of(t), S.CHILD))
+    assert t[S.cut(S.table_of(t), S.CHILD)[0][1] :].startswith((" \n\n", "\n\n"))
 
 
 @pytest.mark.parametrize("n, over", [(394, False), (395, True)])
@@ -70,8 +70,8 @@ def test_rows_of_every_kind(spark):
 def test_segments_of_pieces():
     t = "".join(f"Sentence number {i} is here. " for i in range(200))
     ids = [f"s{i}" for i in range(200)]
-    parts = S.cut(t, S.CHILD, len(ids))
-    seen = [S._covered(t, ids, a, z) for a, z, _ in parts]
+    parts = S.cut(S.table_of(t), S.CHILD, len(ids))
+    seen = [S.covered(S.table_of(t), ids, [(a, z)])[0] for a, z, _ in parts]
     assert seen[0][0] == "s0" and seen[-1][-1] == "s199" and {x for s in seen for x in s} == set(ids)
 
 
@@ -113,3 +113,23 @@ def test_empty_and_blank_files(spark, tmp_path):
         path.write_text(text)
         rows = sorted(S.file_pieces(spark, [(str(path), len(text))], 700, step=900).collect(), key=lambda r: r["piece"])
         assert rows[0]["byte_start"] == 0 and rows[-1]["byte_end"] == len(text) and all(a["byte_end"] == b["byte_start"] for a, b in zip(rows, rows[1:]))
+
+
+@pytest.mark.parametrize("step", [7, 16, 33])
+def test_tables_of_ranges_are_stitched(step):
+    rnd = random.Random(step)
+    alphabet = ["a", "bc", " ", "\n", "\n\n", ".", "! ", "…", "。", "！", "”", ")", '"', "中", "é", "\u3000", "x" * 30, "𝔘"]
+    for _ in range(300):
+        t = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60)))
+        whole, parts = S.table_of(t), S.table_of(t, step)
+        assert whole.n == parts.n == len(t)
+        assert all((a == b).all() for a, b in zip((whole.starts, whole.ends, whole.level, whole.number), (parts.starts, parts.ends, parts.level, parts.number)))
+
+
+def test_segments_of_many_pieces_take_one_pass():
+    t = " ".join(f"word{i}." if i % 9 == 0 else "word" for i in range(20_000))
+    table = S.table_of(t)
+    parts = S.cut(table, S.CHILD)
+    ids = [f"s{i}" for i in range(40)]
+    held = S.covered(table, ids, [(a, z) for a, z, _ in parts])
+    assert held[0][0] == "s0" and held[-1][-1] == "s39" and all(held)

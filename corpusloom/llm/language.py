@@ -16,6 +16,7 @@ longest match does not.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -85,17 +86,31 @@ def label_column(c: Column) -> Column:
     return F.coalesce(names[s], table[head])
 
 
+def _class_of(fits) -> re.Pattern:
+    """A pattern for runs of the characters that fit."""
+    at = [cp for cp in range(sys.maxunicode + 1) if not 0xD800 <= cp < 0xE000 and fits(chr(cp))]
+    new = [i for i, cp in enumerate(at) if i == 0 or at[i - 1] != cp - 1]
+    runs = [(at[i], at[(new + [len(at)])[k + 1] - 1]) for k, i in enumerate(new)]
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in runs) + "]+")
+
+
+_INVISIBLE = _class_of(lambda ch: unicodedata.category(ch) == "Cf")
+_MARKS = _class_of(unicodedata.combining)
+
+
 @lru_cache(maxsize=50_000)
 def plain(text: str) -> str:
     """Lower case, composed, without invisible characters, runs of blanks as one."""
-    t = unicodedata.normalize("NFKC", text).lower()
-    t = "".join(ch for ch in t if unicodedata.category(ch) != "Cf")
-    return " ".join(t.split())
+    if not text.isascii():
+        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text).lower())
+    return " ".join(text.lower().split())
 
 
 def bare(text: str) -> str:
     """Without the marks on letters."""
-    t = "".join(ch for ch in unicodedata.normalize("NFD", text) if not unicodedata.combining(ch))
+    if text.isascii():
+        return text
+    t = _MARKS.sub("", unicodedata.normalize("NFD", text))
     return t.replace("ł", "l").replace("ß", "ss").replace("ø", "o").replace("æ", "ae").replace("œ", "oe")
 
 
@@ -202,20 +217,32 @@ def stretches(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 def labelled_sample(rows: DataFrame, rows_per_label: int = SAMPLE_ROWS) -> dict[str, list[str]]:
-    """Sentences by the code of their label from ``rows`` (text, code).
-
-    At most ``rows_per_label`` rows a language, those with the smallest hash of
-    their text: a bound on what the driver gets, whatever the size of the table.
-    Each task keeps only its own smallest before anything is shuffled.
+    """Sentences by the code of their label from ``rows`` (text, code); the driver gets a bounded sample, whatever the size of the table.
+
+    At most ``rows_per_label`` texts a language, of 12 to 2,000 characters,
+    those with the smallest hash; ``training_texts`` takes at most SAMPLE_CHARS
+    characters of them. A first pass counts rows per code; only rows whose hash
+    is small enough for their code are shuffled, some times more than are
+    wanted, as texts repeat. Where a language comes out short of what it has,
+    its share is widened.
     """
+    fit = rows.where("code IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 12 AND 2000").select("text", "code", F.xxhash64("text").alias("h"))
+    counts = {r["code"]: r["n"] for r in fit.groupBy("code").agg(F.count("*").alias("n")).collect()}
+    share = {code: min(1.0, 8 * rows_per_label / n) for code, n in counts.items()}
     w = Window.partitionBy("code").orderBy("h", "text")
-    # A text that stands in many rows counts once, under the label most of them give it.
-    votes = rows.where("code IS NOT NULL AND text IS NOT NULL AND length(text) BETWEEN 12 AND 2000").groupBy("text", "code").agg(F.count("*").alias("n"))
-    kept = votes.groupBy("text").agg(F.max_by("code", F.struct("n", "code")).alias("code")).select("code", "text", F.xxhash64("text").alias("h"))
-    kept = kept.withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows_per_label)
     out: dict[str, list[str]] = {}
-    for r in sorted(kept.select("code", "h", "text").collect()):
-        out.setdefault(r["code"], []).append(r["text"])
+    while share:
+        small = F.create_map(*(F.lit(x) for c, p in share.items() for x in (c, int(-(1 << 63) + p * ((1 << 64) - 1)) if p < 1 else (1 << 63) - 1)))
+        # A text that stands in many rows counts once, under the label most of them give it; all of them are below the largest share.
+        top = max(share.values())
+        near = fit if top >= 1 else fit.where(F.col("h") <= int(-(1 << 63) + top * ((1 << 64) - 1)))
+        votes = near.groupBy("text", "code", "h").agg(F.count("*").alias("n")).groupBy("text", "h").agg(F.max_by("code", F.struct("n", "code")).alias("code"))
+        kept = votes.where(F.col("h") <= small[F.col("code")]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rows_per_label)
+        got: dict[str, list[str]] = {}
+        for r in sorted(kept.select("code", "h", "text").collect()):
+            got.setdefault(r["code"], []).append(r["text"])
+        out.update({c: t for c, t in got.items() if c in share})
+        share = {c: min(1.0, 16 * p) for c, p in share.items() if p < 1 and len(got.get(c, ())) < rows_per_label}
     return out
 
 

@@ -3,8 +3,9 @@
 Method: the language posteriors of question and answer come from a character
 n-gram naive Bayes and are compared; truncation is told by the likelihood of
 the answer's last characters at an end of text against their likelihood within
-texts, from n-gram counts over all answers. Empty answers, copies of the
-question and refusals are told from the words of both.
+texts, from n-gram counts over all answers. Refusals are told by the likelihood
+of their sentences' n-grams in labelled refusals against texts, and by phrases;
+empty answers and copies of the question from the words of both.
 
 One narrow pass counts n-grams, one judges; what is shuffled is one row per
 n-gram of character classes and task (their number is fixed), and the defects.
@@ -26,9 +27,12 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.language import bare, plain, spellings, stretches
 from corpusloom.llm.ngrams import NaiveBayes
+from corpusloom.llm.refusals import LEAST as LEAST_ODDS
+from corpusloom.llm.refusals import Refusals, labelled
 
 DEFECTS = ("empty", "copy", "refusal", "other_language", "truncated")
 
+_LETTER, _HAN = re.compile(r"[^\W\d_]"), re.compile("[㐀-鿿]")
 _CITATION = re.compile(r"\[[^\[\]\n]{0,60}\]")
 _WORD = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+")
 #: Marks for a missing value, fixed values.
@@ -71,7 +75,7 @@ def is_empty(answer: str | None) -> bool:
     core = core_of(answer)
     if MISSING.match(core):
         return True
-    return not any(ch.isalpha() for ch in core) and (not any(ch.isdigit() for ch in core) or bool(re.fullmatch(r"\s*\d{1,3}[.)]\s*", answer)) or not core)
+    return not _LETTER.search(core) and (not any(ch.isdigit() for ch in core) or bool(re.fullmatch(r"\s*\d{1,3}[.)]\s*", answer)) or not core)
 
 
 def words_of(text: str) -> list[str]:
@@ -104,24 +108,56 @@ def is_copy(question: str, answer: str) -> bool:
 _SENTENCE = re.compile(r"[^.!?…。！？\n]+[.!?…。！？]*[\"'”’»)\]]*")
 
 
-def is_refusal(question: str, answer: str) -> bool:
+def _readable(answer: str) -> str:
+    return plain(_CITATION.sub(" ", answer))
+
+
+class Declines:
+    """Whether a sentence declines: it has a phrase of REFUSAL, or its n-grams are likelier in refusals (``refusals``). Sentences seen together are judged together."""
+
+    def __init__(self, refusals: Refusals, sentences: list[str]) -> None:
+        self.refusals = refusals
+        self.odds = dict(zip(sentences, refusals.odds(sentences)))
+
+    def likely(self, s: str) -> bool:
+        if s not in self.odds:
+            self.odds[s] = self.refusals.odds([s])[0]
+        return self.odds[s] >= LEAST_ODDS and (len(words_of(s)) >= 3)
+
+    def at(self, s: str) -> int | None:
+        """Where the part that declines ends, None if none does."""
+        if m := REFUSAL.search(s):
+            return m.end()
+        if not self.likely(s):
+            return None
+        m = GOES_ON.search(s)
+        return m.start() if m and m.start() else len(s)
+
+    def __call__(self, s: str) -> bool:
+        return self.at(s) is not None
+
+
+def is_refusal(question: str, answer: str, declines: Declines) -> bool:
     """Declines, or says that the sources give no answer, and gives none: every sentence declines, points elsewhere, is a phrase or repeats the question."""
     refused = False
-    asked = Counter(words_of(question))
-    for s in _SENTENCE.findall(plain(_CITATION.sub(" ", answer))):
+    asked = None
+    for found in _SENTENCE.finditer(_readable(answer)):
+        s = found.group()
         words = words_of(s)
-        if m := REFUSAL.search(s):
-            on = GOES_ON.search(s, m.end())
-            if on and not REFUSAL.search(s, on.end()) and not FOLLOW_UP.search(s, on.end()) and len(words_of(s[on.end() :])) >= 4:
+        if (at := declines.at(s)) is not None:
+            on = GOES_ON.search(s, at)
+            if on and not declines(s[on.end() :]) and not FOLLOW_UP.search(s, on.end()) and len(words_of(s[on.end() :])) >= 4:
                 return False
             # A sentence that declines stays short; one that goes on has more to say.
-            if len(words) > (60 if any("㐀" <= w <= "鿿" for w in words) else 32):
+            if len(words) > (60 if _HAN.search(s) else 32):
                 return False
             refused = True
         elif FOLLOW_UP.search(s) and len(words) <= 24:
             continue
-        elif len(words) >= 5 and sum(w in asked for w in words) < 0.8 * len(words):
-            return False
+        elif len(words) >= 5:
+            asked = Counter(words_of(question)) if asked is None else asked
+            if sum(w in asked for w in words) < 0.8 * len(words):
+                return False
     return refused
 
 
@@ -179,11 +215,12 @@ def languages_apart(bayes: NaiveBayes, pairs: list[tuple[str, str]]) -> list[boo
         spoken[i].add(int(row.argmax()))
     out = []
     for i, (q, _) in enumerate(pairs):
-        n = sum(ch.isalpha() for ch in answers[i])
-        cjk = any("㐀" <= ch <= "鿿" for ch in answers[i])
         best = int(of_answer[i].argmax())
+        if best in spoken[i]:
+            out.append(False)
+            continue
         allowed = spoken[i] | {bayes.classes.index(c) for c in asked_for(q) if c in bayes.classes}
-        if best in allowed or n < (LEAST_LETTERS // 3 if cjk else LEAST_LETTERS):
+        if best in allowed or len(_LETTER.findall(answers[i])) < (LEAST_LETTERS // 3 if _HAN.search(answers[i]) else LEAST_LETTERS):
             out.append(False)
             continue
         lead = (of_answer[i, best] - max(of_answer[i, j] for j in allowed)) / max(1, 3 * len(answers[i]))
@@ -253,23 +290,29 @@ class Ends:
             ratio = (b + weight / 10 * prior) / (expect + weight / 10)
             del pb
         self.ratio = ratio
+        #: What ends of texts usually have: the median over all of them.
+        logs, weight_ = np.log(np.maximum(ratio, 1e-12)).ravel(), e.ravel()
+        order = np.argsort(logs)
+        total = np.cumsum(weight_[order])
+        self.typical = float(logs[order][np.searchsorted(total, total[-1] / 2)]) if total[-1] else 0.0
 
     def of(self, text: str) -> float:
         c = classes(np.array([0, 0, 0, *map(ord, text[-3:])], np.int64))[-3:]
         return float(np.log(self.ratio[tuple(c)]))
 
 
-TRUNCATED_BELOW = 1.6
+#: By how much (in logarithms) the end of a text that breaks off is less likely than the usual end.
+BELOW_TYPICAL = 1.5
 
 
 def is_truncated(answer: str, ends: Ends) -> bool:
-    """Breaks off: a bracket stays open at the end, or the last characters are unlikely at an end of text."""
+    """Breaks off: a bracket stays open at the end, or the last characters are far less likely at an end of text than what texts usually end with (a number that opens an item of a list, too)."""
     t = _ending(answer)
     tail = t[-80:]
     for o, z in ("[]", "()", "（）"):
         if tail.rfind(o) > tail.rfind(z):
             return True
-    return len(t) > 0 and ends.of(t) < TRUNCATED_BELOW
+    return len(t) > 0 and ends.of(t) < ends.typical - BELOW_TYPICAL
 
 
 def end_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -292,19 +335,20 @@ def end_counts(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
     return within, at_end
 
 
-def judge(pairs: list[tuple[str | None, str | None]], bayes: NaiveBayes, ends: Ends) -> list[str | None]:
+def fit_refusals(texts: dict[str, str]) -> Refusals:
+    """The likelihoods of refusals, against the training text of all languages."""
+    return Refusals([plain(line) for t in texts.values() for line in t.split("\n")], [plain(s) for s in labelled()])
+
+
+def judge(pairs: list[tuple[str | None, str | None]], bayes: NaiveBayes, ends: Ends, refusals: Refusals) -> list[str | None]:
     """The defect of each pair, or None; the first of DEFECTS that holds."""
-    out: list[str | None] = []
-    for q, a in pairs:
-        q = q or ""
-        if is_empty(a):
-            out.append("empty")
-        elif is_copy(q, a):
-            out.append("copy")
-        elif is_refusal(q, a):
-            out.append("refusal")
-        else:
-            out.append(None)
+    out: list[str | None] = ["empty" if is_empty(a) else "copy" if is_copy(q or "", a) else None for q, a in pairs]
+    open_ = [i for i, d in enumerate(out) if d is None]
+    first = [m.group() for i in open_ if (m := _SENTENCE.search(_readable(pairs[i][1])))]
+    declines = Declines(refusals, list(dict.fromkeys(first)))
+    for i in open_:
+        if is_refusal(pairs[i][0] or "", pairs[i][1], declines):
+            out[i] = "refusal"
     rest = [i for i, d in enumerate(out) if d is None]
     apart = languages_apart(bayes, [(pairs[i][0] or "", pairs[i][1]) for i in rest])
     for i, far in zip(rest, apart):
@@ -319,8 +363,7 @@ def defects(rows: DataFrame, texts: dict[str, str]) -> DataFrame:
     defect by the order of DEFECTS. A null answer is empty; a null question is
     compared with nothing. Records without defect have no row.
     """
-    bayes = fit_bayes(texts)
-    sent = rows.sparkSession.sparkContext.broadcast((bayes, Ends(*end_counts(rows, "answer"))))
+    sent = rows.sparkSession.sparkContext.broadcast((fit_bayes(texts), Ends(*end_counts(rows, "answer")), fit_refusals(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

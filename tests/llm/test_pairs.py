@@ -4,7 +4,7 @@ from corpusloom.llm import pairs
 from corpusloom.llm.language import SEEDS, training_texts
 
 TEXTS = training_texts({})
-DONE = [f"{s.strip()} It ends here [mj1]." for s in SEEDS["eng"].split("?")] * 5 + ["The river is long.", "They went home!", "1. The child went home.\n2. The man stayed there.\n3. They met at the river."] * 20
+DONE = [f"{s.strip()} It ends here [mj1]." for s in SEEDS["eng"].split("?")] * 5 + ["The river is long.", "They went home!"] * 20
 
 
 @pytest.fixture(scope="module")
@@ -121,8 +121,11 @@ def test_refusals_that_were_not_labelled(judge):
     assert found(content) == 0
 
 
-def test_a_number_that_opens_an_item_is_no_end(judge):
-    assert judge(Q, "The old man went home.\n2. The child went to the river.\n3.") == "truncated"
+def test_a_number_that_opens_an_item_is_no_end():
+    done = [*DONE, *["1. The child went home.\n2. The man stayed there.\n3. They met at the river."] * 300]
+    ends = pairs.Ends(*pairs.end_grams(done))
+    assert pairs.is_truncated("The old man went home.\n2. The child went to the river.\n3.", ends)
+    assert not pairs.is_truncated(done[-1], ends)
 
 
 def test_other_language_unless_asked_for(judge):

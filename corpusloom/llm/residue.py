@@ -3,16 +3,19 @@
 Method: labelled residue exemplars are retrieved through an inverted index and
 held against windows of passages by TF-IDF containment.
 
-- The exemplars (below) are short texts labelled as error page, notice, filler
-  or stack trace. An inverted index leads from each of their words to them.
-  Unfilled placeholders are one more kind of word in it: their shapes are few.
+- The exemplars (below) are short texts labelled as error page, notice, filler,
+  stack trace or keyboard noise. An inverted index leads from each of their
+  words to them. An unfilled placeholder is a word of the index, too: its shapes
+  are few, and its exemplar is that word alone.
 - Document frequencies of the exemplars' words are counted over all documents;
   they weigh the words. The words of an exemplar are sorted by weight, and only
   so many of the heaviest go into the index as any window must share one of
   if it is to contain the exemplar (prefix filtering: nothing is lost by it).
-- A window is a sentence or line of a document. An exemplar is retrieved if the
-  window holds enough of its weight; the window is residue if the retrieved
-  exemplars, all of one kind or not, cover enough of the weight of the window.
+- A window is a sentence or line of a document, or a placeholder within it. An
+  exemplar is retrieved if the window holds enough of its weight; the window is
+  residue if the retrieved exemplars, all of one kind or not, cover enough of
+  the weight of the window. Where none is contained, exemplars of one label that
+  share rare words with the window must cover enough of it together.
   A sentence that quotes an error page holds the exemplar, but the exemplar
   does not cover the sentence: it is no residue.
 - A placeholder is residue unless its sentence speaks about it, it is quoted as
@@ -75,6 +78,42 @@ FAMILIES = (
      "to improve your experience | to give you the best experience on our website | to analyse our traffic | to personalise content and ads | by continuing to browse you agree to our use of cookies"),
     ("script_notice", "Accept all cookies | Manage cookie preferences | Reject all cookies | Cookie settings", "Privacy policy | Manage your consent choices"),
 )
+#: Messages of servers, sites and editors in general, by label and language, not taken from any table: what is held against a window is what those of them say that share its rare words.
+GENERAL = {
+    "error_page": """
+The page could not be loaded | This page does not exist | The requested file was not found | The address may be wrong or the link is broken | The link you clicked is outdated | Check the address and try again | Use the search or go to the homepage | We were unable to locate the resource
+An error occurred while processing your request | There was a problem with the server | The server did not respond | The server returned an invalid response | The upstream connection timed out | Unable to connect to the database | Technical problems, please check back soon | We have been notified and are working on a fix
+You are not authorized to view this page | You need permission to access this content | Sign in or register to view this content | Your account has been locked | Login required | Wrong password | Your request was blocked for security reasons | Too many requests from your address | Try again in a few minutes
+The site is offline for planned maintenance | The system is temporarily down, sorry for the inconvenience | The requested resource has been removed or is unavailable | The connection was lost or reset | The certificate has expired | The request was malformed and could not be understood
+Die Seite existiert nicht | Die Seite konnte nicht geladen werden | Die Adresse ist falsch oder der Link ist veraltet | Es ist ein Fehler aufgetreten | Der Server antwortet nicht | Die Verbindung zur Datenbank ist fehlgeschlagen | Sie haben keine Berechtigung für diese Seite | Zugriff nicht erlaubt | Bitte melden Sie sich an | Wegen Wartung nicht erreichbar
+La page n'existe pas | La page n'a pas pu être trouvée | Le lien est rompu ou l'adresse est erronée | Une erreur s'est produite | Le serveur ne répond pas | La connexion à la base de données a échoué | Vous n'êtes pas autorisé à accéder à cette page | Vous n'avez pas les droits nécessaires | Veuillez vous connecter | Site en maintenance
+La página no existe | No se pudo encontrar la página | El enlace está roto o la dirección es incorrecta | Se ha producido un error | El servidor no responde | Error de conexión con la base de datos | No tiene autorización para acceder | No dispone de permisos para ver esta página | Inicie sesión para continuar
+A página não existe | Não foi possível encontrar a página | Ocorreu um erro inesperado | O servidor não responde | Você não tem permissão para acessar esta página | Faça login para continuar | Site em manutenção
+La pagina non esiste | Impossibile trovare la pagina | Si è verificato un errore imprevisto | Il server non risponde | Non hai il permesso di accedere a questa pagina | Effettua il login per continuare | Sito in manutenzione
+De pagina bestaat niet | De pagina kon niet worden gevonden | Er is een fout opgetreden | De server reageert niet | U heeft geen toegang tot deze pagina | Log in om verder te gaan | De website is in onderhoud
+Strona nie istnieje | Nie można znaleźć strony | Wystąpił błąd serwera | Serwer nie odpowiada | Nie masz uprawnień do tej strony | Zaloguj się, aby kontynuować | Trwa konserwacja serwisu
+Страница не существует | Не удалось найти страницу | Ссылка устарела или адрес указан неверно | Произошла ошибка | Сервер не отвечает | Ошибка соединения с базой данных | У вас нет доступа к этой странице | Недостаточно прав для просмотра | Войдите, чтобы продолжить | На сайте ведутся технические работы
+页面不存在 | 您访问的页面找不到了 | 链接已失效 | 服务器没有响应 | 发生错误 | 您没有访问权限 | 您无权查看此页面 | 请先登录 | 网站正在维护
+""",
+    "script_notice": """
+JavaScript is turned off in your browser | Turn on JavaScript in your browser settings | Enable scripting to use this application | This website requires JavaScript to work properly | This app needs scripts in order to run | Cookies are disabled, allow cookies to use this site | Please wait while we check that you are human | Verify that you are not a robot | Complete the captcha to proceed | Your browser is outdated, upgrade or update it to view this content | Disable your ad blocker and reload
+JavaScript ist in Ihrem Browser ausgeschaltet | Schalten Sie JavaScript ein | Diese Anwendung benötigt JavaScript | Bitte erlauben Sie Cookies | Ihr Browser wird nicht unterstützt
+JavaScript est désactivé dans votre navigateur | Vous devez autoriser JavaScript | Cette application nécessite JavaScript | Veuillez accepter les cookies | Votre navigateur n'est pas pris en charge
+JavaScript está desactivado en su navegador | Debe habilitar JavaScript | Active JavaScript en la configuración del navegador | Esta aplicación requiere JavaScript | Acepte las cookies
+O JavaScript está desativado no seu navegador | Habilite o JavaScript | JavaScript è disattivato nel browser | Attiva JavaScript nelle impostazioni | JavaScript is uitgeschakeld in uw browser | Zet JavaScript aan | JavaScript jest wyłączony w przeglądarce | Włącz obsługę JavaScript
+JavaScript отключён в вашем браузере | Включите JavaScript в браузере | Необходима поддержка JavaScript | Разрешите использование cookies | Ваш браузер устарел
+您的浏览器已禁用JavaScript | 请在浏览器设置中启用脚本 | 需要JavaScript才能运行 | 请更新您的浏览器
+""",
+    "filler": """
+This is placeholder text | Replace this text with your own words | Your content goes here | Insert your text here | Add your description here | Write something about yourself | Enter a title or headline | Type your message here | Headline goes here | Subtitle here | Content will be added soon | More information to follow shortly | This section is under construction | Image caption goes here | Example text to be replaced | Edit this paragraph
+Hier folgt in Kürze Text | Platzhalter, bitte ersetzen | Beispieltext | Der Text fehlt noch | Fügen Sie hier Ihren Text ein | Inhalt folgt
+Texte à remplacer | Votre texte ici | Exemple de texte | Contenu à venir | Insérez votre texte | Titre ici
+Texto de ejemplo | Escriba su texto aquí | Contenido próximamente | Reemplace este texto | Título aquí | Inserte aquí su texto
+Texto de exemplo | Escreva o seu texto aqui | Conteúdo em breve | Testo di esempio | Inserisci qui il tuo testo | Contenuto in arrivo | Voorbeeldtekst | Voer hier uw tekst in | Inhoud volgt binnenkort | Przykładowy tekst | Wpisz tutaj swój tekst | Treść wkrótce
+Текст будет добавлен позже | Скоро здесь появится содержание | Пример текста | Введите ваш текст | Вставьте сюда описание | Раздел в разработке
+示例文本 | 在此输入您的文字 | 内容即将上线 | 此处为占位文字
+""",
+}
 TRACES = """
 Traceback (most recent call last): | File "/srv/app/page.py", line N, in render | KeyError: 'uid' | Warning: Undefined index: uid in /srv/www/read.php on line N | Fatal error: Uncaught Exception in /var/www/index.php on line N | NullPointerException at com.example.Main
 """
@@ -105,6 +144,7 @@ MENTION = re.compile(
     r"|почему|знак|надпись|обозначает|означает|warum|zeichen|bedeutet|(?<!c'est )pourquoi|signe|signifie|por qué|signo|significa|segno|dlaczego|znak|oznacza|waarom|teken|betekent|porque o sinal|sinal)\b|为什么|符号|表示",
     re.IGNORECASE,
 )
+QUOTED = re.compile(r"`[^`]*`|“[^”]*”|«[^»]*»|„[^“”]*[“”]|\"[^\"]*\"|「[^」]*」")
 QUOTES = {"`": "`", "“": "”", "«": "»", "„": "“", '"': '"', "「": "」"}
 #: Where undefined is a word of the text and no missing value: after a pronoun, a copula or a verb of leaving, or before what can be so; fixed values.
 UNDEFINED_WORD = re.compile(
@@ -117,6 +157,12 @@ FRAME = re.compile(r"\b(?:By|Dear|Chapter|Translated by|published|Previous:|Next
 WORD = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+")  # Chinese and other letters are words of their own, with or without a blank between
 WINDOW = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’»)\]]*(?=\s|$)|[。！？]|(?=\n)|$)", re.MULTILINE)
 CONTAINED, COVERED = 0.75, 0.7
+#: Share of a window's weight that exemplars of one label must cover together where none of them is contained, the weight from which a word (of four letters) is rare, and the rare words they need at least, a fifth of the window's words in longer ones.
+TOGETHER, RARE, RARE_WORDS = 0.5, 4.0, 2
+#: Words of any text, which tell nothing however seldom they are in a corpus; fixed values.
+PLAIN_WORDS = frozenset("they them their there these those this that with from your have been were will would could should what when where which while some more than then into only also very much such each other about after again before here just like made make most must over same said take well were".split())
+#: The word of the index that stands for every unfilled placeholder.
+SLOT_WORD = "\x00slot"
 
 
 def placed(text: str) -> Iterator[tuple[int, int, str]]:
@@ -144,14 +190,16 @@ def exemplars() -> list[tuple[str, list[str], bool]]:
     """Label and words of each exemplar, and whether a number belongs to it."""
     out = []
     for label, block in (("error_page", ERROR_PAGES), ("script_notice", SCRIPT_NOTICES), ("trace", TRACES), ("filler", FILLER)):
-        parts = re.split(r"[|\n]", block)
+        parts = re.split(r"[|\n]", block + "\n" + GENERAL.get(label, ""))
         if label == "script_notice":
             parts += [f"{d} {p}" for d in DEMANDS.split("|") for p in PURPOSES.split("|")]
         parts += [f"{a} {b}" for of, subjects, states in FAMILIES if of == label for a in subjects.split("|") for b in states.split("|")]
         for e in parts:
             if words := [w for w in words_of(e) if w != "n"]:
                 out.append((label, words, bool(re.search(r"\bN\b", e))))
-    return out
+    out.append(("placeholder", [SLOT_WORD], False))
+    out += [("noise", [w], False) for w in NOISE.split()]
+    return list({(label, tuple(words)): (label, words, number) for label, words, number in out}.values())
 
 
 LOREM_WORDS = frozenset(LOREM.split())
@@ -159,7 +207,7 @@ NOISE_WORDS = frozenset(NOISE.split())
 
 
 def vocabulary() -> frozenset[str]:
-    return frozenset(w for _, ws, _ in exemplars() for w in ws) | LOREM_WORDS | NOISE_WORDS
+    return frozenset(w for _, ws, _ in exemplars() for w in ws) | LOREM_WORDS | NOISE_WORDS | {SLOT_WORD}
 
 
 class Index:
@@ -180,8 +228,15 @@ class Index:
                     break
                 self.heads.setdefault(w, []).append(i)
                 left -= self.idf[w] * c[w]
+        #: Exemplars by their rare words, for windows that no single one is contained in.
+        self.rare: dict[str, list[int]] = {}
+        for i, (label, c) in enumerate(self.items):
+            for w in c if label not in ("noise", "placeholder") else ():
+                if self.idf[w] >= RARE and (len(w) >= 4 or "㐀" <= w[0] <= "鿿") and w not in PLAIN_WORDS:
+                    self.rare.setdefault(w, []).append(i)
+        self.rare_words = frozenset(self.rare)
         #: A window without any of these words can't be residue and isn't taken apart.
-        self.leads = frozenset(self.heads) | {w for w in LOREM_WORDS if len(w) >= 5} | NOISE_WORDS
+        self.leads = frozenset(self.heads) | self.rare_words | {w for w in LOREM_WORDS if len(w) >= 5} | NOISE_WORDS
 
     def retrieve(self, window: Counter, number: bool) -> list[int]:
         """Exemplars of whose weight the window holds enough; ``number``: whether it has digits."""
@@ -225,12 +280,51 @@ class Index:
         latin = [w for w in words if w in LOREM_WORDS]
         if len(latin) >= 4 and lorem >= COVERED * whole and any(len(w) >= 5 for w in latin):
             return lorem / whole, "filler"
-        got = self.retrieve(c, any(ch.isdigit() for ch in window))
-        if not got:
-            return 0.0, None
-        cover = {w for i in got for w in self.items[i][1]}  # several notices may stand in one window
-        part = sum(self.idf[w] * k for w, k in c.items() if w in cover)  # however often it is repeated
-        return part / whole, self.items[max(got, key=lambda i: self.total[i])][0]
+        got = [i for i in self.retrieve(c, any(ch.isdigit() for ch in window)) if self.items[i][0] != "noise"]
+        if got:
+            cover = {w for i in got for w in self.items[i][1]}  # several notices may stand in one window
+            part = sum(self.idf[w] * k for w, k in c.items() if w in cover) / whole  # however often it is repeated
+            if part >= COVERED:
+                return part, self.items[max(got, key=lambda i: self.total[i])][0]
+        return self.together(window, c)
+
+    def together(self, window: str, c: Counter) -> tuple[float, str | None]:
+        """The same where no exemplar is contained: by all exemplars of one label that share a rare word with the window. What is quoted doesn't count, and a window that speaks about signs is none."""
+        best: tuple[float, str | None] = (0.0, None)
+        least = max(RARE_WORDS, sum(c.values()) / 5)
+        if len(self.rare_words.intersection(c)) < least or MENTION.search(window):
+            return best
+        window = QUOTED.sub(" ", window)
+        if any(q in window for q in "“”«»„「」"):  # a quotation that goes on before or after it
+            return best
+        c = Counter(words_of(window))
+        rare = self.rare_words.intersection(c)
+        whole = sum(self.idf.get(w, self.other) * k for w, k in c.items())
+        seen: dict[str, set[str]] = {}
+        for i in {i for w in rare for i in self.rare[w]}:
+            seen.setdefault(self.items[i][0], set()).update(self.items[i][1])
+        for label, cover in sorted(seen.items()):
+            if len(rare & cover) >= least:
+                part = sum(self.idf[w] * k for w, k in c.items() if w in cover) / whole
+                if part >= TOGETHER and part > best[0]:
+                    best = part, label
+        return best
+
+    def is_noise(self, words: list[str]) -> bool:
+        """Whether exemplars of keyboard noise cover all of the words."""
+        if not words or not NOISE_WORDS.issuperset(words):
+            return False
+        covered = {w for i in self.retrieve(Counter(words), False) for w in self.items[i][1] if self.items[i][0] == "noise"}
+        return covered.issuperset(words)
+
+    def placeholders(self, text: str) -> list[tuple[int, int, str, float]]:
+        """Unfilled placeholders, as windows of their own: each is a word of the index, retrieved by it and covered by its exemplar, unless it is quoted or spoken about."""
+        window = Counter([SLOT_WORD])
+        out = []
+        for a, z in slots(text):
+            for i in self.retrieve(window, False):
+                out.append((a, z, self.items[i][0], self.idf[SLOT_WORD] / self.total[i]))
+        return out
 
 
 def sentence_around(text: str, a: int, z: int) -> tuple[int, int]:
@@ -274,12 +368,12 @@ def windows(text: str) -> Iterator[tuple[int, int]]:
 
 def residue_of(text: str, index: Index, words: list[str] | None = None) -> list[tuple[int, int, str, float]]:
     """Stretches of residue in a text: start, end, label, share covered."""
-    out = [(a, z, "placeholder", 1.0) for a, z in slots(text)]
+    out = index.placeholders(text)
     if not index.leads.isdisjoint(words if words is not None else words_of(text)):
         run: list[tuple[int, int]] = []  # windows of keyboard noise on end, and their words
         for a, z in [*windows(text), (len(text), len(text))]:
             part = words_of(text[a:z])
-            if part and NOISE_WORDS.issuperset(part):
+            if index.is_noise(part):
                 run.append((a, z))
                 continue
             if run and (sum(len(words_of(text[x:y])) for x, y in run) >= 3 or not words_of(text[: run[0][0]] + " " + text[run[-1][1] :])):
@@ -287,7 +381,7 @@ def residue_of(text: str, index: Index, words: list[str] | None = None) -> list[
             run = run if not part and a < len(text) else []
             if not index.leads.isdisjoint(part):
                 share, label = index.score(text[a:z])
-                if share >= COVERED:
+                if label is not None:
                     out.append((a, z, label, share))
                 else:
                     out += index.within(text, a, z)
@@ -310,6 +404,7 @@ def document_frequencies(df: DataFrame, text: str = "text") -> tuple[dict[str, i
             for t in b.column(0).to_pylist():
                 if t:
                     c.update(vocab.intersection(words_of(t)))
+                    c.update([SLOT_WORD] if slots(t) else ())
         yield pa.RecordBatch.from_arrays([pa.array([*c.keys(), ""]), pa.array([*c.values(), n], pa.int64())], names=["w", "n"])
 
     rows = df.select(text).mapInArrow(run, "w STRING, n LONG").groupBy("w").agg(F.sum("n").alias("n")).collect()

@@ -1,11 +1,14 @@
 import itertools
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 from corpusloom.llm import residue as K
 
 COMMON = ["The old man went to the house by the river, and the child was in the garden of the page.", "A page of the text is read again in the evening.", "Этот текст читают вечером на странице книги."]
 INDEX = None
+DOCUMENTS = "/root/testdata/sf0.1/documents.parquet"
 
 
 def stretches(text):
@@ -13,8 +16,11 @@ def stretches(text):
     if INDEX is None:
         from collections import Counter
 
-        c = Counter(w for t in COMMON * 40 for w in K.vocabulary().intersection(K.words_of(t)))
-        INDEX = K.Index(c, 120)
+        texts = COMMON * 40
+        if Path(DOCUMENTS).exists():  # words as frequent as in texts
+            texts += [t for t in pq.read_table(DOCUMENTS, columns=["text"]).column(0).to_pylist() if t]
+        c = Counter(w for t in texts for w in K.vocabulary().intersection(K.words_of(t)))
+        INDEX = K.Index(c, len(texts))
     return [(text[a:z].strip(), label) for a, z, label, _ in K.residue_of(text, INDEX)]
 
 
@@ -95,6 +101,90 @@ HELD_OUT = [
 ]
 
 
+#: Wordings of no exemplar: FIRST was written before the general families, SECOND after them; neither was used to choose exemplars.
+FIRST = [
+    'Sorry! That page cannot be located.',
+    'The link you followed may be broken, or the page may have been removed.',
+    'We are experiencing technical difficulties. Please check back later.',
+    'Your request could not be processed at this time.',
+    'The server could not understand your request.',
+    'You need permission to view this content. Please sign in.',
+    'Too many requests from your network. Try again in an hour.',
+    'The service is down for planned maintenance until Monday.',
+    'An unknown error has occurred. Our team has been notified.',
+    'The connection to the database was lost.',
+    'This resource is no longer available.',
+    'Gateway error: the upstream server did not respond in time.',
+    'To view this website, please turn JavaScript on in your browser settings.',
+    'Our pages require scripting to be enabled.',
+    'You must allow cookies to use this service.',
+    'Your browser has JavaScript turned off.',
+    'Please wait while we verify that you are human.',
+    'This application needs JavaScript in order to work.',
+    'Please upgrade your browser to see this content.',
+    'Insert your content here.',
+    'Add a description of the product.',
+    'This is placeholder text that should be replaced.',
+    'Write your introduction in this space.',
+    'Content will be added shortly.',
+    'Replace this paragraph with your own words.',
+    'Headline goes here',
+    'Die Seite konnte nicht gefunden werden.',
+    'Der Zugriff auf diese Seite ist nicht erlaubt.',
+    'Bitte schalten Sie JavaScript in Ihrem Browser ein.',
+    'Hier fehlt noch der Text.',
+    "Cette page n'a pas été trouvée.",
+    "Vous n'avez pas l'autorisation d'accéder à cette page.",
+    'Vous devez activer JavaScript dans votre navigateur.',
+    'Texte à remplacer.',
+    'No se encuentra la página.',
+    'No tiene permiso para acceder a esta página.',
+    'Debe activar JavaScript en su navegador.',
+    'Texto de ejemplo.',
+    'Такой страницы не существует.',
+    'У вас нет прав для просмотра этой страницы.',
+    'Включите поддержку JavaScript в браузере.',
+    'Здесь скоро появится текст.',
+    '您访问的页面不存在。',
+    '您没有权限访问此页面。',
+    '请在浏览器中启用JavaScript。',
+]
+SECOND = [
+    "We're sorry, this page has moved.",
+    "The site encountered a fatal error and has been shut down.",
+    "You must be logged in to see this article.",
+    "The requested document could not be retrieved from the server.",
+    "Access from your country is blocked.",
+    "Please activate scripts in your browser and refresh the page.",
+    "This content requires cookies; please accept them to proceed.",
+    "Are you a robot? Confirm that you are human to continue.",
+    "Enter some text here.",
+    "Caption goes here.",
+    "This section has not been written yet; content will follow.",
+    "Die angeforderte Datei existiert nicht auf dem Server.",
+    "Bitte erlauben Sie Skripte in Ihrem Browser.",
+    "Le serveur a rencontré une erreur inattendue.",
+    "Activez JavaScript pour continuer.",
+    "El servidor encontró un error inesperado.",
+    "Habilite las cookies en su navegador.",
+    "Сервер вернул ошибку, попробуйте позже.",
+    "Для просмотра сайта включите JavaScript.",
+    "服务器发生错误，请稍后再试。",
+]
+
+
+@pytest.mark.skipif(not Path(DOCUMENTS).exists(), reason="no texts to count words in")
+def test_recall_of_wordings_that_are_no_exemplars():
+    known = {tuple(words) for _, words, _ in K.exemplars()}
+    share = {}
+    for name, texts in (("first", FIRST), ("second", SECOND)):
+        new = [t for t in texts if tuple(K.words_of(t)) not in known]
+        share[name] = sum(bool(stretches(f"{COMMON[0]} {t} {COMMON[1]}")) for t in new) / len(new)
+    assert share["first"] >= 0.8 and share["second"] >= 0.8, share
+    for t in FIRST[:10]:
+        assert stretches(f"Why does the sign say: “{t}” to those who come late?") == []
+
+
 def test_held_out_wordings():
     known = {tuple(words) for _, words, _ in K.exemplars()}
     assert not any(tuple(K.words_of(text)) in known for text, _ in HELD_OUT)

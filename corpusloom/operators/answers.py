@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import citations
+from corpusloom.functions.text import strip
 
+# What is a citation, and what is an id in it.
 _BRACKET = re.compile(r"\[([^\[\]]+)\]")
 _ID = re.compile(r"^[a-zA-Z0-9._-]+$")
 
@@ -60,7 +61,7 @@ def answer_segments(answer: str, known: set[str]) -> list[tuple[str, str | list[
 
 def confidence_tier(n_sources: Column, answer: Column, n_unique: Column, last_end: Column) -> Column:
     """How well an answer is grounded, by the different sources it cites and how far they reach into it."""
-    trimmed = F.length(F.trim(answer))
+    trimmed = F.length(strip(answer))
     return (
         F.when((F.coalesce(n_sources, F.lit(0)) == 0) | (F.coalesce(trimmed, F.lit(0)) == 0), "no-sources")
         .when((n_unique >= 3) & (last_end / trimmed >= 0.6), "well-grounded")
@@ -71,16 +72,23 @@ def confidence_tier(n_sources: Column, answer: Column, n_unique: Column, last_en
 
 
 def graded(answers: DataFrame) -> DataFrame:
-    """trace_id, cited, n_unique, tier of each answer (trace_id, answer, sources)."""
-    known = F.transform(F.coalesce("sources", F.array().cast("array<string>")), lambda s: F.lower(s))
-    cited = F.coalesce(citations(F.col("answer"), known), F.array().cast("array<string>"))
-    # The last bracket that names a source, found from the end of the answer.
-    brackets = F.regexp_extract_all("answer", F.lit(r"(\[[^\[\]]+\])"), F.lit(1))
-    good = F.filter(brackets, lambda b: F.size(citations(b, known)) > 0)
-    rows = answers.select("trace_id", "answer", "sources", cited.alias("cited"), F.try_element_at(good, F.lit(-1)).alias("b"))
-    last = F.when(F.col("b").isNull(), F.lit(0)).otherwise(F.length("answer") - F.expr("instr(reverse(answer), reverse(b))") + 1)
-    tier = confidence_tier(F.size(F.coalesce("sources", F.array())), F.col("answer"), F.size("cited"), last)
-    return rows.select("trace_id", "cited", F.size("cited").alias("n_unique"), tier.alias("tier"))
+    """trace_id, cited, n_unique, n_total, tier of each answer (trace_id, answer, sources).
+
+    Ids are those of the sources, case and all. How far citations reach is
+    measured on the answer as it is shown: what a bracket names besides known
+    ids isn't in it.
+    """
+    known = F.coalesce("sources", F.array().cast("array<string>"))
+    brackets = F.regexp_extract_all("answer", F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
+    ids = F.transform(brackets, lambda b: F.struct((F.length(b) + 2).alias("n"), F.concat(F.lit("["), b, F.lit("]")).alias("b"), F.filter(F.transform(F.split(b, ","), strip), lambda i: F.array_contains(known, i)).alias("ids")))
+    rows = answers.select("trace_id", "answer", "sources", F.filter(ids, lambda x: F.size(x["ids"]) > 0).alias("c"))
+    last = F.try_element_at("c", F.lit(-1))["b"]  # what comes behind it has no equal
+    hidden = F.aggregate("c", F.lit(0), lambda s, x: s + x["n"] - F.length(F.array_join(x["ids"], ", ")) - 2)
+    reach = F.when(F.size("c") > 0, F.length("answer") - F.call_function("instr", F.reverse("answer"), F.reverse(last)) + 1 - hidden).otherwise(0)
+    cited = F.array_distinct(F.flatten(F.transform("c", lambda x: x["ids"])))
+    rows = rows.select("trace_id", "answer", "sources", F.coalesce(cited, F.array().cast("array<string>")).alias("cited"), F.coalesce(F.size("c"), F.lit(0)).alias("n_total"), reach.alias("reach"))
+    tier = confidence_tier(F.size(F.coalesce("sources", F.array())), F.col("answer"), F.size("cited"), F.col("reach"))
+    return rows.select("trace_id", "cited", F.size("cited").alias("n_unique"), F.greatest("n_total", F.lit(0)).alias("n_total"), tier.alias("tier"))
 
 
 def cited_in_order(answers: DataFrame, sources: DataFrame) -> DataFrame:

@@ -583,12 +583,15 @@ def x19(s, d):
     return a.select("trace_id", F.array_join(X.citations(F.col("answer"), F.transform("sources", lambda x: F.lower(x))), ",").alias("cited"))
 
 
-@query("x25_confidence", rf"""WITH {_CITED}, br AS (SELECT trace_id, known, unnest(regexp_extract_all(answer, '\[[^\[\]]+\]')) AS b, generate_subscripts(regexp_extract_all(answer, '\[[^\[\]]+\]'), 1) AS i FROM ans),
-last AS (SELECT trace_id, max_by(b, i) AS b FROM br WHERE len(list_filter(string_split(trim(b, '[]'), ','), lambda x: regexp_matches(trim(x), '^[a-zA-Z0-9._-]+$') AND list_contains(known, lower(trim(x))))) > 0 GROUP BY ALL),
-m AS (SELECT trace_id, answer, len(known) AS ns, coalesce(n_unique, 0) AS n, CASE WHEN b IS NULL THEN 0 ELSE length(answer) - instr(reverse(answer), reverse(b)) + 1 END AS e FROM ans LEFT JOIN cited USING (trace_id) LEFT JOIN last USING (trace_id))
-SELECT trace_id, CAST(n AS INTEGER) AS n_unique, CASE WHEN coalesce(ns, 0) = 0 OR coalesce(length(trim(answer)), 0) = 0 THEN 'no-sources' WHEN n >= 3 AND e / length(trim(answer)) >= 0.6 THEN 'well-grounded' WHEN n >= 2 THEN 'synthesized' WHEN n = 1 THEN 'limited' ELSE 'interpretive' END AS tier FROM m""")
+@query("x25_confidence", rf"""WITH ans AS (SELECT DISTINCT trace_id, answer, coalesce(sources, []) AS known FROM answers),
+cut AS (SELECT trace_id, answer, known, string_split_regex(answer, '\[[^\[\]]+\]') AS t, regexp_extract_all(answer, '\[([^\[\]]+)\]', 1) AS b FROM ans),
+part AS (SELECT trace_id, generate_subscripts(b, 1) AS i, length(unnest(t[1:len(b)])) AS before, unnest(b) AS b, known FROM cut),
+named AS (SELECT trace_id, i, before, b, list_filter(list_transform(string_split(b, ','), lambda x: {STRIP % "x"}), lambda x: list_contains(known, x)) AS ids FROM part),
+sized AS (SELECT trace_id, i, ids, sum(before + CASE WHEN len(ids) > 0 THEN length(array_to_string(ids, ', ')) ELSE length(b) END + 2) OVER (PARTITION BY trace_id ORDER BY i) AS reach FROM named),
+got AS (SELECT trace_id, max(reach) AS reach, count(*) AS n_total, len(list_distinct(flatten(list(ids)))) AS n FROM sized WHERE len(ids) > 0 GROUP BY ALL)
+SELECT trace_id, CAST(coalesce(n, 0) AS INTEGER) AS n_unique, CAST(coalesce(n_total, 0) AS INTEGER) AS n_total, CASE WHEN len(known) = 0 OR coalesce(length({STRIP % "answer"}), 0) = 0 THEN 'no-sources' WHEN n >= 3 AND reach / length({STRIP % "answer"}) >= 0.6 THEN 'well-grounded' WHEN n >= 2 THEN 'synthesized' WHEN n = 1 THEN 'limited' ELSE 'interpretive' END AS tier FROM ans LEFT JOIN got USING (trace_id)""")
 def x25(s, d):
-    return A.graded(_answers(s, d)).select("trace_id", "n_unique", "tier")
+    return A.graded(_answers(s, d)).select("trace_id", "n_unique", "n_total", "tier")
 
 
 @query("x26_cited_in_order", """WITH a AS (SELECT DISTINCT trace_id, answer, citations, sources FROM answers WHERE answer IS NOT NULL), src AS (SELECT trace_id, unnest(sources) AS work, 1.0 / generate_subscripts(sources, 1) AS score FROM a), best AS (SELECT trace_id, work, max(score) AS score FROM src GROUP BY ALL),
@@ -637,6 +640,8 @@ def m09(s, d):
 
 # ---- catalogue
 
+_S22 = "r AS (SELECT instance_id, id, row_number() OVER (PARTITION BY instance_id ORDER BY sequence, id) AS n, count(*) OVER (PARTITION BY instance_id) AS m FROM chunk WHERE NOT is_parent), mid AS (SELECT id FROM r WHERE n = m // 2 + 1)"
+
 
 @query("j01_chain", f"WITH {BASE} x AS (SELECT 1) SELECT source_type, tradition_code, is_parent, count(*) AS n, count(DISTINCT canonical_id) AS n_works FROM chunk c JOIN inst i ON i.id = c.instance_id JOIN expr e ON e.id = i.expression_id JOIN work w ON w.id = e.work_id GROUP BY ALL")
 def j01(s, d):
@@ -724,10 +729,24 @@ def f09(s, d):
 
 @query("s22_middle_rows", f"WITH {BASE} r AS (SELECT instance_id, id, row_number() OVER (PARTITION BY instance_id ORDER BY sequence, id) AS n, count(*) OVER (PARTITION BY instance_id) AS m FROM chunk WHERE NOT is_parent) SELECT instance_id, id FROM r WHERE n = m // 2 + 1")
 def s22(s, d):
-    c = _chunks(s, d).where(~F.col("is_parent"))
-    sizes = c.groupBy("instance_id").agg(F.count("*").alias("m"))
-    ranked = c.select("instance_id", "id", F.row_number().over(Window.partitionBy("instance_id").orderBy("sequence", "id")).alias("n"))
-    return ranked.join(sizes, "instance_id").where(F.col("n") == F.floor(F.col("m") / 2) + 1).select("instance_id", "id")
+    """The middle child of each instance; rows are ranked in blocks of their sequence, so a large instance is spread over tasks."""
+    c = table(s, d, "chunks").where(~F.col("is_parent")).select("instance_id", "id", "sequence").distinct()
+    return library.middle_rows(c, "instance_id", "sequence", "id").select("instance_id", "id")
+
+
+@query("s22_sample_rest", f"WITH {BASE} {_S22} SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('20260427' || id), id) AS n FROM chunk c WHERE NOT is_parent AND (starts_with(segment_id, 'mj') OR starts_with(segment_id, 'sy')) AND id NOT IN (SELECT id FROM mid)) WHERE n <= 20")
+def s22_rest(s, d):
+    """Twenty other children of two collections, by a seeded hash, without those picked as middles."""
+    c = table(s, d, "chunks").where(~F.col("is_parent")).select("instance_id", "id", "sequence", "segment_id").distinct()
+    picked = library.middle_rows(c, "instance_id", "sequence", "id").select("id")
+    return library.sample(c.where(library.starts_with(F.col("segment_id"), "mj", "sy")), 20, "id", seed=20260427, without=picked).select("id")
+
+
+@query("s21_sample", f"WITH {BASE} x AS (SELECT 1) SELECT id FROM (SELECT id, row_number() OVER (ORDER BY md5('7' || id), id) AS n FROM chunk WHERE NOT is_parent AND length(text) BETWEEN 600 AND 2000) WHERE n <= 10")
+def s21(s, d):
+    """A seeded sample of children of middling length; the same on each run."""
+    c = table(s, d, "chunks").where(~F.col("is_parent") & F.length("text").between(600, 2000)).select("id").distinct()
+    return library.sample(c, 10, "id", seed=7)
 
 
 # ---- sinks
@@ -762,13 +781,37 @@ def k15(s, d):
 # ---- chunkers
 
 
-@query("c01_chunk_segments")
+_SIZE = "CAST(greatest(1, round_even(len(string_split(%s, ' ')) * 1.3::DOUBLE, 0)) AS INTEGER)"
+
+
+@query("c01_chunk_segments", rf"""WITH RECURSIVE clean AS (SELECT work_canonical_id || '/' || edition AS document, row_id, segment_id, {COLLAPSE % "text"} AS text FROM segments WHERE text IS NOT NULL),
+seg AS MATERIALIZED (SELECT *, row_number() OVER w AS n, lag(para) OVER w AS before FROM (SELECT *, {_SIZE % "text"} AS size, nullif(regexp_extract(segment_id, '^[^:]+:(\d+)\.', 1), '') AS para FROM clean WHERE text <> '') WINDOW w AS (PARTITION BY document ORDER BY row_id, segment_id, text)),
+fold AS (SELECT document, n, size AS held, size AS inner_held, 0 AS parent, 0 AS child FROM seg WHERE n = 1
+  UNION ALL SELECT document, n, CASE WHEN p THEN size ELSE held + size END, CASE WHEN c THEN size ELSE inner_held + size END, parent + p::INT, CASE WHEN p THEN 0 ELSE child + c::INT END
+  FROM (SELECT *, p OR inner_held >= 384 OR inner_held + size > 512 AS c FROM (SELECT s.document, s.n, s.size, f.held, f.inner_held, f.parent, f.child, (f.held >= 1536 AND s.para IS NOT NULL AND s.para IS DISTINCT FROM s.before) OR f.held + s.size > 2048 AS p FROM fold f JOIN seg s ON s.document = f.document AND s.n = f.n + 1))),
+placed AS (SELECT f.document, f.n, f.parent, f.child, s.text, s.size FROM fold f JOIN seg s USING (document, n)),
+made AS (SELECT document, parent, -1 AS child, true AS is_parent, sum(size) AS tokens, count(*) AS k, string_agg(text, ' ' ORDER BY n) AS text FROM placed GROUP BY ALL UNION ALL SELECT document, parent, child, false, sum(size), count(*), string_agg(text, ' ' ORDER BY n) FROM placed GROUP BY ALL)
+SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY parent, child) - 1 AS INTEGER) AS sequence, is_parent, CAST(tokens AS INTEGER) AS token_count, CAST(k AS INTEGER) AS n_segments, md5(trim(text)) AS h FROM made""")
 def c01(s, d):
     g = table(s, d, "segments").where("text IS NOT NULL").select(F.concat_ws("/", "work_canonical_id", "edition").alias("document"), F.col("row_id").alias("ord"), "segment_id", X.collapse_whitespace(F.col("text")).alias("text"))
     return chunking.chunk_documents(g).select("document", "sequence", "is_parent", "token_count", F.size("segment_ids").alias("n_segments"), F.md5("text").alias("h"))
 
 
-@query("c02_chunk_talks")
+_WORDS = f"CAST(greatest(1, round_even(len(list_filter(regexp_split_to_array(%s, '{BLANK}'), lambda x: x <> '')) * 1.3::DOUBLE, 0)) AS INTEGER)"
+
+
+@query("c02_chunk_talks", rf"""WITH RECURSIVE talk AS (SELECT CAST(doc_id AS VARCHAR) AS document, list_filter(list_transform(regexp_split_to_array({STRIP % 'text'}, '\n{{2,}}'), lambda x: {STRIP % 'x'}), lambda x: x <> '') AS p FROM documents WHERE source = 'talk_transcripts' AND text IS NOT NULL),
+sized AS MATERIALIZED (SELECT document, p, list_concat([0], list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: {_WORDS % 'x'}))::INT)) AS sums FROM talk WHERE len(p) > 0),
+parent_of AS (SELECT document, 0 AS k, 0 AS a, greatest(1, len(list_filter(sums, lambda x: x <= 1536)) - 1) AS z FROM sized
+  UNION ALL SELECT o.document, o.k + 1, o.z, least(len(s.p), greatest(o.z + 1, len(list_filter(s.sums, lambda x: x <= s.sums[o.z + 1] + 1536)) - 1)) FROM parent_of o JOIN sized s USING (document) WHERE o.z < len(s.p)),
+parent AS MATERIALIZED (SELECT o.document, o.k, array_to_string(s.p[o.a + 1:o.z], chr(10) || chr(10)) AS text FROM parent_of o JOIN sized s USING (document)),
+parts AS (SELECT document, k, text, list_filter(string_split(regexp_replace(text, '([.!?…]){BLANK}', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS p FROM parent),
+inner_ AS MATERIALIZED (SELECT document, k, p, list_concat([0], list_transform(range(1, len(p) + 1), lambda i: list_sum(list_transform(p[1:i], lambda x: {_WORDS % 'x'}))::INT)) AS sums FROM parts),
+child_of AS (SELECT document, k, 0 AS c, 0 AS a, least(len(p), greatest(1, least(len(list_filter(sums, lambda x: x < 384)), len(list_filter(sums, lambda x: x <= 512)) - 1))) AS z FROM inner_
+  UNION ALL SELECT document, k, c, a, least(len(p), greatest(a + 1, least(len(list_filter(sums, lambda x: x < sums[a + 1] + 384)), len(list_filter(sums, lambda x: x <= sums[a + 1] + 512)) - 1)))
+  FROM (SELECT o.document, o.k, o.c + 1 AS c, i.p, i.sums, greatest(o.a + 1, len(list_filter(i.sums, lambda x: x <= i.sums[o.z + 1] - 96)) - 1) AS a FROM child_of o JOIN inner_ i USING (document, k) WHERE o.z < len(i.p))),
+made AS (SELECT document, k, -1 AS c, true AS is_parent, {_WORDS % 'text'} AS tokens, text FROM parent UNION ALL SELECT o.document, o.k, o.c, false, i.sums[o.z + 1] - i.sums[o.a + 1], array_to_string(i.p[o.a + 1:o.z], ' ') FROM child_of o JOIN inner_ i USING (document, k))
+SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY k, c) - 1 AS INTEGER) AS sequence, is_parent, tokens AS token_count, md5(text) AS h FROM made""")
 def c02(s, d):
     talks = table(s, d, "documents").where("source = 'talk_transcripts'").select(F.col("doc_id").cast("string").alias("document"), "text")
     return chunking.chunk_talks(talks).select("document", "sequence", "is_parent", "token_count", F.md5("text").alias("h"))
@@ -791,6 +834,16 @@ def e06(s, d):
     return evaluate.worst(_run(s, d, _any_hits(s, d)), 10).select("id", "best")
 
 
+@query("a14_outcome", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT count(*) AS n, count(*) FILTER (best IS NULL) AS missed, count(*) FILTER (best <= 5) AS top_5, count(*) FILTER (best <= 20) AS top_20 FROM run")
+def a14(s, d):
+    return evaluate.outcome(_run(s, d, _any_hits(s, d)))
+
+
+@query("e10_smoke", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT id, coalesce(best <= 5, false) AS passed FROM run")
+def e10(s, d):
+    return evaluate.smoke(_run(s, d, _any_hits(s, d)))
+
+
 @query("a10_eval_grouping_sets", f"WITH {BASE}{POSTINGS}{ANY}{_RUN % 'any_hit'} SELECT difficulty, language, count(*) AS n, round(avg(CASE WHEN best <= 5 THEN 1 ELSE 0 END), 6) AS hit_5, round(avg(CASE WHEN best <= 20 THEN 1 ELSE 0 END), 6) AS hit_20, round(avg(coalesce(1.0 / best, 0)), 6) AS mrr FROM run GROUP BY GROUPING SETS ((), (difficulty), (language))")
 def a10(s, d):
     return evaluate.summary(_run(s, d, _any_hits(s, d)), (5, 20)).drop("grouping")
@@ -801,7 +854,7 @@ def j10(s, d):
     return evaluate.compare(_run(s, d, _any_hits(s, d)), _run(s, d, _bm25_hits(s, d)))
 
 
-@query("w01_stream_upsert")
+@query("w01_stream_upsert", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY ts DESC, thumb DESC, comment DESC NULLS LAST) AS n FROM feedback) SELECT trace_id, thumb, comment FROM r WHERE n = 1")
 def w01(s, d):
     """Feedback as a stream into the latest-per-key table, drained once."""
     import uuid
@@ -813,4 +866,4 @@ def w01(s, d):
     schema = table(s, d, "feedback").schema
     stream = s.readStream.schema(schema).parquet(f"{d}/feedback.parquet*").select("trace_id", "ts", "thumb", "comment")
     W.upsert_stream(stream, at, ["trace_id"], ["ts", "thumb", "comment"], f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return W.current(s, at).select("trace_id", "thumb", "comment")
+    return W.current(s, at, ["trace_id"], ["ts", "thumb", "comment"]).select("trace_id", "thumb", "comment")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,3 +97,31 @@ def authors(expressions: DataFrame, works: DataFrame) -> DataFrame:
 
 def without(hits: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     return hits.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def starts_with(c: Column, *prefixes: str) -> Column:
+    """Whether a text begins with one of the prefixes; without any, every text does."""
+    return reduce(lambda a, b: a | b, (c.startswith(p) for p in prefixes)) if prefixes else F.lit(True)
+
+
+def sample(rows: DataFrame, n: int, key: str, seed: int, without: DataFrame | None = None) -> DataFrame:
+    """``n`` rows with the smallest hash of seed and key, the same each time; rows whose key ``without`` has are no candidates. A distributed top-k, no sort of all."""
+    rows = rows.join(without.select(key).distinct(), key, "left_anti") if without is not None else rows
+    return rows.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(key))), key).limit(n)
+
+
+def middle_rows(rows: DataFrame, group: str, *order: str, width: int = 1024) -> DataFrame:
+    """The middle row of each group in an order (the first of which is a number): row n // 2 of n, from 0.
+
+    Rows are counted in blocks of the first column; the block that holds the
+    middle is found from the running counts of a group's blocks, and only its
+    rows are ranked. So no task sorts a whole group, however large it is.
+    """
+    block = F.floor(F.col(order[0]) / width)
+    counts = rows.withColumn("block", block).groupBy(group, "block").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    run = counts.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("middle", F.floor(F.sum("n").over(Window.partitionBy(group)) / 2))
+    at = run.where((F.col("before") <= F.col("middle")) & (F.col("middle") < F.col("before") + F.col("n"))).select(group, "block", (F.col("middle") - F.col("before") + 1).alias("place"))
+    held = rows.withColumn("block", block).join(at, [group, "block"])
+    ranked = held.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return ranked.where(F.col("r") == F.col("place")).drop("r", "place", "block")

@@ -1,8 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.operators import answers, chunking, evaluate, sinks
+from corpusloom.operators import answers, chunking, evaluate, library, sinks
 from corpusloom.sources import files
 from corpusloom.streaming import feedback
 
@@ -59,7 +60,7 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"p{k}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
     feedback.upsert_stream(stream, str(tmp_path / "out"), ["trace_id"], ["ts"], str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert {tuple(r) for r in feedback.current(spark, str(tmp_path / "out")).collect()} == {("a", 2, -1), ("b", 1, 1), ("c", 1, 1)}
+    assert {tuple(r) for r in feedback.current(spark, str(tmp_path / "out"), ["trace_id"], ["ts"]).collect()} == {("a", 2, -1), ("b", 1, 1), ("c", 1, 1)}
 
     deltas = tmp_path / "deltas"
     spark.createDataFrame([("t", 1, "see [mn", ["mn1"]), ("t", 2, "1] [mn1]", ["mn1"]), ("u", 1, "[zz]", ["mn1"])], "trace_id STRING, seq INT, delta STRING, sources ARRAY<STRING>").write.parquet(str(deltas))
@@ -115,7 +116,7 @@ def test_file_sources(spark, tmp_path):
 
     talks = tmp_path / "talks"
     talks.mkdir()
-    (talks / "rb_12_the_way_of-love.txt").write_text("Title\nTRANSCRIPTION:\n" + "word " * 60 + "\nGenerated by WhisperAI today\n")
+    (talks / "rb_12_the_way_of-love.txt").write_text("Title\nTRANSCRIPTION:\n" + "word " * 60 + "\nGenerated by WhisperAI\n")
     (talks / "rb_13_short.txt").write_text("TRANSCRIPTION:\nshort")
     meta = spark.createDataFrame([("12", "Old", "2019-01-01"), ("12", "Title of it", "2020-01-01"), (None, "x", "")], "id STRING, title STRING, date STRING").coalesce(1)
     got = files.transcripts(spark, str(talks), meta).collect()
@@ -139,9 +140,72 @@ def test_curated_lists(spark, tmp_path):
     mod = tmp_path / "d.mjs"
     mod.write_text('export const X = {"1": "p|noun|c|s|dhamma 1.1"};\n')
     r = files.parsed_entries(files.script_module(spark, str(mod))).head()
-    assert (r["key"], r["pos"], r["lemma"]) == ("1", "noun", "dhamma 1.1")
+    assert (r["key"], r["pos"], r["lemma"]) == ("1", "noun", "dhamma")
 
 
 def test_batches(spark):
     got = files.batches_in_order(spark.range(25).selectExpr("id"), "id", 4).groupBy("batch").count().collect()
     assert all(r["count"] <= 4 for r in got) and sum(r["count"] for r in got) == 25
+
+
+def test_a_new_checkpoint_keeps_what_is_there(spark, tmp_path):
+    schema, keys, version, out = "trace_id STRING, ts LONG, thumb INT", ["trace_id"], ["ts"], str(tmp_path / "out")
+    spark.createDataFrame([("a", 1, 1), ("b", 5, 1)], schema).write.parquet(str(tmp_path / "one"))
+    spark.createDataFrame([("b", 2, -1), ("c", 1, 1)], schema).write.parquet(str(tmp_path / "two"))
+    for n, src in enumerate(("one", "two")):  # each with a checkpoint of its own, whose batches begin at 0
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / src))
+        feedback.upsert_stream(stream, out, keys, version, str(tmp_path / f"cp{n}")).trigger(availableNow=True).start().awaitTermination()
+    want = {("a", 1, 1), ("b", 5, 1), ("c", 1, 1)}
+    assert {tuple(r) for r in feedback.current(spark, out, keys, version).collect()} == want
+    feedback.compact(spark, out, keys, version)
+    assert len(feedback._parts(spark, out)) == 1 and {tuple(r) for r in feedback.current(spark, out, keys, version).collect()} == want
+    spark.createDataFrame([("a", 9, -1)], schema).write.parquet(str(tmp_path / "three"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "three"))
+    feedback.upsert_stream(stream, out, keys, version, str(tmp_path / "cp3"), compact_every=1).trigger(availableNow=True).start().awaitTermination()
+    assert len(feedback._parts(spark, out)) == 1 and ("a", 9, -1) in {tuple(r) for r in feedback.current(spark, out, keys, version).collect()}
+
+
+def test_answers_as_a_stream(spark, tmp_path):
+    schema = "trace_id STRING, seq LONG, delta STRING, sources ARRAY<STRING>, done BOOLEAN"
+    rows = [("t", 1, "see [mn", ["mn1"], False), ("t", 2, "1].", None, True), ("u", 1, None, [], False), ("u", 2, "late", [], True)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "deltas"))
+    d = spark.readStream.schema(schema).parquet(str(tmp_path / "deltas"))
+    q = feedback.answer_stream(d).writeStream.format("memory").queryName("said").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {}
+    for r in spark.sql("SELECT * FROM said").collect():
+        got.setdefault(r["trace_id"], []).append(r["event"])
+    assert got == {"t": ["retrieval_done", "token", "token", "citation", "done"], "u": ["retrieval_done", "done"]}
+    hits = spark.createDataFrame([("q", "w2", 2), ("q", "w1", 1)], "query_id STRING, work STRING, rank INT")
+    first = {r["query_id"]: (r["sources"], len(r["trace_id"])) for r in feedback.retrievals(spark.createDataFrame([("q",), ("r",)], "query_id STRING"), hits).collect()}
+    assert first == {"q": (["w1", "w2"], 36), "r": ([], 36)}
+
+
+def test_samples_and_middles(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 'a' ELSE concat('b', id % 7) END AS g", "CAST(id AS INT) AS sequence", "CAST(id AS STRING) AS id")
+    got = {r["g"]: r["sequence"] for r in library.middle_rows(rows, "g", "sequence", "id", width=100).collect()}
+    for g, members in (("a", range(4000)), ("b3", [i for i in range(4000, 5000) if i % 7 == 3])):
+        assert got[g] == sorted(members)[len(members) // 2]
+    few = library.sample(rows, 10, "id", seed=3, without=rows.where("sequence % 2 = 0"))
+    ids = {r["id"] for r in few.collect()}
+    assert len(ids) == 10 and all(int(i) % 2 for i in ids) and ids == {r["id"] for r in few.collect()}
+    assert rows.where(library.starts_with(F.col("g"), "a", "b1")).count() == 4000 + len([i for i in range(4000, 5000) if i % 7 == 1]) and rows.where(library.starts_with(F.col("g"))).count() == 5000
+
+
+def test_authors_and_cards(spark):
+    e = spark.createDataFrame([("e1", "w1", "p1", "eng"), ("e2", "w2", None, "rus")], "id STRING, work_id STRING, author_id STRING, language_code STRING")
+    people = spark.createDataFrame([("p1", "rob", "Rob")], "id STRING, slug STRING, name STRING")
+    assert {(r["id"], r["author_slug"]) for r in library.with_author(e, people).collect()} == {("e1", "rob"), ("e2", None)}
+    w = spark.createDataFrame([("w1", "mn1", "One"), ("w2", "mn2", "Two")], "id STRING, canonical_id STRING, title STRING")
+    assert [r["canonical_id"] for r in library.by_author(w, e, "p1").collect()] == ["mn1"]
+    i = spark.createDataFrame([("i1", "e1"), ("i2", "e2")], "id STRING, expression_id STRING")
+    c = spark.createDataFrame([("c1", "i1", "said in spring"), ("c2", "i2", None)], "id STRING, instance_id STRING, context_text STRING")
+    hits = spark.createDataFrame([("q", "c1", 1), ("q", "c2", 2), ("q", "gone", 3)], "query_id STRING, chunk_id STRING, rank INT")
+    got = [(r["work"], r["translator"], r["context_text"]) for r in library.cards(hits, c, i, e, w, people).orderBy("rank").collect()]
+    assert got == [("mn1", "Rob", "said in spring"), ("mn2", None, None)]
+
+
+def test_confidence_is_measured_on_what_is_shown(spark):
+    rows = [("a", "x [mn1] y [MN1] z", ["mn1"]), ("b", "[a, zzzzzzzzzzzzzzzzzzzzzzzzzzzz, b] [c] and much more text than that", ["a", "b", "c"]), ("c", "none", []), ("d", None, ["a"]), ("e", "no marks", ["a"])]
+    got = {r["trace_id"]: (r["n_unique"], r["n_total"], r["tier"]) for r in answers.graded(spark.createDataFrame(rows, "trace_id STRING, answer STRING, sources ARRAY<STRING>")).collect()}
+    assert got == {"a": (1, 1, "limited"), "b": (3, 2, "synthesized"), "c": (0, 0, "no-sources"), "d": (0, 0, "no-sources"), "e": (0, 0, "interpretive")}

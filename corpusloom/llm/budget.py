@@ -134,22 +134,45 @@ def slices(works: DataFrame, expressions: DataFrame, instances: DataFrame) -> Da
     return known.select("instance_id", "expression_id", "source_type", F.coalesce("own_language", "work_language", F.lit("und")).alias("language"), "tradition_code")
 
 
+#: A key with more than this part of all rows is hot; there are fewer of them than its inverse.
+HOT_SHARE = 1 / 64
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """``rows`` (materialised) with the columns of ``small`` (one row per key), null where it has none. Rows of hot keys, of which there can be only a few, meet their rows of ``small`` without being shuffled; the others are joined by a shuffle."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = [r[key] for r in counts.where(F.col("n") > max(1000, total * HOT_SHARE)).collect() if r[key] is not None]
+    if not hot:
+        return rows.join(small, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return rows.where(~is_hot).join(small, key, "left").unionByName(rows.where(is_hot).join(F.broadcast(small.where(F.col(key).isin(hot))), key, "left"))
+
+
 def chunk_rows(chunks: DataFrame, by_instance: DataFrame) -> DataFrame:
     """One slim row for each text that counts: its slice, features and stored token_count (null where not positive).
 
-    Rows are first merged within their instance with partial aggregation, so a
-    hot instance arrives at the join merged, and its rows there are slim.
+    Children always count. A parent counts where no child is linked to it and
+    its expression has no child without a link, which might be its own: so a
+    parent whose children were lost keeps its tokens, and none counts twice.
+    Rows are first merged within their instance with partial aggregation; a hot
+    instance is then joined without a shuffle.
     """
-    base = chunks.where("id IS NOT NULL").select("id", "instance_id", F.coalesce("is_parent", F.lit(False)).alias("is_parent"), "token_count", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("t"), "text")
-    slim = with_features(base, ["id", "instance_id", "is_parent", "token_count", "t"], "text")
+    chunks = chunks if "parent_chunk_id" in chunks.columns else chunks.withColumn("parent_chunk_id", F.lit(None).cast("string"))
+    base = chunks.where("id IS NOT NULL").select("id", "instance_id", "parent_chunk_id", F.coalesce("is_parent", F.lit(False)).alias("is_parent"), "token_count", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("t"), "text")
+    slim = with_features(base, ["id", "instance_id", "parent_chunk_id", "is_parent", "token_count", "t"], "text")
     first = [F.first(c).alias(c) for c in FEATURES]
-    once = slim.groupBy("instance_id", "is_parent", "t").agg(F.min("id").alias("id"), F.max(F.when(F.col("token_count") > 0, F.col("token_count"))).alias("stored"), *first)
-    placed = once.join(by_instance, "instance_id", "left")
-    key = [F.coalesce("expression_id", "instance_id").alias("home"), "is_parent", "t"]
+    once = slim.groupBy("instance_id", "is_parent", "t").agg(F.min("id").alias("id"), F.collect_set(F.when(F.col("is_parent"), F.col("id"))).alias("ids"), F.bool_or(~F.col("is_parent") & F.col("parent_chunk_id").isNull()).alias("loose"), F.max(F.when(F.col("token_count") > 0, F.col("token_count"))).alias("stored"), *first)
+    placed = join_hot(materialize(once), by_instance, "instance_id").withColumn("home", F.coalesce("expression_id", "instance_id"))
     rest = [F.first(c).alias(c) for c in ("instance_id", "source_type", "language", "tradition_code", *FEATURES)]
-    merged = placed.groupBy(*key).agg(F.min("id").alias("id"), F.max("stored").alias("stored"), *rest)
-    levels = merged.groupBy("home").agg(F.min("is_parent").alias("lowest"))
-    return merged.join(levels, "home").where(F.col("is_parent") == F.col("lowest")).drop("lowest", "home", "t")
+    merged = materialize(placed.groupBy("home", "is_parent", "t").agg(F.min("id").alias("id"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("ids"), F.bool_or("loose").alias("loose"), F.max("stored").alias("stored"), *rest))
+    linked = chunks.where("parent_chunk_id IS NOT NULL AND NOT coalesce(is_parent, false)").select(F.col("parent_chunk_id").alias("p")).distinct()
+    parents = merged.where("is_parent").select("home", "t", F.explode("ids").alias("p"))
+    has_children = parents.join(linked, "p", "left_semi").select("home", "t").distinct()
+    childless = merged.where("is_parent").join(has_children, ["home", "t"], "left_anti")
+    loose = merged.where("NOT is_parent AND loose").select("home").distinct()
+    counted = merged.where("NOT is_parent").unionByName(childless.join(loose, "home", "left_anti"), allowMissingColumns=True)
+    return counted.drop("home", "t", "ids", "loose")
 
 
 def model(rows: DataFrame, chunks: DataFrame, per_language: int = SAMPLE, vocabulary: str = VOCABULARY) -> dict[str, list[float]]:

@@ -5,7 +5,9 @@ embedded DuckDB, and one SQL statement with nfc_normalize, translate and
 regular expressions brings its texts to one form. No shuffle and no Python
 per row: Arrow buffers go into DuckDB and come out of it.
 
-The form: full-width and half-width forms become plain ones, ligatures are
+The form: full-width and half-width forms (of letters, kana, Korean and signs)
+become plain ones (styled letters and super- or subscripts look different and
+stay), ligatures are
 spelled out, invisible characters go, accents are composed, runs of blanks of
 any kind become one blank and those at the ends go. A letter that looks like
 one of another script is then written in the script of its word: with Cyrillic
@@ -16,6 +18,7 @@ majority of the text. Case, punctuation and visible marks stay.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from string import ascii_letters
 
@@ -39,8 +42,10 @@ HYPHENS = "‐‑"
 
 
 def _wide() -> tuple[str, str]:
-    """Full-width ASCII by its rule, and the signs after it."""
-    return "".join(map(chr, range(0xFF01, 0xFF5F))) + "￠￡￢￤￥￦", "".join(map(chr, range(0x21, 0x7F))) + "¢£¬¦¥₩"
+    """Characters that differ from others by their width only, full-width and half-width forms, and what they stand for; by the rule that Unicode gives them."""
+    forms = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFF01, 0xFFEF) if unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>"))]
+    forms = [(a, {"\u3099": "\u3099", "\u309a": "\u309a"}.get(b, b)) for a, b in forms if len(b) == 1 and b != "\u1160"]
+    return "".join(a for a, _ in forms), "".join(b for _, b in forms)
 
 
 def _quoted(s: str) -> str:
@@ -99,6 +104,19 @@ def consistent(df: DataFrame, key: str, text: str, into: str = "form") -> DataFr
     return df.select(key, text).mapInArrow(run, T.StructType([df.schema[key], T.StructField(into, T.StringType(), True)]))
 
 
+def form_classes(rows: DataFrame) -> DataFrame:
+    """src, id, class: rows (src, id, text) whose form another text of their src has, too, with the digest of that form. What ``lookalike_pairs`` spells out in pairs, at one row each; a form that a third of all rows share costs no more than its rows."""
+    return _dirty(rows).select("src", "id", F.hex("f").alias("class"))
+
+
+def _dirty(rows: DataFrame) -> DataFrame:
+    marked = rows.select(F.struct("src", F.col("id").cast("long").alias("id"), F.unhex(F.md5("text")).alias("t")).alias("k"), "text").where("text IS NOT NULL AND text <> ''")
+    formed = consistent(marked, "k", "text").where("form <> ''")
+    all_rows = materialize(formed.select("k.src", "k.id", "k.t", F.unhex(F.md5("form")).alias("f")))
+    several = all_rows.groupBy("src", "f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("src", "f")
+    return all_rows.join(several, ["src", "f"], "left_semi")
+
+
 def lookalike_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of rows of one src whose texts differ but look the same.
 
@@ -111,11 +129,7 @@ def lookalike_pairs(rows: DataFrame) -> DataFrame:
     so rows of one text are never set against each other. Joins are by hash of
     the form and of the text; adaptive execution splits the hot ones.
     """
-    marked = rows.select(F.struct("src", F.col("id").cast("long").alias("id"), F.unhex(F.md5("text")).alias("t")).alias("k"), "text").where("text IS NOT NULL AND text <> ''")
-    formed = consistent(marked, "k", "text").where("form <> ''")
-    all_rows = materialize(formed.select("k.src", "k.id", "k.t", F.unhex(F.md5("form")).alias("f")))
-    several = all_rows.groupBy("src", "f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("src", "f")
-    dirty = materialize(all_rows.join(several, ["src", "f"], "left_semi"))
+    dirty = materialize(_dirty(rows))
     texts = dirty.select("src", "f", F.col("t").alias("t2")).distinct()
     a = dirty.join(texts, ["src", "f"]).where("t < t2").select("src", F.col("id").alias("x"), F.col("t2").alias("t"))
     b = dirty.select("src", F.col("id").alias("y"), "t")

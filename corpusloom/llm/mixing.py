@@ -5,8 +5,9 @@ language, topic) are raked to the marginals of source (the targets), language
 and topic (those of the documents that have a target); no cell may exceed what
 its documents hold times the repeats its source allows. The calibrated weight
 of a cell over its tokens is the expected number of uses of each of its
-documents; uses are drawn by systematic sampling along the documents in order
-of size, so totals come out within about one document of their expectation.
+documents; uses are drawn by systematic sampling along the documents of a source,
+cell by cell, up and down in size by turns. What one cell leaves of a use goes on
+to the next, so the total of a source comes out within a few documents' size.
 
 Where a source can't reach its target, as it has no documents or too few even
 when repeated, the others take its part in proportion to their targets, and the
@@ -97,25 +98,58 @@ def draw(sizes: DataFrame, targets: DataFrame, total: float | None = None, fract
     for s, _, _, n in cells:
         capacity[s] = capacity.get(s, 0.0) + n * goal[s][1]
     size = total if total is not None else fraction * sum(c[3] for c in cells)
-    weights = rake(cells, {s: g[1] for s, g in goal.items()}, source_totals({s: g[0] for s, g in goal.items()}, capacity, size)) if cells else np.empty(0)
+    totals = source_totals({s: g[0] for s, g in goal.items()}, capacity, size)
+    weights = rake(cells, {s: g[1] for s, g in goal.items()}, totals) if cells else np.empty(0)
     spark = sizes.sparkSession
+    turn = {}  # cells of a source in their order: every other one is walked from its largest document down
+    for c in cells:
+        turn.setdefault(c[0], []).append(c[:3])
+    place = {c: i for own in turn.values() for i, c in enumerate(own)}
     rate = spark.createDataFrame(
-        [(*c[:3], float(w / c[3]), int(-(-r["m"] // BLOCK))) for c, r, w in zip(cells, rows, weights)], "source STRING, language STRING, topic STRING, rate DOUBLE, blocks INT"
+        [(*c[:3], float(w / c[3]), int(-(-r["m"] // BLOCK)), place[c[:3]], goal[c[0]][1]) for c, r, w in zip(cells, rows, weights)], "source STRING, language STRING, topic STRING, rate DOUBLE, blocks INT, place INT, most INT"
     )
-    placed = inside.join(F.broadcast(rate), ["source", "language", "topic"]).where("rate > 0")
-    cell = ["source", "language", "topic"]
-    # Along the sizes: a class of size, then a block of the hash, then the hash.
-    placed = placed.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("size_class", F.floor(F.log2("n_tokens") * 4).cast("int")).withColumn("block", F.pmod("h", "blocks"))
-    counted = placed.groupBy(*cell, "size_class", "block").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(*cell).orderBy("size_class", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    within = Window.partitionBy(*cell, "size_class", "block").orderBy("n_tokens", "h", "doc_id")
-    ranked = placed.withColumn("i", F.row_number().over(within)).join(offsets, [*cell, "size_class", "block"])
-    start = F.pmod(F.xxhash64(*cell, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    last = F.col("before") + F.col("i")
+    placed = inside.join(rate, ["source", "language", "topic"]).where("rate > 0")
+    # Along the sizes, up and down by turns: a class of size, then a block of the hash, then the hash.
+    way = F.when(F.col("place") % 2 == 0, 1).otherwise(-1)
+    placed = placed.withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("size_class", way * F.floor(F.log2("n_tokens") * 4).cast("int")).withColumn("block", F.pmod("h", "blocks"))
+    counted = placed.groupBy("source", "place", "size_class", "block").agg(F.count("*").alias("n"), F.first("rate").alias("r"))
+    # What a cell leaves of a use goes on to the next cell of its source: the whole source is one walk.
+    before = Window.partitionBy("source").orderBy("place", "size_class", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counted.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("r")).over(before), F.lit(0.0))).drop("n", "r")
+    within = Window.partitionBy("source", "place", "size_class", "block").orderBy(way * F.col("n_tokens"), "h", "doc_id")
+    ranked = placed.withColumn("i", F.row_number().over(within)).join(offsets, ["source", "place", "size_class", "block"])
+    start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    upto = F.col("before") + F.col("rate") * F.col("i") + start + 1e-7
     # A rate that is a whole number, up to rounding, gives just that number.
-    uses = F.floor(F.col("rate") * last + start + 1e-9) - F.floor(F.col("rate") * (last - 1) + start + 1e-9)
-    return ranked.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
+    uses = F.least(F.floor(upto) - F.floor(upto - F.col("rate")), F.col("most"))
+    drawn = materialize(ranked.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses"), "most", "h"))
+    for part in PASSES:
+        drawn = _corrected(drawn, totals, part)
+    return drawn.where("uses > 0").select("doc_id", "source", "n_tokens", "uses")
+
+
+#: What is left between a source's total and its draw is closed by documents of at most these parts of it, one pass after another.
+PASSES = (0.25, 0.5, 1.0)
+
+
+def _corrected(drawn: DataFrame, totals: dict[str, float], part: float) -> DataFrame:
+    """``drawn`` with one use more, or one less, of documents in order of their hash until a source's total is met as nearly as their sizes allow. Long documents make draws miss their total; short ones close the gap."""
+    got = {r["source"]: r["t"] for r in drawn.groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("t")).collect()}  # sources of the targets only
+    gaps = {s: totals[s] - t for s, t in got.items() if s in totals and abs(totals[s] - t) >= 1}
+    if not gaps:
+        return drawn
+    gap = drawn.sparkSession.createDataFrame([(s, float(g)) for s, g in gaps.items()], "source STRING, gap DOUBLE")
+    rows = drawn.join(gap, "source", "left")
+    fits = (F.col("n_tokens") <= F.abs("gap") * part) & F.when(F.col("gap") > 0, F.col("uses") < F.col("most")).otherwise(F.col("uses") > 0)
+    near = rows.where(fits).select("doc_id", "source", "n_tokens", "gap", "h")
+    blocks = near.groupBy("source").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    near = near.join(blocks, "source").withColumn("block", F.pmod(F.shiftright("h", 20), "blocks"))
+    sums = near.groupBy("source", "block").agg(F.sum("n_tokens").alias("t"))
+    sums = sums.select("source", "block", F.coalesce(F.sum("t").over(Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    upto = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("h", "doc_id"))
+    taken = near.withColumn("upto", upto).join(sums, ["source", "block"]).where(F.col("before") + F.col("upto") - F.col("n_tokens") / 2 <= F.abs("gap")).select("doc_id", F.lit(1).alias("taken"))
+    out = rows.join(taken, "doc_id", "left")
+    return materialize(out.select("doc_id", "source", "n_tokens", (F.col("uses") + F.coalesce("taken", F.lit(0)) * F.signum(F.coalesce("gap", F.lit(0.0))).cast("int")).alias("uses"), "most", "h"))
 
 
 def shares(sizes: DataFrame, targets: DataFrame, mix: DataFrame) -> DataFrame:

@@ -108,6 +108,15 @@ def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent(table(spark, sf_dir, "segments"), "row_id", "text")
 
 
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row that looks like another of other characters, with its class."""
+    from corpusloom.llm import lookalike
+
+    segments = table(spark, sf_dir, "segments").select(F.lit("segments").alias("src"), F.col("row_id").alias("id"), "text")
+    glossary = table(spark, sf_dir, "glossary_entries").select(F.lit("glossary_entries").alias("src"), F.col("entry_id").alias("id"), F.col("pali").alias("text"))
+    return lookalike.form_classes(segments.unionByName(glossary))
+
+
 def _tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [table(spark, sf_dir, n) for n in names]
 
@@ -155,7 +164,7 @@ def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p4_file_pieces, p5_found, p5_forms, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
+    return {f.__name__: f for f in (p1_found, p1_coverage, p2_found, p3_found, p3_stretches, p4_found, p4_pieces, p4_file_pieces, p5_found, p5_forms, p5_classes, p6_chunk_tokens, p6_budget, p7_ids, p8_mix, p8_shares, p9_found, p9_clean)}
 
 
 _BLANK = r"\x09-\x0D\x1C-\x20\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"

@@ -69,3 +69,21 @@ def test_fit_corrects_its_bias():
 
 def test_empty_tables(spark, tables):
     assert K.chunk_tokens(spark, *(t.where("false") for t in tables)).count() == 0
+
+
+def test_a_parent_counts_where_its_children_are_lost(spark):
+    chunks = [
+        ("p", "i", None, True, 3, "one two three"), ("c", "i", "p", False, 3, "one two three"), ("q", "i", None, True, 2, "four five"),  # q has no child
+        ("r", "j", None, True, 2, "six seven"), ("d", "j", None, False, 2, "six seven"),  # d may be r's
+    ]
+    none = lambda schema: spark.createDataFrame([], schema)
+    by_instance = K.slices(none("id STRING, tradition_code STRING, primary_language_code STRING, source_type STRING"), none("id STRING, work_id STRING, language_code STRING"), none("id STRING, expression_id STRING"))
+    df = spark.createDataFrame(chunks, "id STRING, instance_id STRING, parent_chunk_id STRING, is_parent BOOLEAN, token_count INT, text STRING")
+    assert {r["id"] for r in K.chunk_rows(df, by_instance).collect()} == {"c", "q", "d"}
+
+
+def test_hot_keys_are_joined_without_a_shuffle(spark):
+    rows = spark.range(5000).selectExpr("CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 9 = 0 THEN NULL ELSE CAST(id AS STRING) END AS k", "id")
+    small = spark.createDataFrame([("hot", 1), ("7", 2)], "k STRING, v INT")
+    got = K.join_hot(rows, small, "k")
+    assert got.count() == 5000 and got.where("v = 1").count() == 2500 and [r["id"] for r in got.where("v = 2").collect()] == [7]

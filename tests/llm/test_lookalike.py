@@ -73,3 +73,13 @@ def test_hot_form_equals_brute_force(spark):
 def test_long_text():
     t = "ａ " * 200_000
     assert form(t) == [("a " * 200_000).strip()]
+
+
+def test_classes_hold_the_rows_of_the_pairs(spark):
+    rows = [("s", 1, "a b"), ("s", 2, "a\u00a0b"), ("s", 3, "a b"), ("s", 4, "other"), ("t", 5, "a\u2003b"), ("s", 6, None), ("s", 7, "ｶﾞ"), ("s", 8, "ガ"), ("s", 9, "x²"), ("s", 10, "x2")]
+    df = spark.createDataFrame(rows, "src STRING, id LONG, text STRING")
+    classes = {}
+    for r in K.form_classes(df).collect():
+        classes.setdefault(r["class"], set()).add(r["id"])
+    assert sorted(map(sorted, classes.values())) == [[1, 2, 3], [7, 8]]
+    assert {tuple(r)[1:] for r in K.lookalike_pairs(df).collect()} == {(1, 2), (2, 3), (7, 8)}

@@ -58,13 +58,18 @@ def form_sql(column: str) -> str:
     Invisible characters go first, and accents are composed after letters are
     mapped: else an accent would stay apart from its letter.
     """
-    s = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
+    blanks = lambda x: f"trim(regexp_replace({x}, '{BLANKS}', ' ', 'g'))"
+    seen = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
+    # Each mapping runs over the texts that have a character for it: a test of one class costs less than a mapping.
+    only = lambda where, then, other: f"CASE WHEN regexp_matches({column}, '[{where}]') THEN {then} ELSE {other} END"
+    s = seen
     for one, many in LIGATURES.items():
         s = f"replace({s}, {_quoted(one)}, {_quoted(many)})"
+    s = only("".join(LIGATURES), s, seen)
     wide, plain = _wide()
-    s = f"translate({s}, {_quoted(wide + HYPHENS)}, {_quoted(plain + '-' * len(HYPHENS))})"
-    s = f"translate({s}, {_quoted(CYRILLIC + GREEK)}, {_quoted(CYRILLIC_AS_LATIN + GREEK_AS_LATIN)})"
-    return f"trim(regexp_replace(nfc_normalize({s}), '{BLANKS}', ' ', 'g'))"
+    s = only(rf"{HYPHENS}\x{{FF01}}-\x{{FFEE}}", f"translate({s}, {_quoted(wide + HYPHENS)}, {_quoted(plain + '-' * len(HYPHENS))})", s)
+    s = only(r"\x{0370}-\x{052F}", f"translate({s}, {_quoted(CYRILLIC + GREEK)}, {_quoted(CYRILLIC_AS_LATIN + GREEK_AS_LATIN)})", s)
+    return f"CASE WHEN strlen({column}) = length({column}) THEN {blanks(seen)} ELSE {blanks(f'nfc_normalize({s})')} END"
 
 
 def batch_sql(view: str) -> str:
@@ -72,13 +77,14 @@ def batch_sql(view: str) -> str:
     only_cyrillic = r"[\x{0400}-\x{052F}]"
     alone = "".join(c for c in ascii_letters if c not in LATIN_BACK)
     only_latin = rf"[{alone}\x{{00C0}}-\x{{00CA}}\x{{00CC}}-\x{{00CE}}\x{{00D0}}-\x{{00D6}}\x{{00D8}}-\x{{00EA}}\x{{00EC}}-\x{{00EE}}\x{{00F0}}-\x{{00F6}}\x{{00F8}}-\x{{024F}}\x{{1E00}}-\x{{1EFF}}]"
+    whole = f"translate(s, '{LATIN_BACK}', '{CYRILLIC_BACK}')"  # a text without Latin letters of its own: all words go back
     back = f"translate(w, '{LATIN_BACK}', '{CYRILLIC_BACK}')"
     return f"""
     WITH plain AS (SELECT k, {form_sql("t")} AS s FROM {view}),
-    counted AS (SELECT k, s, NOT regexp_matches(s, '{only_cyrillic}') AS no_cyrillic,
+    counted AS (SELECT k, s, NOT regexp_matches(s, '{only_cyrillic}') AS no_cyrillic, NOT regexp_matches(s, '{only_latin}') AS no_latin,
         len(regexp_extract_all(s, '{only_cyrillic}')) > len(regexp_extract_all(s, '{only_latin}')) AS mostly FROM plain)
-    SELECT k, CASE WHEN s IS NULL THEN NULL WHEN no_cyrillic THEN s ELSE array_to_string(list_transform(string_split(s, ' '), lambda w:
-        CASE WHEN regexp_matches(w, '{only_latin}') THEN w WHEN regexp_matches(w, '{only_cyrillic}') OR mostly THEN {back} ELSE w END), ' ') END AS form
+    SELECT k, CASE WHEN s IS NULL THEN NULL WHEN no_cyrillic THEN s WHEN no_latin THEN {whole} ELSE array_to_string(list_transform(string_split(s, ' '), lambda w:
+        CASE WHEN regexp_matches(w, '{only_latin}') OR NOT (mostly OR regexp_matches(w, '{only_cyrillic}')) THEN w ELSE {back} END), ' ') END AS form
     FROM counted"""
 
 

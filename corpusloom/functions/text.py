@@ -152,10 +152,10 @@ def snippet(c: Column, n: int) -> Column:
     return F.when(F.length(t) > n, F.concat(F.substring(t, 1, n), F.lit("…"))).otherwise(t)
 
 
-def prefixed_chunk(context: Column, chunk: Column) -> Column:
-    """Context, an empty line, chunk; null where one of them is empty."""
-    a, b = F.trim(context), F.trim(chunk)
-    return F.when((a != "") & (b != ""), F.concat_ws("\n\n", a, b))
+def prefixed_chunk(context: Column, chunk: Column, strict: bool = False) -> Column:
+    """Context, an empty line, chunk; where one of them is empty null, or an error if ``strict``."""
+    a, b = strip(context), strip(chunk)
+    return F.when((a != "") & (b != ""), F.concat_ws("\n\n", a, b)).otherwise(F.raise_error(F.lit("empty context or chunk")) if strict else F.lit(None))
 
 
 def talk_context(title: Column, teacher: Column, date: Column, link: Column) -> Column:

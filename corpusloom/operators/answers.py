@@ -111,7 +111,24 @@ def corpus_type(works: Column) -> Column:
     return F.when(talk & text, "mixed").when(talk, "talk").otherwise("canonical")
 
 
-def user_message(query: Column, blocks: Column) -> Column:
-    """The prompt of a question with its numbered sources (an array of texts)."""
-    numbered = F.transform(blocks, lambda b, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), b))
-    return F.concat_ws("\n\n", F.concat(F.lit("Question: "), query), F.lit("Sources:"), F.array_join(numbered, "\n\n"))
+#: What a prompt says about its sources, by the corpus they are from, and how long an answer should be, by style.
+INTRO = {"canonical": "These passages of canonical texts were found for the question below.", "talk": "These excerpts of recorded talks were found for the question below. They are transcripts of speech: put their sense into whole sentences.", "mixed": "These sources were found for the question below: some are canonical texts, some excerpts of recorded talks, which are transcripts of speech."}
+GUIDANCE = {"auto": "Let the question decide how long the answer is.", "concise": "Answer in a few sentences.", "detailed": "Answer at length, point by point."}
+
+
+def system_prompt(corpus: Column, style: str = "auto") -> Column:
+    """Instructions for the sources of a corpus type, with the guidance of a style."""
+    if style not in GUIDANCE:
+        raise ValueError("unknown style")
+    table = F.create_map(*(F.lit(x) for p in INTRO.items() for x in p))
+    return F.concat(F.coalesce(table[corpus], F.lit(INTRO["canonical"])), F.lit(" Answer from them only, and name the id of a source in square brackets behind what it says.\n- " + GUIDANCE[style]))
+
+
+def user_message(query: Column, sources: Column) -> Column:
+    """The question with its numbered sources (an array of work, segment_id, text), each under its id; without sources, a note that there are none."""
+    title = lambda s, i: F.concat(F.lit("--- Source "), (i + 1).cast("string"), F.lit(" ["), s["work"], F.lit("]"), F.when(F.coalesce(s["segment_id"], F.lit("")) != "", F.concat(F.lit(" ("), s["segment_id"], F.lit(")"))).otherwise(""), F.lit(" ---"))
+    blocks = F.transform(sources, lambda s, i: F.concat(title(s, i), F.lit("\n"), s["text"], F.lit("\n")))
+    asked = F.concat(F.lit("User question: "), query)
+    intro = F.create_map(*(F.lit(x) for p in INTRO.items() for x in p))[corpus_type(F.transform(sources, lambda s: s["work"]))]
+    none = F.concat(asked, F.lit("\n\n(No source passages were retrieved.)"))
+    return F.when(F.size(F.coalesce(sources, F.array())) <= 0, none).otherwise(F.concat_ws("\n", intro, F.lit(""), F.array_join(blocks, "\n"), asked))

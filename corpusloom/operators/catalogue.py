@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators import answers as A
-from corpusloom.operators import chunking, evaluate, expand, fusion, lexical, library, pipeline, sinks, vector
+from corpusloom.operators import chunking, contextual, evaluate, expand, fusion, lexical, library, pipeline, sinks, vector
 from corpusloom.plans.materialize import materialize
 from corpusloom.sources.tables import table
 
@@ -538,9 +538,9 @@ def x07(s, d):
     return table(s, d, "segments").select("row_id", F.md5(X.collapse_whitespace(F.col("text"))).alias("h"))
 
 
-@query("x08_tokenize", r"SELECT doc_id, len(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*')) AS n, md5(array_to_string(regexp_extract_all(lower(text), '\p{L}+(?:-\p{L}+)*'), ' ')) AS h FROM documents WHERE text IS NOT NULL")
+@query("x08_tokenize", r"WITH t AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '\p{L}+(?:-\p{L}+)*') AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS h FROM t")
 def x08(s, d):
-    t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.tokenize(F.col("text")).alias("t"))
+    t = table(s, d, "documents").where("text IS NOT NULL").select("doc_id", X.tokenize(X.nfc("text")).alias("t"))
     return t.select("doc_id", F.size("t").alias("n"), F.md5(F.array_join("t", " ")).alias("h"))
 
 
@@ -627,6 +627,19 @@ def m04(s, d):
     return a.withColumn("usd", F.round(X.cost_usd(F.col("tokens_in"), F.col("tokens_out"), F.lit(0), F.lit(0)), 6))
 
 
+@query("a12_usage", "WITH a AS (SELECT DISTINCT trace_id, llm_model AS model, llm_tokens_in AS i, llm_tokens_out AS o FROM answers), p AS (SELECT model, 0.5 + 0.1 * length(model) AS x, 2.0 + 0.1 * length(model) AS y FROM a WHERE model NOT LIKE '%a%' GROUP BY model) SELECT model, count(*) AS calls, CAST(sum(greatest(0, coalesce(i, 0) - 10)) AS BIGINT) AS tokens_in, CAST(sum(coalesce(o, 0)) AS BIGINT) AS tokens_out, round((sum(greatest(0, coalesce(i, 0) - 10)) * coalesce(max(x), 0.8)::DOUBLE + sum(coalesce(o, 0)) * coalesce(max(y), 4.0)::DOUBLE + count(*) * 10 * coalesce(max(x), 0.8)::DOUBLE * 0.1) / 1000000, 6) AS usd FROM a LEFT JOIN p USING (model) GROUP BY model")
+def a12(s, d):
+    """Tokens and costs per model, with prices for some of them; ten tokens of each call come from the cache."""
+    calls = table(s, d, "answers").dropDuplicates(["trace_id"]).select(F.col("llm_model").alias("model"), F.col("llm_tokens_in").alias("tokens_in"), F.col("llm_tokens_out").alias("tokens_out"), F.lit(None).cast("int").alias("cache_write"), F.lit(10).alias("cache_read"))
+    prices = calls.select("model").where("model NOT LIKE '%a%'").distinct().select("model", (0.5 + 0.1 * F.length("model")).alias("per_million_in"), (2.0 + 0.1 * F.length("model")).alias("per_million_out"))
+    return contextual.usage(calls, prices).select("model", "calls", "tokens_in", "tokens_out", F.round("usd", 6).alias("usd"))
+
+
+@query("s18_prefixed", f"SELECT DISTINCT id AS chunk_id, md5({STRIP % 'context_text'} || chr(10) || chr(10) || {STRIP % 'text'}) AS h FROM chunks WHERE NOT is_parent AND {STRIP % 'context_text'} <> '' AND {STRIP % 'text'} <> ''")
+def s18(s, d):
+    return contextual.prefixed(table(s, d, "chunks")).select("chunk_id", F.md5("text").alias("h"))
+
+
 @query("m06_sha256", "SELECT doc_id, sha256(text) AS h FROM documents")
 def m06(s, d):
     return table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))

@@ -24,11 +24,33 @@ def by_parent(pairs: DataFrame, partitions: int) -> DataFrame:
     return pairs.repartition(partitions, "parent_chunk_id").sortWithinPartitions("parent_chunk_id", "sequence")
 
 
-def messages(instruction: str, parent: Column, child: Column) -> Column:
-    """The messages of a request: the instruction and the document first, as they repeat, then the chunk; null where a text is empty."""
-    system = F.struct(F.lit("system").alias("role"), F.concat_ws("\n\n", F.lit(instruction), F.trim(parent)).alias("content"))
-    user = F.struct(F.lit("user").alias("role"), F.trim(child).alias("content"))
-    return F.when((F.trim(parent) != "") & (F.trim(child) != ""), F.array(system, user))
+def messages(instruction: str, parent: Column, child: Column, strict: bool = False) -> Column:
+    """The messages of a request: the instruction, then the document and the chunk; null where a text is empty, an error if ``strict``."""
+    p, c = X.strip(parent), X.strip(child)
+    system = F.struct(F.lit("system").alias("role"), F.lit(instruction.strip()).alias("content"))
+    user = F.struct(F.lit("user").alias("role"), F.concat(F.lit("<document>\n"), p, F.lit("\n</document>\n\n<chunk>\n"), c, F.lit("\n</chunk>")).alias("content"))
+    return F.when((p != "") & (c != ""), F.array(system, user)).otherwise(F.raise_error(F.lit("empty document or chunk")) if strict else F.lit(None))
+
+
+def prefixed(chunks: DataFrame, strict: bool = False) -> DataFrame:
+    """chunk_id and text to encode of children that have a context: the context, an empty line, the chunk."""
+    rows = chunks.where(~F.col("is_parent") & F.col("context_text").isNotNull()).dropDuplicates(["id"])
+    return rows.select(F.col("id").alias("chunk_id"), X.prefixed_chunk(F.col("context_text"), F.col("text"), strict).alias("text")).where("text IS NOT NULL")
+
+
+def usage(calls: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+    """model, calls, tokens_in, tokens_out, cache_write, cache_read, usd of a table of calls (model, tokens_in, tokens_out, cache_write, cache_read) in one aggregation; what went through the cache isn't paid again as input.
+
+    ``prices``: model, per_million_in, per_million_out; models without a price have the default ones.
+    """
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    base = F.greatest(F.lit(0), n("tokens_in") - n("cache_write") - n("cache_read"))
+    t = calls.groupBy("model").agg(F.count("*").alias("calls"), F.sum(base).alias("tokens_in"), *(F.sum(n(c)).alias(c) for c in ("tokens_out", "cache_write", "cache_read")))
+    if prices is None:
+        return t.withColumn("usd", X.cost_usd(F.col("tokens_in"), F.col("tokens_out"), F.col("cache_write"), F.col("cache_read")))
+    t = t.join(prices.select("model", "per_million_in", "per_million_out").dropDuplicates(["model"]), "model", "left")
+    paid, made = F.coalesce("per_million_in", F.lit(0.80)), F.coalesce("per_million_out", F.lit(4.00))
+    return t.withColumn("usd", (F.col("tokens_in") * paid + F.col("tokens_out") * made + F.col("cache_write") * paid * 1.25 + F.col("cache_read") * paid * 0.10) / 1_000_000).drop("per_million_in", "per_million_out")
 
 
 def projected_cost(pairs: DataFrame, answer_tokens: int = 100) -> DataFrame:

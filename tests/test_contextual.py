@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import contextual as C
@@ -12,7 +13,11 @@ def test_pending_requests_and_costs(spark):
     assert sorted(r["id"] for r in pairs.collect()) == ["a", "b"]
     assert [r["id"] for r in C.by_parent(pairs, 2).collect()] == ["a", "b"]
     m = pairs.orderBy("id").select(C.messages("Say where this is from.", F.col("parent_text"), F.col("text")).alias("m")).head()["m"]
-    assert m[0]["content"] == "Say where this is from.\n\n" + "p" * 40 and m[1]["content"] == "aaaa"
+    assert m[0]["content"] == "Say where this is from." and m[1]["content"] == "<document>\n" + "p" * 40 + "\n</document>\n\n<chunk>\naaaa\n</chunk>"
+    blank = pairs.withColumn("text", F.lit(" "))
+    assert blank.select(C.messages("x", F.col("parent_text"), F.col("text")).alias("m")).head()["m"] is None
+    with pytest.raises(Exception, match="empty document"):
+        blank.select(C.messages("x", F.col("parent_text"), F.col("text"), strict=True)).collect()
     r = C.projected_cost(pairs).head()
     assert (r["calls"], r["cache_write"], r["cache_read"], r["tokens_in"]) == (2, 10, 10, 3) and r["usd"] > 0
     assert C.projected_cost(pairs.where("false")).head()["usd"] == 0
@@ -33,6 +38,15 @@ def test_runs_stop_at_the_cap(spark):
     assert C.run_capped(rows, 4, lambda df: seen.append(df.count()) or 0.1, 9.0)[0] == 4 and sum(seen) == 40
 
 
+def test_usage_of_calls(spark):
+    calls = spark.createDataFrame([("a", 1_000_000, 0, 400_000, 600_000), ("a", 0, 1_000_000, None, None), ("b", 10, 5, 0, 0)], "model STRING, tokens_in INT, tokens_out INT, cache_write INT, cache_read INT")
+    got = {r["model"]: r for r in C.usage(calls).collect()}
+    assert (got["a"]["calls"], got["a"]["tokens_in"]) == (2, 0) and abs(got["a"]["usd"] - (0.4 * 0.8 * 1.25 + 0.6 * 0.8 * 0.1 + 4.0)) < 1e-9
+    priced = {r["model"]: r["usd"] for r in C.usage(calls, spark.createDataFrame([("b", 1.0, 2.0)], "model STRING, per_million_in DOUBLE, per_million_out DOUBLE")).collect()}
+    assert abs(priced["b"] - 20 / 1e6) < 1e-12 and abs(priced["a"] - got["a"]["usd"]) < 1e-9
+    assert C.usage(calls.where("false")).count() == 0
+
+
 def test_usage_and_report():
     u = C.Usage()
     u.add(1_000_000, 0, cache_write=400_000, cache_read=600_000)

@@ -209,3 +209,14 @@ def test_confidence_is_measured_on_what_is_shown(spark):
     rows = [("a", "x [mn1] y [MN1] z", ["mn1"]), ("b", "[a, zzzzzzzzzzzzzzzzzzzzzzzzzzzz, b] [c] and much more text than that", ["a", "b", "c"]), ("c", "none", []), ("d", None, ["a"]), ("e", "no marks", ["a"])]
     got = {r["trace_id"]: (r["n_unique"], r["n_total"], r["tier"]) for r in answers.graded(spark.createDataFrame(rows, "trace_id STRING, answer STRING, sources ARRAY<STRING>")).collect()}
     assert got == {"a": (1, 1, "limited"), "b": (3, 2, "synthesized"), "c": (0, 0, "no-sources"), "d": (0, 0, "no-sources"), "e": (0, 0, "interpretive")}
+
+
+def test_prompts(spark):
+    kind = "query STRING, s ARRAY<STRUCT<work: STRING, segment_id: STRING, text: STRING>>"
+    df = spark.createDataFrame([("why?", [("mn1", "mn1:1.1", "One."), ("rob_1", None, "Two.")]), ("what?", []), ("who?", None)], kind)
+    got = [r["m"] for r in df.select(answers.user_message(F.col("query"), F.col("s")).alias("m")).collect()]
+    assert "--- Source 1 [mn1] (mn1:1.1) ---\nOne.\n\n--- Source 2 [rob_1] ---\nTwo.\n" in got[0] and got[0].startswith(answers.INTRO["mixed"]) and got[0].endswith("\nUser question: why?")
+    assert got[1] == "User question: what?\n\n(No source passages were retrieved.)" and got[2].startswith("User question: who?")
+    assert df.select(answers.system_prompt(F.lit("talk"), "concise").alias("p")).head()["p"].endswith(answers.GUIDANCE["concise"])
+    with pytest.raises(ValueError):
+        answers.system_prompt(F.lit("talk"), "odd")

@@ -188,14 +188,43 @@ SELECT DISTINCT id AS chunk_id FROM m WHERE t > CASE WHEN up THEN 2048 ELSE 512
 """
 
 
-def oracle_sql() -> dict[str, str]:
-    """Problems 1 and 4 as SQL of their own; 5 with the operator's expression for the form, so that its SQL tests the pairing."""
-    from corpusloom.llm import lookalike
+def _p5_forms_sql(rows: str) -> str:
+    """Forms of rows (src, id, text), told character by character: each is looked up in a table, words are put together again, and each word goes to the script that its own letters name. CTEs up to ``formed`` (src, id, text, form)."""
+    from corpusloom.llm import lookalike as L
+
+    wide, plain = L._wide()
+    pairs = dict(zip(wide + L.HYPHENS, plain + "-" * len(L.HYPHENS))) | dict(L.LIGATURES) | dict(zip(L.CYRILLIC + L.GREEK, L.CYRILLIC_AS_LATIN + L.GREEK_AS_LATIN))
+    values = ", ".join(f"({ord(c)}, {L._quoted(m)})" for c, m in pairs.items())
+    back = ", ".join(f"({L._quoted(a)}, {L._quoted(b)})" for a, b in zip(L.LATIN_BACK, L.CYRILLIC_BACK))
+    own = "(unicode(c) BETWEEN 1024 AND 1327)"
+    latin = f"((c BETWEEN 'A' AND 'Z' OR c BETWEEN 'a' AND 'z') AND NOT contains({L._quoted(L.LATIN_BACK)}, c) OR unicode(c) BETWEEN 192 AND 591 AND NOT unicode(c) IN (203, 207, 215, 235, 239, 247) OR unicode(c) BETWEEN 7680 AND 7935)"
+    return f"""
+    r AS ({rows}), code(u, m) AS (VALUES {values}), back(c, y) AS (VALUES {back}),
+    ch AS (SELECT src, id, i, substr(text, i, 1) AS c FROM (SELECT src, id, text, unnest(range(1, length(text) + 1)) AS i FROM r WHERE text IS NOT NULL AND text <> '')),
+    seen AS (SELECT src, id, i, coalesce(m, c) AS x FROM ch LEFT JOIN code ON u = unicode(c) WHERE NOT regexp_matches(c, '{L.INVISIBLE}')),
+    whole AS (SELECT src, id, nfc_normalize(string_agg(x, '' ORDER BY i)) AS s FROM seen GROUP BY ALL),
+    letter AS (SELECT src, id, i, substr(s, i, 1) AS c FROM (SELECT src, id, s, unnest(range(1, length(s) + 1)) AS i FROM whole)),
+    kind AS (SELECT src, id, i, c, regexp_matches(c, '{L.BLANKS}') AS blank, {own} AS cyr, {latin} AS lat FROM letter),
+    worded AS (SELECT *, sum(blank::INT) OVER (PARTITION BY src, id ORDER BY i) AS w, sum(cyr::INT) OVER (PARTITION BY src, id) AS n_cyr, sum(lat::INT) OVER (PARTITION BY src, id) AS n_lat FROM kind),
+    spoken AS (SELECT *, bool_or(cyr) OVER (PARTITION BY src, id, w) AS w_cyr, bool_or(lat) OVER (PARTITION BY src, id, w) AS w_lat FROM worded WHERE NOT blank),
+    spelled AS (SELECT src, id, w, i, CASE WHEN n_cyr > 0 AND NOT w_lat AND (w_cyr OR n_cyr > n_lat) THEN coalesce(y, s.c) ELSE s.c END AS x FROM spoken s LEFT JOIN back b ON b.c = s.c),
+    joined AS (SELECT src, id, w, string_agg(x, '' ORDER BY i) AS x FROM spelled GROUP BY ALL),
+    formed AS (SELECT src, id, any_value(r.text) AS text, string_agg(x, ' ' ORDER BY w) AS form FROM joined JOIN r USING (src, id) GROUP BY src, id)"""
+
+
+_RECORDS = "SELECT 'segments' AS src, row_id AS id, text FROM segments UNION ALL SELECT 'glossary_entries', entry_id, pali FROM glossary_entries"
+
+_P1_COVERAGE = f"""
+WITH found AS ({_P1}), held AS (SELECT chunk_id, sum(span_end - span_start) AS k FROM found GROUP BY ALL), size AS (SELECT id AS chunk_id, max(coalesce(length(text), 0)) AS n FROM chunks GROUP BY ALL)
+SELECT chunk_id, CAST(n AS INTEGER) AS n_chars, CAST(coalesce(k, 0) AS BIGINT) AS shared_chars, CASE WHEN n > 0 THEN coalesce(k, 0)::DOUBLE / n ELSE 0.0 END AS shared_share FROM size LEFT JOIN held USING (chunk_id)
+"""
 
-    rows = "SELECT 'segments' AS src, row_id AS id, text FROM segments UNION ALL SELECT 'glossary_entries', entry_id, pali FROM glossary_entries"
-    forms = lookalike.batch_sql("keyed")
-    p5 = f"""
-    WITH r AS ({rows}), keyed AS (SELECT struct_pack(src := src, id := id, text := text) AS k, text AS t FROM r WHERE text IS NOT NULL AND text <> ''),
-    formed AS (SELECT k.src AS src, k.id AS id, k.text AS text, form FROM ({forms}) WHERE form <> '')
-    SELECT a.src, a.id AS id_a, b.id AS id_b FROM formed a JOIN formed b ON a.src = b.src AND a.form = b.form AND a.id < b.id AND a.text <> b.text"""
-    return {"p1_found": _P1, "p4_found": _P4, "p5_found": p5}
+
+def oracle_sql() -> dict[str, str]:
+    """Problems 1, 4 and 5 as SQL of their own."""
+    forms = _p5_forms_sql(_RECORDS)
+    p5 = f"WITH {forms} SELECT a.src, a.id AS id_a, b.id AS id_b FROM formed a JOIN formed b ON a.src = b.src AND a.form = b.form AND a.id < b.id AND a.text <> b.text"
+    segments = _p5_forms_sql("SELECT 'segments' AS src, row_id AS id, text FROM segments")
+    p5_forms = f"WITH {segments} SELECT g.row_id, CASE WHEN g.text IS NULL THEN NULL ELSE coalesce(form, '') END AS form FROM segments g LEFT JOIN formed f ON f.id = g.row_id"
+    p5_classes = f"WITH {forms}, several AS (SELECT src, form FROM formed GROUP BY ALL HAVING count(DISTINCT text) > 1) SELECT src, id, upper(md5(form)) AS class FROM formed JOIN several USING (src, form)"
+    return {"p1_found": _P1, "p1_coverage": _P1_COVERAGE, "p4_found": _P4, "p5_found": p5, "p5_forms": p5_forms, "p5_classes": p5_classes}

@@ -373,8 +373,10 @@ hit{n} AS MATERIALIZED (SELECT f.query_id, f.chunk_id, s.work, s.segment_id, s.t
 
 
 def _corpus(s: SparkSession, d: str) -> pipeline.Corpus:
-    c = _catalogued(s, d).select(F.col("id").alias("chunk_id"), "parent_chunk_id", "text", "is_parent", "work_canonical_id", "source_type", "segment_id")
-    return pipeline.Corpus(_stored(s, d, "rows", lambda: materialize(c)), _index(s, d), _dense(s, d), pipeline.hashed_queries)
+    """Hits are looked up in the chunks as they lie, and joined with the catalogue then: no pass moves texts."""
+    rows = lambda c: library.with_work(c, *(table(s, d, n) for n in ("instances", "expressions", "works"))).select("chunk_id", "parent_chunk_id", "text", "is_parent", "work_canonical_id", "source_type", "segment_id")
+    raw = table(s, d, "chunks").withColumnRenamed("id", "chunk_id").select("chunk_id", "parent_chunk_id", "text", "is_parent", "segment_id", "instance_id")
+    return pipeline.Corpus(rows(raw), _index(s, d), _dense(s, d), pipeline.hashed_queries, lambda ids: rows(raw.join(lexical.hint(ids, ids), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])))
 
 
 def _term_map(s: SparkSession, d: str) -> DataFrame:

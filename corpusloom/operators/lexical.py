@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import normalise_query, simple_terms
-from corpusloom.plans.materialize import keep, shared_folder
+from corpusloom.plans.materialize import keep, materialize, shared_folder
 
 #: Rows of queries or their terms that may be broadcast; more are shuffled.
 BROADCAST_TERMS = 100_000
@@ -53,7 +53,7 @@ class Index:
             folders = [r[0] for r in wanted.select(_bucket(self.buckets)).distinct().collect()]  # at most as many as there are folders
             if len(folders) < self.buckets:
                 rows = rows.where(F.col("bucket").isin(folders))
-        return rows.drop("bucket").join(_hint(wanted, terms), "term", "left_semi")
+        return rows.drop("bucket").join(hint(wanted, terms), "term", "left_semi")
 
 
 _STORED = "term STRING, chunk_id STRING, n INT, tf INT, positions ARRAY<INT>, bucket INT"
@@ -107,20 +107,21 @@ def parsed(queries: DataFrame) -> DataFrame:
     each = queries.select("query_id", items.alias("items")).select("query_id", "items", F.posexplode("items").alias("i", "item"))
     clause = F.size(F.filter(F.slice("items", 1, F.col("i") + 1), lambda x: x == "or"))
     rows = each.where("item <> 'or'").select("query_id", clause.alias("clause"), "i", (F.col("item").startswith("-") & (F.length("item") > 1)).alias("never"), simple_terms(F.col("item")).alias("words"))
-    return _bounded_like(rows.where(F.size("words") > 0), queries)
+    return like(rows.where(F.size("words") > 0), queries)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term: the words that a query's phrases need or exclude, to prune postings."""
-    return _bounded_like(parsed(queries).select("query_id", F.explode("words").alias("term")).distinct(), queries)
+    return like(parsed(queries).select("query_id", F.explode("words").alias("term")).distinct(), queries)
 
 
 def tokens(sparse: DataFrame) -> DataFrame:
     """query_id, term of sparse queries (query_id, token), to prune postings."""
-    return _bounded_like(sparse.select("query_id", F.col("token").alias("term")), sparse)
+    return like(sparse.select("query_id", F.col("token").alias("term")), sparse)
 
 
-def _bounded_like(df: DataFrame, of: DataFrame) -> DataFrame:
+def like(df: DataFrame, of: DataFrame) -> DataFrame:
+    """``df``, marked as bounded if what it is made of is."""
     df._bounded = getattr(of, "_bounded", False)
     return df
 
@@ -169,7 +170,13 @@ def bounded(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
     return out
 
 
-def _hint(df: DataFrame, of: DataFrame) -> DataFrame:
+def held(df: DataFrame, most: int = BROADCAST_TERMS) -> DataFrame:
+    """A frame that several joins read, computed once: as a local table if it is small, else as a table in the shared folder."""
+    out = bounded(df, most)
+    return out if out is not df else materialize(df)
+
+
+def hint(df: DataFrame, of: DataFrame) -> DataFrame:
     """A broadcast hint for ``df`` if it is made of a frame that has been counted."""
     return F.broadcast(df) if getattr(of, "_bounded", False) else df
 
@@ -191,50 +198,50 @@ def match(queries: DataFrame, index: Index) -> DataFrame:
     words = lambda of: F.explode(F.array_distinct(F.flatten(of)))
     need = specs.select("c", words("must").alias("term"), F.lit(False).alias("never"))
     need = need.union(specs.select("c", words("bad").alias("term"), F.lit(True))).groupBy("c", "term").agg(F.bool_and("never").alias("never"))
-    sized = need.join(_hint(index.terms.join(_hint(need.select("term").distinct(), specs), "term", "left_semi"), specs), "term", "left")
+    sized = need.join(hint(index.terms.join(hint(need.select("term").distinct(), specs), "term", "left_semi"), specs), "term", "left")
     wanted = sized.where(~F.col("never")).groupBy("c").agg(F.count("*").alias("needed"), F.min_by("term", F.struct("df", "term")).alias("rare"), F.bool_and(F.col("df").isNotNull()).alias("known")).where("known")
     wanted = bounded(wanted.join(specs, "c").select("c", "needed", "rare", F.filter("must", lambda p: F.array_contains(p, F.col("rare")))[0].alias("beside"), (F.size("bad") > 0).alias("picky")))
     distance = F.when(F.array_contains("beside", F.col("term")), F.array_position("beside", F.col("term")) - F.array_position("beside", F.col("rare"))).cast("int")
     other = bounded(need.join(wanted, "c").where("term <> rare").select("c", "term", "never", F.when(~F.col("never"), distance).alias("distance")))
-    rows = index.of(_bounded_like(wanted.select(F.col("rare").alias("term")).union(other.select("term")), wanted))
-    candidates = rows.select(F.col("term").alias("rare"), "chunk_id", F.col("positions").alias("at")).join(_hint(wanted, wanted), "rare")
-    looked_up = candidates.join(_hint(other, other), "c").join(rows.select("term", "chunk_id", "positions"), ["chunk_id", "term"])
+    rows = index.of(like(wanted.select(F.col("rare").alias("term")).union(other.select("term")), wanted))
+    candidates = rows.select(F.col("term").alias("rare"), "chunk_id", F.col("positions").alias("at")).join(hint(wanted, wanted), "rare")
+    looked_up = candidates.join(hint(other, other), "c").join(rows.select("term", "chunk_id", "positions"), ["chunk_id", "term"])
     looked_up = looked_up.where(F.col("distance").isNull() | F.exists("positions", lambda x: F.array_contains("at", x - F.col("distance"))))
     found = looked_up.groupBy("c", "chunk_id").agg(F.first("needed").alias("needed"), F.first("rare").alias("rare"), F.first("at").alias("at"), F.count_if(~F.col("never")).alias("has"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("others"))
     several = found.where((F.col("needed") > 1) & (F.col("has") == F.col("needed") - 1)).select("c", "chunk_id", "rare", "at", "others")
     none = F.create_map().cast("map<string,array<int>>")
     alone = candidates.where("needed = 1 AND NOT picky").select("c", "chunk_id", "rare", "at", none.alias("others"))
     beside = candidates.where("needed = 1 AND picky").join(found.select("c", "chunk_id", "others"), ["c", "chunk_id"], "left").select("c", "chunk_id", "rare", "at", F.coalesce("others", none).alias("others"))
-    hits = several.unionByName(alone).unionByName(beside).join(_hint(specs, specs), "c")
+    hits = several.unionByName(alone).unionByName(beside).join(hint(specs, specs), "c")
     hits = hits.withColumn("positions", F.map_concat(F.create_map("rare", "at"), "others"))
     hits = hits.where(F.forall("must", lambda p: (F.size(p) == 1) | _holds(F.col("positions"), p)) & ~F.exists("bad", lambda p: _holds(F.col("positions"), p)))
     scored = hits.select("c", "chunk_id", cover_density(F.col("positions"), F.array_distinct(F.flatten("must"))).alias("score"))
-    return scored.join(_hint(asked.select("c", "query_id"), asked), "c").groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
+    return scored.join(hint(asked.select("c", "query_id"), asked), "c").groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
 def match_all(terms: DataFrame, index: Index) -> DataFrame:
     """Chunks with all terms of a query, and 0.1 x the sum of their frequencies: the form that needs no Python. ``terms``: query_id, term (distinct)."""
     needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
-    hits = index.of(terms).join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
-    return hits.join(_hint(needed, terms), "query_id").where("n = needed").select("query_id", "chunk_id", (F.col("tf") * F.lit(0.1)).alias("score"))
+    hits = index.of(terms).join(hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    return hits.join(hint(needed, terms), "query_id").where("n = needed").select("query_id", "chunk_id", (F.col("tf") * F.lit(0.1)).alias("score"))
 
 
 def match_any(terms: DataFrame, index: Index) -> DataFrame:
-    return index.of(terms).join(_hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
+    return index.of(terms).join(hint(terms, terms), "term").groupBy("query_id", "chunk_id").agg((F.sum("tf") * F.lit(0.1)).alias("score"))
 
 
 def match_without(hits: DataFrame, unwanted: DataFrame, index: Index) -> DataFrame:
     """Hits (query_id, chunk_id, …) without chunks that have one of the query's unwanted terms (query_id, term)."""
-    bad = index.of(unwanted).join(_hint(unwanted, unwanted), "term").select("query_id", "chunk_id")
+    bad = index.of(unwanted).join(hint(unwanted, unwanted), "term").select("query_id", "chunk_id")
     return hits.join(bad, ["query_id", "chunk_id"], "left_anti")
 
 
 def bm25(terms: DataFrame, index: Index, options: Bm25 = Bm25()) -> DataFrame:
     """True BM25 (k1, b, inverse document frequency) as a scorer of its own, in one pass over the postings of the terms (query_id, term)."""
-    asked = _bounded_like(terms.join(_hint(index.terms.join(_hint(terms.select("term").distinct(), terms), "term", "left_semi"), terms), "term"), terms)
+    asked = like(terms.join(hint(index.terms.join(hint(terms.select("term").distinct(), terms), "term", "left_semi"), terms), "term"), terms)
     idf = F.log(1 + (F.lit(index.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (options.k1 + 1) / (F.col("tf") + options.k1 * (1 - options.b + options.b * F.col("n") / index.mean))
-    return index.of(terms).join(_hint(asked, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
+    return index.of(terms).join(hint(asked, asked), "term").groupBy("query_id", "chunk_id").agg(F.sum(idf * tf).alias("score"))
 
 
 def top_k(hits: DataFrame, k: int, digits: int = 6) -> DataFrame:

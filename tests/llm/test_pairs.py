@@ -31,7 +31,8 @@ def test_refusal(judge, answer):
     assert judge(Q, answer) == "refusal"
 
 
-# Wordings that are not among the labelled sentences; FIRST was written before those, SECOND after.
+# Wordings that are not among the labelled sentences. FIRST was written before those by who wrote them, and the threshold was set with it
+# in view: a development list. SECOND and THIRD were written after all was fixed and measured once: 17 of 26 and 14 of 23.
 FIRST = [
     "I'm sorry, but I have no way of answering that.",
     'Sorry, this is beyond what I am able to discuss.',
@@ -114,9 +115,36 @@ SECOND = [
 ]
 
 
+THIRD = [
+    "I must leave this unanswered.",
+    "The library offers nothing on the subject you raise.",
+    "That lies outside of what I can speak about.",
+    "My material does not reach that far.",
+    "I'd rather leave that to a teacher.",
+    "На это я вам ничего сказать не сумею.",
+    "Материалов по вашему вопросу нет.",
+    "Darauf weiß ich keine Antwort.",
+    "Zu Ihrer Frage liegt mir nichts vor.",
+    "Je n'ai pas la réponse.",
+    "Cette question dépasse ce que je peux dire.",
+    "No tengo la respuesta.",
+    "Esa pregunta queda fuera de mi alcance.",
+    "Não sei responder a isso.",
+    "Sobre isso não encontro nada.",
+    "Non ho la risposta.",
+    "Questa domanda va oltre ciò che posso dire.",
+    "Dat weet ik helaas niet.",
+    "Hier heb ik geen bronnen over.",
+    "Nie znam odpowiedzi.",
+    "W zbiorach nic o tym nie ma.",
+    "这个问题超出了我的能力。",
+    "我这里没有相关的记载。",
+]
+
+
 def test_refusals_that_were_not_labelled(judge):
     found = lambda answers: sum(judge(Q, a) == "refusal" for a in answers) / len(answers)
-    assert found(FIRST) >= 0.9 and found(SECOND) >= 0.6
+    assert found(FIRST) >= 0.9 and found(SECOND) >= 0.6 and found(THIRD) >= 0.55
     content = ["The teacher could not find the path, but the novice showed it to her.", "Silence is the answer of the wise, and patience follows it.", "Ученик не мог найти тропу, но наставник показал её."]
     assert found(content) == 0
 

@@ -101,7 +101,9 @@ HELD_OUT = [
 ]
 
 
-#: Wordings of no exemplar: FIRST was written before the general families, SECOND after them; neither was used to choose exemplars.
+#: Wordings of no exemplar. FIRST was written before the general families, by who wrote those, and SECOND after them; the thresholds of
+#: ``together`` were set with both in view, so recall on them is that of a development set. THIRD was written when all was fixed and is
+#: the held-out one: it was measured once, and nothing was changed for it.
 FIRST = [
     'Sorry! That page cannot be located.',
     'The link you followed may be broken, or the page may have been removed.',
@@ -174,7 +176,7 @@ SECOND = [
 
 
 @pytest.mark.skipif(not Path(DOCUMENTS).exists(), reason="no texts to count words in")
-def test_recall_of_wordings_that_are_no_exemplars():
+def test_recall_of_the_development_lists():
     known = {tuple(words) for _, words, _ in K.exemplars()}
     share = {}
     for name, texts in (("first", FIRST), ("second", SECOND)):
@@ -185,6 +187,46 @@ def test_recall_of_wordings_that_are_no_exemplars():
         assert stretches(f"Why does the sign say: “{t}” to those who come late?") == []
 
 
+THIRD = [
+    "Oh no, we could not reach the page.",
+    "The article you were looking for is gone.",
+    "Bad gateway. Please reload in a moment.",
+    "Your subscription does not include this page.",
+    "Server overload, requests are being dropped.",
+    "Invalid token. Authentication failed.",
+    "Content blocked in your region.",
+    "The query took too long and was cancelled by the server.",
+    "Scripts must be permitted for this page to load.",
+    "Kindly switch off private mode and enable scripts.",
+    "We need to confirm you are not a bot.",
+    "Cookie consent is needed before the page opens.",
+    "Put your paragraph here.",
+    "Draft text, to be completed by the author.",
+    "Write two or three sentences about the event.",
+    "Image description pending.",
+    "Die Webseite ist zurzeit überlastet.",
+    "Ihre Sitzung ist abgelaufen.",
+    "Ohne JavaScript kann diese Seite nicht angezeigt werden.",
+    "Cette ressource a été supprimée du serveur.",
+    "Votre session a expiré.",
+    "Su sesión ha caducado.",
+    "El recurso solicitado fue eliminado.",
+    "Ваша сессия истекла, войдите снова.",
+    "Запрошенный файл удалён с сервера.",
+    "会话已过期，请重新登录。",
+    "此内容已被删除。",
+    "Sessione scaduta, accedi di nuovo.",
+    "Sua sessão expirou.",
+    "Sesja wygasła, zaloguj się ponownie.",
+]
+
+
+@pytest.mark.skipif(not Path(DOCUMENTS).exists(), reason="no texts to count words in")
+def test_recall_on_the_held_out_list_is_low():
+    """5 of 30 when measured: wordings far from the exemplars are not found. A record of that, not a claim."""
+    assert sum(bool(stretches(t)) for t in THIRD) >= 5
+
+
 def test_held_out_wordings():
     known = {tuple(words) for _, words, _ in K.exemplars()}
     assert not any(tuple(K.words_of(text)) in known for text, _ in HELD_OUT)

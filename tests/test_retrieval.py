@@ -221,6 +221,18 @@ def test_threads(spark, chunks):
     assert {(r["query_id"], r["chunk_id"], r["card"], r["exhausted"]) for r in nxt.collect()} == {("a", "c3", 1, False), ("b", None, None, True), ("c", "c1", 1, False)}
 
 
+def test_a_long_thread_goes_on(spark):
+    """Until all chunks are seen, however many those are, beside a thread that has only begun; equal queries are searched once."""
+    ids = ["c%03d" % i for i in range(130)]
+    rows = [(i, None, "w1", "sutta", None, False, "craving") for i in ids]
+    chunks = spark.createDataFrame(rows, "chunk_id STRING, parent_chunk_id STRING, work_canonical_id STRING, source_type STRING, segment_id STRING, is_parent BOOLEAN, text STRING")
+    seen = spark.createDataFrame([("a", i) for i in ids[:125]] + [("b", i) for i in ids[:128]] + [("c", ids[0])], "query_id STRING, chunk_id STRING")
+    run = lambda **more: sorted((r["query_id"], r["chunk_id"], r["card"], r["exhausted"], r["text"]) for r in pipeline.thread_next(asked(spark, a="craving", b="craving", c="craving", d="craving"), corpus_of(chunks), seen, **more).collect())
+    want = [(q, ids[i], n, q == "b", "craving") for q, first in (("a", 125), ("b", 128), ("c", 1), ("d", 0)) for n, i in enumerate(range(first, min(first + 3, 130)), 1)]
+    assert run() == want
+    assert run(known=pipeline.found(asked(spark, c="craving", d="craving"), corpus_of(chunks), pipeline.THREAD)) == want
+
+
 def test_hybrid_rewrites_and_fuses_three_channels(spark, chunks, entries):
     glossary = expand.Glossary(spark.createDataFrame([("jhāna", ["walking house"], [])], "lemma STRING, meanings_en ARRAY<STRING>, meanings_ru ARRAY<STRING>"))
     assert {r["query_id"]: r["query"] for r in pipeline.rewritten(asked(spark, a="What is satipaṭṭhāna?", b="on jhāna"), pipeline.Options(glossary=True), entries, glossary).collect()} == {
